@@ -1,0 +1 @@
+"""No streaming operator: all the inputs that the library scores are finished tables."""
