@@ -25,15 +25,13 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
 _SMALL = 64
 
 
-def _repeat_words(words: Column, hashes: Column, repeated: Column) -> Column:
-    """Words inside 3-word windows whose hash occurs twice or more; n log n at most."""
-    few = F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.array_contains(repeated, F.get(hashes, i)))
-    placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    many = F.transform(
-        F.filter(F.transform(placed, lambda x, i: F.struct(x["i"].alias("i"), ((F.get(placed, i - 1)["h"] == x["h"]) | (F.get(placed, i + 1)["h"] == x["h"])).alias("twice"))), lambda x: x["twice"]),
+def _repeat_words(few: Column, placed: Column, hashes: Column, repeated: Column) -> Column:
+    """Words inside 3-word windows whose hash occurs twice or more; placed: (hash, position) in order."""
+    by_hash = F.transform(
+        F.filter(F.transform(placed, lambda x, i: F.struct(x["i"].alias("i"), (((i > 0) & (F.get(placed, F.greatest(i - 1, F.lit(0)))["h"] == x["h"])) | F.coalesce(F.get(placed, i + 1)["h"] == x["h"], F.lit(False))).alias("twice"))), lambda x: x["twice"]),
         lambda x: x["i"],
     )
-    starts = F.when(F.size(repeated) <= _SMALL, few).otherwise(many)
+    starts = F.when(few, F.filter(F.sequence(F.lit(0), F.size(hashes) - 1), lambda i: F.array_contains(repeated, F.get(hashes, i)))).otherwise(by_hash)
     covered = F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
     return F.when(F.size(repeated) == 0, 0).otherwise(covered).cast("long")
 
@@ -56,7 +54,9 @@ def measures(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     )
     a = a.withColumn("in_order", F.sort_array("hashes"))
     a = a.withColumn("repeated", F.array_distinct(F.filter("in_order", lambda x, i: (i > 0) & (x == F.get("in_order", i - 1)))))
-    return a.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", _repeat_words(F.col("n_words"), F.col("hashes"), F.col("repeated")).alias("n_repeat_words"), "n_stop_words")
+    few = F.size("repeated") <= _SMALL
+    a = a.withColumn("placed", F.when(~few, F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    return a.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", _repeat_words(few, F.col("placed"), F.col("hashes"), F.col("repeated")).alias("n_repeat_words"), "n_stop_words")
 
 
 def verdict(rules=RULES) -> Column:
