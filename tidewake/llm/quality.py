@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,18 @@ RULES: tuple[tuple[str, float | None, float | None], ...] = (
 _SMALL = 64
 
 
+def _prefix_tree(words: list[str]) -> str:
+    """A pattern for any of the words that branches on one character at a time."""
+    heads = sorted({w[0] for w in words if w})
+    branches = [re.escape(h) + _prefix_tree([w[1:] for w in words if w[:1] == h]) for h in heads]
+    if not branches:
+        return ""
+    return "(?:" + "|".join(branches) + ")" + ("?" if "" in words else "")
+
+
+_STOP = r"(?:^|[\x20\x09-\x0D])" + _prefix_tree(STOP_WORDS) + r"(?=[.,;:!?]*(?:[\x20\x09-\x0D]|\z))"
+
+
 def _repeat_words(few: Column, placed: Column, hashes: Column, repeated: Column) -> Column:
     """Words inside 3-word windows whose hash occurs twice or more; placed: (hash, position) in order."""
     by_hash = F.transform(
@@ -40,16 +54,15 @@ def measures(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop_words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     a = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"))
-    stop = r"(?<![^\x20\x09-\x0D])(?:" + "|".join(STOP_WORDS) + r")[.,;:!?]*(?![^\x20\x09-\x0D])"
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     a = a.select(
         "doc_id", F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"), lines.alias("lines"),
-        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), F.regexp_count(F.lower("text"), F.lit(stop)).cast("long").alias("n_stop_words"),
-        F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"), F.regexp_count(F.lower("text"), F.lit(_STOP)).cast("long").alias("n_stop_words"),
+        
     )
     windows = F.when(F.size("words") >= 3, F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))))
     a = a.select(
-        "doc_id", F.size("words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_stop_words", F.size("lines").cast("long").alias("n_lines"),
+        "doc_id", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols", "n_stop_words", F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.coalesce(windows, F.array().cast("array<bigint>")).alias("hashes"),
     )
     a = a.withColumn("in_order", F.sort_array("hashes"))
