@@ -12,7 +12,7 @@ from .batches import map_batches, whole_texts
 from .components import checkpoint, components
 
 #: Members of a bucket are compared in blocks of about this many.
-BLOCK = 256
+BLOCK = 512
 #: Pairs whose signatures agree in fewer coordinates are not linked: six standard deviations below
 #: what a similarity at the threshold gives.
 SIGMAS = 6
@@ -50,21 +50,38 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _agreeing(percent: int):
-    j = percent / 100
-    least = int(np.floor(shingles.COORDINATES * j - SIGMAS * np.sqrt(shingles.COORDINATES * j * (1 - j))))
+    """Bits of unlike coordinates agree by chance in half of the cases, so the product of two rows of
+    +1 and -1 counts, on average, BITS for each coordinate that agrees."""
+    j, n = percent / 100, shingles.COORDINATES
+    spread = np.sqrt(n * j * (1 - j)) + np.sqrt(n * (1 - j) / shingles.BITS)
+    least = shingles.BITS * (n * j - SIGMAS * spread)
 
     def compare(table: pa.Table) -> pa.Table:
-        """Pairs of one block pair that lie in different components and may reach the threshold."""
-        node, part = table["node"].to_numpy(), table["component"].to_numpy()
-        side = table["side"].to_numpy()
-        sig = np.stack(table["signature"].to_numpy(zero_copy_only=False))
+        """Pairs of one block pair that lie in different components and reach the threshold on short hashes."""
+        node, part, side, size = (table[c].to_numpy() for c in ("node", "component", "side", "size"))
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+        sign = np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        a, b = [], []
-        for i in left:
-            near = right[part[right] != part[i]]
-            near = near[(sig[near] == sig[i]).sum(1) >= least]
-            b.append(node[near])
-            a.append(np.full(len(near), node[i]))
+        near = sign[left] @ sign[right].T >= least
+        near &= part[left][:, None] != part[right][None, :]
+        sets = [np.frombuffer(x, dtype=np.uint32) for x in table["short"].to_pylist()]
+        lengths = np.array([len(x) for x in sets])
+        words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(lengths)
+        here, a, b = np.zeros(len(words), dtype=np.int32), [], []
+        for x, row in zip(left, near):
+            others = right[row]
+            if not len(others):
+                continue
+            here[flat[ends[x] - lengths[x] : ends[x]]] = 1
+            taken = here[np.concatenate([flat[ends[o] - lengths[o] : ends[o]] for o in others])]
+            both = np.add.reduceat(taken, np.r_[0, np.cumsum(lengths[others])[:-1]])
+            here[flat[ends[x] - lengths[x] : ends[x]]] = 0
+            # short hashes that fell together in a set can hide as many common shingles
+            both = both + np.minimum(size[x] - lengths[x], size[others] - lengths[others])
+            hits = others[100 * both >= percent * (size[x] + size[others] - both)]
+            a.append(np.full(len(hits), node[x]))
+            b.append(node[hits])
         a, b = np.concatenate([*a, np.empty(0, np.int64)]), np.concatenate([*b, np.empty(0, np.int64)])
         return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
 
@@ -80,18 +97,20 @@ def _rest(members: DataFrame, parts: DataFrame, texts: DataFrame, percent: int)
     others = placed.filter("node <> center")
     open_ = others.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).filter("low <> high")
     left = checkpoint(others.join(open_.select("band", "m"), "band").select("band", "node", "component", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    signed = map_batches(texts.join(left.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), _signed, "node long, signature array<int>")
+    signed = map_batches(texts.join(left.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), _signed, "node long, bits binary, size long, short binary")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = left.withColumn("own", own).withColumn("other", other).select(
         "band", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")
     )
-    full = dealt.join(signed, "node").select("band", "i", "j", "side", "node", "component", "signature")
+    full = dealt.join(signed, "node").select("band", "i", "j", "side", "node", "component", "bits", "size", "short")
     return full.groupBy("band", "i", "j").applyInArrow(_agreeing(percent), "a long, b long").filter("a <> b").distinct()
 
 
 def _signed(doc_ids, texts):
-    return doc_ids, [shingles.signature(shingles.shingle_set(t)).tolist() for t in texts]
+    sets = list(map(shingles.shingle_set, texts))
+    bits = [shingles.signature_bits(shingles.signature(s)) for s in sets]
+    return doc_ids, bits, [len(s) for s in sets], [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -103,8 +122,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     2. Documents of equal sets form a class under their least doc_id; only classes go on.
     3. In every bucket all members are paired with the least one (linear, hot buckets too), and the
        pairs verified on the full sets; the links give first components.
-    4. Pairs of a bucket that are still in different components, and not yet verified, are compared by
-       signature in blocks, and those that may reach the threshold are verified too. So each pair that
+    4. Pairs of a bucket that are still in different components, and not yet verified, are compared in
+       blocks, by signature and then by the sets in 32-bit hashes; those that reach the threshold so
+       are verified too, on the full sets. So each pair that
        shares a band is linked, refuted, or in one component already.
     5. Components of all links; kept is doc_id = component_id.
 

@@ -12,6 +12,8 @@ WORDS = 5
 UNIVERSE = 1 << 20
 BANDS, ROWS = 32, 6
 COORDINATES = BANDS * ROWS
+#: Hashed bits of a coordinate in a signature that is compared with others.
+BITS = 4
 #: A memo of this many word hashes is emptied before it grows further.
 MEMO_WORDS = 500_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -85,6 +87,12 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return mixed(code).astype(np.int64)
 
 
+def signature_bits(signature: np.ndarray) -> bytes:
+    """BITS hashed bits of each coordinate."""
+    x = mixed(signature.astype(np.uint64) * _ODD + np.arange(len(signature), dtype=np.uint64))
+    return np.packbits(np.unpackbits(x.view(np.uint8).reshape(-1, 8)[:, :1], axis=1)[:, :BITS]).tobytes()
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, for sorted distinct hashes."""
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
