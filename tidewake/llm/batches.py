@@ -20,10 +20,10 @@ def whole_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def map_batches(df: DataFrame, function: Callable[..., list], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable[..., list], schema: str | StructType) -> DataFrame:
     """Apply function to lists of the columns' values, a few hundred rows at a time; it gives one list
     (or Arrow array) for each column of schema. Rows stay in their partition; nothing is shuffled."""
-    kind = StructType.fromDDL(schema)
+    kind = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared checkpoint folder.
-
-    The folder is read from spark.checkpoint.dir; only where that is unset (a local session, as in
-    tests) a temporary folder is used."""
-    spark: SparkSession = df.sparkSession
+def _ready_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session. It is read from spark.checkpoint.dir; only where that is
+    unset (a local session, as in tests) a temporary folder is set."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,9 +19,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
+    return context.getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a table in the shared checkpoint folder."""
+    _ready_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder, for tables that are written and reread."""
+    return f"{_ready_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (a > b). Large: every greater neighbour of a node is tied to the least
     of its neighbourhood. Small: the node and its lesser neighbours are tied to the least of them."""
@@ -56,7 +64,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
         before = state
     raise RuntimeError("components did not settle")
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

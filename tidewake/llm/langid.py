@@ -163,6 +163,19 @@ def predict_languages(docs: DataFrame, model: Model | None) -> DataFrame:
     return map_batches(whole_texts(docs), predict, "doc_id long, lang_pred string, score double")
 
 
+def label_documents(docs: DataFrame, model: Model | None) -> DataFrame:
+    """All rows and columns of docs, with the prediction from the whole text in place of lang."""
+    names = docs.columns
+    text, lang = names.index("text"), names.index("lang")
+
+    def label(*columns):
+        out = list(columns)
+        out[lang] = [model.predict(t)[0] if model else UNDETERMINED for t in columns[text]]
+        return out
+
+    return map_batches(docs, label, docs.schema)
+
+
 def held_out(doc_id) -> "F.Column":
     """Whether crc32 of doc_id as text has remainder 2 by 4 (a null doc_id: false)."""
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 4 == 2, F.lit(False))

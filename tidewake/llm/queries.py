@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_codec, langid, minhash, mixing, quality, sharding, token_count, urls
+from . import ann, bpe_codec, langid, linededup, minhash, mixing, quality, sharding, token_count, urls
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -49,6 +49,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents")).drop("n_lines", "n_stop_words")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
+def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
