@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
+
+from . import base
+
+
+def _load() -> None:
+    package = importlib.import_module(__package__)
+    for module in pkgutil.iter_modules(package.__path__):
+        if module.name.startswith("q_"):
+            importlib.import_module(f"{__package__}.{module.name}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(base.SQL)
