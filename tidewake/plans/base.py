@@ -32,9 +32,9 @@ orders_y AS (SELECT *, year(o_orderdate) AS y FROM orders),
 scores AS (SELECT c_mktsegment AS method, year(o_orderdate) AS stage, o_orderpriority AS setting, avg(o_totalprice) AS score, count(*) AS n
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 curves AS (SELECT event_type AS feature, user_id % 5 AS grp, CAST(ts AS DATE) - (SELECT min(CAST(ts AS DATE)) FROM events) AS t, avg(value) AS value FROM events GROUP BY ALL),
-genes AS (SELECT p_partkey AS gene, p_partkey % 5 AS chrom, (p_partkey * 97) % 20000 AS gstart, (p_partkey * 97) % 20000 + p_size * 10 AS gend FROM part),
-peaks AS (SELECT l_orderkey * 8 + l_linenumber AS peak, l_partkey % 5 AS chrom, (l_orderkey * 31 + l_linenumber * 7) % 20000 AS pstart,
-  (l_orderkey * 31 + l_linenumber * 7) % 20000 + CAST(l_quantity AS BIGINT) AS pend FROM lineitem)
+genes AS (SELECT p_partkey AS gene, p_partkey % 5 AS chrom, (p_partkey * 7919) % 2000000 AS gstart, (p_partkey * 7919) % 2000000 + p_size * 10 AS gend FROM part),
+peaks AS (SELECT l_orderkey * 8 + l_linenumber AS peak, min(l_partkey) % 5 AS chrom, (l_orderkey * 3163 + l_linenumber * 701) % 2000000 AS pstart,
+  (l_orderkey * 3163 + l_linenumber * 701) % 2000000 + CAST(max(l_quantity) AS BIGINT) * 10 AS pend FROM lineitem GROUP BY l_orderkey, l_linenumber)
 """
 
 
@@ -130,9 +130,11 @@ def curves(spark, sf_dir) -> DataFrame:
 
 
 def genes(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr("p_partkey AS gene", "p_partkey % 5 AS chrom", "(p_partkey * 97) % 20000 AS start", "(p_partkey * 97) % 20000 + p_size * 10 AS end")
+    at = "(p_partkey * 7919) % 2000000"
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS gene", "p_partkey % 5 AS chrom", f"{at} AS start", f"{at} + p_size * 10 AS end")
 
 
 def peaks(spark, sf_dir) -> DataFrame:
-    s = "(l_orderkey * 31 + l_linenumber * 7) % 20000"
-    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 8 + l_linenumber AS peak", "l_partkey % 5 AS chrom", f"{s} AS start", f"{s} + CAST(l_quantity AS BIGINT) AS end")
+    at = "(l_orderkey * 3163 + l_linenumber * 701) % 2000000"
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_quantity").alias("n"))
+    return g.selectExpr("l_orderkey * 8 + l_linenumber AS peak", "p % 5 AS chrom", f"{at} AS start", f"{at} + CAST(n AS BIGINT) * 10 AS end")
