@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .batches import map_batches, whole_texts
 from .components import checkpoint
@@ -99,11 +99,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     texts = whole_texts(docs).filter("doc_id is not null")
     found = checkpoint(map_batches(texts, _window_rows(min_words), "doc_id long, text_hash long, start int, low long, key long"))
-    found = found.dropDuplicates([*ROW, "start"])
-    often = found.groupBy("low").agg(F.min(F.struct(*ROW, "start")).alias("a"), F.max(F.struct(*ROW, "start")).alias("z")).filter("a <> z").select("low")
-    open_ = found.join(often, "low", "left_semi")
+    found = found.withColumn("place", F.xxhash64(*ROW, "start"))  # a repeated row has the places of its first
+    often = found.groupBy("low").agg(F.min("place").alias("a"), F.max("place").alias("z")).filter("a <> z").select("low")
+    open_ = found.join(often, "low", "left_semi").drop("low")
     place = F.struct(*ROW, "start")
-    firsts = open_.groupBy("key").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
+    firsts = open_.groupBy("key").agg(F.min(place).alias("first"), F.min("place").alias("a"), F.max("place").alias("z")).filter("a <> z")
     matches = open_.join(firsts.select("key", "first"), "key").filter(place != F.col("first"))
     matches = matches.select(*ROW, "start", F.col("first.doc_id").alias("f_doc_id"), F.col("first.text_hash").alias("f_text_hash"), F.col("first.start").alias("f_start"))
     along = Window.partitionBy(*ROW, "f_doc_id", "f_text_hash", F.col("start") - F.col("f_start")).orderBy("start")
@@ -115,9 +115,20 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return map_batches(both.select(*ROW, "start", "lines", "f_start", "f_lines"), _extended, "doc_id long, text_hash long, low int, high int")
 
 
-def _cleaned(doc_ids, texts, spans):
+def _packed(texts) -> list[bytes | None]:
+    """Texts as they travel through the shuffle to their runs: about half of the block compression's size."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return [None if t is None else pack(t.encode()) for t in texts]
+
+
+def _cleaned(doc_ids, packed, spans):
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
     out, n_lines, removed, words = [], [], [], []
-    for t, runs in zip(texts, spans):
+    for t, runs in zip([None if p is None else unpack(p).decode() for p in packed], spans):
         n_lines.append(0 if t is None else t.count("\n") + 1)
         if t is None or not runs:
             out.append(t)
@@ -161,13 +172,15 @@ def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, min_words: int) -> DataFrame:
-    """docs with text_hash and spans, the runs to delete (null: none)."""
+    """docs with the text packed, text_hash, and spans, the runs to delete (null: none)."""
     runs = repeated_runs(docs, min_words)
     # at most a pair for each line of one text
     spans = runs.groupBy(*ROW).agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("spans"))
     at = docs.columns.index("text")
 
     def hashed(*columns):
-        return [*columns, _signed([_hash((t or "").encode()) for t in columns[at]])]
+        texts = columns[at]
+        return [*columns[:at], _packed(texts), *columns[at + 1 :], _signed([_hash((t or "").encode()) for t in texts])]
 
-    return map_batches(docs, hashed, StructType([*docs.schema.fields, StructField("text_hash", LongType())])).join(spans, ROW, "left")
+    fields = [StructField(f.name, BinaryType()) if i == at else f for i, f in enumerate(docs.schema.fields)]
+    return map_batches(docs, hashed, StructType([*fields, StructField("text_hash", LongType())])).join(spans, ROW, "left")
