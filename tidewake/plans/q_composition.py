@@ -196,9 +196,9 @@ def six_metric_table(s, d):
 
 
 @query(
-    "SELECT method, avg(m) AS overall, " + ", ".join(f"max(m) FILTER (stage = {y}) AS stage_{y}" for y in range(1992, 1996)) + " FROM (SELECT method, stage, avg(score) AS m FROM scores WHERE stage BETWEEN 1992 AND 1995 GROUP BY ALL) GROUP BY ALL",
+    "SELECT method, avg(m) AS overall, " + ", ".join(f"max(m) FILTER (stage = {y}) AS stage_{y}" for y in range(1996, 2000)) + " FROM (SELECT method, stage, avg(score) AS m FROM scores WHERE stage BETWEEN 1996 AND 1999 GROUP BY ALL) GROUP BY ALL",
     "method",
-    "overall stage_1992 stage_1993 stage_1994 stage_1995",
+    "overall stage_1996 stage_1997 stage_1998 stage_1999",
 )
 def stage_score_overall(s, d):
-    return D.stage_score_overall(scores(s, d).filter("stage between 1992 and 1995"), "method", "stage", "score", [1992, 1993, 1994, 1995])
+    return D.stage_score_overall(scores(s, d).filter("stage between 1996 and 1999"), "method", "stage", "score", [1996, 1997, 1998, 1999])

@@ -45,14 +45,14 @@ def lag_score(s, d):
     return _scored(s, d, (0, 7), (5, 7))
 
 
-BASE = "(SELECT c_mktsegment AS m, o_orderpriority AS gene, y AS peak, o_orderstatus AS k, avg(o_totalprice) / 7 AS score FROM orders_y JOIN customer ON c_custkey = o_custkey GROUP BY ALL)"
+BASE = "(SELECT c_mktsegment AS m, o_orderpriority AS gene, y AS peak, o_orderstatus AS k, ln(avg(o_totalprice)) AS score FROM orders_y JOIN customer ON c_custkey = o_custkey GROUP BY ALL)"
 TRUE = f"(SELECT m, gene, peak, score FROM {BASE} WHERE k = 'O')"
 NULLS = f"(SELECT m, gene, peak, k, score FROM {BASE} WHERE k <> 'O')"
 
 
 def base(s, d):
     o = table(s, d, "orders").join(table(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    return o.groupBy(F.col("c_mktsegment").alias("m"), F.col("o_orderpriority").alias("gene"), F.year("o_orderdate").alias("peak"), F.col("o_orderstatus").alias("k")).agg((F.avg("o_totalprice") / 7).alias("score"))
+    return o.groupBy(F.col("c_mktsegment").alias("m"), F.col("o_orderpriority").alias("gene"), F.year("o_orderdate").alias("peak"), F.col("o_orderstatus").alias("k")).agg(F.ln(F.avg("o_totalprice")).alias("score"))
 
 
 def true(s, d):

@@ -143,9 +143,9 @@ def top_bottom_n(s, d):
     return X.top_bottom_n(c, ["g"], "name", "v", 4, "7$")
 
 
-@query("SELECT g, early, late, (late - early) * sgn AS contrast FROM (SELECT o_orderpriority AS g, CASE WHEN o_orderpriority < '3' THEN -1.0 ELSE 1.0 END AS sgn, quantile_cont(o_totalprice, 0.5) FILTER (y < 1995) AS early, quantile_cont(o_totalprice, 0.5) FILTER (y >= 1995) AS late FROM orders_y GROUP BY ALL)", "g", "early late contrast")
+@query("SELECT g, early, late, (late - early) * sgn AS contrast FROM (SELECT o_orderpriority AS g, CASE WHEN o_orderpriority < '3' THEN -1.0 ELSE 1.0 END AS sgn, quantile_cont(o_totalprice, 0.5) FILTER (y < 1998) AS early, quantile_cont(o_totalprice, 0.5) FILTER (y >= 1998) AS late FROM orders_y GROUP BY ALL)", "g", "early late contrast")
 def early_late_contrast(s, d):
-    o = orders_by_year(s, d).selectExpr("o_orderpriority AS g", "CASE WHEN y < 1995 THEN 'early' ELSE 'late' END AS phase", "o_totalprice AS v", "CASE WHEN o_orderpriority < '3' THEN -1.0D ELSE 1.0D END AS sgn")
+    o = orders_by_year(s, d).selectExpr("o_orderpriority AS g", "CASE WHEN y < 1998 THEN 'early' ELSE 'late' END AS phase", "o_totalprice AS v", "CASE WHEN o_orderpriority < '3' THEN -1.0D ELSE 1.0D END AS sgn")
     return X.early_late_contrast(o, ["g"], "phase", "v", "sgn")
 
 

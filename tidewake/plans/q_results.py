@@ -6,19 +6,19 @@ from ..operators import results as R
 from .base import query, scores
 
 
-@query("SELECT method, stage, score, CAST(stage AS DOUBLE) / 10 AS parameter FROM scores UNION ALL SELECT method, stage, score + 1, stage / 10.0 FROM scores WHERE stage > 1995", "method stage", "score parameter")
+@query("SELECT method, stage, score, CAST(stage AS DOUBLE) / 10 AS parameter FROM scores UNION ALL SELECT method, stage, score + 1, stage / 10.0 FROM scores WHERE stage > 1997", "method stage", "score parameter")
 def union_scores(s, d):
     a = scores(s, d).withColumn("label", F.concat(F.lit("C_y="), (F.col("stage") / 10).cast("string")))
-    b = a.filter("stage > 1995").selectExpr("method AS model", "stage", "score + 1 AS value", "label")
+    b = a.filter("stage > 1997").selectExpr("method AS model", "stage", "score + 1 AS value", "label")
     return R.union_scores([a, b], [{}, {"model": "method", "value": "score"}], "score", "label")
 
 
-YEARS = [1993, 1994, 1995]
+YEARS = [1996, 1997, 1998]
 
 
-@query("SELECT method, setting, " + ", ".join(f"avg(score) FILTER (stage = {y}) AS c_{y}" for y in YEARS) + ", avg(score) AS mean, avg(score) FILTER (stage <> 1993) AS mean_without FROM scores WHERE stage BETWEEN 1993 AND 1995 GROUP BY ALL", "method setting", "c_1993 c_1994 c_1995 mean mean_without")
+@query("SELECT method, setting, " + ", ".join(f"avg(score) FILTER (stage = {y}) AS c_{y}" for y in YEARS) + ", avg(score) AS mean, avg(score) FILTER (stage <> 1996) AS mean_without FROM scores WHERE stage BETWEEN 1996 AND 1998 GROUP BY ALL", "method setting", "c_1996 c_1997 c_1998 mean mean_without")
 def pivot_with_mean(s, d):
-    return R.pivot_with_mean(scores(s, d).filter("stage between 1993 and 1995"), ["method", "setting"], "stage", YEARS, "score", 1993)
+    return R.pivot_with_mean(scores(s, d).filter("stage between 1996 and 1998"), ["method", "setting"], "stage", YEARS, "score", 1996)
 
 
 @query(
@@ -56,17 +56,17 @@ def paired_response(s, d):
     return R.paired_response(v, ["method", "setting"], "modality", "v", "expected")
 
 
-@query("SELECT coalesce(a.method, b.method) AS method, coalesce(a.k, b.k) AS k, rna, atac FROM (SELECT method, nullif(setting, '1-URGENT') AS k, avg(score) AS rna FROM scores WHERE stage < 1996 GROUP BY ALL) a FULL JOIN (SELECT method, nullif(setting, '1-URGENT') AS k, avg(score) AS atac FROM scores WHERE stage > 1994 AND method <> 'BUILDING' GROUP BY ALL) b ON a.method = b.method AND a.k IS NOT DISTINCT FROM b.k", "method k", "rna atac")
+@query("SELECT coalesce(a.method, b.method) AS method, coalesce(a.k, b.k) AS k, rna, atac FROM (SELECT method, nullif(setting, '1-URGENT') AS k, avg(score) AS rna FROM scores WHERE stage < 1999 GROUP BY ALL) a FULL JOIN (SELECT method, nullif(setting, '1-URGENT') AS k, avg(score) AS atac FROM scores WHERE stage > 1996 AND method <> 'BUILDING' GROUP BY ALL) b ON a.method = b.method AND a.k IS NOT DISTINCT FROM b.k", "method k", "rna atac")
 def modality_side_by_side(s, d):
     v = scores(s, d).withColumn("k", F.expr("nullif(setting, '1-URGENT')"))
-    a = v.filter("stage < 1996").groupBy("method", "k").agg(F.avg("score").alias("v"))
-    b = v.filter("stage > 1994 and method <> 'BUILDING'").groupBy("method", "k").agg(F.avg("score").alias("v"))
+    a = v.filter("stage < 1999").groupBy("method", "k").agg(F.avg("score").alias("v"))
+    b = v.filter("stage > 1996 and method <> 'BUILDING'").groupBy("method", "k").agg(F.avg("score").alias("v"))
     return R.modality_side_by_side(a, b, ["method", "k"], "v")
 
 
-@query("SELECT method, setting, avg(score) FILTER (stage = 1997) - avg(score) FILTER (stage = 1993) AS change FROM scores GROUP BY ALL", "method setting", "change")
+@query("SELECT method, setting, avg(score) FILTER (stage = 1999) - avg(score) FILTER (stage = 1996) AS change FROM scores GROUP BY ALL", "method setting", "change")
 def stage_change_matrix(s, d):
-    return R.stage_change_matrix(scores(s, d), ["method", "setting"], "stage", 1993, 1997, "score")
+    return R.stage_change_matrix(scores(s, d), ["method", "setting"], "stage", 1996, 1999, "score")
 
 
 @query("SELECT method, stage, quantile_cont(score, 0.5) AS median, avg(score) AS mean, min(score) AS low, max(score) AS high, stddev(score) AS sd FROM scores GROUP BY ALL", "method stage", "median mean low high sd")
@@ -74,9 +74,9 @@ def setting_range(s, d):
     return R.setting_range(scores(s, d), ["method", "stage"], "score")
 
 
-@query("SELECT method, sum(score) AS sum, avg(score) AS mean, count(DISTINCT stage) AS times FROM scores WHERE stage BETWEEN 1993 AND 1995 GROUP BY ALL", "method times", "sum mean")
+@query("SELECT method, sum(score) AS sum, avg(score) AS mean, count(DISTINCT stage) AS times FROM scores WHERE stage BETWEEN 1996 AND 1998 GROUP BY ALL", "method times", "sum mean")
 def sum_over_times(s, d):
-    return R.sum_over_times(scores(s, d).filter("stage between 1993 and 1995"), ["method"], "stage", "score", 3)
+    return R.sum_over_times(scores(s, d).filter("stage between 1996 and 1998"), ["method"], "stage", "score", 3)
 
 
 @query("SELECT method, stage, setting, rank() OVER (PARTITION BY stage ORDER BY score DESC) AS rank FROM scores", "method stage setting rank")
