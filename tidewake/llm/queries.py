@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe_codec, langid, linededup, minhash, mixing, quality, sharding, token_count, urls
+from . import ann, bpe_codec, langid, linededup, minhash, mixing, quality, sharding, sql, token_count, urls
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -62,4 +62,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.SQL)
