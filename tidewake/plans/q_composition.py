@@ -149,19 +149,21 @@ def support_recall(s, d):
     return _recall(s, d)
 
 
+CENTROIDS = """(SELECT p.stage, source, target, sqrt(sum(power(p.v - c.v, 2))) AS v FROM (SELECT stage, source_label AS source, i, avg(x[i + 1]) AS v FROM particles, range(64) r(i) GROUP BY ALL) p
+ JOIN (SELECT stage, celltype AS target, i, avg(x[i + 1]) AS v FROM cells, range(64) r(i) GROUP BY ALL) c ON c.stage = p.stage AND c.i = p.i GROUP BY p.stage, source, target)"""
+
+
 @query(
-    "SELECT source, matched, wrong, wrong - matched AS margin, matched / wrong AS ratio, best = source AS top1 FROM (SELECT source, avg(v) FILTER (source = target) AS matched, avg(v) FILTER (source <> target) AS wrong, arg_min(target, (v, target)) AS best FROM (SELECT p.source_label AS source, c.celltype AS target, avg(distance) AS v FROM pairs JOIN particles p ON p.id = query_id JOIN cells c ON c.id = ref_id WHERE pairs.stage = 0 GROUP BY ALL) GROUP BY ALL)",
-    "source top1",
+    f"SELECT stage, source, matched, wrong, wrong - matched AS margin, matched / wrong AS ratio, best = source AS top1 FROM (SELECT stage, source, avg(v) FILTER (source = target) AS matched, avg(v) FILTER (source <> target) AS wrong, arg_min(target, (v, target)) AS best FROM {CENTROIDS} GROUP BY ALL)",
+    "stage source top1",
     "matched wrong margin ratio",
 )
 def line_matching(s, d):
-    from ..functions.columns import squared_distance
-
-    p = particles(s, d).filter("stage = 0").select("source_label", F.col("x").alias("px"))
-    t = cells(s, d).filter("stage = 0").groupBy("celltype").agg(F.collect_list("x").alias("xs"))
-    each = p.crossJoin(t).select(F.col("source_label").alias("source"), F.col("celltype").alias("target"), F.explode("xs").alias("cx"), "px")
-    v = each.groupBy("source", "target").agg(F.avg(F.sqrt(squared_distance("px", "cx"))).alias("v"))
-    return D.line_matching(v, [], "source", "target", "v")
+    """Distances of the mean vectors of source labels and cell types."""
+    p = particles(s, d).select("stage", F.col("source_label").alias("source"), F.posexplode("x").alias("i", "v")).groupBy("stage", "source", "i").agg(F.avg("v").alias("v"))
+    c = cells(s, d).select("stage", F.col("celltype").alias("target"), F.posexplode("x").alias("i", "c")).groupBy("stage", "target", "i").agg(F.avg("c").alias("c"))
+    v = p.join(c, ["stage", "i"]).groupBy("stage", "source", "target").agg(F.sqrt(F.sum((F.col("v") - F.col("c")) ** 2)).alias("v"))
+    return D.line_matching(v, ["stage"], "source", "target", "v")
 
 
 @query("SELECT method, stage, setting, avg(score) AS mean, quantile_cont(score, 0.5) AS median, stddev(score) AS sd, count(score) AS n FROM scores GROUP BY GROUPING SETS ((method), (method, stage), (setting))", "method stage setting n", "mean median sd")

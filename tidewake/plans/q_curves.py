@@ -106,9 +106,11 @@ def stability_summary(s, d):
 
 @query(None, "n", "median auroc p null_q025 null_q975 share_50 share_70")
 def pair_shuffle_test(s, d):
-    e = table(s, d, "embeddings").filter("vec_id < 80").selectExpr("vec_id AS id", "CAST(embedding AS array<double>) AS x")
+    """Mean vectors of label by remainder stand for genes (even) and peaks (odd); neighbours are pairs."""
     from ..functions.columns import dot
 
+    e = table(s, d, "embeddings").select(F.expr("label * 8 + vec_id % 8").cast("long").alias("id"), F.posexplode("embedding").alias("i", "v")).groupBy("id", "i").agg(F.avg("v").alias("v"))
+    e = e.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", "v")))["v"].alias("x"))  # 80 rows of 64
     a, b = e.filter("id % 2 = 0"), e.filter("id % 2 = 1")
     every = a.selectExpr("id AS a_id", "x AS ax").crossJoin(b.selectExpr("id AS b_id", "x AS bx")).select("a_id", "b_id", dot("ax", "bx").alias("score"))
     return C.pair_shuffle_test(every, a.selectExpr("id AS a_id", "id + 1 AS b_id"), 200)
