@@ -21,10 +21,15 @@ def compare_composition(predicted: DataFrame, observed: DataFrame, g: Keys, on:
     """g, label, predicted, observed, difference, absolute, delta_pp with 0 for classes on one side only.
     predicted has keys g (which include `on`), observed has keys `on`. Classes are few; groups by classes
     is the size of the result."""
-    classes = predicted.select("label").unionByName(observed.select("label")).distinct()
-    frame = predicted.select(*g).distinct().crossJoin(classes)
-    d = frame.join(predicted.withColumnRenamed("share", "_p"), [*g, "label"], "left").join(observed.withColumnRenamed("share", "_o"), [*on, "label"], "left")
-    p, o = F.coalesce("_p", F.lit(0.0)), F.coalesce("_o", F.lit(0.0))
+    packed = F.map_from_entries(F.collect_list(F.struct("label", "share")))  # a pair for each class
+    p, o = predicted.groupBy(*g).agg(packed.alias("_p")), observed.groupBy(*on).agg(packed.alias("_o"))
+    labels = observed.agg(F.collect_set("label").alias("_labels"))
+    d = p.join(o, list(on), "left") if on else p.crossJoin(o)
+    # predicted is used once: its labels are gathered over the few rows of groups, not by a second pass
+    seen = F.flatten(F.collect_list(F.map_keys("_p")).over(Window.partitionBy(F.lit(0))))
+    d = d.crossJoin(F.broadcast(labels)).withColumn("_seen", seen).withColumn("label", F.explode(F.array_union("_seen", "_labels")))
+    share = lambda m: F.coalesce(F.try_element_at(m, F.col("label")), F.lit(0.0))
+    p, o = share("_p"), share("_o")
     return d.select(*g, "label", p.alias("predicted"), o.alias("observed"), (p - o).alias("difference"), F.abs(p - o).alias("absolute"), (100 * (p - o)).alias("delta_pp"))
 
 
