@@ -21,7 +21,7 @@ NEVER = np.iinfo(np.int64).max
 #: Up to this many bytes a word is merged over plain lists, or side by side with others, which beats a heap there.
 SHORT_BYTES = 48
 #: A memo of this many words is emptied before it grows further.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 100_000
 
 # The pre-token pattern of the vocabulary, with its three character classes spelt out
 # for ASCII, for code points below U+0250, and by Unicode property for any other text.

@@ -15,7 +15,7 @@ COORDINATES = BANDS * ROWS
 #: Hashed bits of a coordinate in a signature that is compared with others.
 BITS = 4
 #: A memo of this many word hashes is emptied before it grows further.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
