@@ -12,6 +12,7 @@ from tidewake.operators import features as X
 from tidewake.operators import intervals as G
 from tidewake.operators import mass as M
 from tidewake.operators import neighbours as K
+from tidewake.operators import ordering
 from tidewake.operators import paths as T
 from tidewake.operators import preparation as P
 from tidewake.sources import tables as S
@@ -95,6 +96,33 @@ def test_bh_fdr_nulls_and_ties(spark):
     assert q[4] is None and q[1] == pytest.approx(0.04) and q[2] == q[3] == pytest.approx(0.16 / 3) and q[5] == pytest.approx(0.5)
 
 
+def test_running_totals_match_a_sort(spark):
+    rng = np.random.default_rng(3)
+    odd = [0.0, -1.5, -1e-300, 1e300, 5e-324, float("inf"), float("-inf"), float("nan")]
+    values = {None: [*odd, *rng.normal(size=200)], "near": list(1000 + 1e-9 * rng.permutation(300)), "p": list(10.0 ** -rng.uniform(0, 40, 300)), "one": [2.0]}
+    rows = [(g, float(v), int(rng.integers(1, 9))) for g, x in values.items() for v in x]
+    d = spark.createDataFrame(rows, "g string, v double, n int")
+    got = {(r.g, repr(r.v)): (r.n_upto, r.n_all) for r in ordering.running_totals(d, ["g"], "v", ["n"]).collect()}
+    for g in values:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (math.isnan(r[1]), r[1]))
+        upto = np.cumsum([r[2] for r in own])
+        assert [got[g, repr(r[1])] for r in own] == [(int(u), int(upto[-1])) for u in upto]
+    assert len(got) == len(rows)
+    # a crowded group is not left in one cell
+    assert ordering.in_cells(d, ["g"], "v").filter("g = 'near'").select("_cell").distinct().count() > 100
+    assert ordering.running_totals(d.filter("n < 0"), [], "v", ["n"]).count() == 0
+
+
+def test_bh_fdr_of_one_group_matches_numpy(spark):
+    p = np.round(np.random.default_rng(4).random(500) ** 4, 3)
+    d = spark.createDataFrame(list(enumerate(map(float, p))), "k int, p double")
+    order = np.argsort(-p, kind="stable")
+    want = np.empty(len(p))
+    want[order] = np.minimum(1, np.minimum.accumulate(p[order] * len(p) / np.array([(p <= x).sum() for x in p[order]])))
+    got = {r.k: r.q for r in X.bh_fdr(d, [], "p").collect()}
+    assert [got[k] for k in range(len(p))] == pytest.approx(list(want))
+
+
 def test_auroc_and_average_precision(spark):
     d = spark.createDataFrame([(1.0, True), (1.0, False), (1.0, False)], "s double, y boolean").selectExpr("1 AS g", "*")
     assert X.auroc(d, ["g"], "s", "y").first().auroc == 0.5

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import Keys, average_rank, pearson, ratio, zscore
 from ..functions.tails import fisher_greater, normal_two_sided, t_tail, t_two_sided
+from .ordering import attach, least_from, running_totals
 
 
 def log_normalize(counts: DataFrame, size_factors: DataFrame) -> DataFrame:
@@ -107,12 +108,11 @@ def partial_spearman(df: DataFrame, g: Keys, y: str, features: Keys, covariates:
 
 
 def bh_fdr(df: DataFrame, g: Keys, p: str, name: str = "q") -> DataFrame:
-    """Adds the Benjamini-Hochberg q within each group; null p stay null and do not count."""
-    w = Window.partitionBy(*g, F.col(p).isNull())
-    r = F.rank().over(w.orderBy(p)) + F.count(F.lit(1)).over(Window.partitionBy(*g, F.col(p))) - 1
-    raw = F.col(p) * F.count(F.lit(1)).over(w) / r
-    q = F.min("_raw").over(w.orderBy(F.col(p).desc()).rangeBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_raw", raw).withColumn(name, F.when(F.col(p).isNotNull(), F.least(q, F.lit(1.0)))).drop("_raw")
+    """Adds the Benjamini-Hochberg q within each group; null p stay null and do not count. Distinct p are
+    counted, and ranked in cells (see ordering), so a single group spreads over many tasks."""
+    d = running_totals(df.filter(F.col(p).isNotNull()).groupBy(*g, p).agg(F.count(F.lit(1)).alias("_n")), g, p, ["_n"])
+    d = least_from(d.withColumn("_raw", F.col(p) * F.col("_n_all") / F.col("_n_upto")), g, p, "_raw", "_q")
+    return attach(df, d.select(*g, p, F.least("_q", F.lit(1.0)).alias(name)), [*g, p])
 
 
 def tail_contrast(df: DataFrame, g: Keys, by: str, value: str, fraction: float, key: str) -> DataFrame:
@@ -209,8 +209,8 @@ def auroc(df: DataFrame, g: Keys, score: str, label: str, weight: str | None = N
     w = F.lit(1.0) if weight is None else F.col(weight)
     pos = F.col(label).cast("boolean")
     d = df.filter(F.col(score).isNotNull() & pos.isNotNull()).groupBy(*g, score).agg(F.sum(F.when(pos, w).otherwise(0.0)).alias("_p"), F.sum(F.when(~pos, w).otherwise(0.0)).alias("_n"), F.sum(pos.cast("long")).alias("_cp"), F.sum((~pos).cast("long")).alias("_cn"))
-    below = F.sum("_n").over(Window.partitionBy(*g).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n") / 2
-    d = d.withColumn("_u", F.col("_p") * below).groupBy(*g).agg(F.sum("_cp").alias("positives"), F.sum("_cn").alias("negatives"), ratio(F.sum("_u"), F.sum("_p") * F.sum("_n")).alias("auroc"))
+    d = running_totals(d, g, score, ["_n"])
+    d = d.withColumn("_u", F.col("_p") * (F.col("_n_upto") - F.col("_n") / 2)).groupBy(*g).agg(F.sum("_cp").alias("positives"), F.sum("_cn").alias("negatives"), ratio(F.sum("_u"), F.sum("_p") * F.sum("_n")).alias("auroc"))
     return d.withColumn("auroc", F.when((F.col("positives") >= least) & (F.col("negatives") >= least), F.col("auroc")))
 
 
@@ -218,8 +218,9 @@ def average_precision(df: DataFrame, g: Keys, score: str, label: str) -> DataFra
     """Step-wise area under precision and recall; tied scores are one step."""
     pos = F.col(label).cast("boolean").cast("long")
     d = df.filter(F.col(score).isNotNull()).groupBy(*g, score).agg(F.sum(pos).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*g).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_t", F.col("_p") * F.sum("_p").over(w) / F.sum("_n").over(w))
+    d = running_totals(d, g, score, ["_p", "_n"])
+    from_here = lambda c: F.col(f"{c}_all") - F.col(f"{c}_upto") + F.col(c)
+    d = d.withColumn("_t", F.col("_p") * from_here("_p") / from_here("_n"))
     return d.groupBy(*g).agg(F.sum("_p").alias("positives"), ratio(F.sum("_t"), F.sum("_p")).alias("average_precision"))
 
 
