@@ -32,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeats of runs of lines; a document of which nothing is left goes."""
-    cleaned = linededup.dedup_documents(docs)
+    cleaned = linededup.dedup_documents(docs, every=True)
     left = cleaned.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

@@ -276,6 +276,34 @@ def test_line_dedup_is_brute_forces(spark, docs):
     assert cleaned.columns == frame(spark, extra).columns and cleaned.count() == len(extra)
 
 
+def brute_repeats(texts, least=50):
+    """Every run of at least `least` words that equals a run at any earlier place, tried in full."""
+    lines = {d: [(i, x, len(words_of(x))) for i, x in enumerate((t or "").split("\n")) if words_of(x)] for d, t in texts.items()}
+    out = {d: set() for d in texts}
+    for d in sorted(texts):
+        for f in (f for f in sorted(texts) if f <= d):
+            for s in range(len(lines[d])):
+                for t in range(s if f == d else len(lines[f])):
+                    n = words = 0
+                    while s + n < len(lines[d]) and t + n < len(lines[f]) and lines[d][s + n][1] == lines[f][t + n][1]:
+                        words += lines[d][s + n][2]
+                        n += 1
+                    if words >= least:
+                        out[d] |= {lines[d][i][0] for i in range(s, s + n)}
+    return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in out[d]) for d, t in texts.items()}
+
+
+def test_line_dedup_repeats_of_any_earlier_text(spark):
+    rng = random.Random(6)
+    l1, l2, l0 = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 60), ("b", 10), ("c", 10)))
+    texts = [l1, f"{l0}\n{l1}\n{l2}\nx", f"{l0}\n{l1}\n{l2}\ny", f"z\n{l1}\n{l2}\nz"]
+    pool = [" ".join(f"p{i}{j}" for j in range(n)) for i, n in enumerate((3, 10, 20, 25, 45, 60))]
+    texts += ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9))) for _ in range(30)]
+    want = brute_repeats(dict(enumerate(texts)))
+    assert want[2] == "y" and want != brute_runs(dict(enumerate(texts)))
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, texts), every=True).collect()} == want
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(900, 24))

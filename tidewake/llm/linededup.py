@@ -31,17 +31,23 @@ def lines_of(text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
     return [p[0] for p in parts], np.array([_hash(p[1]) for p in parts], dtype=np.uint64), np.array([p[2] for p in parts], dtype=np.int64)
 
 
-def windows(hashes: np.ndarray, words: np.ndarray, min_words: int) -> list[tuple[int, int, int, int]]:
+def windows(hashes: np.ndarray, words: np.ndarray, min_words: int, every: bool = False) -> list[tuple[int, int, int, int]]:
     """For every line the shortest run from it with min_words words: its start, its end, the place of
-    the least line hash in it (the leftmost of equals), and a hash of the whole run."""
+    the least line hash in it (the leftmost of equals), and a hash of the whole run.
+
+    With every, also the shortest run up to each line where that is not the shortest from its own first
+    line. Of the runs with min_words words that hold a line, the least by inclusion are all among these.
+    So a line stands in a run that occurs earlier if and only if it stands in one of these that does."""
     if not len(hashes):
         return []
     upto = np.r_[0, np.cumsum(words)]
+    ends = np.searchsorted(upto, upto[:-1] + min_words)
+    runs = [(s, e) for s, e in enumerate(ends.tolist()) if e <= len(hashes)]
+    if every:
+        starts = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
+        runs += [(s, e) for e, s in enumerate(starts.tolist(), 1) if s >= 0 and ends[s] != e]
     out = []
-    for start in range(len(hashes)):
-        end = int(np.searchsorted(upto, upto[start] + min_words))
-        if end > len(hashes):
-            break
+    for start, end in runs:
         run = hashes[start:end]
         power = _ODD ** np.arange(1, len(run) + 1, dtype=np.uint64)
         out.append((start, end, start + int(run.argmin()), int(mixed((mixed(run) * power).sum(dtype=np.uint64, keepdims=True))[0])))
@@ -58,14 +64,14 @@ def _line_rows(doc_ids, texts):
     return doc_ids, _signed([_hash(t.encode()) for _, t in rows]), hashes
 
 
-def _window_rows(min_words: int):
+def _window_rows(min_words: int, every: bool):
     def rows(doc_ids, texts):
         out = []
         for d, t in zip(doc_ids, texts):
             if d is not None and t:
                 _, hashes, words = lines_of(t)
                 own = _hash(t.encode())
-                out += [(d, own, start, int(hashes[low]), key) for start, _, low, key in windows(hashes, words, min_words)]
+                out += [(d, own, start, int(hashes[low]), key) for start, _, low, key in windows(hashes, words, min_words, every)]
         d, own, start, low, key = zip(*out) if out else ((), (), (), (), ())
         return list(d), _signed(own), list(start), _signed(low), _signed(key)
 
@@ -87,7 +93,7 @@ def _extended(doc_ids, text_hashes, starts, lines, first_starts, firsts):
     return doc_ids, text_hashes, [s for s, _ in spans], [e for _, e in spans]
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, every: bool = False) -> DataFrame:
     """doc_id, text_hash, low, high: runs of lines (places among the lines that have a word) that stand
     earlier too, in the order of doc_id and place.
 
@@ -96,9 +102,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     its fingerprint. Windows whose fingerprint occurs once are done with. The others are joined to the
     first window of equal lines, by its hash, one partner each, and every match is extended both ways
     along the line hashes of the two texts.
+
+    Extended so, a match covers what repeats the text with the first occurrence of its window. With every,
+    there are windows up to each line too; each line of a repeated run then stands in a window inside the
+    run, which occurs wherever the run does, and the runs found cover what repeats any earlier text.
     """
     texts = whole_texts(docs).filter("doc_id is not null")
-    found = checkpoint(map_batches(texts, _window_rows(min_words), "doc_id long, text_hash long, start int, low long, key long"))
+    found = checkpoint(map_batches(texts, _window_rows(min_words, every), "doc_id long, text_hash long, start int, low long, key long"))
     found = found.withColumn("place", F.xxhash64(*ROW, "start"))  # a repeated row has the places of its first
     often = found.groupBy("low").agg(F.min("place").alias("a"), F.max("place").alias("z")).filter("a <> z").select("low")
     open_ = found.join(often, "low", "left_semi").drop("low")
@@ -144,9 +154,9 @@ def _cleaned(doc_ids, packed, spans):
     return doc_ids, n_lines, removed, words, out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, every: bool = False) -> DataFrame:
     """doc_id, n_lines, n_removed, words_removed, text of every row: the text without those runs of lines
-    that repeat an earlier run of at least min_words words (see repeated_runs).
+    that repeat an earlier run of at least min_words words (see repeated_runs; with every, any earlier run).
 
     Lines without a word neither break a run nor are deleted. The first occurrence of any line stays. A
     null text stays null with no lines; a text of fewer than min_words words, or whose lines are all
@@ -154,11 +164,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     to them. Rows of one doc_id and equal text are one document (a repeated row is not its own copy).
     Other columns are ignored; an empty table gives an empty result.
     """
-    joined = _with_spans(whole_texts(docs), min_words).select("doc_id", "text", "spans")
+    joined = _with_spans(whole_texts(docs), min_words, every).select("doc_id", "text", "spans")
     return map_batches(joined, _cleaned, "doc_id long, n_lines long, n_removed long, words_removed long, text string")
 
 
-def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS, every: bool = False) -> DataFrame:
     """All rows and columns of docs with the text as dedup_lines leaves it."""
     names = docs.columns
     at = names.index("text")
@@ -168,12 +178,12 @@ def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         out[at] = _cleaned(None, columns[at], columns[-1])[-1]
         return out
 
-    return map_batches(_with_spans(docs, min_words).select(*names, "spans"), clean, docs.schema)
+    return map_batches(_with_spans(docs, min_words, every).select(*names, "spans"), clean, docs.schema)
 
 
-def _with_spans(docs: DataFrame, min_words: int) -> DataFrame:
+def _with_spans(docs: DataFrame, min_words: int, every: bool) -> DataFrame:
     """docs with the text packed, text_hash, and spans, the runs to delete (null: none)."""
-    runs = repeated_runs(docs, min_words)
+    runs = repeated_runs(docs, min_words, every)
     # at most a pair for each line of one text
     spans = runs.groupBy(*ROW).agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("spans"))
     at = docs.columns.index("text")

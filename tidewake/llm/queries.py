@@ -50,7 +50,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents"), every=True)
 
 
 def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
