@@ -5,7 +5,7 @@ Counted as part of the subpackage llm; the rest of the library does not need it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewake.llm import bpe_codec, langid, linededup, minhash, mixing
@@ -44,9 +44,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to three times; one that it does not take goes."""
-    copies = mixing.copies(mixing.mix(docs))
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    """Each document as often as the mix takes it, up to three times; one that it does not take goes.
+
+    Rows are joined to their copies by doc_id, null or not, text hash and source; rows that agree in all
+    three are numbered, as one of them may come once more than another."""
+    _, text_hash, key = mixing.row_key(docs)
+    told = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("known_id"), F.col("doc_id").isNull().alias("no_id"), "text_hash", "key"]
+    names = ["known_id", "no_id", "text_hash", "key"]
+    copies = mixing.copies(docs).select(*told, "n", "base", "extra")
+    joined = docs.withColumns({"text_hash": text_hash, "key": key}).select(*COLUMNS, *told).join(copies, names)
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy("lang", "n_chars"))
+    times = (F.col("base") + (nth <= F.col("extra")).cast("long")).cast("int")
+    counted = joined.withColumn("copies", times).filter("copies > 0")
+    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -216,6 +216,34 @@ def test_mix(spark):
         assert abs(taken[s] - target[s]) <= 0.02 * total / len(names) + 8
 
 
+def test_pipeline_mix_meets_the_target_of_every_source(spark):
+    """Words far above the slots of the schedule, so that small sources are less than a slot's block."""
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    sizes = [9000] * 1200 + [9] * 4 + [70] * 6 + [rng.randrange(100, 900) for _ in range(60)]
+    source = ["a"] * 900 + ["b"] * 300 + ["tiny"] * 4 + ["small"] * 6 + ["mid"] * 60
+    d = frame(spark, [f"t{i}" + " w" * (n - 1) for i, n in enumerate(sizes)], source=source).select(*p.COLUMNS)
+    target = {source[r.doc_id]: r.target for r in mixing.mix(d).select("doc_id", "target").collect()}
+    taken = Counter()
+    for r in p.source_mixing(spark, d, SF).select("doc_id").collect():
+        taken[source[r.doc_id]] += sizes[r.doc_id]
+    largest = {s: max(n for n, x in zip(sizes, source) if x == s) for s in target}
+    assert target["tiny"] == 108 and all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in target)
+
+
+def test_pipeline_mix_keeps_null_and_shared_ids(spark):
+    import corpus_pipeline as p
+
+    texts = [f"{c} " * 5 for c in "abcdef"] + ["g " * 5] * 3
+    ids = [None, None, 1, 1, 2, 3, None, None, None]
+    d = frame(spark, texts, doc_id=ids, source=["s"] * 5 + ["t"] * 4).select(*p.COLUMNS)
+    got = Counter((r.doc_id, r.text) for r in p.source_mixing(spark, d, SF).collect())
+    # targets are 45 words by 5 to 2: of s five rows and one again, of t two of four and the half of a third
+    assert set(zip(ids[:5], texts[:5])) <= set(got)
+    assert sum(n for (_, t), n in got.items() if t[0] in "abcde") == 6 and sum(n for (_, t), n in got.items() if t[0] in "fg") == 3
+
+
 def test_quality_measures(spark, docs):
     cases = ["a b c a b c", "x y\nx y\n\n \nz x y", "# $ a|b <c>", *ODD, " ".join(f"w{i % 70}" for i in range(1000)), " ".join(f"w{i % 9} q" for i in range(40))]
     d = frame(spark, cases).select("doc_id", "text").unionByName(docs.selectExpr("doc_id + 100 AS doc_id", "text"))

@@ -117,8 +117,41 @@ def mix(docs: DataFrame) -> DataFrame:
     return taken.groupBy("key", "cell", "nth", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def copies(taken: DataFrame) -> DataFrame:
-    """doc_id, copies: how often a document comes into the mix, its taken words over its size, rounded.
-    Documents without words, and such that round to none, have no row. doc_ids are taken as unique."""
-    n = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    return taken.filter("size > 0").select("doc_id", n.alias("copies")).filter("copies > 0")
+#: What tells rows apart in copies(); rows that agree in it differ in nothing that mixing reads.
+ROW = ["doc_id", "text_hash", "key"]
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """The columns ROW of documents; key is never null, doc_id may be."""
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), key.alias("key")]
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, key, n, base, extra: of n rows that agree in ROW, extra come base + 1 times into
+    a mix of whole documents, the others base times. Rows without words, and such that never come, are
+    not there.
+
+    The schedule takes a source's blocks in turn, again and again, so each of them floor(target / size)
+    times and the first of them once more. Here a block is a document: in the order of the hash, laid end
+    to end, those whose middle lies in the rest of the target, by running sums, come once more. So every
+    source comes within half a document of its own target, whatever the total. Sums run over the cells of
+    a source and inside a cell, as in mix().
+    """
+    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    rows = docs.select(*row_key(docs), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    rows = rows.groupBy(*ROW, "source", "size").agg(F.count("*").alias("n")).withColumn("order", order).withColumn("cell", F.substring("order", 1, CELL_DIGITS))
+    rows = rows.withColumn("words", F.col("n") * F.col("size"))
+    cells = rows.groupBy("key", "source", "cell").agg(F.sum("words").alias("cell_size"))
+    plan = source_plan(cells.groupBy("key", "source").agg(F.sum("cell_size").alias("source_size")))
+    before = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("cell_start", F.coalesce(F.sum("cell_size").over(before), F.lit(0))).drop("source")
+    cells = cells.join(plan.select("key", "source_size", "target"), "key")
+    inside = Window.partitionBy("key", "cell").orderBy("order", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    laid = rows.drop("source").withColumn("upto", F.sum("words").over(inside)).join(cells, ["key", "cell"]).filter("size > 0")
+    start = F.col("cell_start") + F.col("upto") - F.col("words")
+    base = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(REPEATS).cast("long"))
+    rest = F.col("target") - F.col("base") * F.col("source_size")
+    once_more = F.least(F.greatest(F.ceil((rest - start) / F.col("size") - 0.5), F.lit(0).cast("long")), F.col("n"))
+    extra = F.when(F.col("base") < REPEATS, once_more).otherwise(F.lit(0)).cast("long")
+    return laid.withColumn("base", base).withColumn("extra", extra).filter("base + extra > 0").select(*ROW, "n", "base", "extra")
