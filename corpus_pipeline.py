@@ -15,12 +15,6 @@ from tidewake.llm.queries import tokenizer_path
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _once(docs: DataFrame) -> DataFrame:
-    """One row for each doc_id; rows with a null doc_id stay."""
-    known = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id is null"))
-
-
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a determined language and writes the prediction to lang.
 
@@ -38,9 +32,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least doc_id."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return _once(docs.join(kept, "doc_id", "left_semi")).select(*COLUMNS)
+    """One document of each group of near duplicates stays, the one with the least doc_id, null last.
+
+    A document is a doc_id, null or not, with a text; a hash of both is its node. So texts that share a
+    doc_id, or have none, are compared like any others; a repeated row is one document."""
+    doc_id = F.col("doc_id").cast("long")
+    node = F.xxhash64(doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), F.col("text").isNull(), F.col("text").cast("string"))
+    rows = docs.select(*COLUMNS, node.alias("node"))
+    groups = minhash.near_duplicates(rows.select(F.col("node").alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), "component_id")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")
+    least = rows.select("node", "doc_id").join(groups.distinct(), "node").groupBy("component_id").agg(F.min(place)["node"].alias("node"))
+    return rows.join(least, "node", "left_semi").dropDuplicates(["node"]).select(*COLUMNS)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -232,6 +232,18 @@ def test_pipeline_mix_meets_the_target_of_every_source(spark):
     assert target["tiny"] == 108 and all(abs(taken[s] - target[s]) <= largest[s] / 2 + 1 for s in target)
 
 
+def test_pipeline_near_dedup_keeps_null_and_shared_ids(spark):
+    import corpus_pipeline as p
+
+    texts = [" ".join(f"{c}{i}" for i in range(80)) for c in "abcdef"]
+    near = texts[2] + " more"
+    rows = [(None, texts[0]), (None, texts[1]), (4, texts[2]), (4, texts[3]), (2, near), (7, texts[4]), (7, texts[4]), (None, texts[4]), (9, texts[5]), (None, texts[0] + " x"), (None, None), (4, "")]
+    d = frame(spark, [t for _, t in rows], doc_id=[i for i, _ in rows]).select(*p.COLUMNS)
+    got = Counter((r.doc_id, r.text) for r in p.near_dedup(spark, d, SF).collect())
+    assert sum(got.pop((None, t), 0) for t in (texts[0], texts[0] + " x")) == 1
+    assert got == Counter([(None, texts[1]), (4, texts[3]), (2, near), (7, texts[4]), (9, texts[5]), (None, None), (4, "")])
+
+
 def test_pipeline_mix_keeps_null_and_shared_ids(spark):
     import corpus_pipeline as p
 
