@@ -71,6 +71,35 @@ def test_minimax_capacity_is_the_least():
         assert sharding.smallest_capacity(sizes, k) == best
 
 
+def loads(sizes, cuts):
+    ends = [0, *cuts, len(sizes)]
+    return [sum(sizes[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+def test_balanced_cuts_keep_the_least_capacity_and_fill_the_shards():
+    rng = random.Random(7)
+    for _ in range(500):
+        sizes, k = [rng.choice((1, 5, 30, 200)) * rng.randrange(1, 30) for _ in range(rng.randrange(1, 40))], rng.randrange(1, 9)
+        got = loads(sizes, sharding.balanced_cuts(sizes, k))
+        assert sum(got) == sum(sizes) and max(got) == sharding.smallest_capacity(sizes, k) and min(got) > 0 and len(got) == min(k, len(sizes))
+    for hot in ([700], [1999], [0], [300, 1500], [1000, 1001]):
+        sizes = [rng.randrange(50, 150) for _ in range(2000)]
+        for h in hot:
+            sizes[h] = 100_000
+        got = sorted(loads(sizes, sharding.balanced_cuts(sizes, 24)))
+        others = got[: 24 - len(hot)]
+        assert len(got) == 24 and others[0] >= 0.75 * sum(others) / len(others)
+
+
+def test_shards_are_filled_beside_a_hot_text(spark):
+    texts = [f"text {i} " + "x" * 200 for i in range(3000)] + ["hot " * 60] * 1400
+    got = Counter()
+    for r in sharding.shard_documents(frame(spark, texts), 24).collect():
+        got[r.shard] += r["size"]
+    rest = sorted(got.values())[:-1]
+    assert set(got) == set(range(24)) and rest[0] >= 0.75 * sum(rest) / 23
+
+
 def test_shards(spark, docs):
     d = frame(spark, ODD).select("doc_id", "text").unionByName(docs.selectExpr("doc_id + 100 AS doc_id", "text"))
     got = sharding.shard_documents(d, 24).collect()

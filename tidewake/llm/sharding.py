@@ -46,14 +46,74 @@ def smallest_capacity(sizes: Sequence[int], shards: int) -> int:
     return low
 
 
+def even_cuts(sizes: Sequence[int], shards: int, capacity: int) -> list[int]:
+    """Positions at which shards start when each is cut as near as it can be to its share of what is left,
+    none above capacity, which is feasible. None is empty while there are units enough."""
+    n, upto = len(sizes), np.r_[0, np.cumsum(np.asarray(sizes, dtype=np.int64))]
+    from_ = [n]  # the least start from which 0, 1, ... shards hold all the rest
+    for _ in range(shards - 1):
+        from_.append(int(np.searchsorted(upto, upto[from_[-1]] - capacity)))
+    out, at = [], 0
+    for after in range(shards - 1, 0, -1):
+        goal = upto[at] + (upto[n] - upto[at]) / (after + 1)
+        end = int(np.searchsorted(upto, goal))
+        end -= end > 0 and goal - upto[end - 1] < upto[end] - goal
+        full = int(np.searchsorted(upto, upto[at] + capacity, side="right")) - 1
+        end = max(min(end, full, n - after), from_[after], at + 1)
+        if end >= n:
+            break
+        out.append(end)
+        at = end
+    return out
+
+
+def balanced_cuts(sizes: Sequence[int], shards: int) -> list[int]:
+    """Cuts whose largest shard is the least possible, with the other shards near equal.
+
+    A unit above the mean of what is left would set the capacity of all; it gets a shard of its own. The runs
+    between such units share the other shards, the next one going to the run of the largest capacity, and are
+    searched and cut on their own. Where that would exceed the least capacity of the whole, or shards do not
+    suffice, fewer units stand alone."""
+    sizes = np.asarray(sizes, dtype=np.int64)
+    if not len(sizes):
+        return []
+    capacity, left = smallest_capacity(sizes, shards), int(sizes.sum())
+    hot: list[int] = []
+    for at in np.argsort(-sizes, kind="stable")[: shards - 1].tolist():
+        if sizes[at] * (shards - len(hot)) <= left:
+            break
+        hot.append(at)
+        left -= int(sizes[at])
+    for m in range(len(hot), 0, -1):
+        alone = sorted(hot[:m])
+        runs = [(a, b) for a, b in zip([0, *(x + 1 for x in alone)], [*alone, len(sizes)]) if a < b]
+        spare = shards - m - len(runs)
+        if spare < 0 or len(sizes) <= shards:
+            continue
+        share = [1] * len(runs)
+        need = [smallest_capacity(sizes[a:b], 1) for a, b in runs]
+        for _ in range(spare):
+            open_ = [i for i, (a, b) in enumerate(runs) if share[i] < b - a]
+            i = max(open_, key=lambda i: need[i])
+            share[i] += 1
+            need[i] = smallest_capacity(sizes[runs[i][0] : runs[i][1]], share[i])
+        if max(need) <= capacity:
+            starts = {x + d for x in alone for d in (0, 1)}
+            for (a, b), k, most in zip(runs, share, need):
+                starts |= {a + x for x in even_cuts(sizes[a:b], k, most)}
+            return sorted(starts - {0, len(sizes)})
+    return even_cuts(sizes, shards, capacity)
+
+
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row, under the law `bytes`.
 
     size is the UTF-8 bytes of the text (null: none) plus 8. Rows of equal text (null texts too are
     equal to each other) stay together. Their groups, ordered by hash, make up to UNITS units; the
     driver takes the units' sizes (a bounded summary, whatever the input), binary-searches the smallest
-    capacity and cuts. A shard exceeds the mean by no more than the largest unit, and where one group
-    alone is larger than a shard should be, that group sets the capacity.
+    capacity and cuts. A shard exceeds the mean by no more than the largest unit. A group that alone is
+    larger than a shard should be gets a shard of its own where it can, and the search is repeated on the
+    runs before and after it, so that the others are near equal (see balanced_cuts).
 
     slot numbers a shard's rows from 0 without gaps: rows fall in CELLS cells by a hash of doc_id and
     are numbered inside a cell; counts of cells before it (at most shards * CELLS rows, broadcast) are
@@ -72,7 +132,7 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     units = digests.groupBy("unit").agg(F.sum("size").alias("size")).collect()  # at most UNITS rows
     units.sort()
     sizes = [r["size"] for r in units]
-    starts = [units[i]["unit"] for i in cuts(sizes, smallest_capacity(sizes, shards))]
+    starts = [units[i]["unit"] for i in balanced_cuts(sizes, shards)]
     shard = F.lit(0)
     for start in starts:
         shard = shard + (F.col("unit") >= start).cast("int")
