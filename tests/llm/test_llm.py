@@ -245,6 +245,32 @@ def test_mix(spark):
         assert abs(taken[s] - target[s]) <= 0.02 * total / len(names) + 8
 
 
+def test_mix_meets_the_target_of_every_source(spark):
+    """Sources from two words up beside millions: taken differs from the target by no more than a word."""
+    sizes = {"huge": [40_000] * 60, "also": [9_000] * 90, "two": [2], "four": [1, 3], "some": [7] * 11, "mid": [150] * 90, "none": [0, 0]}
+    texts = [f"{s}{i}" + " w" * (n - 1) if n else " " for s, ns in sizes.items() for i, n in enumerate(ns)]
+    source = [s for s, ns in sizes.items() for _ in ns]
+    taken, target = Counter(), {}
+    for r in mixing.mix(frame(spark, texts, source=source)).collect():
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+        assert 0 <= r.taken <= 3 * r["size"]
+    assert target["two"] == 6 and target["four"] == 12 and target["none"] == 0
+    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
+
+
+def test_schedule_interleaves_the_sources(spark):
+    """Slots are the points of the van der Corput sequence, so each stretch of the schedule holds every source by its weight."""
+    sizes = spark.createDataFrame([(f"s{s}", s, 10**9) for s in "abc"] + [("sx", "x", 3)], "key string, source string, source_size long")
+    slots = mixing.schedule(mixing.source_plan(sizes)).orderBy("slot").collect()
+    for at in range(0, 1 << mixing.SLOT_BITS, 1 << 14):
+        n = Counter(r.key for r in slots[at : at + (1 << 14)])
+        assert all(abs(n[k] - (1 << 14) * w / 8) <= 20 for k, w in (("sb", 2), ("sc", 1)))
+    for k in ("sa", "sx"):
+        own = sorted((r.low, r.high) for r in slots if r.key == k)
+        assert own[0][0] == 0 and all(a[1] == b[0] for a, b in zip(own, own[1:])) and max(h - l for l, h in own) - min(h - l for l, h in own) <= 1
+
+
 def test_pipeline_mix_meets_the_target_of_every_source(spark):
     """Words far above the slots of the schedule, so that small sources are less than a slot's block."""
     import corpus_pipeline as p

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 WEIGHTS = (5, 2, 1)
 #: A target, and the use of a document, stops at this many times its size.
 REPEATS = 3
-#: The schedule has at most 2**SLOT_BITS slots, whatever the input; a slot is a block of equal size.
+#: The schedule has 2**SLOT_BITS points, and one slot more at most for each source; slots of one source
+#: take blocks of equal size.
 SLOT_BITS = 17
 #: Hex digits of the hash that order a source's documents: 16**CELL_DIGITS cells.
 CELL_DIGITS = 3
@@ -30,17 +31,16 @@ def reversed_bits(x: Column, bits: int = SLOT_BITS) -> Column:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows as key (of the source, never null), doc_id, size, order, cell."""
+    """Rows as key (of the source, never null), doc_id, size, order (a digest of doc_id and text, either
+    of which may be null), cell."""
     source, doc_id = F.col("source").cast("string"), F.col("doc_id").cast("long")
-    order = F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
     return docs.select(
-        F.coalesce(F.concat(F.lit("s"), source), F.lit("null")).alias("key"), source.alias("source"), doc_id.alias("doc_id"),
-        word_count(F.col("text").cast("string")).alias("size"), order.alias("order"), F.substring(order, 1, CELL_DIGITS).alias("cell"),
-    )
+        *row_key(docs), source.alias("source"), doc_id.alias("doc_id"), word_count(F.col("text").cast("string")).alias("size"),
+    ).withColumn("cell", F.substring("order", 1, CELL_DIGITS))
 
 
 def source_plan(sizes: DataFrame) -> DataFrame:
-    """From key, source, source_size: weight, target, block (words a slot), blocks (of the source).
+    """From key, source, source_size: weight, target, words (the target as a whole number).
 
     The targets share the sum of the sizes by weight; where a share would exceed REPEATS times the
     source's size it stops there. Sources that stop are those with the least size per weight, so in
@@ -59,99 +59,104 @@ def source_plan(sizes: DataFrame) -> DataFrame:
     stops = F.col("cap") <= F.col("level") * F.col("weight")
     free = F.min(F.when(~stops, F.struct("at", "level"))).over(every)["level"]
     s = s.withColumn("target", F.when(stops, F.col("cap").cast("double")).otherwise(free * F.col("weight")))
-    block = F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(1 << SLOT_BITS))).cast("long")
-    return s.withColumn("block", block).withColumn("blocks", F.ceil(F.col("source_size") / F.col("block")).cast("long")).drop("cap", "at", "level")
+    return s.withColumn("words", F.least(F.floor(F.col("target") + 0.5).cast("long"), F.col("cap"))).drop("cap", "at", "level")
 
 
-def schedule(plan: DataFrame) -> DataFrame:
-    """slot, key, rank, block_no: the source of every slot and which of its blocks the slot takes.
+def _with_slots(plan: DataFrame) -> DataFrame:
+    """Sources with a target: first (their first point) and slots (their number).
 
-    Slot k stands at the k-th van der Corput point. A source owns the stretch between the running sums
-    of the targets, so that its points are generated from the stretch itself, without a join. Slots are
-    ranked inside their source; ranks run through its blocks again and again, REPEATS times at most.
-    """
+    A source owns the stretch of the points between the running sums of the targets, and one point at
+    least, so that a source far below a slot's share of the whole still has a slot."""
     whole = float(1 << SLOT_BITS)
-    upto = F.sum("target").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
+    in_order = Window.orderBy(F.col("source").asc_nulls_last())
+    upto = F.sum("target").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
     edge = F.greatest(F.least(F.round(F.col("upto") * whole / F.col("total")), F.lit(whole)), F.lit(0.0)).cast("long")
     p = plan.filter("total > 0").withColumn("upto", upto).withColumn("high", edge)
-    p = p.withColumn("low", F.lag("high", 1, 0).over(Window.orderBy(F.col("source").asc_nulls_last())))
-    points = p.filter("high > low and blocks > 0").select("key", "blocks", F.ceil(F.col("total") / F.col("block")).alias("slots"), F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("point"))
-    slots = points.withColumn("slot", reversed_bits(F.col("point"))).filter("slot < slots")
-    ranked = slots.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("slot")).cast("long") - 1)
-    return ranked.filter(F.col("rank") < F.col("blocks") * REPEATS).select("slot", "key", "rank", (F.col("rank") % F.col("blocks")).alias("block_no"))
+    p = p.withColumn("first", F.least(F.lag("high", 1, 0).over(in_order), F.lit((1 << SLOT_BITS) - 1).cast("long"))).filter("words > 0")
+    return p.withColumn("slots", F.greatest(F.col("high") - F.col("first"), F.lit(1).cast("long"))).drop("upto", "high")
+
+
+def schedule(plan: DataFrame) -> DataFrame:
+    """slot, key, rank, low, high: the source of every slot and the words of the source that it takes.
+
+    Slot k stands at the k-th van der Corput point. A source's points are generated from its stretch,
+    without a join, and ranked. Its documents, laid end to end and repeated, are cut in blocks of equal
+    numbers of words (to a word), as many as it has slots, which together hold its target; the slot of
+    rank r takes block r, [low, high). A source's block has the source's own length, so every source
+    meets its target whatever the sum of all.
+    """
+    p = _with_slots(plan)
+    points = p.select("key", "words", "slots", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1)).alias("point"))
+    ranked = points.withColumn("slot", reversed_bits(F.col("point")))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("slot")).cast("long") - 1)
+    edge = lambda r: F.expr(f"({r}) * (words div slots) + ({r}) * (words % slots) div slots")  # noqa: E731  the whole part of r * words / slots
+    return ranked.select("slot", "key", "rank", edge("rank").alias("low"), edge("rank + 1").alias("high"))
+
+
+#: The rank of the slot whose block holds word `at` of a source; bigints hold it up to 7e13 words.
+_RANK = "CAST(((%s) + 1) * slots - 1 AS BIGINT) div words"
+
+
+def _laid(rows: DataFrame, words: str) -> tuple[DataFrame, DataFrame]:
+    """rows (key, source, order, cell, ...) with start, the place of their `words` in their source, and
+    source_size, target, words, slots; and the plan. Running sums are taken over the cells of a source and
+    inside a cell, so a hot source is spread over 16**CELL_DIGITS tasks."""
+    cells = rows.groupBy("key", "source", "cell").agg(F.sum(words).alias("cell_size"))
+    plan = source_plan(cells.groupBy("key", "source").agg(F.sum("cell_size").alias("source_size")))
+    before = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("cell_start", F.coalesce(F.sum("cell_size").over(before), F.lit(0))).drop("source", "cell_size")
+    cells = cells.join(plan.select("key", "source_size", "target"), "key").join(_with_slots(plan).select("key", "words", "slots"), "key", "left")
+    inside = Window.partitionBy("key", "cell").orderBy("order", words)
+    upto = F.sum(words).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.drop("source").withColumn("upto", upto).withColumn("nth", F.row_number().over(inside)).join(cells, ["key", "cell"])
+    return placed.withColumn("start", F.col("cell_start") + F.col("upto") - F.col(words)).drop("cell_start", "upto"), plan
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row: the words that the mix takes from it.
 
     Sources come in the order of their code points, null last; WEIGHTS repeat over them. A source's
-    documents are shuffled by a hash of doc_id, laid end to end and cut in blocks of equal numbers of
-    words; the schedule's slots are joined to the blocks and each slot takes its block once more.
-    taken is the overlap of the document with its blocks times their uses.
+    documents are shuffled by a digest of doc_id and text, laid end to end and repeated; the slots of the
+    schedule are joined to the blocks of this line. taken is the overlap of the document, in each of its
+    repeats, with the blocks: a source gives its target, to half a word, and a document at most REPEATS
+    times its size.
 
-    Running sums are taken in two steps, over the cells of a source and inside a cell, so a hot source
-    is spread over 16**CELL_DIGITS tasks; a document is expanded to the blocks that it touches, in all
-    at most the number of slots plus the number of documents. Sources themselves (one row each) are
-    summed over windows without a key.
+    A document is expanded to the blocks that it touches, in all at most the number of slots plus REPEATS
+    times that of documents. Sources themselves (one row each) are summed over windows without a key.
 
     A null text or one without words has size 0 and taken 0. Null doc_ids, ties and repeated rows are
     rows of their own. A source without words has target 0. Other columns are ignored; an empty table
     gives an empty result. Reruns agree.
     """
-    rows = _keyed(docs)
-    cells = rows.groupBy("key", "source", "cell").agg(F.sum("size").alias("cell_size"))
-    sizes = cells.groupBy("key", "source").agg(F.sum("cell_size").alias("source_size"))
-    plan = source_plan(sizes)
-    before = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("cell_start", F.coalesce(F.sum("cell_size").over(before), F.lit(0))).drop("source")
-    cells = cells.join(plan.select("key", "source_size", "target", "block"), "key")
-    inside = Window.partitionBy("key", "cell").orderBy("order", "doc_id", "size")
-    laid = rows.drop("source").withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(inside))
-    laid = laid.join(cells, ["key", "cell"]).withColumn("start", F.col("cell_start") + F.col("upto") - F.col("size"))
-    uses = schedule(plan).groupBy("key", "block_no").agg(F.count("*").alias("uses"))
-    end = F.col("start") + F.col("size")
-    touched = laid.withColumn("block_no", F.explode(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((end - 1) / F.col("block")))).otherwise(F.array(F.lit(-1).cast("long")))))
-    low, high = F.greatest(F.col("start"), F.col("block_no") * F.col("block")), F.least(end, (F.col("block_no") + 1) * F.col("block"))
-    words = F.when(F.col("size") > 0, high - low).otherwise(F.lit(0)) * F.coalesce(F.col("uses"), F.lit(0))
-    taken = touched.join(uses, ["key", "block_no"], "left").withColumn("words", words)
-    return taken.groupBy("key", "cell", "nth", "doc_id", "size", "source_size", "target").agg(F.sum("words").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    laid, plan = _laid(_keyed(docs), "size")
+    again = F.expr("CASE WHEN size > 0 AND start < words THEN sequence(0L, (words - 1 - start) div source_size) END")
+    laid = laid.withColumn("again", F.explode_outer(again)).withColumn("from", F.expr("start + again * source_size")).withColumn("to", F.expr("least(from + size, words)"))
+    touched = laid.withColumn("rank", F.explode_outer(F.sequence(F.expr(_RANK % "from"), F.expr(_RANK % "to - 1"))))
+    taken = touched.join(schedule(plan), ["key", "rank"], "left").withColumn("part", F.expr("least(to, high) - greatest(from, low)"))
+    return taken.groupBy("key", "cell", "nth", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum("part"), F.lit(0)).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 #: What tells rows apart in copies(); rows that agree in it differ in nothing that mixing reads.
-ROW = ["doc_id", "text_hash", "key"]
+ROW = ["order", "key"]
 
 
 def row_key(docs: DataFrame) -> list[Column]:
-    """The columns ROW of documents; key is never null, doc_id may be."""
-    key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), key.alias("key")]
+    """The columns ROW of documents; neither is null."""
+    doc_id, text = F.col("doc_id").cast("long").cast("string"), F.col("text").cast("string")
+    order = F.md5(F.concat(F.coalesce(doc_id, F.lit("")), F.lit("/"), F.coalesce(F.md5(text.cast("binary")), F.lit(""))).cast("binary"))
+    return [order.alias("order"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")).alias("key")]
 
 
 def copies(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, key, n, base, extra: of n rows that agree in ROW, extra come base + 1 times into
-    a mix of whole documents, the others base times. Rows without words, and such that never come, are
-    not there.
-
-    The schedule takes a source's blocks in turn, again and again, so each of them floor(target / size)
-    times and the first of them once more. Here a block is a document: in the order of the hash, laid end
-    to end, those whose middle lies in the rest of the target, by running sums, come once more. So every
-    source comes within half a document of its own target, whatever the total. Sums run over the cells of
-    a source and inside a cell, as in mix().
+    """order, key, number, slots: the slots of the schedule that take the number-th of the rows that agree in
+    ROW into a mix of whole documents. Rows without words, and such that are never taken, are not there.
+
+    The line, blocks and slots are those of mix(); a slot takes the documents whose middle word lies in its
+    block. So every source comes within half a document of its own target, whatever the total.
     """
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(*row_key(docs), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    rows = rows.groupBy(*ROW, "source", "size").agg(F.count("*").alias("n")).withColumn("order", order).withColumn("cell", F.substring("order", 1, CELL_DIGITS))
-    rows = rows.withColumn("words", F.col("n") * F.col("size"))
-    cells = rows.groupBy("key", "source", "cell").agg(F.sum("words").alias("cell_size"))
-    plan = source_plan(cells.groupBy("key", "source").agg(F.sum("cell_size").alias("source_size")))
-    before = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("cell_start", F.coalesce(F.sum("cell_size").over(before), F.lit(0))).drop("source")
-    cells = cells.join(plan.select("key", "source_size", "target"), "key")
-    inside = Window.partitionBy("key", "cell").orderBy("order", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
-    laid = rows.drop("source").withColumn("upto", F.sum("words").over(inside)).join(cells, ["key", "cell"]).filter("size > 0")
-    start = F.col("cell_start") + F.col("upto") - F.col("words")
-    base = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(REPEATS).cast("long"))
-    rest = F.col("target") - F.col("base") * F.col("source_size")
-    once_more = F.least(F.greatest(F.ceil((rest - start) / F.col("size") - 0.5), F.lit(0).cast("long")), F.col("n"))
-    extra = F.when(F.col("base") < REPEATS, once_more).otherwise(F.lit(0)).cast("long")
-    return laid.withColumn("base", base).withColumn("extra", extra).filter("base + extra > 0").select(*ROW, "n", "base", "extra")
+    rows = _keyed(docs).groupBy(*ROW, "source", "cell", "size").agg(F.count("*").alias("n")).withColumn("all_words", F.expr("n * size"))
+    laid, plan = _laid(rows, "all_words")
+    one = laid.filter("size > 0 AND start < words").withColumn("number", F.explode(F.expr("sequence(1L, n)"))).withColumn("middle", F.expr("start + (number - 1) * size + size div 2"))
+    again = F.expr("CASE WHEN middle < words THEN sequence(0L, (words - 1 - middle) div source_size) END")
+    hit = one.withColumn("again", F.explode(again)).withColumn("rank", F.expr(_RANK % "middle + again * source_size"))
+    return hit.join(schedule(plan), ["key", "rank"]).groupBy(*ROW, "number").agg(F.sort_array(F.collect_list("slot")).alias("slots"))

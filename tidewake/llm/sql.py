@@ -6,26 +6,18 @@ from . import mixing, quality
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
-_REVERSED = " + ".join(f"((point >> {i}) & 1) * {1 << (mixing.SLOT_BITS - 1 - i)}" for i in range(mixing.SLOT_BITS))
-_SLOTS = 1 << mixing.SLOT_BITS
-
 MIXING = f"""
-WITH r AS (SELECT doc_id, source, coalesce('s' || source, 'null') AS key, CAST(coalesce(len(regexp_extract_all(text, {WORDS})), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+WITH r AS (SELECT doc_id, source, coalesce('s' || source, 'null') AS key, CAST(coalesce(len(regexp_extract_all(text, {WORDS})), 0) AS BIGINT) AS size,
+  md5(coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(md5(text), '')) AS o FROM documents),
 s AS (SELECT key, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY key),
 w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * {mixing.REPEATS} AS cap, sum(source_size) OVER () AS total FROM s),
 l AS (SELECT *, row_number() OVER (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST) AS place, CAST(total - coalesce(sum(cap) OVER b, 0) AS DOUBLE) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS DOUBLE) AS level
   FROM w WINDOW b AS (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT arg_min(level, place) AS free FROM l WHERE NOT cap <= level * weight),
-p AS (SELECT l.*, CASE WHEN cap <= level * weight THEN CAST(cap AS DOUBLE) ELSE (SELECT free FROM f) * weight END AS target, CAST(greatest(1, ceil(CAST(total AS DOUBLE) / {_SLOTS})) AS BIGINT) AS block FROM l),
-q AS (SELECT *, CAST(ceil(CAST(source_size AS DOUBLE) / block) AS BIGINT) AS blocks, CAST(greatest(least(round(sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) * {_SLOTS} / CAST(total AS DOUBLE)), {_SLOTS}), 0) AS BIGINT) AS high FROM p WHERE total > 0),
-e AS (SELECT *, lag(high, 1, 0) OVER (ORDER BY source NULLS LAST) AS low FROM q),
-points AS (SELECT key, blocks, ceil(CAST(total AS DOUBLE) / block) AS slots, unnest(range(low, high)) AS point FROM e WHERE high > low AND blocks > 0),
-ranked AS (SELECT key, blocks, row_number() OVER (PARTITION BY key ORDER BY slot) - 1 AS rank FROM (SELECT *, {_REVERSED} AS slot FROM points) WHERE slot < slots),
-uses AS (SELECT key, rank % blocks AS block_no, count(*) AS uses FROM ranked WHERE rank < blocks * {mixing.REPEATS} GROUP BY ALL),
-laid AS (SELECT row_number() OVER () AS n, r.doc_id, r.size, r.key, p.source_size, p.target, p.block, sum(r.size) OVER (PARTITION BY r.key ORDER BY r.o, r.doc_id NULLS FIRST, r.size ROWS UNBOUNDED PRECEDING) - r.size AS start FROM r JOIN p ON p.key = r.key),
-touched AS (SELECT n, key, start, size, block, unnest(range(CAST(start // block AS BIGINT), CAST((start + size - 1) // block AS BIGINT) + 1)) AS block_no FROM laid WHERE size > 0),
-taken AS (SELECT n, sum((least(start + size, (t.block_no + 1) * block) - greatest(start, t.block_no * block)) * uses) AS taken FROM touched t JOIN uses u ON u.key = t.key AND u.block_no = t.block_no GROUP BY n)
-SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM laid LEFT JOIN taken ON taken.n = laid.n
+p AS (SELECT l.*, CASE WHEN cap <= level * weight THEN CAST(cap AS DOUBLE) ELSE (SELECT free FROM f) * weight END AS target FROM l),
+q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) // greatest(source_size, 1) AS rounds, CAST(floor(target + 0.5) AS BIGINT) % greatest(source_size, 1) AS rest FROM p),
+laid AS (SELECT r.doc_id, r.size, q.*, sum(r.size) OVER (PARTITION BY r.key ORDER BY r.o, r.size ROWS UNBOUNDED PRECEDING) - r.size AS start FROM r JOIN q ON q.key = r.key)
+SELECT doc_id, size, source_size, target, CAST(rounds * size + greatest(least(rest - start, size), 0) AS BIGINT) AS taken FROM laid
 """
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
