@@ -46,19 +46,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, up to three times; one that it does not take goes.
-
-    Rows are joined to their copies by doc_id, null or not, text hash and source; rows that agree in all
-    three are numbered, as one of them may come once more than another."""
-    _, text_hash, key = mixing.row_key(docs)
-    told = [F.coalesce("doc_id", F.lit(0).cast("long")).alias("known_id"), F.col("doc_id").isNull().alias("no_id"), "text_hash", "key"]
-    names = ["known_id", "no_id", "text_hash", "key"]
-    copies = mixing.copies(docs).select(*told, "n", "base", "extra")
-    joined = docs.withColumns({"text_hash": text_hash, "key": key}).select(*COLUMNS, *told).join(copies, names)
-    nth = F.row_number().over(Window.partitionBy(*names).orderBy("lang", "n_chars"))
-    times = (F.col("base") + (nth <= F.col("extra")).cast("long")).cast("int")
-    counted = joined.withColumn("copies", times).filter("copies > 0")
-    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
+    """Each document once for every slot of the mix's schedule that takes it, up to three times; one that no
+    slot takes goes, as does a text without words.
+
+    Rows are joined to their slots by a digest of doc_id and text, either of which may be null, and by
+    source; rows that agree in all are numbered, as one of them may come once more than another."""
+    joined = docs.select(*COLUMNS, *mixing.row_key(docs))
+    joined = joined.withColumn("number", F.row_number().over(Window.partitionBy(*mixing.ROW).orderBy("lang", "n_chars")).cast("long"))
+    return joined.join(mixing.copies(docs), [*mixing.ROW, "number"]).withColumn("slot", F.explode("slots")).select(*COLUMNS)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
