@@ -91,6 +91,32 @@ def test_balanced_cuts_keep_the_least_capacity_and_fill_the_shards():
         assert len(got) == 24 and others[0] >= 0.75 * sum(others) / len(others)
 
 
+def least_by_trial(sizes, shards):
+    """The least largest sum of at most `shards` contiguous runs, by dynamic programming over all cuts."""
+    upto = np.r_[0, np.cumsum(sizes)]
+    best = upto[1:].copy()
+    for _ in range(shards - 1):
+        best = np.array([min(max(best[j - 1] if j else 0, upto[i + 1] - upto[j]) for j in range(i + 1)) for i in range(len(sizes))])
+    return int(best[-1])
+
+
+@pytest.mark.parametrize("unit_bits", [2, 16])
+def test_shards_have_the_least_capacity_over_single_groups(spark, unit_bits):
+    rng = random.Random(unit_bits)
+    for shards, texts in ((5, [f"{i}" + "x" * rng.randrange(400) for i in range(90)]), (7, [f"{i}" + "y" * rng.randrange(90) for i in range(120)] + ["hot" * 9] * 150), (4, ["one"]), (6, [f"{rng.randrange(40)}" for _ in range(200)] + [None, ""])):
+        d = frame(spark, texts)
+        got = sharding.shard_documents(d, shards, unit_bits).collect()
+        order = {r.text: r.h for r in d.selectExpr("text", "xxhash64(text IS NULL, text) AS h").collect()}
+        groups = Counter()
+        for t in texts:
+            groups[order[t]] += len((t or "").encode()) + 8
+        loads = Counter()
+        for r in got:
+            loads[r.shard] += r["size"]
+        assert max(loads.values()) == least_by_trial([groups[h] for h in sorted(groups)], shards)
+        assert len({(r.shard, r.slot) for r in got}) == len(texts)
+
+
 def test_shards_are_filled_beside_a_hot_text(spark):
     texts = [f"text {i} " + "x" * 200 for i in range(3000)] + ["hot " * 60] * 1400
     got = Counter()

@@ -8,9 +8,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Groups of equal texts are ordered by a hash and gathered in at most this many atomic units, whose
-#: sizes are all that the driver sees.
-UNITS = 1 << 16
+from .components import checkpoint
+
+#: Groups of equal texts are ordered by a 64-bit hash; its first UNIT_BITS bits gather them in units, whose
+#: sizes the driver sees. Units in which a cut may fall are split by the next SPLIT_BITS bits, again and
+#: again, down to single groups.
+UNIT_BITS, SPLIT_BITS = 16, 8
 #: A shard's rows are numbered in this many cells.
 CELLS = 1 << 12
 
@@ -68,12 +71,20 @@ def even_cuts(sizes: Sequence[int], shards: int, capacity: int) -> list[int]:
 
 
 def balanced_cuts(sizes: Sequence[int], shards: int) -> list[int]:
-    """Cuts whose largest shard is the least possible, with the other shards near equal.
+    """Cuts whose largest shard is the least possible, with the other shards near equal."""
+    starts = {a for a, _, _ in layout(sizes, shards)}
+    for a, b, k in layout(sizes, shards):
+        run = np.asarray(sizes[a:b], dtype=np.int64)
+        starts |= {a + x for x in even_cuts(run, k, smallest_capacity(run, k))}
+    return sorted(starts - {0})
+
+
+def layout(sizes: Sequence[int], shards: int) -> list[tuple[int, int, int]]:
+    """Runs of units (start, end, number of shards) that are cut on their own, in order.
 
     A unit above the mean of what is left would set the capacity of all; it gets a shard of its own. The runs
-    between such units share the other shards, the next one going to the run of the largest capacity, and are
-    searched and cut on their own. Where that would exceed the least capacity of the whole, or shards do not
-    suffice, fewer units stand alone."""
+    between such units share the other shards, the next one going to the run of the largest capacity. Where
+    that would exceed the least capacity of the whole, or shards do not suffice, fewer units stand alone."""
     sizes = np.asarray(sizes, dtype=np.int64)
     if not len(sizes):
         return []
@@ -98,45 +109,100 @@ def balanced_cuts(sizes: Sequence[int], shards: int) -> list[int]:
             share[i] += 1
             need[i] = smallest_capacity(sizes[runs[i][0] : runs[i][1]], share[i])
         if max(need) <= capacity:
-            starts = {x + d for x in alone for d in (0, 1)}
-            for (a, b), k, most in zip(runs, share, need):
-                starts |= {a + x for x in even_cuts(sizes[a:b], k, most)}
-            return sorted(starts - {0, len(sizes)})
-    return even_cuts(sizes, shards, capacity)
+            return sorted([(x, x + 1, 1) for x in alone] + [(a, b, k) for (a, b), k in zip(runs, share)])
+    return [(0, len(sizes), shards)]
+
+
+def _ends(sizes: np.ndarray, single: np.ndarray, shards: int, capacity: int, divisible: bool) -> np.ndarray:
+    """Where greedy filling ends each shard, in bytes from the start. A unit that is not single may be cut
+    anywhere if divisible, else nowhere; so real groups, which lie between, end between the two."""
+    upto, out, at = np.r_[0, np.cumsum(sizes)], np.empty(shards, dtype=np.int64), 0
+    for k in range(shards):
+        goal = min(at + capacity, int(upto[-1]))
+        unit = int(np.searchsorted(upto, goal, side="right")) - 1  # starts at goal or holds it
+        at = max(goal if divisible and unit < len(sizes) and not single[unit] else int(upto[unit]), at)
+        out[k] = at
+    return out
+
+
+def undecided(sizes: Sequence[int], single: Sequence[bool], shards: int) -> np.ndarray:
+    """Units with several groups that have to be split before the cuts are known to be the best over single
+    groups. The least capacity lies between what it would be if they could be cut anywhere and if nowhere;
+    wherever a shard may end for a capacity between these, they are undecided."""
+    sizes, single = np.asarray(sizes, dtype=np.int64), np.asarray(single, dtype=bool)
+    large = ~single & (sizes * shards * 4 > sizes.sum())  # may hold a group that stands alone
+    if large.any():
+        return np.flatnonzero(large)
+    out = np.zeros(len(sizes), dtype=bool)
+    for a, b, k in layout(sizes, shards):
+        size, one = sizes[a:b], single[a:b]
+        total, high = int(size.sum()), smallest_capacity(size, k)
+        low, most = max(-(-total // k), int(size[one].max(initial=0))), high
+        while low < most:
+            middle = (low + most) // 2
+            if _ends(size, one, k, middle, True)[-1] == total:
+                most = middle
+            else:
+                low = middle + 1
+        if low < high:
+            upto = np.r_[0, np.cumsum(size)]
+            for first, last in zip(_ends(size, one, k, low, False), _ends(size, one, k, high, True)):
+                out[a:b] |= (upto[1:] > first) & (upto[:-1] <= last)
+    return np.flatnonzero(out & ~single)
+
+
+def _units(digests: DataFrame, bits: int) -> DataFrame:
+    """prefix, size, single (whether one group only) by the first bits of the hash."""
+    h = F.shiftright("hash", 64 - bits) if bits < 64 else F.col("hash")
+    return digests.groupBy(h.alias("prefix")).agg(F.sum("size").alias("size"), (F.min("hash") == F.max("hash")).alias("single"))
+
+
+def starts_of_shards(digests: DataFrame, shards: int, unit_bits: int = UNIT_BITS) -> list[int]:
+    """The least hash of every shard but the first, from hash and size of all rows."""
+    units = sorted((r["prefix"] << (64 - unit_bits), unit_bits, r["size"], r["single"]) for r in _units(digests, unit_bits).collect())
+    while units:
+        open_ = undecided([u[2] for u in units], [u[3] for u in units], shards).tolist()
+        if not open_:
+            break
+        for bits in sorted({units[i][1] for i in open_}):
+            old = [units[i][0] for i in open_ if units[i][1] == bits]
+            wide = min(64, bits + SPLIT_BITS)
+            inside = digests.filter(F.shiftright("hash", 64 - bits).isin([h >> (64 - bits) for h in old]))
+            found = [(r["prefix"] << (64 - wide), wide, r["size"], r["single"]) for r in _units(inside, wide).collect()]
+            units = sorted([u for u in units if u[0] not in set(old) or u[1] != bits] + found)
+    return [units[i][0] for i in balanced_cuts([u[2] for u in units], shards)]
 
 
-def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, unit_bits: int = UNIT_BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row, under the law `bytes`.
 
     size is the UTF-8 bytes of the text (null: none) plus 8. Rows of equal text (null texts too are
-    equal to each other) stay together. Their groups, ordered by hash, make up to UNITS units; the
-    driver takes the units' sizes (a bounded summary, whatever the input), binary-searches the smallest
-    capacity and cuts. A shard exceeds the mean by no more than the largest unit. A group that alone is
-    larger than a shard should be gets a shard of its own where it can, and the search is repeated on the
-    runs before and after it, so that the others are near equal (see balanced_cuts).
-
-    slot numbers a shard's rows from 0 without gaps: rows fall in CELLS cells by a hash of doc_id and
-    are numbered inside a cell; counts of cells before it (at most shards * CELLS rows, broadcast) are
+    equal to each other) are an atomic group; groups are ordered by hash. The smallest capacity with
+    which greedy filling needs no more than `shards` shards is binary-searched, and the cuts made there.
+    The driver sees sizes of units of groups, at most 2**unit_bits; those in which a cut may fall (a few for
+    every shard) are split until the search is decided over single groups, whatever their number. A group
+    that alone is larger than a shard should be gets a shard of its own where it can, and the runs before and
+    after it are searched on their own, so that the others are near equal (see layout).
+
+    slot numbers a shard's rows from 0 without gaps: rows fall in CELLS cells by a hash of doc_id and text
+    and are numbered inside a cell; counts of cells before it (at most shards * CELLS rows, broadcast) are
     added. No task holds a whole shard. text_crc32 is null for a null text; a null doc_id, ties and
     repeated rows are numbered like any others; an empty table gives an empty result; other columns are
-    ignored. Only digests of texts are shuffled.
+    ignored. Only digests of texts leave the scan; they are written once and read by every step.
     """
     text = F.col("text").cast("string")
     doc_id = F.col("doc_id").cast("long")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
-    # digests() gives the same rows on each read; nothing wider than a few numbers leaves the scan
+    hash_ = F.xxhash64(text.isNull(), text)
     digests = docs.select(
-        doc_id.alias("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(UNITS)).cast("int").alias("unit"), F.pmod(F.xxhash64(doc_id, F.lit("cell")), F.lit(CELLS)).cast("int").alias("cell"),
+        doc_id.alias("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), hash_.alias("hash"),
+        F.pmod(F.xxhash64(doc_id, hash_, F.lit("cell")), F.lit(CELLS)).cast("int").alias("cell"),
     )
-    units = digests.groupBy("unit").agg(F.sum("size").alias("size")).collect()  # at most UNITS rows
-    units.sort()
-    sizes = [r["size"] for r in units]
-    starts = [units[i]["unit"] for i in balanced_cuts(sizes, shards)]
+    digests = checkpoint(digests)
     shard = F.lit(0)
-    for start in starts:
-        shard = shard + (F.col("unit") >= start).cast("int")
-    rows = digests.withColumn("shard", shard).drop("unit")
+    for start in starts_of_shards(digests, shards, unit_bits):
+        shard = shard + (F.col("hash") >= F.lit(start).cast("long")).cast("int")
+    rows = digests.withColumn("shard", shard).drop("hash")
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     offsets = counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
