@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def _ready_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session. It is read from spark.checkpoint.dir; only where that is
-    unset (a local session, as in tests) a temporary folder is set."""
+    """The checkpoint folder of the session. It is read from spark.checkpoint.dir; only where that is unset and
+    the master is local, so that all tasks share one machine, a temporary folder is set."""
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="checkpoints-")

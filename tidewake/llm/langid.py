@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ngrams
@@ -22,8 +22,8 @@ FAMILIES = {
 }
 BITS = 13
 ORDERS = (1, 2, 3)
-#: The models are fitted on at most about this many labelled rows, shared evenly by the languages
-#: (picked by a hash of doc_id). All other work covers every row.
+#: The models are fitted on at most this many labelled rows, shared evenly by the languages (see fit). All
+#: other work covers every row.
 TRAIN_ROWS = 1200
 UNDETERMINED = "und"
 
@@ -119,19 +119,21 @@ def _svm_fit(z: np.ndarray, y: np.ndarray, steps: int = 80, decay: float = 1e-3)
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     """Fit on text and lang of labelled rows (null texts, null langs and texts without letters are left out).
 
-    n-grams of the sampled whole texts are counted on the executors; the counts of at most about `rows`
-    documents come to the driver. None if nothing is labelled."""
-    known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    Of each language the same number of texts is drawn, at most `rows` in all (one a language at least): those
+    of the least hashes of doc_id and text, so that null or repeated doc_ids are drawn like any others, and a
+    repeated row once. n-grams of the drawn whole texts are counted on the executors; only these counts come to
+    the driver. None if nothing is labelled."""
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    known = labelled.select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text, F.lit("train")).alias("draw"))
     known = known.filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    if not counts:
+    languages = known.select("lang").distinct().count()
+    if not languages:
         return None
-    each = max(1, rows // len(counts))
-    langs = sorted(counts)
-    share = F.lit(1.0)
-    for v in langs:
-        share = F.when(F.col("lang") == v, F.lit(min(1.0, each / counts[v]))).otherwise(share)
-    picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1 << 30)) < share * (1 << 30))
+    with_letter = known.filter(F.col("text").rlike(r"\p{L}"))
+    least = Window.partitionBy("lang").orderBy("draw")
+    drawn = with_letter.groupBy("lang", "draw").count().withColumn("place", F.row_number().over(least)).filter(F.col("place") <= max(1, rows // languages))
+    drawn = drawn.select("lang", "draw")  # at most rows, or one a language
+    picked = with_letter.join(F.broadcast(drawn), ["lang", "draw"]).groupBy("lang", "draw").agg(F.first("text").alias("text"))
 
     def features(lang, texts):
         out = [np.unique(_slots(t), return_counts=True) if has_letter(t) else (np.empty(0, int), np.empty(0, int)) for t in texts]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,28 +22,64 @@ RULES: tuple[Rule, ...] = (
     ("net", "/fr/", "block"),
 )
 
-# A small labelled table, written by hand: names that a curator allows or blocks. Every name stands
-# under each of a few prefixes, domains and paths, so that only the name tells the classes apart.
-_ALLOWED = (
-    "library news garden weather docs science museum history music books cityhall university travel recipes code health "
-    "school bird river mountain wiki maps archive theatre station thornton anderson the-thing another henderson nation "
-    "thread tithing stand hearing other motion rotation edition theory heather thunder inner orient leather northern "
-    "atlas eastern thesis teaching reading bloomington harbour earth-day old-town city-guide open-source"
+# Words that a curator blocks in names of hosts, by kind, and words of harmless names.
+BLOCKED_WORDS = (
+    "casino poker jackpot roulette blackjack lottery betting sportsbook slots bingo gambling wager "
+    "viagra cialis pharmacy pills tramadol steroids slimming dietpills painkiller "
+    "porn xxx sex nude escort webcam erotic hentai adult camgirls milf fetish "
+    "payday loans quickcash forex bitcoin-doubler getrich moneymaker debtrelief creditfix "
+    "warez crack keygen torrent malware trojan phishing botnet hacktool "
+    "adserver popunder clickfraud tracker spyware backlinks linkexchange spam replica counterfeit fakeid rolex"
 ).split()
-_BLOCKED = (
-    "spam-farm cheap-pills casino-bonus free-money xxx-videos poker-online replica-watches payday-loans adult-cams "
-    "click-here-win viagra-cheap spam-links crack-warez link-farm buy-pills casino-win lottery-prize porn-tube "
-    "ads-track free-bets bet-bonus seo-spam cheap-loans torrent-crack win-prize adult-x online-pills ads-click"
+HARMLESS_WORDS = (
+    "library museum weather garden science history music books university travel recipes health school river mountain "
+    "archive theatre station kitchen language chemistry physics biology poetry painting orchestra football cycling hiking "
+    "climate energy transport railway airport harbour council parliament ministry hospital clinic dentist bakery market "
+    "furniture textile pottery software database compiler network keyboard camera telescope planet astronomy geology "
+    "fishing sailing village castle cathedral bridge forest meadow orchard vineyard farm horse sheep honey cheese bread "
+    "coffee tea lawyer justice election economy finance insurance bank journal magazine radio podcast cinema festival "
+    "children parents teacher student academy college grammar dictionary encyclopedia atlas calendar notebook workshop "
+    "carpenter plumber electric solar window roof paint tools bicycle walking running swimming chess puzzle lantern"
 ).split()
-LABELLED: tuple[tuple[str, bool], ...] = tuple(
-    (f"https://{prefix}{name}.example.{domain}/{lang}/{number}", blocked)
-    for names, blocked in ((_ALLOWED, False), (_BLOCKED, True))
-    for name in names
-    for prefix, lang, number in (("", "en", 31), ("www.", "de", 452), ("m.", "fr", 7), ("blog.", "es", 968))
-    for domain in ("com", "net", "org")
-)
-
-BITS = 12
+_HEADS = ("", "my", "the-", "best-", "new-", "city-")
+_TAILS = ("", "hub", "-online", "24", "-club", "zone", "-world", "direct", "s4u", "-house")
+_SYLLABLES = "ba be bo ca co da de di do fa fe fi ga ge ha he hi jo ka ki la le li lo ma me mi mo na ne no or pa pe ra re ri ro sa se si ta te ti to va ve vi wa we yo".split()
+_PATHS = {
+    True: ("/", "/{lang}/{n}", "/promo/{n}", "/{lang}/join?ref={n}", "/offers/{word}-{n}.html", "/go.php?id={n}"),
+    False: ("/", "/{lang}/{n}", "/news/{n}/{word}.html", "/{lang}/about?p={n}", "/articles/{word}-{n}.html", "/search.php?q={n}"),
+}
+
+
+def labelled_names() -> list[tuple[str, str, bool]]:
+    """host name, the word in it, blocked: every word with some heads and tails in turn, and as many harmless
+    names made of syllables, which mean nothing, as names of harmless words."""
+    out = []
+    for words, blocked, each in ((BLOCKED_WORDS, True, 4), (HARMLESS_WORDS, False, 2)):
+        for i, word in enumerate(words):
+            for j in range(each):
+                k = each * i + j
+                out.append((_HEADS[k * 7 % len(_HEADS)] + word + _TAILS[k * 3 % len(_TAILS)], word, blocked))
+    n = len(_SYLLABLES)
+    for k in range(2 * len(HARMLESS_WORDS)):
+        word = "".join(_SYLLABLES[(k * (17 + 12 * j) + 5 * j) % n] for j in range(2 + k % 3))
+        out.append((_HEADS[k % len(_HEADS)] + word + _TAILS[k * 3 % len(_TAILS)], word, False))
+    return out
+
+
+def labelled_urls(names: list[tuple[str, str, bool]] | None = None) -> list[tuple[str, bool]]:
+    """Whole urls with paths, a few for each name, and whether they are blocked: a small table made by rule from
+    the words above, without regard to any table of pages."""
+    out = []
+    for k, (name, word, blocked) in enumerate(labelled_names() if names is None else names):
+        for j in range(3):
+            path = _PATHS[blocked][(k + 2 * j) % 6 if j else 1].format(lang="en de fr es".split()[(k + j) % 4], n=(k * 37 + j * 11) % 997, word=word)
+            prefix = ("", "www.", "m.", "blog.")[(k + j) % 4]
+            domain = ("com", "net", "org", "info", "example.com", "example.net", "example.org")[(k * 3 + j) % 7]
+            out.append((f"https://{prefix}{name}.{domain}{path}", blocked))
+    return out
+
+
+BITS = 13
 ORDERS = (3, 4)
 
 
@@ -79,18 +118,24 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(s, -30, 30))))
 
 
-def fit(labelled: tuple[tuple[str, bool], ...] = LABELLED, steps: int = 300, rate: float = 6.0, decay: float = 5e-4) -> Model:
-    """Gradient descent over a labelled table of at most some thousand urls, in order of the table."""
+@functools.cache
+def fitted() -> "Model":
+    return fit(labelled_urls())
+
+
+def fit(labelled: Sequence[tuple[str, bool]], steps: int = 300, rate: float = 2.0, decay: float = 1e-4) -> Model:
+    """Gradient descent with momentum over a labelled table of at most some thousand urls, in order of the table."""
     x, y = np.zeros((len(labelled), 1 << BITS), dtype=np.float32), np.array([b for _, b in labelled], dtype=np.float32)
     for i, (url, _) in enumerate(labelled):
         host, _, rest = url.partition("://")[2].partition("/")
         slots = ngrams.hashed(f"^{host.lower()}/{rest.partition('?')[0].partition('#')[0]}$", BITS, ORDERS)
         np.add.at(x[i], slots, 1 / np.sqrt(max(1, len(slots))))
     w, b = np.zeros(1 << BITS, dtype=np.float32), 0.0
+    step_w, step_b = w, b
     for _ in range(steps):
-        g = (1 / (1 + np.exp(-(x @ w + b))) - y) / max(1, len(y))
-        w -= rate * (x.T @ g + decay * w)
-        b -= rate * g.sum()
+        g = ((1 / (1 + np.exp(-(x @ w + b))) - y) / max(1, len(y))).astype(np.float32)
+        step_w, step_b = 0.95 * step_w - rate * (x.T @ g + decay * w), 0.95 * step_b - rate * g.sum()
+        w, b = w + step_w, b + step_b
     return Model(w, b)
 
 
@@ -102,7 +147,7 @@ def judge_urls(pages: DataFrame, rules=RULES, model: Model | None = None, thresh
     path, score 0 and, as no rule can fit, the verdict allow. A null page_id, ties and repeated rows
     come through; an empty table gives an empty result. No shuffle.
     """
-    model = model or fit()
+    model = model or fitted()
 
     def score(ids, hosts, paths):
         return ids, hosts, paths, [model.score(h, p) for h, p in zip(hosts, paths)]
