@@ -380,30 +380,20 @@ def test_quality_measures(spark, docs):
         assert r.n_stop_words == stop
 
 
-def brute_runs(texts, least=50):
-    """First windows by content, matches extended both ways, as the operator defines it."""
+def brute_repeats(texts, least=50):
+    """Every run of at least `least` words that equals a run at any earlier place, tried in full."""
     lines = {d: [(i, x, len(words_of(x))) for i, x in enumerate((t or "").split("\n")) if words_of(x)] for d, t in texts.items()}
-    first, out = {}, {d: set() for d in texts}
+    out = {d: set() for d in texts}
     for d in sorted(texts):
-        own, ends = lines[d], []
-        for s in range(len(own)):
-            n = 0
-            for e in range(s, len(own)):
-                n += own[e][2]
-                if n >= least:
-                    ends.append((s, tuple(x[1] for x in own[s : e + 1])))
-                    break
-        for s, key in ends:
-            if key in first:
-                f, t = first[key]
-                lo = hi = s
-                while lo > 0 and lo - s + t > 0 and own[lo - 1][1] == lines[f][lo - 1 - s + t][1]:
-                    lo -= 1
-                while hi < len(own) and hi - s + t < len(lines[f]) and own[hi][1] == lines[f][hi - s + t][1]:
-                    hi += 1
-                out[d] |= {own[i][0] for i in range(lo, hi)}
-            else:
-                first[key] = (d, s)
+        for f in (f for f in sorted(texts) if f <= d):
+            for s in range(len(lines[d])):
+                for t in range(s if f == d else len(lines[f])):
+                    n = words = 0
+                    while s + n < len(lines[d]) and t + n < len(lines[f]) and lines[d][s + n][1] == lines[f][t + n][1]:
+                        words += lines[d][s + n][2]
+                        n += 1
+                    if words >= least:
+                        out[d] |= {lines[d][i][0] for i in range(s, s + n)}
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in out[d]) for d, t in texts.items()}
 
 
@@ -414,30 +404,13 @@ def test_line_dedup_is_brute_forces(spark, docs):
     d = frame(spark, extra).select("doc_id", "text").unionByName(docs.selectExpr("doc_id + 100 AS doc_id", "text"))
     text = {r.doc_id: r.text for r in d.collect()}
     got = {r.doc_id: r for r in linededup.dedup_lines(d).collect()}
-    want = brute_runs(text)
+    want = brute_repeats(text)
     assert {k: r.text for k, r in got.items()} == want
     assert got[5].n_lines == 0 and got[4].n_removed == 0 and got[1].words_removed == 60
     cleaned = linededup.dedup_documents(frame(spark, extra))
     assert cleaned.columns == frame(spark, extra).columns and cleaned.count() == len(extra)
 
 
-def brute_repeats(texts, least=50):
-    """Every run of at least `least` words that equals a run at any earlier place, tried in full."""
-    lines = {d: [(i, x, len(words_of(x))) for i, x in enumerate((t or "").split("\n")) if words_of(x)] for d, t in texts.items()}
-    out = {d: set() for d in texts}
-    for d in sorted(texts):
-        for f in (f for f in sorted(texts) if f <= d):
-            for s in range(len(lines[d])):
-                for t in range(s if f == d else len(lines[f])):
-                    n = words = 0
-                    while s + n < len(lines[d]) and t + n < len(lines[f]) and lines[d][s + n][1] == lines[f][t + n][1]:
-                        words += lines[d][s + n][2]
-                        n += 1
-                    if words >= least:
-                        out[d] |= {lines[d][i][0] for i in range(s, s + n)}
-    return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in out[d]) for d, t in texts.items()}
-
-
 def test_line_dedup_repeats_of_any_earlier_text(spark):
     rng = random.Random(6)
     l1, l2, l0 = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 60), ("b", 10), ("c", 10)))
@@ -445,8 +418,34 @@ def test_line_dedup_repeats_of_any_earlier_text(spark):
     pool = [" ".join(f"p{i}{j}" for j in range(n)) for i, n in enumerate((3, 10, 20, 25, 45, 60))]
     texts += ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9))) for _ in range(30)]
     want = brute_repeats(dict(enumerate(texts)))
-    assert want[2] == "y" and want != brute_runs(dict(enumerate(texts)))
-    assert {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, texts), every=True).collect()} == want
+    assert want[2] == "y"
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, texts)).collect()} == want
+
+
+def test_line_dedup_of_long_and_hot_texts(spark):
+    """Texts of very many equal lines, and a passage that very many texts share, end in linear time."""
+    passage = "\n".join(" ".join(f"p{i}{j}" for j in range(9)) for i in range(8))
+    texts = ["same line here\n" * 100_000, "a b\nc d\n" * 50_000] + [f"head {i}\n{passage}\ntail {i}" for i in range(600)]
+    got = {r.doc_id: r for r in linededup.dedup_lines(frame(spark, texts)).collect()}
+    assert got[0].text == "same line here\n" and got[0].words_removed == 3 * 99_999
+    assert got[1].text == "a b\nc d\n" and got[2].text == texts[2]
+    assert all(got[i].text == f"head {i - 2}\ntail {i - 2}" for i in range(3, 602))
+
+
+def test_line_dedup_keeps_null_and_repeated_rows(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    d = frame(spark, [long + "\nx", long + "\nx", long + "\ny", long, long], doc_id=[3, 3, 3, None, 5])
+    got = Counter((r.doc_id, r.text) for r in linededup.dedup_lines(d).collect())
+    first = [(3, 2, long + "\nx"), (3, 1, long + "\ny")]  # of two texts with one doc_id the one of the lesser hash is the earlier
+    assert got[None, long] == 1 and got[5, ""] == 1 and sum(got.values()) == 5
+    assert any(got[i, t] == n for i, n, t in first) and not all(got[i, t] == n for i, n, t in first)
+
+
+def test_join_hot_is_a_join(spark):
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id % 900 END AS k", "id")
+    table = rows.groupBy("k").count().withColumnRenamed("count", "n").filter("k % 2 = 1").withColumn("v", rows["k"] * 2)
+    got = sorted(tuple(r) for r in components.join_hot(rows, table, ["k"], ["id"]).select("k", "id", "v").collect())
+    assert got == sorted(tuple(r) for r in rows.join(table, "k").select("k", "id", "v").collect())
 
 
 def test_nearest_neighbours(spark):
@@ -497,7 +496,7 @@ def test_pipeline_stages(spark, library, tmp_path):
         docs = out
     langs, lines, near, mix, last = seen
     assert langs[1].filter("lang = 'und'").count() == 0
-    want = brute_runs({r.doc_id: r.text for r in lines[0].collect()})
+    want = brute_repeats({r.doc_id: r.text for r in lines[0].collect()})
     assert {r.doc_id: r.text for r in lines[1].collect()} == {k: t for k, t in want.items() if words_of(t)}
     rows = sorted(near[0].collect(), key=lambda r: r.doc_id)
     kept = [rows[i].doc_id for i, _, _, k in brute_components([r.text for r in rows]) if k]

@@ -36,6 +36,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{_ready_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: A key that more than this share of the rows carry is hot; there are no more hot keys than this.
+HOT_KEYS = 512
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """rows joined on keys with table, which has one row a key and n, the number of rows that carry it (dropped).
+
+    A key that more than 1 in HOT_KEYS of all those rows carry is salted: its rows are dealt by a hash of the
+    columns `spread`, and its row of table is repeated once a salt. Only these keys, at most HOT_KEYS, are
+    broadcast. table should be written before (it is read twice)."""
+    total = table.agg(F.sum("n")).first()[0] or 0
+    most = max(1, total // HOT_KEYS)
+    hot = F.broadcast(table.filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("_salts")))
+    salted = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"))).drop("_salts")
+    repeated = table.drop("n").join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step over edges (a > b). Large: every greater neighbour of a node is tied to the least
     of its neighbourhood. Small: the node and its lesser neighbours are tied to the least of them."""

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .batches import map_batches, whole_texts
-from .components import checkpoint
+from .components import checkpoint, join_hot
 from .shingles import mixed
 
 #: A run of lines counts as a repeat from this many words on.
 MIN_WORDS = 50
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Odd multipliers of the two rolling hashes of a run.
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 ROW = ["doc_id", "text_hash"]
 
 
@@ -24,105 +25,144 @@ def _hash(raw: bytes) -> int:
     return xxhash.xxh3_64_intdigest(raw)
 
 
-def lines_of(text: str) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Numbers, hashes and words of the lines (split at \\n) that have a word."""
+def lines_of(text: str) -> tuple[list[int], list[bytes], list[int]]:
+    """Numbers, bytes and words of the lines (split at \\n) that have a word."""
     parts = [(i, raw, len(raw.split())) for i, raw in enumerate(text.encode().split(b"\n"))]
     parts = [p for p in parts if p[2]]
-    return [p[0] for p in parts], np.array([_hash(p[1]) for p in parts], dtype=np.uint64), np.array([p[2] for p in parts], dtype=np.int64)
-
-
-def windows(hashes: np.ndarray, words: np.ndarray, min_words: int, every: bool = False) -> list[tuple[int, int, int, int]]:
-    """For every line the shortest run from it with min_words words: its start, its end, the place of
-    the least line hash in it (the leftmost of equals), and a hash of the whole run.
-
-    With every, also the shortest run up to each line where that is not the shortest from its own first
-    line. Of the runs with min_words words that hold a line, the least by inclusion are all among these.
-    So a line stands in a run that occurs earlier if and only if it stands in one of these that does."""
-    if not len(hashes):
-        return []
-    upto = np.r_[0, np.cumsum(words)]
-    ends = np.searchsorted(upto, upto[:-1] + min_words)
-    runs = [(s, e) for s, e in enumerate(ends.tolist()) if e <= len(hashes)]
-    if every:
-        starts = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
-        runs += [(s, e) for e, s in enumerate(starts.tolist(), 1) if s >= 0 and ends[s] != e]
-    out = []
-    for start, end in runs:
-        run = hashes[start:end]
-        power = _ODD ** np.arange(1, len(run) + 1, dtype=np.uint64)
-        out.append((start, end, start + int(run.argmin()), int(mixed((mixed(run) * power).sum(dtype=np.uint64, keepdims=True))[0])))
-    return out
+    return [p[0] for p in parts], [p[1] for p in parts], [p[2] for p in parts]
 
 
-def _signed(x) -> list[int]:
-    return np.array(x, dtype=np.uint64).view(np.int64).tolist()
+def _line_hashes(lines: list[bytes]) -> np.ndarray:
+    """Two 64-bit hashes of each line."""
+    import xxhash
 
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(x) for x in lines), dtype="<u8").reshape(-1, 2).T.copy()
+
+
+def _run_hash(values: np.ndarray, odd: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A hash of values[low:high] for each pair of bounds, from running sums."""
+    n = len(values)
+    power = np.cumprod(np.full(n, odd, dtype=np.uint64))
+    back = np.cumprod(np.full(n, pow(odd, -1, 1 << 64), dtype=np.uint64))
+    upto = np.r_[np.uint64(0), np.cumsum(mixed(values) * power, dtype=np.uint64)]
+    return mixed((upto[high] - upto[low]) * back[low])
+
+
+def _least_places(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The place of the least of values[low:high], the leftmost of equals, for each pair of bounds."""
+    width = high - low
+    level = np.frexp(width)[1] - 1  # the greatest power of two that fits
+    place, out = np.arange(len(values)), np.empty(len(low), dtype=np.int64)
+    for k in range(int(level.max(initial=0)) + 1):
+        here = level == k
+        a, b = place[low[here]], place[high[here] - (1 << k)]
+        out[here] = np.where(values[b] < values[a], b, a)
+        a, b = place[: len(place) - (1 << k)], place[1 << k :]
+        place = np.where(values[b] < values[a], b, a)
+    return out
 
-def _line_rows(doc_ids, texts):
-    rows = [(d, t or "") for d, t in zip(doc_ids, texts)]
-    hashes = [lines_of(t)[1].view(np.int64).tolist() for _, t in rows]
-    return doc_ids, _signed([_hash(t.encode()) for _, t in rows]), hashes
 
+def windows(words: np.ndarray, first: np.ndarray, end: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the shortest runs of lines with min_words words, from each line and up to each line, within
+    the text [first, end) of the line. Of the runs with min_words words that hold a line, the least by
+    inclusion are all among these; so a line stands in a run that occurs earlier if and only if it stands in
+    one of these that does."""
+    upto, lines = np.r_[0, np.cumsum(words)], np.arange(len(words))
+    after = np.searchsorted(upto, upto[:-1] + min_words)
+    low, high = lines[after <= end], after[after <= end]
+    before = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
+    new = (before >= first) & (after[np.maximum(before, 0)] != lines + 1)
+    return np.r_[low, before[new]], np.r_[high, lines[new] + 1]
 
-def _window_rows(min_words: int, every: bool):
-    def rows(doc_ids, texts):
-        out = []
-        for d, t in zip(doc_ids, texts):
-            if d is not None and t:
-                _, hashes, words = lines_of(t)
-                own = _hash(t.encode())
-                out += [(d, own, start, int(hashes[low]), key) for start, _, low, key in windows(hashes, words, min_words, every)]
-        d, own, start, low, key = zip(*out) if out else ((), (), (), (), ())
-        return list(d), _signed(own), list(start), _signed(low), _signed(key)
 
-    return rows
+def merged(part: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs [low, high) of each part extended over those that overlap or touch them: part, low, high."""
+    order = np.lexsort((low, part))
+    part, low, high = part[order], low[order], high[order]
+    far = int(high.max(initial=0)) + 1
+    reach = np.maximum.accumulate(part * far + high)
+    starts = np.flatnonzero(np.r_[np.ones(min(1, len(low)), dtype=bool), (low[1:] > reach[:-1] - part[1:] * far)])
+    return part[starts], low[starts], np.maximum.reduceat(reach, starts) - part[starts] * far if len(starts) else low[:0]
 
 
-def extend(lines: list[int], start: int, first: list[int], first_start: int) -> tuple[int, int]:
-    """The longest run of equal lines around the match, as places in `lines`."""
-    low, high, shift = start, start, start - first_start
-    while low > 0 and low - shift > 0 and lines[low - 1] == first[low - 1 - shift]:
-        low -= 1
-    while high < len(lines) and high - shift < len(first) and lines[high] == first[high - shift]:
-        high += 1
-    return low, high
+def _fingerprint_rows(min_words: int):
+    """A row for each selected minimum of a text: its hash and the windows whose minimum it is. A window that
+    stands in its text before is not there; such windows, merged, are a row without a hash."""
 
+    def rows(doc_ids, texts):
+        known = [(d, t) for d, t in zip(doc_ids, texts) if d is not None and t]
+        own = np.array([_hash(t.encode()) for _, t in known], dtype=np.uint64).view(np.int64)
+        ids = np.array([d for d, _ in known], dtype=np.int64)
+        parts = [lines_of(t) for _, t in known]
+        count = np.array([len(p[0]) for p in parts], dtype=np.int64)
+        ends = np.cumsum(count)
+        text_of = np.repeat(np.arange(len(known)), count)
+        first, end = (ends - count)[text_of], ends[text_of]
+        low, high = windows(np.array([w for p in parts for w in p[2]], dtype=np.int64), first, end, min_words)
+        if not len(low):
+            none = pa.array([], pa.list_(pa.int32())), pa.array([], pa.list_(pa.int64()))
+            return [], [], [], none[0], none[0], none[1], none[1]
+        h = _line_hashes([x for p in parts for x in p[1]])
+        k1, k2 = (_run_hash(h[i], _ODD[i], low, high).view(np.int64) for i in (0, 1))
+        text, place = text_of[low], _least_places(h[0], low, high)
+        order = np.lexsort((low, k2, k1, text))
+        again = np.zeros(len(low), dtype=bool)
+        a, b = order[:-1], order[1:]
+        again[b] = (text[a] == text[b]) & (k1[a] == k1[b]) & (k2[a] == k2[b])
+        new = np.flatnonzero(~again)
+        new = new[np.lexsort((low[new], place[new]))]
+        heads = np.flatnonzero(np.r_[True, np.diff(place[new]) > 0])
+        repeats, r_low, r_high = merged(text[again], low[again], high[again])
+        r_heads = np.flatnonzero(np.r_[np.ones(min(1, len(repeats)), dtype=bool), np.diff(repeats) > 0])
+        at = np.r_[text[new[heads]], repeats[r_heads]]
+
+        def lists(a, b, kind):
+            offsets = np.r_[heads, len(new) + r_heads, len(new) + len(repeats)].astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.r_[a, b], type=kind))
+
+        begin = first[low[new]]
+        r_begin = (ends - count)[repeats]
+        none = np.zeros(len(repeats), dtype=np.int64)
+        prints = pa.array([*h[0].view(np.int64)[place[new[heads]]].tolist(), *[None] * len(r_heads)], pa.int64())
+        return (
+            pa.array(ids[at]), pa.array(own[at]), prints, lists(low[new] - begin, r_low - r_begin, pa.int32()), lists(high[new] - begin, r_high - r_begin, pa.int32()),
+            lists(k1[new], none, pa.int64()), lists(k2[new], none, pa.int64()),
+        )
 
-def _extended(doc_ids, text_hashes, starts, lines, first_starts, firsts):
-    spans = [extend(a, s, b, t) for a, s, b, t in zip(lines, starts, firsts, first_starts)]
-    return doc_ids, text_hashes, [s for s, _ in spans], [e for _, e in spans]
+    return rows
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, every: bool = False) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, low, high: runs of lines (places among the lines that have a word) that stand
-    earlier too, in the order of doc_id and place.
-
-    The fingerprints of a text are the least line hashes of its windows, the shortest runs of lines with
-    min_words words. A run of at least min_words words holds a window, so two texts that share one share
-    its fingerprint. Windows whose fingerprint occurs once are done with. The others are joined to the
-    first window of equal lines, by its hash, one partner each, and every match is extended both ways
-    along the line hashes of the two texts.
-
-    Extended so, a match covers what repeats the text with the first occurrence of its window. With every,
-    there are windows up to each line too; each line of a repeated run then stands in a window inside the
-    run, which occurs wherever the run does, and the runs found cover what repeats any earlier text.
-    """
+    earlier too, in the order of doc_id and place. Runs that overlap or touch belong together (see merged).
+
+    1. Winnowing: the windows of a text are its shortest runs of lines with min_words words (see windows); the
+       least line hash of a window is selected, with its position, once for all windows that it is least in.
+    2. Positions of different texts are joined on these fingerprints. Two texts that share a run of min_words
+       words share a window and with it a fingerprint; those that occur in one text only are done with.
+    3. Windows around joined positions are verified by 128 bits of all their lines. Every window is matched with
+       its earliest text, so a run is found whatever texts its parts stand in first, and no pair of texts is
+       compared twice; a match extends both ways over the windows that overlap it and stand earlier too.
+
+    Within one text windows are compared in the task that reads it. Hot fingerprints and windows are combined
+    before the shuffle and salted in the joins."""
     texts = whole_texts(docs).filter("doc_id is not null")
-    found = checkpoint(map_batches(texts, _window_rows(min_words, every), "doc_id long, text_hash long, start int, low long, key long"))
-    found = found.withColumn("place", F.xxhash64(*ROW, "start"))  # a repeated row has the places of its first
-    often = found.groupBy("low").agg(F.min("place").alias("a"), F.max("place").alias("z")).filter("a <> z").select("low")
-    open_ = found.join(often, "low", "left_semi").drop("low")
-    place = F.struct(*ROW, "start")
-    firsts = open_.groupBy("key").agg(F.min(place).alias("first"), F.min("place").alias("a"), F.max("place").alias("z")).filter("a <> z")
-    matches = open_.join(firsts.select("key", "first"), "key").filter(place != F.col("first"))
-    matches = matches.select(*ROW, "start", F.col("first.doc_id").alias("f_doc_id"), F.col("first.text_hash").alias("f_text_hash"), F.col("first.start").alias("f_start"))
-    along = Window.partitionBy(*ROW, "f_doc_id", "f_text_hash", F.col("start") - F.col("f_start")).orderBy("start")
-    heads = matches.withColumn("before", F.lag("start").over(along)).filter("before is null or before < start - 1").drop("before")
-    lines = checkpoint(map_batches(texts, _line_rows, "doc_id long, text_hash long, lines array<long>").dropDuplicates(ROW))
-    both = heads.join(lines, ROW)
-    first_lines = lines.select(F.col("doc_id").alias("f_doc_id"), F.col("text_hash").alias("f_text_hash"), F.col("lines").alias("f_lines"))
-    both = both.join(first_lines, ["f_doc_id", "f_text_hash"])
-    return map_batches(both.select(*ROW, "start", "lines", "f_start", "f_lines"), _extended, "doc_id long, text_hash long, low int, high int")
+    found = checkpoint(map_batches(texts, _fingerprint_rows(min_words), "doc_id long, text_hash long, print long, lows array<int>, highs array<int>, k1s array<long>, k2s array<long>"))
+    text = F.xxhash64(*ROW)  # a repeated row is the same text
+    prints = found.filter("print is not null")
+    often = checkpoint(prints.groupBy("print").agg(F.min(text).alias("a"), F.max(text).alias("z"), F.count("*").alias("n")).filter("a <> z").select("print", "n"))
+    shared = join_hot(prints, often, ["print"], [*ROW, "lows"])
+    opened = shared.select(*ROW, F.explode(F.arrays_zip("lows", "highs", "k1s", "k2s")).alias("w")).select(*ROW, "w.lows", "w.highs", "w.k1s", "w.k2s")
+    opened = checkpoint(opened.toDF(*ROW, "low", "high", "k1", "k2"))
+    place = F.struct(*ROW)
+    firsts = checkpoint(opened.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter("first <> last").select("k1", "k2", "first", "n"))
+    later = join_hot(opened, firsts, ["k1", "k2"], ROW).filter(place != F.col("first")).select(*ROW, "low", "high")
+    inside = found.filter("print is null").select(*ROW, F.explode(F.arrays_zip("lows", "highs")).alias("w")).select(*ROW, F.col("w.lows").alias("low"), F.col("w.highs").alias("high"))
+    return later.unionByName(inside)
+
+
+def _signed(x: list[int]) -> list[int]:
+    return np.array(x, dtype=np.uint64).view(np.int64).tolist()
 
 
 def _packed(texts) -> list[bytes | None]:
@@ -146,7 +186,8 @@ def _cleaned(doc_ids, packed, spans):
             words.append(0)
             continue
         numbers, _, sizes = lines_of(t)
-        gone = {k for r in runs for k in range(r["low"], r["high"])}
+        low, high = (np.array([r[k] for r in runs], dtype=np.int64) for k in ("low", "high"))
+        gone = [k for a, b in zip(*merged(np.zeros_like(low), low, high)[1:]) for k in range(a, b)]
         drop = {numbers[k] for k in gone}
         out.append("\n".join(line for i, line in enumerate(t.split("\n")) if i not in drop))
         removed.append(len(drop))
@@ -154,9 +195,9 @@ def _cleaned(doc_ids, packed, spans):
     return doc_ids, n_lines, removed, words, out
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, every: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, words_removed, text of every row: the text without those runs of lines
-    that repeat an earlier run of at least min_words words (see repeated_runs; with every, any earlier run).
+    that repeat an earlier run of at least min_words words, wherever it stands (see repeated_runs).
 
     Lines without a word neither break a run nor are deleted. The first occurrence of any line stays. A
     null text stays null with no lines; a text of fewer than min_words words, or whose lines are all
@@ -164,11 +205,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, every: bool = False
     to them. Rows of one doc_id and equal text are one document (a repeated row is not its own copy).
     Other columns are ignored; an empty table gives an empty result.
     """
-    joined = _with_spans(whole_texts(docs), min_words, every).select("doc_id", "text", "spans")
+    joined = _with_spans(whole_texts(docs), min_words).select("doc_id", "text", "spans")
     return map_batches(joined, _cleaned, "doc_id long, n_lines long, n_removed long, words_removed long, text string")
 
 
-def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS, every: bool = False) -> DataFrame:
+def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of docs with the text as dedup_lines leaves it."""
     names = docs.columns
     at = names.index("text")
@@ -178,12 +219,12 @@ def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS, every: bool = F
         out[at] = _cleaned(None, columns[at], columns[-1])[-1]
         return out
 
-    return map_batches(_with_spans(docs, min_words, every).select(*names, "spans"), clean, docs.schema)
+    return map_batches(_with_spans(docs, min_words).select(*names, "spans"), clean, docs.schema)
 
 
-def _with_spans(docs: DataFrame, min_words: int, every: bool) -> DataFrame:
+def _with_spans(docs: DataFrame, min_words: int) -> DataFrame:
     """docs with the text packed, text_hash, and spans, the runs to delete (null: none)."""
-    runs = repeated_runs(docs, min_words, every)
+    runs = repeated_runs(docs, min_words)
     # at most a pair for each line of one text
     spans = runs.groupBy(*ROW).agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("spans"))
     at = docs.columns.index("text")
