@@ -19,14 +19,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a determined language and writes the prediction to lang.
 
     The model is fitted on the rows that the query op4 learns from. A text that is null or has no
-    letter is rejected; so is one whose family and language together are as good as undecided."""
+    letter is rejected, and every text if no row is labelled. A null lang is replaced like any other; null or
+    repeated doc_ids and repeated rows stay."""
     model = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
     return langid.label_documents(docs, model).filter(F.col("lang") != langid.UNDETERMINED).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeats of runs of lines; a document of which nothing is left goes."""
-    cleaned = linededup.dedup_documents(docs, every=True)
+    cleaned = linededup.dedup_documents(docs)
     left = cleaned.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
