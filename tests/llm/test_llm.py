@@ -470,6 +470,29 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(d.filter("vec_id < 3"), "vec_id % 20 = 0", 20).count() == 2
 
 
+def test_search_prunes_clustered_vectors_and_multiplies_a_pair_once(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 32))[rng.integers(60, size=3000)] + 0.3 * rng.normal(size=(3000, 32))
+    d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, vector array<double>")
+    classes = ann._classes(d, 21).cache()
+    ask = classes.filter("cls % 20 = 0").select("cls", "vector").cache()
+    polytopes, probes, recall = ann._calibrated(classes, ask, 20, 32, ann.polytopes_for(3000, ann.axes_of(32)))
+    assert polytopes == 2 and recall >= 0.97
+    found = ann.candidates(classes, ask, 3000, 32, polytopes, probes).collect()
+    pairs = {(r.q, r.cls) for r in found}
+    assert len(pairs) == len(found) <= 0.1 * 3000 * 150
+    hits = sum((q, int(i)) in pairs for q in range(0, 3000, 20) for i in np.argsort(-(x @ x[q]))[:20])
+    assert hits >= 0.9 * 20 * 150
+    assert ann.candidates(classes, ask, 5, 32, 1, 1).groupBy("q", "cls").count().filter("count > 1").count() == 0
+
+
+def test_probed_cells_are_the_first_of_all():
+    y = [np.random.default_rng(i).normal(size=8) for i in range(3)]
+    joint = (y[0][:, None, None] + y[1][:, None] + y[2]).ravel()
+    cells, least = ann.probed_cells(y, 40)
+    assert sorted(cells.tolist()) == sorted(np.argsort(-joint)[:40].tolist()) and least == joint[cells].min()
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.linalg.norm(ann.hadamard(x), axis=1) == pytest.approx(np.linalg.norm(x, axis=1))

@@ -10,20 +10,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import map_batches
-from .components import checkpoint
+from .components import checkpoint, join_hot
 
-TABLES = 8
-#: Rows of a bucket, and queries to it, that one task compares at a time.
-CHUNK = 4096
+TABLES = 4
+#: Cross-polytopes that a table concatenates: as many as the rows ask for, and at most this many.
+POLYTOPES = 4
+#: Rows, and queries, that one task compares at a time.
+CHUNK = 8192
 #: Probes are set so that this share of the true neighbours of at most SAMPLE queries is found.
 RECALL, SAMPLE = 0.97, 64
+#: A table with up to this many cells may be probed in all of them, a larger one in MOST_PROBES.
+ALL_CELLS, MOST_PROBES = 1 << 14, 1 << 11
 #: Copies of a vector are gathered in this many parts first.
 SALTS = 12
 
 
 @functools.cache
-def _signs(dim: int, tables: int) -> np.ndarray:
-    return np.random.RandomState(7).choice([-1.0, 1.0], size=(tables, 3, dim))
+def _signs(dim: int) -> np.ndarray:
+    return np.random.RandomState(7).choice([-1.0, 1.0], size=(TABLES, POLYTOPES, 3, dim))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -37,27 +41,50 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(width)
 
 
-def rotated(x: np.ndarray, table: int, tables: int = TABLES) -> np.ndarray:
-    """A pseudo-rotation of unit vectors: three rounds of random signs and a Hadamard transform."""
-    width = 1 << max(1, (x.shape[1] - 1).bit_length())
-    y = np.zeros((len(x), width))
+def axes_of(dim: int) -> int:
+    """Signed axes of a cross-polytope for vectors of dim components."""
+    return 2 << max(1, (dim - 1).bit_length())
+
+
+def polytopes_for(rows: int, axes: int) -> int:
+    """Polytopes to a table: cells about as many as rows, or as may all be probed."""
+    return max(2 if axes**2 <= ALL_CELLS else 1, min(POLYTOPES, round(np.log(max(2, rows)) / np.log(axes))))
+
+
+def rotated(x: np.ndarray, table: int, polytope: int) -> np.ndarray:
+    """The components of unit vectors along every signed axis (2 * axis, plus 1 on its negative side) of a
+    pseudo-rotation: three rounds of random signs and a Hadamard transform."""
+    y = np.zeros((len(x), axes_of(x.shape[1]) // 2))
     y[:, : x.shape[1]] = x / np.linalg.norm(x, axis=1, keepdims=True)
-    for signs in _signs(width, tables)[table]:
+    for signs in _signs(y.shape[1])[table, polytope]:
         y = hadamard(y * signs)
-    return y
+    return np.stack([y, -y], axis=2).reshape(len(y), -1)
+
+
+def nearest_axes(x: np.ndarray, polytopes: int) -> np.ndarray:
+    """The nearest signed axis in each table and polytope: rows x TABLES x polytopes."""
+    return np.stack([np.stack([rotated(x, t, p).argmax(1) for p in range(polytopes)], 1) for t in range(TABLES)], 1)
 
 
-def buckets(x: np.ndarray, table: int) -> np.ndarray:
-    """The nearest signed axis: 2 * axis, plus 1 on its negative side."""
-    y = rotated(x, table)
-    axis = np.abs(y).argmax(1)
-    return 2 * axis + (y[np.arange(len(y)), axis] < 0)
+def cell_numbers(axes: np.ndarray, n: int) -> np.ndarray:
+    """The cells of concatenated axes (last dimension), n axes to a polytope."""
+    out = axes[..., 0].astype(np.int64)
+    for p in range(1, axes.shape[-1]):
+        out = out * n + axes[..., p]
+    return out
 
 
-def probe_order(x: np.ndarray, table: int) -> np.ndarray:
-    """All buckets of a table for each row, nearest signed axis first."""
-    y = rotated(x, table)
-    return np.argsort(-np.stack([y, -y], axis=2).reshape(len(y), -1), axis=1, kind="stable")
+def probed_cells(along: list[np.ndarray], probes: int) -> tuple[np.ndarray, float]:
+    """The cells of one table whose joint score for a query is among the `probes` greatest, and the least such
+    score. The joint score is the sum of the query's components along the cell's axes. A cell among the first
+    has its shorter cell among the first of the shorter table, so each polytope extends only those."""
+    cells, score = np.zeros(1, dtype=np.int64), np.zeros(1)
+    for y in along:
+        cells, score = (cells[:, None] * len(y) + np.arange(len(y))).ravel(), (score[:, None] + y).ravel()
+        if len(score) > probes:
+            least = np.partition(score, len(score) - probes)[len(score) - probes]
+            cells, score = cells[score >= least], score[score >= least]
+    return cells, float(score.min())
 
 
 def _vectors(df: DataFrame, id_column: str, column: str) -> DataFrame:
@@ -82,60 +109,134 @@ def _matrix(column) -> np.ndarray:
     return np.array(column, dtype=np.float64)
 
 
-def _needed_probes(classes: DataFrame, queries: DataFrame, k: int, width: int) -> int:
-    """Probes for a table that find RECALL of the exact neighbours of at most SAMPLE queries, compared
-    with all rows in one pass; the sampled vectors travel with the task."""
-    sample = [r["vector"] for r in queries.orderBy(F.xxhash64("cls")).limit(SAMPLE).collect()]
+def _calibrated(classes: DataFrame, queries: DataFrame, k: int, dim: int, most: int) -> tuple[int, int, float]:
+    """Polytopes and probes a table, and the recall then: the most polytopes, and with them the fewest probes,
+    that find RECALL of the exact neighbours of at most SAMPLE queries. These are compared with all rows in one
+    pass, in which the sampled vectors travel with the tasks."""
+    sample = queries.orderBy(F.xxhash64("cls")).limit(SAMPLE).collect()
     if not sample:
-        return 1
-    q = _matrix(sample)
-    place = np.empty((TABLES, len(q), width), dtype=np.int64)
-    for t in range(TABLES):
-        np.put_along_axis(place[t], probe_order(q, t), np.arange(width)[None, :], axis=1)
+        return 1, 1, 1.0
+    q, own, n = _matrix([r["vector"] for r in sample]), np.array([r["cls"] for r in sample]), axes_of(dim)
 
     def best(cls, vectors):
         x = _matrix(vectors)
-        score = q @ x.T
-        least = np.min([place[t][:, buckets(x, t)] for t in range(TABLES)], axis=0)
+        score = np.where(np.array(cls)[None, :] == own[:, None], -np.inf, q @ x.T)
         top = np.argsort(-score, axis=1)[:, :k]
-        n = top.shape[1]
-        return np.repeat(np.arange(len(q)), n).tolist(), np.take_along_axis(score, top, 1).ravel().tolist(), np.take_along_axis(least, top, 1).ravel().tolist()
+        axes = nearest_axes(x, most).reshape(len(x), -1)
+        return np.repeat(np.arange(len(q)), top.shape[1]).tolist(), np.take_along_axis(score, top, 1).ravel().tolist(), axes[top.ravel()].tolist()
 
-    near = map_batches(classes.select("cls", "vector"), best, "q int, score double, probe int")
+    near = map_batches(classes.select("cls", "vector"), best, "q int, score double, axes array<int>").filter("score > double('-Infinity')")
     ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score")))).filter(F.col("n") <= k)
-    probes = sorted(r["probe"] for r in ranked.select("probe").collect())  # SAMPLE * k rows at most
-    return int(probes[min(len(probes) - 1, int(RECALL * len(probes)))]) + 1
-
-
-def _search(k: int):
+    found = ranked.select("q", "axes").collect()  # SAMPLE * k rows at most
+    if not found:
+        return 1, 1, 1.0
+    of, axes = np.array([r["q"] for r in found]), np.array([r["axes"] for r in found]).reshape(len(found), TABLES, most)
+    along = [[rotated(q, t, p) for p in range(most)] for t in range(TABLES)]
+    for polytopes in range(most, 0, -1):
+        cells = n**polytopes
+        limit = cells if cells <= ALL_CELLS or polytopes == 1 else MOST_PROBES
+        place = np.full(len(found), limit)
+        for t in range(TABLES):
+            for i in np.unique(of):
+                some, _ = probed_cells([along[t][p][i] for p in range(polytopes)], limit)
+                joint = np.sort(sum(along[t][p][i][some // n ** (polytopes - 1 - p) % n] for p in range(polytopes)))
+                here = of == i
+                score = sum(along[t][p][i][axes[here, t, p]] for p in range(polytopes))
+                place[here] = np.minimum(place[here], len(joint) - np.searchsorted(joint, score, side="right"))
+        place.sort()
+        probes = int(place[min(len(place) - 1, int(RECALL * len(place)))]) + 1
+        if probes <= limit:
+            return polytopes, probes, float((place < probes).mean())
+    raise AssertionError("a table of one polytope can be probed whole")
+
+
+def _search(k: int, polytopes: int):
     def search(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
+        """The k nearest candidates of each query among the rows of one block of one table. A candidate is a row
+        whose cell the query probes in this table and in none before, so no pair is multiplied twice."""
+        empty = pa.table({"q": pa.array([], pa.int64()), "cls": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "tried": pa.array([], pa.int64())})
         if not queries.num_rows or not rows.num_rows:
-            return pa.table({"q": pa.array([], pa.int64()), "cls": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+            return empty
         q, x = _matrix(queries["vector"].to_pylist()), _matrix(rows["vector"].to_pylist())
-        q_ids, ids = queries["q"].to_numpy(), rows["cls"].to_numpy()
+        q_ids, ids, least, table = queries["q"].to_numpy(), rows["cls"].to_numpy(), _matrix(queries["least"].to_pylist()), rows["tab"][0].as_py()
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
-        out_q, out_c, out_s = [], [], []
-        for at in range(0, len(q), 512):
-            score = q[at : at + 512] @ x.T
-            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-            out_q.append(np.repeat(q_ids[at : at + 512], top.shape[1]))
-            out_c.append(ids[top].ravel())
-            out_s.append(np.take_along_axis(score, top, 1).ravel())
-        return pa.table({"q": np.concatenate(out_q), "cls": np.concatenate(out_c), "score": np.concatenate(out_s)})
+        axes = nearest_axes(x, polytopes)
+        out = []
+        for at in range(0, len(q), 256):
+            part, open_ = q[at : at + 256], None
+            for t in range(table, -1, -1):
+                joint = sum(rotated(part, t, p)[:, axes[:, t, p]] for p in range(polytopes))
+                probed = joint >= least[at : at + 256, t, None]
+                open_ = probed if open_ is None else open_ & ~probed
+            for i, row in enumerate(open_):
+                near = np.flatnonzero(row)
+                if not len(near):
+                    continue
+                tried, score = len(near), x[near] @ part[i]
+                if tried > k:
+                    bound = np.partition(score, tried - k)[tried - k]
+                    inside = np.r_[np.flatnonzero(score > bound), np.flatnonzero(score == bound)][:k]
+                    near, score = near[inside], score[inside]
+                out.append((np.full(len(near), q_ids[at + i]), ids[near], score, np.full(len(near), tried)))
+        if not out:
+            return empty
+        return pa.table(dict(zip(("q", "cls", "score", "tried"), map(np.concatenate, zip(*out)))))
 
     return search
 
 
+def _dealt(side: DataFrame, blocks: DataFrame, own: str, other: str, id_column: str) -> DataFrame:
+    """side in blocks of bounded size: a row in its own part, once for each part of the other side."""
+    d = join_hot(side, blocks.select("tab", "place", F.col(f"n_{own}").alias("n"), "rows", "queries"), ["tab", "place"], [id_column])
+    d = d.withColumn(f"{own}_part", F.pmod(F.xxhash64(id_column), F.col(own)).cast("int"))
+    return d.withColumn(f"{other}_part", F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("rows", "queries")
+
+
+def candidates(classes: DataFrame, ask: DataFrame, k: int, dim: int, polytopes: int, probes: int) -> DataFrame:
+    """q, cls, score, tried: of each query and block the k best of the candidates that were multiplied (tried).
+
+    A table's cells lie in order in as many places as the rows fill chunks; a row goes to one place of each
+    table, a query, with its vector, once to every place of a table that holds a cell that it probes."""
+    n = axes_of(dim)
+    cells, places = n**polytopes, max(1, -(-classes.count() // CHUNK))
+
+    def place_of(cell: np.ndarray) -> np.ndarray:
+        return (cell / cells * min(places, cells)).astype(np.int64)
+
+    def hashed(cls, vectors):
+        place = place_of(cell_numbers(nearest_axes(_matrix(vectors), polytopes), n))
+        return [c for c in cls for _ in range(TABLES)], [v for v in vectors for _ in range(TABLES)], list(range(TABLES)) * len(cls), place.ravel().tolist()
+
+    def probing(cls, vectors):
+        x, out = _matrix(vectors), []
+        along = [[rotated(x, t, p) for p in range(polytopes)] for t in range(TABLES)]
+        for i, c in enumerate(cls):
+            found = [probed_cells([y[i] for y in table], probes) for table in along]
+            least = [score for _, score in found]
+            out += [(c, vectors[i], least, t, p) for t, (some, _) in enumerate(found) for p in np.unique(place_of(some)).tolist()]
+        return [list(x) for x in zip(*out)] if out else [[]] * 5
+
+    index = checkpoint(map_batches(classes.select("cls", "vector"), hashed, "cls long, vector array<double>, tab int, place long"))
+    asked = checkpoint(map_batches(ask, probing, "q long, vector array<double>, least array<double>, tab int, place long"))
+    count = lambda df, name: df.groupBy("tab", "place").agg(F.count("*").alias(f"n_{name}"), F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
+    blocks = checkpoint(count(index, "rows").join(count(asked, "queries"), ["tab", "place"]))
+    key = ["tab", "place", "rows_part", "queries_part"]
+    left, right = _dealt(asked, blocks, "queries", "rows", "q"), _dealt(index, blocks, "rows", "queries", "cls")
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_search(k, polytopes), "q long, cls long, score double, tried long")
+
+
 def nearest(df: DataFrame, queries, k: int = 20, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows, by inner product in double precision, of each
     row that the condition `queries` (over column vec_id) picks; itself excepted, nearest first, ties to
     the smaller vec_id.
 
-    Equal vectors form one class, with the few smallest ids that can matter. Each class is hashed in
-    TABLES tables; a query looks into the buckets of its nearest signed axes, as many as a calibration
-    on a bounded sample of queries asks for. A bucket is searched in chunks of bounded size, each giving
-    at most k + 1 rows a query, so that neither a hot bucket nor a hot vector meets in one task.
+    Equal vectors form one class, with the few smallest ids that can matter. Each class is hashed in TABLES
+    tables, whose cells are concatenated cross-polytopes, as many as the number of rows asks for; a query looks
+    into the cells of the greatest joint scores. A calibration on a bounded sample of queries sets the number of
+    probes, and takes fewer polytopes where these would need too many. Cells are searched in blocks of bounded
+    numbers of rows and queries, each giving at most k + 1 rows a query, so that neither a hot cell nor a hot
+    vector meets in one task; a pair that meets in several tables is multiplied in the first.
 
     Vectors that are null, zero, hold null or non-finite components, or are not of the commonest length
     take no part; rows with a null vec_id neither. A repeated vec_id is two rows, neither of which finds
@@ -148,29 +249,9 @@ def nearest(df: DataFrame, queries, k: int = 20, id_column: str = "vec_id", colu
     rows = rows.filter(F.size("vector") == dim)
     classes = checkpoint(_classes(rows, k + 1))
     asked = rows.filter(queries).select("vec_id", "vector")
-    width = 2 << max(1, (dim - 1).bit_length())
     ask = checkpoint(classes.join(asked.select("vector").distinct(), "vector", "left_semi").select("cls", "vector"))
-    probes = _needed_probes(classes, ask, k, width)
-
-    def hashed(cls, vectors):
-        x = _matrix(vectors)
-        return [c for c in cls for _ in range(TABLES)], [v for v in vectors for _ in range(TABLES)], list(range(TABLES)) * len(cls), np.stack([buckets(x, t) for t in range(TABLES)], 1).ravel().tolist()
-
-    def probing(cls, vectors):
-        x = _matrix(vectors)
-        near = np.stack([probe_order(x, t)[:, :probes] for t in range(TABLES)], 1)
-        each = near.shape[1] * near.shape[2]
-        return [c for c in cls for _ in range(each)], [v for v in vectors for _ in range(each)], np.tile(np.repeat(np.arange(TABLES), near.shape[2]), len(cls)).tolist(), near.ravel().tolist()
-
-    index = checkpoint(map_batches(classes.select("cls", "vector"), hashed, "cls long, vector array<double>, tab int, bucket int"))
-    # at most TABLES * width rows
-    sizes = F.broadcast(index.groupBy("tab", "bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")))
-    index = index.join(sizes, ["tab", "bucket"]).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-    probe = map_batches(ask, probing, "q long, vector array<double>, tab int, bucket int")
-    probe = probe.join(sizes, ["tab", "bucket"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    key = ["tab", "bucket", "chunk"]
-    found = probe.select(*key, "q", "vector").groupBy(*key).cogroup(index.select(*key, "cls", "vector").groupBy(*key)).applyInArrow(_search(k + 1), "q long, cls long, score double")
-    found = found.groupBy("q", "cls").agg(F.max("score").alias("score"))
+    polytopes, probes, _ = _calibrated(classes, ask, k, dim, polytopes_for(classes.count(), axes_of(dim)))
+    found = candidates(classes, ask, k + 1, dim, polytopes, probes)
     top = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))).filter(F.col("n") <= k + 1)
     members = top.join(classes.select("cls", "ids"), "cls").select("q", "score", F.explode("ids").alias("vec_id"))
     members = members.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") <= k + 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,13 +11,12 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .batches import map_batches, whole_texts
-from .components import checkpoint, components
+from .components import checkpoint, components, join_hot
 
-#: Members of a bucket are compared in blocks of about this many.
-BLOCK = 512
-#: Pairs whose signatures agree in fewer coordinates are not linked: six standard deviations below
-#: what a similarity at the threshold gives.
-SIGMAS = 6
+#: A center's pairs are verified in parts of about this many shingles.
+PART = 1 << 20
+#: Members of a group that shares a shingle are compared in blocks of about this many.
+BLOCK = 4096
 
 
 def _sketch(doc_ids, texts):
@@ -29,88 +30,87 @@ def _sketch(doc_ids, texts):
     return doc_ids, [len(s) for s in sets], [a for a, _ in keys], [b for _, b in keys], pa.ListArray.from_arrays(offsets, pa.array(bands.reshape(-1)))
 
 
-def _links(percent: int):
-    def check(a, b, texts_a, texts_b):
-        out, at, set_a = [], None, None
-        for x, ta, tb in zip(a, texts_a, texts_b):
-            if x != at or set_a is None:  # rows come in order of a
-                at, set_a = x, shingles.shingle_set(ta)
-            out.append(shingles.linked(set_a, shingles.shingle_set(tb), percent))
-        return a, b, out
+def _checked(percent: int):
+    """Rows (a, part, b, text) in order, each part led by its center (b null), to a, b, linked."""
+
+    def check(batches):
+        at, centers = None, []
+        for batch in batches:
+            out = []
+            for a, part, b, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if b is None:  # several texts may share the id
+                    centers = [*(centers if at == (a, part) else []), shingles.shingle_set(text)]
+                    at = (a, part)
+                elif at == (a, part):
+                    own = shingles.shingle_set(text)
+                    out.append((a, b, any(shingles.linked(c, own, percent) for c in centers)))
+            columns = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))], ["a", "b", "linked"])
 
     return check
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets reach the threshold. texts: doc_id, text."""
-    b_side = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = b_side.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    checked = map_batches(both.select("a", "b", "text_a", "text_b"), _links(percent), "a long, b long, linked boolean")
-    return checked.filter("linked").select("a", "b")
-
-
-def _agreeing(percent: int):
-    """Bits of unlike coordinates agree by chance in half of the cases, so the product of two rows of
-    +1 and -1 counts, on average, BITS for each coordinate that agrees."""
-    j, n = percent / 100, shingles.COORDINATES
-    spread = np.sqrt(n * j * (1 - j)) + np.sqrt(n * (1 - j) / shingles.BITS)
-    least = shingles.BITS * (n * j - SIGMAS * spread)
-
-    def compare(table: pa.Table) -> pa.Table:
-        """Pairs of one block pair that lie in different components and reach the threshold on short hashes."""
-        node, part, side, size = (table[c].to_numpy() for c in ("node", "component", "side", "size"))
-        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), dtype=np.uint8).reshape(len(node), -1)
-        sign = np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        near = sign[left] @ sign[right].T >= least
-        near &= part[left][:, None] != part[right][None, :]
-        sets = [np.frombuffer(x, dtype=np.uint32) for x in table["short"].to_pylist()]
-        lengths = np.array([len(x) for x in sets])
-        words, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        ends = np.cumsum(lengths)
-        here, a, b = np.zeros(len(words), dtype=np.int32), [], []
-        for x, row in zip(left, near):
-            others = right[row]
-            if not len(others):
-                continue
-            here[flat[ends[x] - lengths[x] : ends[x]]] = 1
-            taken = here[np.concatenate([flat[ends[o] - lengths[o] : ends[o]] for o in others])]
-            both = np.add.reduceat(taken, np.r_[0, np.cumsum(lengths[others])[:-1]])
-            here[flat[ends[x] - lengths[x] : ends[x]]] = 0
-            # short hashes that fell together in a set can hide as many common shingles
-            both = both + np.minimum(size[x] - lengths[x], size[others] - lengths[others])
-            hits = others[100 * both >= percent * (size[x] + size[others] - both)]
-            a.append(np.full(len(hits), node[x]))
-            b.append(node[hits])
-        a, b = np.concatenate([*a, np.empty(0, np.int64)]), np.concatenate([*b, np.empty(0, np.int64)])
-        return pa.table({"a": np.minimum(a, b).astype(np.int64), "b": np.maximum(a, b).astype(np.int64)})
-
-    return compare
-
-
-def _rest(members: DataFrame, parts: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of buckets that still hold several components.
-
-    members: band, node, center, n. All pairs of a bucket that are neither in one component nor with
-    the bucket's center, which is verified, are compared by signature, in blocks of bounded size."""
-    placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    others = placed.filter("node <> center")
-    open_ = others.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).filter("low <> high")
-    left = checkpoint(others.join(open_.select("band", "m"), "band").select("band", "node", "component", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    signed = map_batches(texts.join(left.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), _signed, "node long, bits binary, size long, short binary")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    """The pairs (a, b; with size_a, size_b, the sizes of their sets) whose whole shingle sets reach the
+    threshold. texts: doc_id, text. Sizes alone refute many. The others are dealt by a, and in parts where a has
+    many, so that the text of a travels once a part."""
+    near = checkpoint(pairs.filter(F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent).select("a", "b", "size_b").distinct())
+    per = checkpoint(near.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.sum("size_b") / PART).cast("int").alias("parts")))
+    dealt = join_hot(near, per, ["a"], ["b"]).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    members = dealt.join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
+    centers = per.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"))
+    centers = centers.join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
+    both = members.select("a", "part", "b", "text").unionByName(centers.select("a", "part", "b", "text"))
+    ordered = both.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    return ordered.mapInArrow(_checked(percent), "a long, b long, linked boolean").filter("linked").select("a", "b")
+
+
+def _text_hash(text: str | None) -> int:
+    return zlib.crc32((text or "").encode())
+
+
+def _shingle_rows(doc_ids, texts):
+    sets = [shingles.shingle_set(t).view(np.int64).tolist() for t in texts]
+    return doc_ids, [_text_hash(t) for t in texts], [len(s) for s in sets], sets
+
+
+def _open_nodes(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """node, component of the members of buckets that still hold several components beside their center's pairs."""
+    placed = members.filter("node <> center").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = checkpoint(placed.select("band", "node", "component"))
+    per = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    per = checkpoint(per.filter("low <> high").select("band", "n"))
+    return join_hot(placed, per, ["band"], ["node"]).select("node", "component").distinct()
+
+
+def _rest(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """a, b, size_a, size_b: pairs of nodes (node, component) of different components, none of which that reaches
+    the threshold is left out.
+
+    Shingles are put in one order: first those that occur in one component only, then by how many nodes hold
+    them. If two sets of m and n shingles share o >= percent (m + n) / (100 + percent) of them, the first that
+    they share stands at most at m - o and n - o (from 0) in the two; so only so many of the first shingles of a
+    set are compared, and pairs by sizes and places. Groups of a shingle are compared in blocks of bounded size."""
+    sets = map_batches(texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), _shingle_rows, "node long, text_hash long, size long, shingles array<long>")
+    held = checkpoint(sets.join(nodes, "node"))
+    each = held.select("node", "text_hash", "component", "size", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    often = checkpoint(often.filter("low <> high").select("shingle", "n", F.col("n").alias("f")))
+    shared = join_hot(each, often, ["shingle"], ["node"])
+    listed = shared.groupBy("node", "text_hash", "component", "size").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("list"))
+    # of the shingles before `alone` + place none is shared with another component
+    first = listed.withColumn("alone", F.col("size") - F.size("list")).withColumn("most", F.expr(f"size - (size * {percent} + 99) div 100 + 1 - alone"))
+    first = first.filter("most > 0").select("node", "component", "size", "alone", F.posexplode(F.expr("slice(list, 1, CAST(most AS INT))")).alias("i", "s"))
+    first = checkpoint(first.select("node", "component", "size", (F.col("alone") + F.col("i")).alias("place"), "s.shingle"))
+    groups = first.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    groups = checkpoint(groups.select("shingle", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    dealt = checkpoint(join_hot(first, groups, ["shingle"], ["node"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = left.withColumn("own", own).withColumn("other", other).select(
-        "band", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side")
-    )
-    full = dealt.join(signed, "node").select("band", "i", "j", "side", "node", "component", "bits", "size", "short")
-    return full.groupBy("band", "i", "j").applyInArrow(_agreeing(percent), "a long, b long").filter("a <> b").distinct()
-
-
-def _signed(doc_ids, texts):
-    sets = list(map(shingles.shingle_set, texts))
-    bits = [shingles.signature_bits(shingles.signature(s)) for s in sets]
-    return doc_ids, bits, [len(s) for s in sets], [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
+    side = lambda s, i, j: dealt.withColumn(j, other).select("shingle", F.col("own").alias(i), j, *[F.col(c).alias(f"{s}_{c}") for c in ("node", "component", "size", "place")])
+    both = side("a", "i", "j").join(side("b", "j", "i"), ["shingle", "i", "j"]).filter("a_node < b_node and a_component <> b_component")
+    share = "least(a_size - a_place, b_size - b_place)"  # what they can share from here on
+    both = both.filter(f"100 * least(a_size, b_size) >= {percent} * greatest(a_size, b_size) and {100 + percent} * {share} >= {percent} * (a_size + b_size)")
+    return both.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_size").alias("size_a"), F.col("b_size").alias("size_b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -122,10 +122,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     2. Documents of equal sets form a class under their least doc_id; only classes go on.
     3. In every bucket all members are paired with the least one (linear, hot buckets too), and the
        pairs verified on the full sets; the links give first components.
-    4. Pairs of a bucket that are still in different components, and not yet verified, are compared in
-       blocks, by signature and then by the sets in 32-bit hashes; those that reach the threshold so
-       are verified too, on the full sets. So each pair that
-       shares a band is linked, refuted, or in one component already.
+    4. Members of buckets that still hold several components are compared with those of other components by
+       their first shingles in a common order, which leaves out no pair at the threshold, and the pairs that
+       remain are verified on the full sets. So each pair that shares a band is linked, refuted by an exact
+       bound or in full, or in one component already.
     5. Components of all links; kept is doc_id = component_id.
 
     A text that is null or has no words has no shingles, links with nothing and is its own component.
@@ -137,14 +137,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sketches = checkpoint(map_batches(texts, _sketch, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"))
     key = ["n_shingles", "k1", "k2"]
     classes = checkpoint(sketches.filter("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
-    banded = classes.filter("node is not null").select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("center"), F.max("node").alias("last"), F.count("*").alias("n")).filter("center < last")
-    members = checkpoint(banded.join(buckets.select("band", "center", "n"), "band"))
-    pairs = members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    banded = classes.filter("node is not null").select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
+    least = F.min(F.struct("node", "size"))
+    buckets = banded.groupBy("band").agg(least.alias("c"), F.max("node").alias("last"), F.count("*").alias("n")).filter("c.node < last")
+    buckets = checkpoint(buckets.select("band", F.col("c.node").alias("center"), F.col("c.size").alias("center_size"), "n"))
+    members = checkpoint(join_hot(banded, buckets, ["band"], ["node"]))
+    pairs = members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b"), F.col("center_size").alias("size_a"), F.col("size").alias("size_b"))
     needed = checkpoint(texts.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     links = checkpoint(verify(pairs, needed, percent))
-    parts = components(links)
-    more = checkpoint(verify(_rest(members, parts, needed, percent), needed, percent))
+    nodes = checkpoint(_open_nodes(members, components(links)))
+    more = checkpoint(verify(_rest(nodes, needed, percent), needed, percent))
     parts = components(links.unionByName(more)).withColumnRenamed("component", "component_id")
     named = classes.select(*key, "node").join(parts, "node", "left").select(*key, F.coalesce("component_id", "node").alias("component_id"))
     out = sketches.select("doc_id", *key).join(named, key, "left")

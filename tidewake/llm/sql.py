@@ -42,4 +42,30 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({_KEPT}, false) AS kept FROM b
 """
 
-SQL = {"op7_source_mixing": MIXING, "op8_quality_rules": QUALITY}
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, '{_LETTERS}', '{_LETTERS.lower()}'), {WORDS}) AS words FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN [array_to_string(words[i : i + 4], ' ') FOR i IN range(1, len(words) - 3)] WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(shingle) AS n_shingles FROM documents LEFT JOIN g USING (doc_id) GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n_shingles + y.n_shingles - shared)),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT doc_id, n_shingles, min(b) AS component_id, min(b) = doc_id AS kept FROM n JOIN r ON r.a = doc_id GROUP BY doc_id, n_shingles
+"""
+
+LINE_DEDUP = f"""
+WITH l AS (SELECT doc_id, i, lines[i] AS line, CAST(len(regexp_extract_all(lines[i], {WORDS})) AS BIGINT) AS words FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
+p AS (SELECT *, row_number() OVER d AS k, sum(words) OVER d AS upto FROM l WHERE words > 0 WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT s.doc_id, s.k AS first, e.k AS last FROM p s JOIN p e ON s.doc_id = e.doc_id AND s.k <= e.k
+  WHERE e.upto - s.upto + s.words >= 50 AND (e.upto - e.words - s.upto + s.words < 50 OR e.upto - s.upto < 50)),
+texts AS (SELECT runs.doc_id, first, last, string_agg(line, chr(10) ORDER BY k) AS run FROM runs JOIN p ON p.doc_id = runs.doc_id AND k BETWEEN first AND last GROUP BY ALL),
+later AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, first) AS place FROM texts) WHERE place > 1),
+gone AS (SELECT DISTINCT p.doc_id, i FROM later JOIN p ON p.doc_id = later.doc_id AND k BETWEEN first AND last),
+marked AS (SELECT l.*, gone.i IS NOT NULL AS deleted FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.i = l.i)
+SELECT d.doc_id, count(i) AS n_lines, count(i) FILTER (deleted) AS n_removed, CAST(coalesce(sum(words) FILTER (deleted), 0) AS BIGINT) AS words_removed,
+  CASE WHEN any_value(d.text) IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT deleted), '') END AS text
+FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+SQL = {"op6_minhash_dedup": NEAR_DUPLICATES, "op7_source_mixing": MIXING, "op8_quality_rules": QUALITY, "op9_line_dedup": LINE_DEDUP}
