@@ -145,9 +145,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     pairs = members.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b"), F.col("center_size").alias("size_a"), F.col("size").alias("size_b"))
     needed = checkpoint(texts.join(members.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     links = checkpoint(verify(pairs, needed, percent))
-    nodes = checkpoint(_open_nodes(members, components(links)))
-    more = checkpoint(verify(_rest(nodes, needed, percent), needed, percent))
-    parts = components(links.unionByName(more)).withColumnRenamed("component", "component_id")
+    parts = components(links)
+    nodes = checkpoint(_open_nodes(members, parts))
+    if not nodes.isEmpty():
+        more = checkpoint(verify(_rest(nodes, needed, percent), needed, percent))
+        parts = parts if more.isEmpty() else components(links.unionByName(more))
+    parts = parts.withColumnRenamed("component", "component_id")
     named = classes.select(*key, "node").join(parts, "node", "left").select(*key, F.coalesce("component_id", "node").alias("component_id"))
     out = sketches.select("doc_id", *key).join(named, key, "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
