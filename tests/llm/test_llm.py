@@ -486,6 +486,14 @@ def test_search_prunes_clustered_vectors_and_multiplies_a_pair_once(spark):
     assert ann.candidates(classes, ask, 5, 32, 1, 1).groupBy("q", "cls").count().filter("count > 1").count() == 0
 
 
+def test_search_in_steps_is_the_search_in_one(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(1200, 16))
+    d = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = {tuple(r) for r in ann.nearest(d, "vec_id % 20 = 0", 7).select("query_id", "rank", "vec_id").collect()}
+    monkeypatch.setattr(ann, "CHUNK", 64)
+    assert {tuple(r) for r in ann.nearest(d, "vec_id % 20 = 0", 7).select("query_id", "rank", "vec_id").collect()} == whole
+
+
 def test_probed_cells_are_the_first_of_all():
     y = [np.random.default_rng(i).normal(size=8) for i in range(3)]
     joint = (y[0][:, None, None] + y[1][:, None] + y[2]).ravel()

@@ -158,6 +158,7 @@ def _search(k: int, polytopes: int):
         if not queries.num_rows or not rows.num_rows:
             return empty
         q, x = _matrix(queries["vector"].to_pylist()), _matrix(rows["vector"].to_pylist())
+        bound = queries["bound"].to_numpy()
         q_ids, ids, least, table = queries["q"].to_numpy(), rows["cls"].to_numpy(), _matrix(queries["least"].to_pylist()), rows["tab"][0].as_py()
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
@@ -174,10 +175,11 @@ def _search(k: int, polytopes: int):
                 if not len(near):
                     continue
                 tried, score = len(near), x[near] @ part[i]
-                if tried > k:
-                    bound = np.partition(score, tried - k)[tried - k]
-                    inside = np.r_[np.flatnonzero(score > bound), np.flatnonzero(score == bound)][:k]
-                    near, score = near[inside], score[inside]
+                inside = np.flatnonzero(score >= bound[at + i])
+                if len(inside) > k:
+                    last = np.partition(score[inside], len(inside) - k)[len(inside) - k]
+                    inside = np.r_[inside[score[inside] > last], inside[score[inside] == last]][:k]
+                near, score = near[inside], score[inside]
                 out.append((np.full(len(near), q_ids[at + i]), ids[near], score, np.full(len(near), tried)))
         if not out:
             return empty
@@ -194,7 +196,8 @@ def _dealt(side: DataFrame, blocks: DataFrame, own: str, other: str, id_column:
 
 
 def candidates(classes: DataFrame, ask: DataFrame, k: int, dim: int, polytopes: int, probes: int) -> DataFrame:
-    """q, cls, score, tried: of each query and block the k best of the candidates that were multiplied (tried).
+    """q, cls, score, tried: of each query and block the k best of the candidates that were multiplied (tried),
+    without those below the bound of the query, if ask has such a column.
 
     A table's cells lie in order in as many places as the rows fill chunks; a row goes to one place of each
     table, a query, with its vector, once to every place of a table that holds a cell that it probes."""
@@ -208,17 +211,19 @@ def candidates(classes: DataFrame, ask: DataFrame, k: int, dim: int, polytopes:
         place = place_of(cell_numbers(nearest_axes(_matrix(vectors), polytopes), n))
         return [c for c in cls for _ in range(TABLES)], [v for v in vectors for _ in range(TABLES)], list(range(TABLES)) * len(cls), place.ravel().tolist()
 
-    def probing(cls, vectors):
+    def probing(cls, vectors, bounds):
         x, out = _matrix(vectors), []
         along = [[rotated(x, t, p) for p in range(polytopes)] for t in range(TABLES)]
         for i, c in enumerate(cls):
             found = [probed_cells([y[i] for y in table], probes) for table in along]
             least = [score for _, score in found]
-            out += [(c, vectors[i], least, t, p) for t, (some, _) in enumerate(found) for p in np.unique(place_of(some)).tolist()]
-        return [list(x) for x in zip(*out)] if out else [[]] * 5
+            out += [(c, vectors[i], bounds[i], least, t, p) for t, (some, _) in enumerate(found) for p in np.unique(place_of(some)).tolist()]
+        return [list(x) for x in zip(*out)] if out else [[]] * 6
 
     index = checkpoint(map_batches(classes.select("cls", "vector"), hashed, "cls long, vector array<double>, tab int, place long"))
-    asked = checkpoint(map_batches(ask, probing, "q long, vector array<double>, least array<double>, tab int, place long"))
+    bound = F.col("bound") if "bound" in ask.columns else F.lit(float("-inf"))
+    ask = ask.select("cls", "vector", bound.alias("bound"))
+    asked = checkpoint(map_batches(ask, probing, "q long, vector array<double>, bound double, least array<double>, tab int, place long"))
     count = lambda df, name: df.groupBy("tab", "place").agg(F.count("*").alias(f"n_{name}"), F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
     blocks = checkpoint(count(index, "rows").join(count(asked, "queries"), ["tab", "place"]))
     key = ["tab", "place", "rows_part", "queries_part"]
@@ -226,6 +231,28 @@ def candidates(classes: DataFrame, ask: DataFrame, k: int, dim: int, polytopes:
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_search(k, polytopes), "q long, cls long, score double, tried long")
 
 
+def _searched(classes: DataFrame, ask: DataFrame, k: int, dim: int, polytopes: int, probes: int, n: int) -> DataFrame:
+    """q, cls, score, n: the k best candidates of each query, numbered from 1.
+
+    Rows are searched in steps, each of four times as many as before, dealt by hash. Of a step only candidates
+    that reach the k-th best so far are passed on, so that a query gives some multiples of k rows in all, however
+    many places it looks into. No row is in two steps."""
+    steps, best = 0, None
+    while n > CHUNK * 4**steps:
+        steps += 1
+    draw = F.xxhash64("cls", F.lit("step"))
+    for step in range(steps, -1, -1):
+        own = F.pmod(draw, F.lit(4**step)) == 0
+        part = classes.filter(own if step == steps else own & (F.pmod(draw, F.lit(4 ** (step + 1))) != 0))
+        if best is not None:
+            bounds = best.filter(F.col("n") == k).select(F.col("q").alias("cls"), F.col("score").alias("bound"))
+            ask = ask.drop("bound").join(bounds, "cls", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+        found = candidates(part, ask, k, dim, polytopes, probes).select("q", "cls", "score")
+        found = found if best is None else found.unionByName(best.select("q", "cls", "score"))
+        best = checkpoint(found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))).filter(F.col("n") <= k))
+    return best
+
+
 def nearest(df: DataFrame, queries, k: int = 20, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest rows, by inner product in double precision, of each
     row that the condition `queries` (over column vec_id) picks; itself excepted, nearest first, ties to
@@ -250,9 +277,9 @@ def nearest(df: DataFrame, queries, k: int = 20, id_column: str = "vec_id", colu
     classes = checkpoint(_classes(rows, k + 1))
     asked = rows.filter(queries).select("vec_id", "vector")
     ask = checkpoint(classes.join(asked.select("vector").distinct(), "vector", "left_semi").select("cls", "vector"))
-    polytopes, probes, _ = _calibrated(classes, ask, k, dim, polytopes_for(classes.count(), axes_of(dim)))
-    found = candidates(classes, ask, k + 1, dim, polytopes, probes)
-    top = found.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "cls"))).filter(F.col("n") <= k + 1)
+    n = classes.count()
+    polytopes, probes, _ = _calibrated(classes, ask, k, dim, polytopes_for(n, axes_of(dim)))
+    top = _searched(classes, ask, k + 1, dim, polytopes, probes, n)
     members = top.join(classes.select("cls", "ids"), "cls").select("q", "score", F.explode("ids").alias("vec_id"))
     members = members.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter(F.col("n") <= k + 1)
     lists = members.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("near"))

@@ -44,13 +44,17 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], spread: list[st
     """rows joined on keys with table, which has one row a key and n, the number of rows that carry it (dropped).
 
     A key that more than 1 in HOT_KEYS of all those rows carry is salted: its rows are dealt by a hash of the
-    columns `spread`, and its row of table is repeated once a salt. Only these keys, at most HOT_KEYS, are
-    broadcast. table should be written before (it is read twice)."""
+    columns `spread`, and its row of table is repeated once a salt. The driver takes hashes of these keys alone,
+    HOT_KEYS at most. table should be written before (it is read again)."""
     total = table.agg(F.sum("n")).first()[0] or 0
     most = max(1, total // HOT_KEYS)
-    hot = F.broadcast(table.filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("_salts")))
-    salted = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_salts")).cast("int"))).drop("_salts")
-    repeated = table.drop("n").join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    hot = table.filter(F.col("n") > most).select(F.xxhash64(*keys).alias("h"), "n").collect()
+    table = table.drop("n")
+    if not hot:
+        return rows.join(table, keys)
+    is_hot, salts = F.xxhash64(*keys).isin([r["h"] for r in hot]), -(-max(r["n"] for r in hot) // most)
+    salted = rows.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(0))
+    repeated = table.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
 
 

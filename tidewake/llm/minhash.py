@@ -14,7 +14,7 @@ from .batches import map_batches, whole_texts
 from .components import checkpoint, components, join_hot
 
 #: A center's pairs are verified in parts of about this many shingles.
-PART = 1 << 20
+PART = 1 << 15
 #: Members of a group that shares a shingle are compared in blocks of about this many.
 BLOCK = 4096
 
