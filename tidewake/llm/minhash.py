@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +15,8 @@ from .components import checkpoint, components, join_hot
 PART = 1 << 15
 #: Members of a group that shares a shingle are compared in blocks of about this many.
 BLOCK = 4096
+#: Shingles are counted in this many cells (a power of two) to tell the rare from the frequent.
+COUNT_BITS = 18
 
 
 def _sketch(doc_ids, texts):
@@ -65,13 +65,9 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(_checked(percent), "a long, b long, linked boolean").filter("linked").select("a", "b")
 
 
-def _text_hash(text: str | None) -> int:
-    return zlib.crc32((text or "").encode())
-
-
 def _shingle_rows(doc_ids, texts):
     sets = [shingles.shingle_set(t).view(np.int64).tolist() for t in texts]
-    return doc_ids, [_text_hash(t) for t in texts], [len(s) for s in sets], sets
+    return doc_ids, [len(s) for s in sets], sets
 
 
 def _open_nodes(members: DataFrame, parts: DataFrame) -> DataFrame:
@@ -87,21 +83,29 @@ def _rest(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """a, b, size_a, size_b: pairs of nodes (node, component) of different components, none of which that reaches
     the threshold is left out.
 
-    Shingles are put in one order: first those that occur in one component only, then by how many nodes hold
-    them. If two sets of m and n shingles share o >= percent (m + n) / (100 + percent) of them, the first that
-    they share stands at most at m - o and n - o (from 0) in the two; so only so many of the first shingles of a
-    set are compared, and pairs by sizes and places. Groups of a shingle are compared in blocks of bounded size."""
-    sets = map_batches(texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), _shingle_rows, "node long, text_hash long, size long, shingles array<long>")
+    Shingles are put in one order, by counts of their hashes in 2**COUNT_BITS cells (which alone reach the
+    driver): first those whose cell holds one component only, then the rare before the frequent. If two sets of
+    m and n shingles share o >= percent (m + n) / (100 + percent) of them, the first that they share stands at
+    most at m - o and n - o (from 0) in the two; so only so many of the first shingles of a set are compared, and
+    pairs by sizes and places. Groups of a shingle are compared in blocks of bounded size."""
+    sets = map_batches(texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), _shingle_rows, "node long, size long, shingles array<long>")
     held = checkpoint(sets.join(nodes, "node"))
-    each = held.select("node", "text_hash", "component", "size", F.explode("shingles").alias("shingle"))
-    often = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    often = checkpoint(often.filter("low <> high").select("shingle", "n", F.col("n").alias("f")))
-    shared = join_hot(each, often, ["shingle"], ["node"])
-    listed = shared.groupBy("node", "text_hash", "component", "size").agg(F.sort_array(F.collect_list(F.struct("f", "shingle"))).alias("list"))
-    # of the shingles before `alone` + place none is shared with another component
-    first = listed.withColumn("alone", F.col("size") - F.size("list")).withColumn("most", F.expr(f"size - (size * {percent} + 99) div 100 + 1 - alone"))
-    first = first.filter("most > 0").select("node", "component", "size", "alone", F.posexplode(F.expr("slice(list, 1, CAST(most AS INT))")).alias("i", "s"))
-    first = checkpoint(first.select("node", "component", "size", (F.col("alone") + F.col("i")).alias("place"), "s.shingle"))
+    cell = F.col("shingle").bitwiseAND(F.lit((1 << COUNT_BITS) - 1)).cast("int").alias("cell")
+    counts = held.select("component", F.explode("shingles").alias("shingle")).groupBy(cell).agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    counted = counts.filter("low <> high").select("cell", "n").toArrow()  # 2**COUNT_BITS rows at most
+    often = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+    often[counted["cell"].to_numpy()] = counted["n"].to_numpy()
+
+    def first_shingles(ids, components_, sizes, sets):
+        out = []
+        for node, component, size, held_ in zip(ids, components_, sizes, sets):
+            s = np.array(held_, dtype=np.int64)
+            n = often[s & (len(often) - 1)]
+            order = np.lexsort((s, n))[: size - (size * percent + 99) // 100 + 1]
+            out += [(node, component, size, i, int(s[x])) for i, x in enumerate(order) if n[x]]
+        return [list(c) for c in zip(*out)] if out else [[]] * 5
+
+    first = checkpoint(map_batches(held.select("node", "component", "size", "shingles"), first_shingles, "node long, component long, size long, place long, shingle long"))
     groups = first.groupBy("shingle").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     groups = checkpoint(groups.select("shingle", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
     dealt = checkpoint(join_hot(first, groups, ["shingle"], ["node"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
