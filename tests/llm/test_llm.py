@@ -535,3 +535,19 @@ def test_pipeline_stages(spark, library, tmp_path):
     assert {r.doc_id for r in mix[1].collect()} <= set(kept) and max(Counter(r.doc_id for r in mix[1].collect()).values()) <= 3
     text = {r.doc_id: r.text for r in last[0].collect()}
     assert last[1].count() == last[0].count() and all(r.n_tokens == len(library.encode(text[r.doc_id], add_special_tokens=False).ids) for r in last[1].collect())
+
+
+def test_pipeline_edges(spark):
+    """Nulls in any column, empty and repeated rows, and empty tables pass through every stage."""
+    import corpus_pipeline as p
+
+    long = " ".join(f"w{i}" for i in range(70))
+    texts = [None, "", " ", "one", long, long, long + " x", "x" * 50_000, "two words"]
+    d = frame(spark, texts, doc_id=[1, 2, None, None, 5, 5, 6, 7, 8], lang=["en", None, "en", None, "en", "en", "de", "de", "de"], source=["a", None, "a", None, "a", "a", "b", "b", "b"]).select(*p.COLUMNS)
+    for docs in (d, d.limit(0)):
+        for name, stage in p.STAGES:
+            docs = (lambda out: spark.createDataFrame(out.collect(), out.schema))(stage(spark, docs, SF))
+            if name != "BPE encoding":
+                assert docs.columns == p.COLUMNS
+        rows = docs.collect()
+    assert rows == []

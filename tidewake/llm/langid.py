@@ -126,13 +126,16 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
     text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
     known = labelled.select(lang.alias("lang"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("long"), text, F.lit("train")).alias("draw"))
     known = known.filter("lang is not null and text is not null")
-    languages = known.select("lang").distinct().count()
-    if not languages:
-        return None
     with_letter = known.filter(F.col("text").rlike(r"\p{L}"))
-    least = Window.partitionBy("lang").orderBy("draw")
-    drawn = with_letter.groupBy("lang", "draw").count().withColumn("place", F.row_number().over(least)).filter(F.col("place") <= max(1, rows // languages))
-    drawn = drawn.select("lang", "draw")  # at most rows, or one a language
+    counts = with_letter.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()  # a row a language
+    if not counts:
+        return None
+    each = max(1, rows // len(counts))
+    # a few times as many as needed come near the least hashes; of these the least are taken
+    share = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, (4 * each + 40) / max(1, r["n"]))) for r in counts], "lang string, share double")
+    some = with_letter.join(F.broadcast(share), "lang").filter(F.pmod("draw", F.lit(1 << 30)) < F.col("share") * (1 << 30)).groupBy("lang", "draw").count()
+    least = Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1 << 30)), "draw")
+    drawn = some.withColumn("place", F.row_number().over(least)).filter(F.col("place") <= each).select("lang", "draw")  # at most rows, or one a language
     picked = with_letter.join(F.broadcast(drawn), ["lang", "draw"]).groupBy("lang", "draw").agg(F.first("text").alias("text"))
 
     def features(lang, texts):
