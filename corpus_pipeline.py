@@ -26,7 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later repeats of runs of lines; a document of which nothing is left goes."""
+    """Deletes later repeats of runs of lines of 50 words or more; a document of which nothing is left goes, so
+    does a null or empty text. Rows with a null doc_id keep their lines, a repeated row is not its own copy."""
     cleaned = linededup.dedup_documents(docs)
     left = cleaned.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -58,7 +59,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document of the mix."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document of the mix, null doc_ids and repeats too."""
     return bpe_codec.encoding_digest(docs, tokenizer_path())
 
 
@@ -74,11 +75,21 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage but the last is written to the shared folder and reread."""
+    """All stages over documents; every stage but the last is written to the shared folder and reread. A stage's
+    table is deleted when the next one is written; that of the last but one stays, as the result reads it.
+    An empty table gives an empty result."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = shared_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            _remove(spark, f"{folder}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
