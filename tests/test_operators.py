@@ -141,6 +141,80 @@ def test_partial_spearman_without_covariates_is_spearman(spark):
     assert r.rho == pytest.approx(1) and r.n == 20
 
 
+def test_partial_spearman_is_the_correlation_of_residuals(spark):
+    rng = np.random.default_rng(2)
+    c, e = rng.integers(0, 9, 80).astype(float), rng.normal(size=80)
+    y, v = np.round(c + rng.normal(size=80), 1), np.round(2 * c - e + rng.normal(size=80), 1)
+    d = spark.createDataFrame([("g", *map(float, r)) for r in zip(y, v, c, e)], "g string, y double, v double, c double, e double")
+    rank = lambda x: np.array([(x < t).sum() + ((x == t).sum() + 1) / 2 for t in x])
+    design = np.column_stack([np.ones(80), c, e])
+    a, b = (rank(x) - design @ np.linalg.lstsq(design, rank(x), rcond=None)[0] for x in (y, v))
+    got = X.partial_spearman(d, ["g"], "y", ["v"], ["c", "e"]).first()
+    assert got.n == 80 and got.rho == pytest.approx(np.corrcoef(a, b)[0, 1])
+
+
+def test_calibrate_logit_meets_its_own_optimum(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=200)
+    y = (x + rng.normal(size=200) > 0.7).astype(int)
+    t = spark.createDataFrame([(float(a), int(b)) for a, b in zip(x, y)], "x double, y int")
+    p = np.array([r.p for r in X.calibrate_logit(t, t, "x", "y").orderBy("x").collect()])
+    order = np.argsort(x)
+    x, y = x[order], y[order]
+    w = np.where(y == 1, 200 / (2 * y.sum()), 200 / (2 * (200 - y.sum())))
+    slope = (np.log(p / (1 - p))[-1] - np.log(p / (1 - p))[0]) / (x[-1] - x[0])
+    assert abs((w * (p - y)).sum()) < 1e-3 and abs((w * (p - y) * x).sum() + slope) < 1e-3  # the gradient, with C = 1
+
+
+def test_bootstrap_brackets_the_mean(spark):
+    v = np.random.default_rng(6).normal(3, 2, 400)
+    got = X.bootstrap_ci(spark.createDataFrame([("g", float(t)) for t in v], "g string, v double"), ["g"], "v").first()
+    half = 1.96 * v.std() / 20
+    assert got.estimate == pytest.approx(v.mean()) and got.low == pytest.approx(v.mean() - half, abs=0.08) and got.high == pytest.approx(v.mean() + half, abs=0.08)
+
+
+def test_microclusters_keep_mass_and_centre(spark):
+    x = np.random.default_rng(7).normal(size=(300, 3))
+    w = np.arange(1.0, 301.0)
+    d = spark.createDataFrame([("g", r.tolist(), float(t)) for r, t in zip(x, w)], "g string, x array<double>, weight double")
+    for k in (8, 400):
+        got = D.microclusters(d, ["g"], k).collect()
+        weight, centre = np.array([r.weight for r in got]), np.array([r.x for r in got])
+        assert len(got) == min(k, 300) and weight.sum() == pytest.approx(1)
+        assert weight @ centre == pytest.approx(w @ x / w.sum())
+
+
+def test_rand_index_counts_pairs(spark):
+    a, b = [0, 0, 1, 1, 2, 2, 2, 0], [1, 1, 0, 0, 0, 2, 2, 1]
+    side = lambda v: spark.createDataFrame([("g", i, t) for i, t in enumerate(v)], "g string, id int, substate int")
+    pairs = [(i, j) for i in range(8) for j in range(i)]
+    both = sum(a[i] == a[j] and b[i] == b[j] for i, j in pairs)
+    sa, sb = (sum(v[i] == v[j] for i, j in pairs) for v in (a, b))
+    expected = sa * sb / len(pairs)
+    assert T.rand_index(side(a), side(b), ["g"]).first().ari == pytest.approx((both - expected) / ((sa + sb) / 2 - expected))
+
+
+def test_match_negatives_is_greedy_without_reuse(spark):
+    rng = np.random.default_rng(8)
+    p, n = rng.integers(1, 50, (6, 2)), rng.integers(1, 50, (60, 2))
+    frame = lambda m, at: spark.createDataFrame([("g", at + i, int(r[0]), int(r[1])) for i, r in enumerate(m)], "g string, id long, a int, b int")
+    got = {}
+    for r in K.match_negatives(frame(p, 0), frame(n, 100), ["a", "b"], 3, ["g"]).collect():
+        got.setdefault(r.query_id, set()).add(r.ref_id)
+    z = np.log1p(np.vstack([p, n]).astype(float))
+    z = (z - z.mean(0)) / z.std(0)
+    used = set()
+    for i in range(6):
+        near = [int(j) for j in np.lexsort((np.arange(60), ((z[6:] - z[i]) ** 2).sum(1))) if int(j) not in used][:3]
+        used |= set(near)
+        assert got[i] == {100 + j for j in near}
+
+
+def test_savgol_third_derivative():
+    t = np.arange(15.0)
+    assert (C.savgol(15, 9, 4, 3) @ (t**3 / 6)) == pytest.approx(np.ones(15))
+
+
 def test_intervals_touching_and_spanning_bins(spark):
     kind = "peak int, chrom string, start long, end long"
     q = spark.createDataFrame([(1, "c", 0, 10), (2, "c", 5, 9000), (3, "d", 0, 5)], kind)

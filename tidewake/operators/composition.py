@@ -210,8 +210,9 @@ def sliced_w2(query: DataFrame, target: DataFrame, u: DataFrame, g: Keys, vector
 
     w = Window.partitionBy(*g, "direction").orderBy("q")
     steps = projected(query, 0).unionByName(projected(target, 1)).groupBy(*g, "direction", "q").agg(F.min("a").alias("a"), F.min("b").alias("b"))
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    steps = steps.withColumn("a", F.first("a", ignorenulls=True).over(ahead)).withColumn("b", F.first("b", ignorenulls=True).over(ahead)).withColumn("m", F.col("q") - F.lag("q", 1, 0.0).over(w))
+    # backwards, so that the frame grows and is not read again for each row
+    ahead = Window.partitionBy(*g, "direction").orderBy(F.desc("q")).rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumn("a", F.last("a", ignorenulls=True).over(ahead)).withColumn("b", F.last("b", ignorenulls=True).over(ahead)).withColumn("m", F.col("q") - F.lag("q", 1, 0.0).over(w))
     per = steps.groupBy(*g, "direction").agg(F.sum(F.col("m") * (F.col("a") - F.col("b")) ** 2).alias("w2sq"))
     return per.groupBy(*g).agg(F.sqrt(F.avg("w2sq")).alias("w2"))
 

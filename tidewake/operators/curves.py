@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +27,7 @@ def savgol(n: int, window: int, order: int, derivative: int) -> np.ndarray:
         start = min(max(i - half, 0), n - window)
         t = np.arange(start, start + window) - i
         fit = np.linalg.pinv(np.vander(t, order + 1, increasing=True))
-        out[i, start : start + window] = fit[derivative] * (1 if derivative < 2 else derivative)
+        out[i, start : start + window] = fit[derivative] * math.factorial(derivative)
     return out
 
 
