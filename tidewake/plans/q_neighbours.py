@@ -128,7 +128,15 @@ def match_controls(s, d):
     return K.match_controls(_suppliers(s, d), "treated", ["bal", "nat"], ["seg"])
 
 
-@query(None, "covariate", "smd_before smd_after")
+@query(
+    f"""SELECT * FROM (WITH {ZED}, m AS (SELECT a.id AS query_id, arg_min(b.id, (list_distance(a.v, b.v), b.id)) AS ref_id FROM z a JOIN z b ON a.seg = b.seg WHERE a.treated AND NOT b.treated GROUP BY a.id),
+ c AS (SELECT c_custkey AS id, c_custkey % 4 = 0 AS treated, 'bal' AS covariate, CAST(c_acctbal AS DOUBLE) AS v FROM customer UNION ALL SELECT c_custkey, c_custkey % 4 = 0, 'nat', CAST(c_nationkey AS DOUBLE) FROM customer),
+ b AS (SELECT covariate, avg(v) FILTER (treated) AS mt, avg(v) FILTER (NOT treated) AS mc, sqrt((var_pop(v) FILTER (treated) + var_pop(v) FILTER (NOT treated)) / 2) AS sd FROM c GROUP BY covariate),
+ a AS (SELECT covariate, avg(v) AS mm FROM m JOIN c ON c.id = ref_id GROUP BY covariate)
+ SELECT b.covariate, (mt - mc) / sd AS smd_before, (mt - mm) / sd AS smd_after FROM b JOIN a ON a.covariate = b.covariate)""",
+    "covariate",
+    "smd_before smd_after",
+)
 def match_balance(s, d):
     df = _suppliers(s, d)
     return K.balance(df, K.match_controls(df, "treated", ["bal", "nat"], ["seg"]), "treated", ["bal", "nat"])
