@@ -250,6 +250,19 @@ def test_peak_names(spark):
     assert rows(S.parse_peak(d, "p").select("chrom", "start", "end", "midpoint")) == [("chr1", 10, 13, 12)]
 
 
+def test_read_gtf_of_a_packed_file(spark, tmp_path):
+    import gzip
+
+    path = str(tmp_path / "a.gtf.gz")
+    with gzip.open(path, "wt") as out:
+        out.write("#!genome\n")
+        for chrom, kind, lo, hi, strand, extra in (("chr1", "gene", 101, 200, "+", 'gene_name "A"; '), ("2", "gene", 301, 450, "-", ""), ("chr1", "exon", 101, 120, "+", 'gene_name "A"; ')):
+            out.write(f'{chrom}\tx\t{kind}\t{lo}\t{hi}\t.\t{strand}\t.\tgene_id "g{lo}"; {extra}gene_type "t";\n')
+    found = {r.gene_id: r for r in S.read_gtf(spark, path).collect()}
+    assert set(found) == {"g101", "g301"} and (found["g101"].gene, found["g101"].chrom, found["g101"].tss) == ("A", "chr1", 101)
+    assert (found["g301"].chrom, found["g301"].tss) == ("chr2", 450)
+
+
 def test_savgol_keeps_polynomials():
     t = np.arange(9.0)
     assert C.savgol(9, 5, 2, 0) @ (t**2) == pytest.approx(t**2)
