@@ -29,21 +29,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b)
 
 
-def average_rank(value: Column | str, by: Keys = ()) -> Column:
-    """Ranks from 1, equal values share the mean of theirs. Nulls must be filtered before."""
-    value = F.col(value) if isinstance(value, str) else value
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, value))
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (ties - 1) / 2.0
-
-
-def zscore(value: Column | str, by: Keys, flat: float | None = None) -> Column:
-    """(value - mean) / population deviation within `by`; `flat` where the deviation is 0."""
-    value = F.col(value) if isinstance(value, str) else value
-    w = Window.partitionBy(*by)
-    sd = F.stddev_pop(value).over(w)
-    return F.when(sd > 0, (value - F.avg(value).over(w)) / sd).otherwise(F.lit(flat).cast("double"))
-
-
 def pearson(x: Column, y: Column, w: Column | None = None) -> Column:
     """Weighted Pearson correlation as an aggregate of moments; null if either side is flat."""
     w = F.lit(1.0) if w is None else w

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ..functions.columns import Keys, ratio, top_n, zscore
+from ..functions.columns import Keys, ratio, top_n
 from .features import average_precision, bh_fdr, odds_ratio_ci
+from .ordering import standardized
 
 
 @functools.cache
@@ -156,7 +157,7 @@ def dominant_match(curves: DataFrame, audit: DataFrame, t, lineage: str = "grp",
 
 def curve_zscore(curves: DataFrame, g: Keys, value: str = "value") -> DataFrame:
     """Adds z within a curve, 0 if it is flat."""
-    return curves.withColumn("z", zscore(value, g, 0.0))
+    return standardized(curves, g, value, "z", 0.0)
 
 
 def rank_pairs(scores: DataFrame, model: str, cohort: str, keys: Keys, value: str = "score") -> DataFrame:

@@ -9,9 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import Keys, average_rank, pearson, ratio, zscore
+from ..functions.columns import Keys, known, pearson, ratio
 from ..functions.tails import fisher_greater, normal_two_sided, t_tail, t_two_sided
-from .ordering import attach, least_from, running_totals
+from .ordering import attach, least_from, ranked, running_totals, standardized
 
 
 def log_normalize(counts: DataFrame, size_factors: DataFrame) -> DataFrame:
@@ -45,21 +45,18 @@ def _dense(cells: DataFrame, features: DataFrame, counts: DataFrame) -> DataFram
 
 def module_score(cells: DataFrame, counts: DataFrame, modules: DataFrame, by: Keys, flat: str = "drop") -> DataFrame:
     """cell, module, score: mean z of the module's genes within `by`, zeros counted. Genes without spread
-    are dropped or, with flat='one', divided by 1. Moments come from the stored counts and the number of
-    cells, so zero rows are made only for the module's own genes."""
+    are dropped or, with flat='one', count as 0. Zero rows are made only for the module's own genes."""
     d = _dense(cells.select("cell", *by), modules.select("feature").distinct(), counts.select("cell", "feature", "value"))
-    w = Window.partitionBy(*by, "feature")
-    sd = F.stddev_pop("value").over(w)
-    z = (F.col("value") - F.avg("value").over(w)) / F.when(sd > 1e-12, sd).otherwise(F.lit(1.0 if flat == "one" else None).cast("double"))
-    return d.withColumn("_z", z).filter("_z is not null").join(modules, "feature").groupBy("cell", "module").agg(F.avg("_z").alias("score"))
+    d = standardized(d, [*by, "feature"], "value", "_z", 0.0 if flat == "one" else None, 1e-12)
+    return d.filter("_z is not null").join(modules, "feature").groupBy("cell", "module").agg(F.avg("_z").alias("score"))
 
 
 def linked_peak_score(accessible: DataFrame, links: DataFrame, by: Keys) -> DataFrame:
     """cell, score: mean peak z of each gene, z again, equal mean over genes. accessible: cell, by, peak,
     value with a row for every cell and linked peak."""
-    z = accessible.withColumn("_z", zscore("value", [*by, "peak"], 0.0)).join(links.select("gene", "peak"), "peak")
+    z = standardized(accessible, [*by, "peak"], "value", "_z", 0.0).join(links.select("gene", "peak"), "peak")
     g = z.groupBy("cell", *by, "gene").agg(F.avg("_z").alias("_g"))
-    return g.withColumn("_z", zscore("_g", [*by, "gene"], 0.0)).groupBy("cell", *by).agg(F.avg("_z").alias("score"))
+    return standardized(g, [*by, "gene"], "_g", "_z", 0.0).groupBy("cell", *by).agg(F.avg("_z").alias("score"))
 
 
 def peak_set_fraction(counts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -78,33 +75,44 @@ def set_contrast(fractions: DataFrame, a: str, b: str) -> DataFrame:
 def zscore_and_high(df: DataFrame, g: Keys, value: str, q: float) -> DataFrame:
     """Adds z (0 if flat) and high: at or above the linear q-quantile of the group."""
     cut = df.groupBy(*g).agg(F.expr(f"percentile({value}, {q})").alias("_c"))
-    return df.withColumn("z", zscore(value, g, 0.0)).join(cut, list(g)).withColumn("high", F.col(value) >= F.col("_c")).drop("_c")
+    return attach(standardized(df, g, value, "z", 0.0), cut, g).withColumn("high", F.col(value) >= F.col("_c")).drop("_c")
 
 
 def partial_spearman(df: DataFrame, g: Keys, y: str, features: Keys, covariates: Keys, extra_df: int = 2, least: int = 10) -> DataFrame:
-    """g, feature, n, rho, p: Spearman correlation of y and each feature given numeric covariates: average
-    ranks, residuals on intercept and z-scored covariates, Pearson, t with n - rank - extra_df degrees.
-    Null with too few rows or a flat side. The unit of work is a group and a feature."""
+    """g, feature, n, rho, p: Spearman correlation of y and each feature given numeric covariates (a category
+    is passed as columns of 0 and 1): average ranks, residuals on intercept and z-scored covariates, Pearson, t
+    with n - rank - extra_df degrees, one at least. Null with too few rows or a flat side.
+
+    Ranks are found in cells and only sums of products of centred columns leave the tasks: a group and feature
+    is one row when its residuals are taken, by the products of residuals that least squares leaves."""
     named = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
     d = df.select(*g, F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in covariates], named.alias("_f"))
     d = d.select(*g, "_y", *covariates, "_f.feature", "_f.v").dropna()
-    d = d.withColumn("_ry", average_rank("_y", [*g, "feature"])).withColumn("_rv", average_rank("v", [*g, "feature"])).drop("_y", "v")
+    by = [*g, "feature"]
+    d = ranked(ranked(d, by, "_y", "_ry", "_n"), by, "v", "_rv").withColumn("_ry", F.col("_ry") / F.col("_n") - (F.col("_n") + 1) / (2 * F.col("_n"))).withColumn("_rv", F.col("_rv") / F.col("_n") - (F.col("_n") + 1) / (2 * F.col("_n")))
+    for i, c in enumerate(covariates):
+        d = standardized(d, by, c, f"_c{i}", 0.0)
+    names = [*[f"_c{i}" for i in range(len(covariates))], "_ry", "_rv"]
+    sums = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col(a) * F.col(b)) for a in names for b in names]).alias("s"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.select(*g).dtypes)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        design = np.column_stack([np.ones(n)] + [pdf[c].to_numpy(float) for c in covariates])
-        sd = design[:, 1:].std(0)
-        design[:, 1:] = (design[:, 1:] - design[:, 1:].mean(0)) / np.where(sd > 0, sd, 1)
-        rank = int(np.linalg.matrix_rank(design))
-        a, b = (r - design @ np.linalg.lstsq(design, r, rcond=None)[0] for r in (pdf["_ry"].to_numpy(float), pdf["_rv"].to_numpy(float)))
-        df_, rho, p = n - rank - extra_df, None, None
-        if n >= least and df_ > 0 and a.std() > 1e-9 and b.std() > 1e-9:
-            rho = float(np.clip((a @ b) / np.sqrt((a @ a) * (b @ b)), -1, 1))
-            p = t_tail(rho * np.sqrt(df_ / max(1 - rho * rho, 1e-300)), df_)
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] for c in g}, "feature": [pdf["feature"].iloc[0]], "n": [n], "rho": [rho], "p": [p]})
+    def fit(n: int, s: np.ndarray) -> tuple[float | None, float | None]:
+        k = len(names) - 2
+        s = s.reshape(k + 2, k + 2)
+        beta, _, rank, _ = np.linalg.lstsq(s[:k, :k], s[:k, k:], rcond=1e-12) if k else (np.zeros((0, 2)), None, 0, None)
+        left = s[k:, k:] - s[k:, :k] @ beta
+        if n < least or not all(left[i, i] > 1e-12 * max(s[k + i, k + i], 1e-300) for i in (0, 1)):
+            return None, None
+        rho = float(np.clip(left[0, 1] / np.sqrt(left[0, 0] * left[1, 1]), -1, 1))
+        free = max(n - (int(rank) + 1) - extra_df, 1)
+        return rho, t_tail(rho * np.sqrt(free / max(1 - rho * rho, 1e-300)), free)
+
+    def solve(batches):
+        for pdf in batches:
+            out = pd.DataFrame([fit(n, s) for n, s in zip(pdf["n"], pdf["s"], strict=True)], columns=["rho", "p"], dtype=float)
+            yield pd.concat([pdf.drop(columns="s"), out], axis=1)
 
-    return d.groupBy(*g, "feature").applyInPandas(fit, f"{kinds + ', ' if kinds else ''}feature string, n long, rho double, p double")
+    return sums.mapInPandas(solve, f"{kinds + ', ' if kinds else ''}feature string, n long, rho double, p double")
 
 
 def bh_fdr(df: DataFrame, g: Keys, p: str, name: str = "q") -> DataFrame:
@@ -189,14 +197,14 @@ def relative_growth(df: DataFrame, g: Keys, value: str, weight: str) -> DataFram
     d = df.join(mean, list(g)).withColumn("_c", F.col(value) - F.col("_m")).withColumn("_size", F.abs(F.round("_c", 12)))
     d = d.join(weighted_quantile(d, g, "_size", weight, 0.95, "_q"), list(g))
     clipped = F.greatest(F.least(ratio(F.col("_c"), F.col("_q")), F.lit(1.0)), F.lit(-1.0))
-    pct = (average_rank(value, g) - 0.5) / F.count(F.lit(1)).over(Window.partitionBy(*g))
-    return d.withColumn("relative", clipped).withColumn("percentile", pct).drop("_m", "_c", "_size", "_q")
+    d = ranked(d, g, value, "_r", "_n")
+    return d.withColumn("relative", clipped).withColumn("percentile", (F.col("_r") - 0.5) / F.col("_n")).drop("_m", "_c", "_size", "_q", "_r", "_n")
 
 
 def growth_agreement(d: DataFrame, g: Keys, a: str, b: str, fraction: float = 0.2) -> DataFrame:
     """Spearman, mean absolute gap of percentiles, Jaccard of the top and of the bottom fraction."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(*g))
-    d = d.withColumn("_a", (average_rank(a, g) - 0.5) / n).withColumn("_b", (average_rank(b, g) - 0.5) / n)
+    d = ranked(ranked(d, g, a, "_a", "_na"), g, b, "_b", "_nb")
+    d = d.withColumn("_a", (F.col("_a") - 0.5) / F.col("_na")).withColumn("_b", (F.col("_b") - 0.5) / F.col("_nb"))
     top = lambda c: F.col(c) >= 1 - fraction
     low = lambda c: F.col(c) <= fraction
     both = lambda f: ratio(F.sum((f("_a") & f("_b")).cast("int")), F.sum((f("_a") | f("_b")).cast("int")))
@@ -315,7 +323,7 @@ def contrast_metrics(profiles: DataFrame, g: Keys) -> DataFrame:
     margin, margin error, Spearman and RMSE to the observed."""
     a = auroc(profiles, g, "predicted", "positive").select(*g, "auroc")
     side = lambda c, s: F.avg(F.when(F.col("positive") == s, F.col(c)))
-    m = profiles.withColumn("_rp", average_rank("predicted", g)).withColumn("_ro", average_rank("observed", g)).groupBy(*g).agg(
+    m = ranked(ranked(profiles, g, "predicted", "_rp"), g, "observed", "_ro").groupBy(*g).agg(
         (side("predicted", True) - side("predicted", False)).alias("margin"), (side("observed", True) - side("observed", False)).alias("_o"),
         pearson(F.col("_rp"), F.col("_ro")).alias("spearman"), F.sqrt(F.avg((F.col("predicted") - F.col("observed")) ** 2)).alias("rmse"),
     )
@@ -324,40 +332,54 @@ def contrast_metrics(profiles: DataFrame, g: Keys) -> DataFrame:
 
 def call_peak_sets(df: DataFrame, peak: str, replicate: str, value: str, q: float) -> DataFrame:
     """peak, support (the least rank fraction over replicates), in_set (support at or above its q-quantile)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(replicate))
-    d = df.withColumn("_r", average_rank(value, [replicate]) / n).groupBy(peak).agg(F.min("_r").alias("support"))
+    d = ranked(df, [replicate], value, "_r", "_n").withColumn("_r", F.col("_r") / F.col("_n")).groupBy(peak).agg(F.min("_r").alias("support"))
     cut = d.agg(F.expr(f"percentile(support, {q})").alias("_c"))
     return d.crossJoin(F.broadcast(cut)).select(peak, "support", (F.col("support") >= F.col("_c")).alias("in_set"))  # one row
 
 
+@F.pandas_udf("double")
+def _inner_products(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Of two arrays; NaN where one holds a null."""
+    return pd.Series([np.asarray(x, float) @ np.asarray(y, float) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+#: Positions of units that one array of link_correlation holds.
+BLOCK = 4096
+
+
 def link_correlation(a: DataFrame, b: DataFrame, pairs: DataFrame, permutations: int = 20, seed: int = 0) -> DataFrame:
-    """a_id, b_id, n, r, p, q, null_mean, null_sd, z, normal_p: Pearson r of pairs over aggregates against
-    permuted aggregates. a, b: id, unit, value. A permutation is a seeded order of the units, the same for
-    every pair; vectors are packed by feature, so a pair is one row."""
-    order = [F.xxhash64("unit", F.lit(seed), F.lit(i)) for i in range(permutations)]
-    units = a.select("unit").distinct()
-    ranks = units.select("unit", *[F.row_number().over(Window.orderBy(o, "unit")).alias(f"_{i}") for i, o in enumerate([F.col("unit"), *order])])  # aggregates: a few hundred rows
-    pack = lambda df: df.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "value"))).getField("value").alias("v"))
-    va = pack(a.join(ranks.select("unit", F.col("_0").alias("k")), "unit")).select(F.col("id").alias("a_id"), F.col("v").alias("_a"))
-    vb = pack(b.join(ranks.select("unit", F.col("_0").alias("k")), "unit")).select(F.col("id").alias("b_id"), F.col("v").alias("_b"))
-    shuffled = ranks.agg(*[F.sort_array(F.collect_list(F.struct("_0", f"_{i + 1}"))).getField(f"_{i + 1}").alias(f"p{i}") for i in range(permutations)])
-    d = pairs.join(va, "a_id").join(vb, "b_id").crossJoin(F.broadcast(shuffled))  # one row of `permutations` orders
-
-    def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x, y = np.stack(pdf["_a"]).astype(float), np.stack(pdf["_b"]).astype(float)
-            z = lambda m: (m - m.mean(1, keepdims=True)) / np.where(m.std(1, keepdims=True) > 1e-12, m.std(1, keepdims=True), np.nan)
-            x, y, n = z(x), z(y), x.shape[1]
-            r = (x * y).mean(1)
-            null = np.stack([(x * y[:, np.asarray(pdf[f"p{i}"].iloc[0]) - 1]).mean(1) for i in range(permutations)], 1)
-            p = [t_tail(v * np.sqrt((n - 2) / max(1 - v * v, 1e-300)), n - 2) if v == v else np.nan for v in r]
-            yield pd.DataFrame({"a_id": pdf["a_id"], "b_id": pdf["b_id"], "n": n, "r": r, "p": p, "null_mean": null.mean(1), "null_sd": null.std(1), "exceed": (np.abs(null) >= np.abs(r)[:, None]).sum(1)})
-
-    kinds = dict(pairs.dtypes)
-    out = d.mapInPandas(run, f"a_id {kinds['a_id']}, b_id {kinds['b_id']}, n long, r double, p double, null_mean double, null_sd double, exceed long")
-    out = out.withColumn("r", F.nanvl("r", F.lit(None).cast("double"))).withColumn("p", F.nanvl("p", F.lit(None).cast("double")))
+    """a_id, b_id, n, r, p, q, null_mean, null_sd, z, normal_p, exceed: Pearson r of pairs over aggregates
+    against permuted aggregates. a, b: id, unit, value, a row for every id and unit; null r for a flat side.
+
+    A permutation is the order of the units by a hash of unit, seed and its number, the same for every pair; its
+    positions are numbered in cells. Values are standardised by id, laid in arrays of BLOCK positions, and the
+    products of a pair's arrays are summed, so neither all units nor a whole vector meets in one row."""
+    every = a.select("unit").distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
+    token = F.substring(F.md5(F.concat_ws("/", F.col("unit").cast("string"), F.lit(str(seed)), F.col("i").cast("string"))), 1, 15)
+    every = every.withColumn("h", F.conv(token, 16, 10).cast("long")).withColumn("cell", F.shiftright("h", 48))
+    earlier = Window.partitionBy("i").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 cells
+    cells = every.groupBy("i", "cell").agg(F.count(F.lit(1)).alias("_c")).select("i", "cell", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("before"))
+    k = F.col("before") + F.row_number().over(Window.partitionBy("i", "cell").orderBy("h", "unit")) - 1
+    place = every.join(cells, ["i", "cell"]).select("i", "unit", k.alias("k"))
+
+    def packed(df: DataFrame, order: DataFrame, by: Keys, name: str) -> DataFrame:
+        d = standardized(df.withColumn("value", F.col("value").cast("double")), ["id"], "value", "_z", None, 1e-12).join(order, "unit")
+        d = d.groupBy("id", *by, F.floor(F.col("k") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("k", "_z")))["_z"].alias(f"_{name}"))
+        return d.withColumnRenamed("id", f"{name}_id")
+
+    va = packed(a, place.filter("i = 0").drop("i"), [], "a")
+    vb = packed(b, place, ["i"], "b")
+    product = _inner_products(F.col("_a"), F.col("_b"))
+    d = pairs.select("a_id", "b_id").distinct().join(va, "a_id").join(vb, ["b_id", "block"])
+    d = d.groupBy("a_id", "b_id", "i").agg(F.sum(F.size("_a")).alias("n"), known(F.sum(product) / F.sum(F.size("_a"))).alias("_r"))
+    # one array of permutations + 1 values, so that all who read the pairs below share one exchange
+    out = d.groupBy("a_id", "b_id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "_r")))["_r"].alias("_v"))
+    out = out.withColumn("r", F.col("_v")[0]).withColumn("_null", F.slice("_v", 2, max(permutations, 1)))
+    mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
+    out = out.withColumn("null_mean", mean("_null")).withColumn("null_sd", F.sqrt(mean(F.transform("_null", lambda v: (v - F.col("null_mean")) ** 2))))
+    out = out.withColumn("exceed", F.size(F.filter("_null", lambda v: F.abs(v) >= F.abs(F.col("r")))).cast("long")).drop("_null", "_v")
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("r") ** 2, F.lit(1e-300)))
+    out = out.withColumn("p", t_two_sided(t, (F.col("n") - 2).cast("double")))
     out = out.withColumn("z", ratio(F.col("r") - F.col("null_mean"), F.col("null_sd"))).withColumn("normal_p", normal_two_sided(F.col("z")))
     return bh_fdr(out, [], "p")
 

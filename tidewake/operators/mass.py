@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import Keys, average_rank, known, pearson, ratio
+from ..functions.columns import Keys, known, pearson, ratio
+from .ordering import attach, ranked, running_totals
 
 
 def mass_weights(particles: DataFrame, g: Keys, log_mass: str = "log_mass", on_missing: str = "error", clip: float | None = None) -> DataFrame:
     """Adds `weight`, the softmax of log_mass within g. A group without any log mass is uniform. Where
     some are missing: on_missing 'error' fails the query, 'uniform' makes the whole group uniform."""
-    w = Window.partitionBy(*g)
     m = known(F.col(log_mass))
     if clip is not None:
         m = F.greatest(m, F.lit(-float(clip)))
-    d = particles.withColumn("_m", m).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_known", F.count("_m").over(w))
-    d = d.withColumn("_e", F.exp(F.col("_m") - F.max("_m").over(w)))
+    d = particles.withColumn("_m", m)
+    top = d.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.count("_m").alias("_known"), F.max("_m").alias("_top"))
+    d = attach(d, top, g).withColumn("_e", F.exp(F.col("_m") - F.col("_top")))
+    d = attach(d, d.groupBy(*g).agg(F.sum("_e").alias("_all")), g)
     uniform = 1.0 / F.col("_n")
     partly = uniform if on_missing == "uniform" else F.raise_error(F.lit("log mass is missing for some particles of a group")).cast("double")
-    weight = F.when(F.col("_known") == 0, uniform).when(F.col("_known") < F.col("_n"), partly).otherwise(F.col("_e") / F.sum("_e").over(w))
-    return d.withColumn("weight", weight).drop("_m", "_n", "_known", "_e")
+    weight = F.when(F.col("_known") == 0, uniform).when(F.col("_known") < F.col("_n"), partly).otherwise(F.col("_e") / F.col("_all"))
+    return d.withColumn("weight", weight).drop("_m", "_n", "_known", "_e", "_top", "_all")
 
 
 def mass_summary(particles: DataFrame, g: Keys, log_mass: str = "log_mass") -> DataFrame:
@@ -44,12 +48,10 @@ def weighted_quantile(df: DataFrame, g: Keys, value: str, weight: str, q: float,
     """The first value, in order, whose cumulative weight reaches q of the total of its group.
 
     Weights are summed by distinct value before anything is ordered, so ties and repeats of a value in a
-    large group shrink in the map-side aggregation."""
+    large group shrink in the map-side aggregation, and totalled in cells (see ordering)."""
     d = df.filter(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*g, value).agg(F.sum(weight).alias("_w"))
-    w = Window.partitionBy(*g)
-    upto = F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumn("_upto", upto).withColumn("_all", F.sum("_w").over(w))
-    return d.filter(F.col("_upto") >= q * F.col("_all") - 1e-12).groupBy(*g).agg(F.min(value).alias(name))
+    d = running_totals(d, g, value, ["_w"])
+    return d.filter(F.col("_w_upto") >= q * F.col("_w_all") - 1e-12).groupBy(*g).agg(F.min(value).alias(name))
 
 
 def weighted_median(df: DataFrame, g: Keys, value: str, weight: str, name: str = "median") -> DataFrame:
@@ -74,18 +76,31 @@ def weighted_pearson(df: DataFrame, g: Keys, x: str, y: str, w: str, name: str =
 
 def weighted_spearman(df: DataFrame, g: Keys, x: str, y: str, w: str, name: str = "rho") -> DataFrame:
     """Weighted Pearson correlation of the unweighted average ranks."""
-    d = _complete(df, x, y, w).withColumn("_rx", average_rank(x, g)).withColumn("_ry", average_rank(y, g))
+    d = ranked(ranked(_complete(df, x, y, w), g, x, "_rx"), g, y, "_ry")
     return weighted_pearson(d, g, "_rx", "_ry", w, name)
 
 
 def weighted_covariance(df: DataFrame, g: Keys, vector: str, weight: str) -> DataFrame:
-    """i, j, cov for every pair of coordinates: d^2 sums in each group, whatever its size."""
-    ends = F.posexplode(vector)
-    m = df.select(*g, weight, ends.alias("i", "xi")).groupBy(*g, "i").agg((F.sum(F.col(weight) * F.col("xi")) / F.sum(weight)).alias("mean"))
-    pairs = df.select(*g, weight, vector, ends.alias("i", "xi")).select(*g, weight, "i", "xi", F.posexplode(vector).alias("j", "xj"))
-    s = pairs.groupBy(*g, "i", "j").agg((F.sum(F.col(weight) * F.col("xi") * F.col("xj")) / F.sum(weight)).alias("second"))
-    mi, mj = m.select(*g, "i", F.col("mean").alias("mi")), m.select(*g, F.col("i").alias("j"), F.col("mean").alias("mj"))
-    return s.join(mi, [*g, "i"]).join(mj, [*g, "j"]).select(*g, "i", "j", (F.col("second") - F.col("mi") * F.col("mj")).alias("cov"))
+    """i, j, cov for every pair of coordinates. A task multiplies its rows as matrices, batch by batch, and
+    hands on d^2 sums for each group that it meets; rows with a null vector or weight take no part."""
+    d = df.select(*g, F.col(weight).cast("double").alias("_w"), F.col(vector).cast("array<double>").alias("_x")).dropna(subset=["_w", "_x"])
+    kinds = "".join(f"`{c}` {t}, " for c, t in df.select(*g).dtypes)
+
+    def products(batches):
+        for pdf in batches:
+            parts = pdf.groupby(list(g), dropna=False, sort=False) if g else [((), pdf)]
+            for key, part in parts:
+                w, x = part["_w"].to_numpy(), np.stack(part["_x"])
+                yield pd.DataFrame({**{c: [part[c].iloc[0]] for c in g}, "w": [w.sum()], "first": [w @ x], "second": [((x * w[:, None]).T @ x).ravel()]})
+
+    s = d.mapInPandas(products, f"{kinds}w double, first array<double>, second array<double>")
+    total = s.groupBy(*g).agg(F.sum("w").alias("_all"))
+    m = s.select(*g, F.posexplode("first").alias("i", "v")).groupBy(*g, "i").agg(F.sum("v").alias("v"))
+    m = attach(m, total, g).select(*g, "i", (F.col("v") / F.col("_all")).alias("mi"))
+    width = F.sqrt(F.size("second").cast("double")).cast("int")
+    c = s.select(*g, width.alias("d"), F.posexplode("second").alias("ij", "v")).groupBy(*g, F.expr("ij div d").cast("int").alias("i"), F.expr("ij % d").cast("int").alias("j")).agg(F.sum("v").alias("v"))
+    c = attach(attach(attach(c, total, g), m, [*g, "i"]), m.withColumnsRenamed({"i": "j", "mi": "mj"}), [*g, "j"])
+    return c.select(*g, "i", "j", (F.col("v") / F.col("_all") - F.col("mi") * F.col("mj")).alias("cov"))
 
 
 def weighted_covariance_metrics(observed: DataFrame, predicted: DataFrame, g: Keys) -> DataFrame:

@@ -7,8 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import Keys, ratio, top_n, zscore
+from ..functions.columns import Keys, ratio, top_n
 from .mass import weighted_median
+from .ordering import standardized
 
 #: Rows of either side that one task compares.
 BLOCK = 2048
@@ -205,7 +206,11 @@ def knn_smooth(df: DataFrame, value: str, k: int, on: Keys = (), vector: str = "
 
 
 def _standard(df: DataFrame, covariates: Keys, by: Keys) -> DataFrame:
-    return df.withColumn("x", F.array(*[zscore(c, by, 0.0) for c in covariates]))
+    d = df
+    for i, c in enumerate(covariates):
+        d = standardized(d, by, c, f"_z{i}", 0.0)
+    names = [f"_z{i}" for i in range(len(covariates))]
+    return d.withColumn("x", F.array(*names)).drop(*names)
 
 
 def match_controls(df: DataFrame, treated: str, covariates: Keys, by: Keys) -> DataFrame:

@@ -57,6 +57,25 @@ def running_totals(d: DataFrame, g: Keys, value: str, names: Keys) -> DataFrame:
     return both.drop(*[f"{n}_before" for n in names])
 
 
+def ranked(df: DataFrame, g: Keys, value: str, name: str, size: str | None = None) -> DataFrame:
+    """Adds the average rank of value within g, from 1 (equal values share the mean of theirs), null where the
+    value is null, and under `size` the number of values of the group. Only distinct values are ordered."""
+    d = df.filter(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_n"))
+    d = running_totals(d, g, value, ["_n"])
+    found = [(F.col("_n_upto") - (F.col("_n") - 1) / 2).alias(name), *([F.col("_n_all").alias(size)] if size else [])]
+    return attach(df, d.select(*g, value, *found), [*g, value])
+
+
+def standardized(df: DataFrame, by: Keys, value: str, name: str, flat: float | None = None, least: float = 0.0) -> DataFrame:
+    """Adds (value - mean) / population deviation within `by`; `flat` where the deviation is `least` or less.
+    Moments are aggregated and joined, so that no task holds a group."""
+    moments = df.groupBy(*by).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_sd"))
+    z = F.when(F.col("_sd") > least, (F.col(value) - F.col("_mean")) / F.col("_sd"))
+    if flat is not None:
+        z = F.when(F.col("_sd") > least, z).when(F.col("_sd").isNotNull(), F.lit(flat).cast("double"))
+    return attach(df, moments, by).withColumn(name, z).drop("_mean", "_sd")
+
+
 def least_from(d: DataFrame, g: Keys, value: str, of: str, name: str) -> DataFrame:
     """Adds the least `of` of rows whose value is as great or greater. d: as running_totals gives it."""
     cells = d.groupBy(*g, "_cell").agg(F.min(of).alias("_m"))

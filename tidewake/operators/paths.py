@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import Keys, average_rank, pearson, ratio, top_n, zscore
+from ..functions.columns import Keys, pearson, ratio, top_n
+from .ordering import ranked, standardized
 from .composition import kmeans
 
 
@@ -57,7 +58,7 @@ def spearman_by_group(df: DataFrame, g: Keys, x: str, y: str) -> DataFrame:
     from ..functions.tails import t_two_sided
 
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = d.withColumn("_x", average_rank(x, g)).withColumn("_y", average_rank(y, g)).groupBy(*g).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("_x"), F.col("_y")).alias("rho"))
+    d = ranked(ranked(d, g, x, "_x"), g, y, "_y").groupBy(*g).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("_x"), F.col("_y")).alias("rho"))
     d = d.withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("rho") ** 2, F.lit(1e-300)))
     return d.withColumn("p", t_two_sided(t, (F.col("n") - 2).cast("double")))
@@ -254,7 +255,7 @@ def substate_metrics(reference: DataFrame, predicted: DataFrame, g: Keys, thresh
 
 def top_programs_per_substate(scores: DataFrame, type_: Keys, substate: str, program: str, value: str, n: int = 5) -> DataFrame:
     """The n programs of highest mean within-type z score in each substate."""
-    d = scores.withColumn("_z", zscore(value, [*type_, program], 0.0)).groupBy(*type_, substate, program).agg(F.avg("_z").alias("mean_z"))
+    d = standardized(scores, [*type_, program], value, "_z", 0.0).groupBy(*type_, substate, program).agg(F.avg("_z").alias("mean_z"))
     return top_n(d, [*type_, substate], [F.desc(F.round("mean_z", 9)), F.col(program)], n)
 
 

@@ -269,11 +269,18 @@ def _long(s, d):
 
 def _links(s, d):
     v = _long(s, d).withColumn("id", F.col("id").cast("long"))
-    pairs = s.range(12).crossJoin(s.range(12).withColumnRenamed("id", "b")).selectExpr("id AS a_id", "b + 12 AS b_id")
-    return X.link_correlation(v.filter("id < 12"), v.filter("id between 12 and 23"), pairs)
+    pairs = s.range(32).crossJoin(s.range(32).withColumnRenamed("id", "b")).selectExpr("id AS a_id", "b + 32 AS b_id")
+    return X.link_correlation(v.filter("id < 32"), v.filter("id >= 32"), pairs)
 
 
-@query("SELECT i AS a_id, j + 12 AS b_id, count(*) AS n, corr(x[i + 1], x[j + 13]) AS r FROM cells, range(12) a(i), range(12) b(j) GROUP BY ALL", "a_id b_id n", "r")
+@query(
+    """WITH o AS (SELECT i, id, x, row_number() OVER (PARTITION BY i ORDER BY CAST('0x' || substr(md5(id || '/0/' || i), 1, 15) AS BIGINT), id) AS k FROM cells, range(21) r(i)),
+ e AS (SELECT b.i, f.i AS a_id, g.i + 32 AS b_id, count(*) AS n, corr(a.x[f.i + 1], b.x[g.i + 33]) AS c FROM o a JOIN o b ON a.k = b.k AND a.i = 0, range(32) f(i), range(32) g(i) GROUP BY ALL),
+ r AS (SELECT a_id, b_id, n, c AS r FROM e WHERE i = 0)
+ SELECT r.a_id, r.b_id, r.n, r, avg(c) AS null_mean, stddev_pop(c) AS null_sd, (r - avg(c)) / stddev_pop(c) AS z, count(*) FILTER (abs(c) >= abs(r)) AS exceed FROM r JOIN e ON e.a_id = r.a_id AND e.b_id = r.b_id AND i > 0 GROUP BY r.a_id, r.b_id, r.n, r""",
+    "a_id b_id n exceed",
+    "r null_mean null_sd z",
+)
 def link_correlation(s, d):
     return _links(s, d)
 
