@@ -3,7 +3,9 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidewake.functions import tails
 from tidewake.operators import composition as D
@@ -282,6 +284,89 @@ def test_write_refuses_to_overwrite(spark, tmp_path):
     assert S.read_table(spark, str(tmp_path / "t"), required=["id"]).count() == 2
 
 
+def test_ranked_and_standardized_match_pandas(spark):
+    rng = np.random.default_rng(5)
+    x = pd.DataFrame({"i": range(3000), "g": rng.integers(0, 3, 3000), "v": np.round(rng.normal(size=3000), 2)})
+    x.loc[::17, "v"] = np.nan
+    x.loc[x["g"] == 2, "v"] = 4.0  # a flat group
+    df = spark.createDataFrame(x).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+    got = ordering.standardized(ordering.ranked(df, ["g"], "v", "r", "n"), ["g"], "v", "z", 0.0).toPandas().sort_values("i").reset_index()
+    by = x.groupby("g")["v"]
+    assert np.allclose(got["r"], by.rank(), equal_nan=True)
+    assert (got["n"][got["v"].notna()] == by.transform("count")[x["v"].notna()]).all()
+    z = (x["v"] - by.transform("mean")) / by.transform(lambda v: v.std(ddof=0)).replace(0, np.nan)
+    assert np.allclose(got["z"].dropna(), z.where(x["g"] != 2, 0.0)[x["v"].notna() | (x["g"] == 2)].dropna(), atol=1e-9)
+
+
+def test_weighted_covariance_matches_numpy(spark):
+    rng = np.random.default_rng(6)
+    x, w, g = rng.normal(size=(200, 3)), rng.random(200) + 0.1, rng.integers(0, 2, 200)
+    rows = [(int(a), [float(t) for t in b], float(c)) for a, b, c in zip(g, x, w)]
+    df = spark.createDataFrame([*rows, (0, None, 1.0), (1, [0.0, 0.0, 0.0], None)], "g int, x array<double>, w double").repartition(7)
+    for by in ([], ["g"]):
+        for r in M.weighted_covariance(df, by, "x", "w").collect():
+            keep = slice(None) if not by else g == r["g"]
+            want = np.cov(x[keep].T, aweights=w[keep], ddof=0)
+            assert abs(r["cov"] - want[r["i"], r["j"]]) < 1e-9
+
+
+def test_link_correlation_in_any_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(4, 37))
+    v[3] = 2.0  # flat
+    a = spark.createDataFrame([(i, u, float(v[i, u])) for i in range(2) for u in range(37)], "id int, unit int, value double")
+    b = spark.createDataFrame([(i, u, float(v[i, u])) for i in (2, 3) for u in range(37)], "id int, unit int, value double")
+    pairs = spark.createDataFrame([(0, 2), (1, 2), (0, 3)], "a_id int, b_id int")
+    whole = {(r["a_id"], r["b_id"]): r for r in X.link_correlation(a, b, pairs, 9).collect()}
+    monkeypatch.setattr(X, "BLOCK", 5)
+    cut = {(r["a_id"], r["b_id"]): r for r in X.link_correlation(a, b, pairs, 9).collect()}
+    for i in (0, 1):
+        r = np.corrcoef(v[i], v[2])[0, 1]
+        for got in (whole[i, 2], cut[i, 2]):
+            assert abs(got["r"] - r) < 1e-9 and got["n"] == 37
+            assert abs(got["p"] - tails.t_tail(r * np.sqrt(35 / (1 - r * r)), 35)) < 1e-9
+        assert abs(whole[i, 2]["null_sd"] - cut[i, 2]["null_sd"]) < 1e-9 and whole[i, 2]["null_sd"] > 0.01
+    assert whole[0, 3]["r"] is None and whole[0, 3]["p"] is None
+
+
+def test_nearest_genes_over_blocks(spark):
+    rng = np.random.default_rng(8)
+    tss = [(g, int(c), int(t)) for g, (c, t) in enumerate(zip(rng.integers(0, 2, 40), rng.integers(0, 60, 40) * 10))] + [(99, 7, 5)]
+    at = [(p, int(c), int(t), int(t) + 4) for p, (c, t) in enumerate(zip(rng.integers(0, 2, 60), rng.integers(0, 600, 60)))] + [(60, 7, 1, 9)]
+    links = [(g, p) for p, c, *_ in at for g, d, _ in tss if c == d][::7] + [(99, 60)]
+    genes = spark.createDataFrame(tss, "gene int, chrom int, tss int")
+    peaks = spark.createDataFrame(at, "peak int, chrom int, start int, end int")
+    got = G.nearest_genes(spark.createDataFrame(links, "gene int, peak int"), genes, peaks, 50).collect()
+    assert len(got) == len(links)
+    for r in got:
+        _, chrom, low, high = at[r["peak"]]
+        order = sorted((abs(round((low + high) / 2) - t), g) for g, c, t in tss if c == chrom)
+        assert r["nearest_gene"] == order[0][1]
+        assert r["nearest_other_gene"] == next((g for _, g in order if g != r["gene"]), None)
+
+
+def test_pairs_of_few_scores(spark):
+    scores = spark.createDataFrame([(0, 0, 0.9), (0, 1, 0.1), (1, 0, 0.9), (1, 1, 0.5), (2, 0, 0.3), (2, 1, None)], "a_id int, b_id int, score double")
+    observed = spark.createDataFrame([(0, 0), (1, 1)], "a_id int, b_id int")
+    p = {r["a_id"]: (r["p"], r["q"]) for r in C.pair_significance(scores, observed).collect()}
+    assert p == {0: (0.5, 0.5), 1: (0.5, 0.5)}
+    r = C.mann_whitney(scores, observed).first()
+    assert (r["n"], r["m"], r["u"]) == (2, 3, 4.5)  # 0.9 ties once
+
+
+def test_repeated_distance_takes_whole_small_clouds(spark):
+    a = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], "id int, x array<double>")
+    b = spark.createDataFrame([(i, [float(i) + 3.0, 0.0]) for i in range(5)], "id int, x array<double>")
+    r = D.repeated_distance(a, b, [], 50, 3, blur=0.01).first()
+    assert abs(r["mean"] - 3.0) < 0.05 and r["sd"] < 1e-9 and r["q025"] == r["q975"]
+
+
+def test_total_time_distance(spark):
+    d = spark.createDataFrame([(0, 1, 2.0), (1, 2, 3.0), (0, 2, 4.0)], "stage int, next_stage int, w2 double")
+    assert D.total_time_distance(d).first()[:] == (5.0, 4.0)
+    assert D.total_time_distance(d.limit(1)).first()[:] == (2.0, 2.0)
+
+
 def test_entry_imports_and_lists():
     import __spark_entry__ as e
 

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import Keys, ratio
+from ..functions.columns import Keys, ratio, top_n
+from .ordering import attach
 
 
 def composition(df: DataFrame, g: Keys, label: str, weight: str | None = None, name: str = "share") -> DataFrame:
@@ -189,6 +190,32 @@ def adjacent_time_distance(points: DataFrame, stage: str, k: int = 128, blur: fl
     return sinkhorn_divergence(a, b, ["stage", "next_stage"], blur).drop("divergence")
 
 
+def total_time_distance(distances: DataFrame) -> DataFrame:
+    """One row: total, the sum of w2 over consecutive stages, and ends, the w2 between the first and the last
+    stage (that of the one pair, if there are two). distances: as adjacent_time_distance gives them."""
+    bounds = distances.agg(F.min("stage").alias("_first"), F.max("next_stage").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    d = distances.crossJoin(F.broadcast(bounds))  # one row
+    ends = (F.col("stage") == F.col("_first")) & (F.col("next_stage") == F.col("_last"))
+    return d.agg(F.sum(F.when(~ends | (F.col("_n") == 1), F.col("w2"))).alias("total"), F.max(F.when(ends, F.col("w2"))).alias("ends"))
+
+
+def repeated_distance(a: DataFrame, b: DataFrame, g: Keys, size: int, repeats: int, seed: int = 0, blur: float = 0.1, vector: str = "x", key: str = "id") -> DataFrame:
+    """mean, sd, median, q025, q975 of w2 between minibatches of the two clouds of each group, over repeats. A
+    minibatch is the `size` rows of a cloud (all, if fewer) with the least hashes of key, repeat and seed. Rows
+    are thinned by a threshold on the hash, to some four times the need, before any are ordered."""
+
+    def drawn(df: DataFrame) -> DataFrame:
+        n = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+        d = attach(df.select(*g, F.col(key).alias("_key"), F.col(vector).alias("x"), F.lit(1.0).alias("weight")), n, g)
+        d = d.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_h", F.xxhash64("_key", "repeat", F.lit(seed)))
+        share = 4.0 * (size + 64) / F.col("_n")  # `size` fail to pass with a chance below 1e-50
+        low = (F.col("_h").cast("double") / 2.0**64 + 0.5) < share
+        return top_n(d.filter(low), [*g, "repeat"], [F.col("_h"), F.col("_key")], size, "_r").select(*g, "repeat", "x", "weight")
+
+    w2 = sinkhorn_divergence(drawn(a), drawn(b), [*g, "repeat"], blur)
+    return w2.groupBy(*g).agg(F.avg("w2").alias("mean"), F.stddev("w2").alias("sd"), *[F.expr(f"percentile(w2, {q})").alias(n) for n, q in (("median", 0.5), ("q025", 0.025), ("q975", 0.975))])
+
+
 def directions(spark, dim: int, n: int, seed: int = 0) -> DataFrame:
     """direction, u: n seeded unit vectors."""
     v = np.random.default_rng(seed).normal(size=(n, dim))

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.columns import Keys, ratio, top_n
+from ..functions.tails import normal_two_sided
 from .features import average_precision, bh_fdr, odds_ratio_ci
-from .ordering import standardized
+from .ordering import running_totals, standardized
 
 
 @functools.cache
@@ -130,7 +131,7 @@ def stability_summary(ranked: DataFrame, alternate: DataFrame, lines: DataFrame,
     return ranked.join(alt, list(keys), "left").join(s, list(keys), "left")
 
 
-def pair_shuffle_test(scores: DataFrame, observed: DataFrame, permutations: int = 1000, seed: int = 0, keep=(0.5, 0.7)) -> DataFrame:
+def pair_shuffle_test(scores: DataFrame, observed: DataFrame, permutations: int = 10_000, seed: int = 0, keep=(0.5, 0.7)) -> DataFrame:
     """One row: n, observed median, AUC of observed against mismatched pairs, p of the median under random
     re-pairing of a with b, quantiles of the permuted medians, observed fractions at the thresholds.
     scores: a_id, b_id, score for all pairs of the (few) observed ids; observed: a_id, b_id."""
@@ -149,6 +150,32 @@ def pair_shuffle_test(scores: DataFrame, observed: DataFrame, permutations: int
     return real.crossJoin(auc).crossJoin(null)  # one row each
 
 
+def pair_significance(scores: DataFrame, observed: DataFrame) -> DataFrame:
+    """a_id, b_id, score, p, q of the observed pairs: p = (1 + mismatched pairs that score as much) / (1 + their
+    number), q by BH. Scores are counted by value and totalled in cells."""
+    o = observed.select("a_id", "b_id").distinct().withColumn("_obs", F.lit(1))
+    d = scores.join(o, ["a_id", "b_id"], "left").withColumn("_rest", F.when(F.col("_obs").isNull(), 1).otherwise(0))
+    t = running_totals(d.filter("score is not null").groupBy("score").agg(F.sum("_rest").alias("_n")), [], "score", ["_n"])
+    p = (1 + F.col("_n_all") - F.col("_n_upto") + F.col("_n")) / (1 + F.col("_n_all"))
+    return bh_fdr(d.filter("_obs = 1").select("a_id", "b_id", "score").join(t.select("score", p.alias("p")), "score", "left"), [], "p")
+
+
+def mann_whitney(scores: DataFrame, observed: DataFrame) -> DataFrame:
+    """One row: n and m (observed and mismatched pairs), u, z and two-sided p of the rank sum, by the normal
+    approximation with half a step and the correction for ties."""
+    o = observed.select("a_id", "b_id").distinct().withColumn("_obs", F.lit(1))
+    d = scores.filter("score is not null").join(o, ["a_id", "b_id"], "left")
+    t = d.groupBy("score").agg(F.count("_obs").alias("_o"), F.count(F.lit(1)).alias("_n"))
+    t = running_totals(t, [], "score", ["_n"]).withColumn("_r", F.col("_n_upto") - (F.col("_n") - 1) / 2)
+    ties = F.col("_n").cast("double") ** 3 - F.col("_n")
+    s = t.agg(F.sum("_o").alias("n"), F.sum(F.col("_n") - F.col("_o")).alias("m"), F.sum(F.col("_r") * F.col("_o")).alias("_s"), F.sum(ties).alias("_t"))
+    n, m, all_ = F.col("n"), F.col("m"), (F.col("n") + F.col("m")).cast("double")
+    s = s.withColumn("u", F.col("_s") - n * (n + 1) / 2)
+    sd = F.sqrt(n * m / 12.0 * (all_ + 1 - F.col("_t") / (all_ * (all_ - 1))))
+    far = F.greatest(F.abs(F.col("u") - n * m / 2.0) - 0.5, F.lit(0.0))
+    return s.withColumn("z", ratio(F.signum(F.col("u") - n * m / 2.0) * far, sd)).withColumn("p", normal_two_sided(F.col("z"))).select("n", "m", "u", "z", "p")
+
+
 def dominant_match(curves: DataFrame, audit: DataFrame, t, lineage: str = "grp", value: str = "value") -> DataFrame:
     """kind, n, rate: share of features whose greatest lineage at time t is the annotated one."""
     best = curves.filter(F.col("t") == t).groupBy("kind", "feature").agg(F.min(F.struct((-F.col(value)).alias("v"), F.col(lineage).alias("l")))["l"].alias("best"))
@@ -173,9 +200,10 @@ def select_supported(ranked: DataFrame, gene: str, keys: Keys, models: int, n: i
     return best.orderBy("mean_rank", *keys).limit(n)
 
 
-def model_pair_summary(ranked: DataFrame, model: str, score: str, support: str, q: str, high: Column | None = None) -> DataFrame:
-    """By model: pairs, AUPRC and odds ratio of support, median score, pairs with q <= 0.1."""
-    base = ranked.groupBy(model).agg(F.count(F.lit(1)).alias("n"), F.expr(f"percentile({score}, 0.5)").alias("median"), F.sum((F.col(q) <= 0.1).cast("long")).alias("significant"))
+def model_pair_summary(ranked: DataFrame, model: str, score: str, support: str, q: str, high: Column | None = None, lag: str | None = None) -> DataFrame:
+    """By model: pairs, AUPRC and odds ratio of support, median score, pairs with q <= 0.1 and, with lag, the
+    share of pairs whose lag is positive."""
+    base = ranked.groupBy(model).agg(F.count(F.lit(1)).alias("n"), F.expr(f"percentile({score}, 0.5)").alias("median"), F.sum((F.col(q) <= 0.1).cast("long")).alias("significant"), *([F.avg((F.col(lag) > 0).cast("double")).alias("lead_fraction")] if lag else []))
     top = ranked.withColumn("_h", F.col("top_decile") if high is None else high)
     return base.join(average_precision(ranked, [model], score, support).select(model, "average_precision"), model).join(odds_ratio_ci(top, [model], "_h", support).select(model, "odds_ratio"), model)
 

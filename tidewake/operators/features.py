@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.columns import Keys, known, pearson, ratio
 from ..functions.tails import fisher_greater, normal_two_sided, t_tail, t_two_sided
@@ -66,6 +67,18 @@ def peak_set_fraction(counts: DataFrame, sets: DataFrame) -> DataFrame:
     return n.join(size, "set").select("cell", "set", (F.col("_n") / F.col("_s")).alias("fraction"))
 
 
+def depth_normalised_score(cells: DataFrame, counts: DataFrame, sets: DataFrame) -> DataFrame:
+    """cell, set, score: z over all cells of log1p(1e5 n / depth), n the set's open peaks of the cell and depth all
+    its open peaks (1 at least); 0 for a flat set. Cells without a count take part with n = 0; sets are few."""
+    open_ = counts.filter(F.col("value") > 0).select("cell", "feature").distinct()
+    depth = open_.groupBy("cell").agg(F.count(F.lit(1)).alias("_depth"))
+    n = open_.join(sets, "feature").groupBy("cell", "set").agg(F.count(F.lit(1)).alias("_n"))
+    every = cells.select("cell").distinct().crossJoin(sets.select("set").distinct())
+    d = every.join(n, ["cell", "set"], "left").join(depth, "cell", "left").fillna(0, ["_n", "_depth"])
+    d = d.withColumn("_v", F.log1p(1e5 * F.col("_n") / F.greatest("_depth", F.lit(1))))
+    return standardized(d, ["set"], "_v", "score", 0.0, 1e-12).select("cell", "set", "score")
+
+
 def set_contrast(fractions: DataFrame, a: str, b: str) -> DataFrame:
     """cell, contrast = fraction of a - fraction of b, 0 where a cell has none."""
     part = lambda s: F.sum(F.when(F.col("set") == s, F.col("fraction")).otherwise(0.0))
@@ -330,6 +343,16 @@ def contrast_metrics(profiles: DataFrame, g: Keys) -> DataFrame:
     return a.join(m, list(g)).withColumn("margin_error", F.abs(F.col("margin") - F.col("_o"))).drop("_o")
 
 
+def background_metrics(profiles: DataFrame, g: Keys) -> DataFrame:
+    """From rows of g, feature, correct, opposite, observed_correct, observed_opposite and positive (false: the
+    matched background): AUROC of the correct branch, enrichment (mean of positives less that of the background)
+    of both branches, their difference, that of the observed, and the error between the two."""
+    lift = lambda c: F.avg(F.when(F.col("positive"), F.col(c))) - F.avg(F.when(~F.col("positive"), F.col(c)))
+    m = profiles.groupBy(*g).agg(lift("correct").alias("enrichment"), lift("opposite").alias("opposite_enrichment"), (lift("observed_correct") - lift("observed_opposite")).alias("observed_specificity"))
+    m = m.withColumn("specificity", F.col("enrichment") - F.col("opposite_enrichment")).withColumn("specificity_error", F.abs(F.col("specificity") - F.col("observed_specificity")))
+    return auroc(profiles, g, "correct", "positive").select(*g, "auroc").join(m, list(g))
+
+
 def call_peak_sets(df: DataFrame, peak: str, replicate: str, value: str, q: float) -> DataFrame:
     """peak, support (the least rank fraction over replicates), in_set (support at or above its q-quantile)."""
     d = ranked(df, [replicate], value, "_r", "_n").withColumn("_r", F.col("_r") / F.col("_n")).groupBy(peak).agg(F.min("_r").alias("support"))
@@ -337,7 +360,7 @@ def call_peak_sets(df: DataFrame, peak: str, replicate: str, value: str, q: floa
     return d.crossJoin(F.broadcast(cut)).select(peak, "support", (F.col("support") >= F.col("_c")).alias("in_set"))  # one row
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _inner_products(a: pd.Series, b: pd.Series) -> pd.Series:
     """Of two arrays; NaN where one holds a null."""
     return pd.Series([np.asarray(x, float) @ np.asarray(y, float) for x, y in zip(a, b, strict=True)], dtype=float)

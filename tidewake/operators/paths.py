@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import Keys, pearson, ratio, top_n
+from .composition import composition
+from .features import auroc
 from .ordering import ranked, standardized
 from .composition import kmeans
 
@@ -160,16 +162,16 @@ def cross_modal_consistency(a: DataFrame, b: DataFrame, g: Keys, particle: str =
 
 
 def fate_concordance(df: DataFrame, g: Keys, a: str, b: str, w: str, confident: float = 0.8) -> DataFrame:
-    """From two columns of logits: weighted Pearson, mean binary JSD, agreement, chance, Cohen's kappa, and
-    the share of confident disagreement."""
-    d = df.withColumn("_a", 1 / (1 + F.exp(-F.col(a)))).withColumn("_b", 1 / (1 + F.exp(-F.col(b))))
+    """From two columns of logits: weighted Pearson, and Spearman as that of the average ranks, mean binary JSD,
+    agreement, chance, Cohen's kappa, and the share of confident disagreement."""
+    d = ranked(ranked(df, g, a, "_ra"), g, b, "_rb").withColumn("_a", 1 / (1 + F.exp(-F.col(a)))).withColumn("_b", 1 / (1 + F.exp(-F.col(b))))
     h = lambda p: -F.when(p > 0, p * F.log2(p)).otherwise(0.0) - F.when(p < 1, (1 - p) * F.log2(1 - p)).otherwise(0.0)
     m = (F.col("_a") + F.col("_b")) / 2
     d = d.withColumn("_j", h(m) - (h(F.col("_a")) + h(F.col("_b"))) / 2).withColumn("_fa", (F.col("_a") >= 0.5).cast("double")).withColumn("_fb", (F.col("_b") >= 0.5).cast("double"))
     mean = lambda c: F.sum(F.col(w) * c) / F.sum(w)
     sure = (F.greatest("_a", 1 - F.col("_a")) >= confident) & (F.greatest("_b", 1 - F.col("_b")) >= confident)
     out = d.groupBy(*g).agg(
-        pearson(F.col(a), F.col(b), F.col(w)).alias("pearson"), mean(F.col("_j")).alias("jsd"), mean((F.col("_fa") == F.col("_fb")).cast("double")).alias("agreement"),
+        pearson(F.col(a), F.col(b), F.col(w)).alias("pearson"), pearson(F.col("_ra"), F.col("_rb"), F.col(w)).alias("spearman"), mean(F.col("_j")).alias("jsd"), mean((F.col("_fa") == F.col("_fb")).cast("double")).alias("agreement"),
         mean(F.col("_fa")).alias("_ma"), mean(F.col("_fb")).alias("_mb"), mean((sure & (F.col("_fa") != F.col("_fb"))).cast("double")).alias("confident_discordance"),
     )
     out = out.withColumn("chance", F.col("_ma") * F.col("_mb") + (1 - F.col("_ma")) * (1 - F.col("_mb")))
@@ -245,12 +247,18 @@ def rand_index(a: DataFrame, b: DataFrame, g: Keys, key: str = "id", label: str
 
 
 def substate_metrics(reference: DataFrame, predicted: DataFrame, g: Keys, threshold: float = 0.5) -> DataFrame:
-    """Macro recall (soft and binary) over substates, supported precision, F1, rarest-substate recall.
-    reference: g, substate, hit (0..1); predicted: g, weight, supported (boolean)."""
+    """Macro recall (soft and binary) over substates, supported precision, F1, rarest-substate recall, and the
+    JSD (base 2) between the substates' shares of reference rows and of predicted weight.
+    reference: g, substate, hit (0..1); predicted: g, substate, weight, supported (boolean)."""
     per = reference.groupBy(*g, "substate").agg(F.count(F.lit(1)).alias("_n"), F.avg("hit").alias("_soft"), F.avg((F.col("hit") >= threshold).cast("double")).alias("_hard"))
     r = per.groupBy(*g).agg(F.avg("_soft").alias("soft_recall"), F.avg("_hard").alias("recall"), F.min_by("_soft", F.struct("_n", "substate")).alias("rarest_recall"))
     p = predicted.groupBy(*g).agg(ratio(F.sum(F.col("weight") * F.col("supported").cast("double")), F.sum("weight")).alias("precision"))
-    return r.join(p, list(g)).withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    o = composition(reference, g, "substate", name="_p")
+    q = composition(predicted, g, "substate", "weight", name="_q")
+    d = o.join(q, [*g, "label"], "outer").fillna(0.0, ["_p", "_q"]).withColumn("_m", (F.col("_p") + F.col("_q")) / 2)
+    term = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / F.col("_m"))).otherwise(0.0)
+    apart = d.groupBy(*g).agg((F.sum(term("_p") + term("_q")) / 2).alias("composition_jsd"))
+    return r.join(p, list(g)).join(apart, list(g)).withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
 def top_programs_per_substate(scores: DataFrame, type_: Keys, substate: str, program: str, value: str, n: int = 5) -> DataFrame:
@@ -267,12 +275,19 @@ def flow_share_table(scores: DataFrame, columns: Keys, tolerance: float = 1e-8)
 
 def fate_margin_dynamics(scores: DataFrame, g: Keys, particle: str, step: str, own: str, other: str, weight: str) -> DataFrame:
     """Weighted means over particles: terminal margin (own - other program), gain over the path, share of
-    steps on which the margin rises, and the share of particles whose terminal margin is positive."""
+    steps on which the margin does not fall, and the share of particles whose terminal margin is positive; and
+    the weighted AUROC of the margin at the first step for that fate."""
     d = scores.withColumn("_m", F.col(own) - F.col(other))
-    d = d.withColumn("_up", (F.col("_m") > F.lag("_m").over(Window.partitionBy(*g, particle).orderBy(step))).cast("double"))
-    per = d.groupBy(*g, particle).agg(F.max_by("_m", step).alias("_last"), F.min_by("_m", step).alias("_first"), F.avg("_up").alias("_rise"), F.max_by(weight, step).alias("_w"))
+    d = d.withColumn("_up", (F.col("_m") >= F.lag("_m").over(Window.partitionBy(*g, particle).orderBy(step))).cast("double"))
+    per = d.groupBy(*g, particle).agg(F.max_by("_m", step).alias("_last"), F.min_by("_m", step).alias("_first"), F.avg("_up").alias("_rise"), F.max_by(weight, step).alias("_w")).withColumn("_fate", F.col("_last") > 0)
     mean = lambda c: ratio(F.sum(F.col("_w") * c), F.sum("_w"))
-    return per.groupBy(*g).agg(mean(F.col("_last")).alias("terminal_margin"), mean(F.col("_last") - F.col("_first")).alias("gain"), F.avg("_rise").alias("rising_steps"), mean((F.col("_last") > 0).cast("double")).alias("own_fate_share"))
+    return per.groupBy(*g).agg(mean(F.col("_last")).alias("terminal_margin"), mean(F.col("_last") - F.col("_first")).alias("gain"), mean(F.col("_rise")).alias("rising_steps"), mean(F.col("_fate").cast("double")).alias("own_fate_share")).join(auroc(per, g, "_first", "_fate", "_w").select(*g, F.col("auroc").alias("early_auroc")), list(g))
+
+
+def fate_agreement(a: DataFrame, b: DataFrame, g: Keys, particle: str, label: str, weight: str) -> DataFrame:
+    """g, n, agreement: the weighted share of particles whose fate is one in both modalities; weights are a's."""
+    d = a.select(*g, particle, F.col(label).alias("_a"), F.col(weight).alias("_w")).join(b.select(*g, particle, F.col(label).alias("_b")), [*g, particle])
+    return d.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), ratio(F.sum(F.col("_w") * (F.col("_a") == F.col("_b")).cast("double")), F.sum("_w")).alias("agreement"))
 
 
 def leakage_fractions(votes: DataFrame, sets: DataFrame, g: Keys, k: int, weight: str = "weight") -> DataFrame:

@@ -104,8 +104,7 @@ def stability_summary(s, d):
     return C.stability_summary(equal_rank(true(s, d), ["m"], "score"), equal_rank(nulls(s, d).filter("k = 'F'"), ["m"], "score"), lines, ["m", "gene", "peak"])
 
 
-@query(None, "n", "median auroc p null_q025 null_q975 share_50 share_70")
-def pair_shuffle_test(s, d):
+def _pairs(s, d):
     """Mean vectors of label by remainder stand for genes (even) and peaks (odd); neighbours are pairs."""
     from ..functions.columns import dot
 
@@ -113,7 +112,36 @@ def pair_shuffle_test(s, d):
     e = e.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", "v")))["v"].alias("x"))  # 80 rows of 64
     a, b = e.filter("id % 2 = 0"), e.filter("id % 2 = 1")
     every = a.selectExpr("id AS a_id", "x AS ax").crossJoin(b.selectExpr("id AS b_id", "x AS bx")).select("a_id", "b_id", dot("ax", "bx").alias("score"))
-    return C.pair_shuffle_test(every, a.selectExpr("id AS a_id", "id + 1 AS b_id"), 200)
+    return every, a.selectExpr("id AS a_id", "id + 1 AS b_id")
+
+
+PAIRS = """(WITH e AS (SELECT label * 8 + vec_id % 8 AS id, i, avg(CAST(embedding[i + 1] AS DOUBLE)) AS v FROM embeddings, range(64) r(i) GROUP BY ALL)
+ SELECT a.id AS a_id, b.id AS b_id, sum(a.v * b.v) AS score, b.id = a.id + 1 AS obs FROM e a JOIN e b ON a.i = b.i AND a.id % 2 = 0 AND b.id % 2 = 1 GROUP BY ALL)"""
+
+
+@query(None, "n", "median auroc p null_q025 null_q975 share_50 share_70")
+def pair_shuffle_test(s, d):
+    return C.pair_shuffle_test(*_pairs(s, d))
+
+
+@query(
+    f"""WITH s AS {PAIRS}, p AS (SELECT a.a_id, a.b_id, a.score, (1 + count(*) FILTER (b.score >= a.score)) / (1 + count(*)) AS p FROM s a JOIN s b ON a.obs AND NOT b.obs GROUP BY ALL),
+ r AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS raw FROM p) SELECT *, least(min(raw) OVER (ORDER BY p DESC), 1) AS q FROM r""",
+    "a_id b_id",
+    "score p q",
+)
+def pair_significance(s, d):
+    return C.pair_significance(*_pairs(s, d))
+
+
+@query(
+    f"""WITH s AS {PAIRS}, u AS (SELECT sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END) AS u FROM s a JOIN s b ON a.obs AND NOT b.obs), t AS (SELECT sum(power(c, 3) - c) AS t FROM (SELECT count(*) AS c FROM s GROUP BY score)),
+ k AS (SELECT count(*) FILTER (obs) AS n, count(*) FILTER (NOT obs) AS m FROM s) SELECT n, m, u, sign(u - n * m / 2.0) * greatest(abs(u - n * m / 2.0) - 0.5, 0) / sqrt(n * m / 12.0 * (n + m + 1 - t / ((n + m) * (n + m - 1.0)))) AS z FROM u, t, k""",
+    "n m",
+    "u z",
+)
+def mann_whitney(s, d):
+    return C.mann_whitney(*_pairs(s, d))
 
 
 @query("SELECT 'x' AS kind, count(*) AS n, avg(CASE WHEN best = 2 THEN 1.0 ELSE 0 END) AS rate FROM (SELECT feature, arg_min(grp, (-value, grp)) AS best FROM curves WHERE t = 3 GROUP BY ALL)", "kind n", "rate")
@@ -145,17 +173,17 @@ def select_supported(s, d):
 
 
 def _summary(s, d):
-    r = C.calibrate_against_nulls(true(s, d), nulls(s, d), ["m", "gene", "peak"], ["m"]).withColumn("support", F.expr("peak % 2 = 0"))
-    return C.model_pair_summary(r, "m", "score", "support", "q")
+    r = C.calibrate_against_nulls(true(s, d), nulls(s, d), ["m", "gene", "peak"], ["m"]).withColumn("support", F.expr("peak % 2 = 0")).withColumn("lag", F.expr("peak % 3 - 1"))
+    return C.model_pair_summary(r, "m", "score", "support", "q", lag="lag")
 
 
 CAL = _calibrated(TRUE, NULLS, ["m", "gene", "peak"], ["m"])
 SUMMARY = f"""WITH z AS (SELECT *, peak % 2 = 0 AS support FROM ({CAL})), ap AS (SELECT m, sum(p1 * cp / cn) / sum(p1) AS average_precision FROM (SELECT m, p1, sum(p1) OVER w AS cp, sum(n1) OVER w AS cn FROM (SELECT m, score, sum(CAST(support AS INT)) AS p1, count(*) AS n1 FROM z GROUP BY ALL) WINDOW w AS (PARTITION BY m ORDER BY score DESC)) GROUP BY ALL)
- SELECT z.m, count(*) AS n, quantile_cont(score, 0.5) AS median, sum(CAST(q <= 0.1 AS INT)) AS significant, any_value(average_precision) AS average_precision,
+ SELECT z.m, count(*) AS n, quantile_cont(score, 0.5) AS median, sum(CAST(q <= 0.1 AS INT)) AS significant, avg(CASE WHEN peak % 3 - 1 > 0 THEN 1.0 ELSE 0 END) AS lead_fraction, any_value(average_precision) AS average_precision,
  (sum(CAST(top_decile AND support AS INT)) + 0.5e0) * (sum(CAST(NOT top_decile AND NOT support AS INT)) + 0.5e0) / ((sum(CAST(top_decile AND NOT support AS INT)) + 0.5e0) * (sum(CAST(NOT top_decile AND support AS INT)) + 0.5e0)) AS odds_ratio FROM z JOIN ap ON ap.m = z.m GROUP BY z.m"""
 
 
-@query(SUMMARY, "m n significant", "median average_precision odds_ratio")
+@query(SUMMARY, "m n significant", "median average_precision odds_ratio lead_fraction")
 def model_pair_summary(s, d):
     return _summary(s, d)
 

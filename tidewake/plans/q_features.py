@@ -69,6 +69,17 @@ def peak_set_fraction(s, d):
     return X.peak_set_fraction(counts(s, d), s.range(50).selectExpr("id AS feature", "id % 5 AS set"))
 
 
+@query(
+    f"""WITH c AS (SELECT cell, count(*) AS depth FROM {COUNTS} GROUP BY ALL), n AS (SELECT cell, feature % 5 AS set, count(*) AS n FROM {COUNTS} GROUP BY ALL), e AS (SELECT s_suppkey AS cell, set FROM supplier, range(5) r(set)),
+ v AS (SELECT e.cell, e.set, ln(1 + 1e5 * coalesce(n, 0) / coalesce(depth, 1)) AS v FROM e LEFT JOIN n ON n.cell = e.cell AND n.set = e.set LEFT JOIN c ON c.cell = e.cell)
+ SELECT cell, set, coalesce((v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w > 1e-12 THEN stddev_pop(v) OVER w END, 0) AS score FROM v WINDOW w AS (PARTITION BY set)""",
+    "cell set",
+    "score",
+)
+def depth_normalised_score(s, d):
+    return X.depth_normalised_score(table(s, d, "supplier").select(F.col("s_suppkey").alias("cell")), counts(s, d), s.range(50).selectExpr("id AS feature", "id % 5 AS set"))
+
+
 @query(f"SELECT cell, sum(CASE feature % 5 WHEN 0 THEN 0.1 WHEN 1 THEN -0.1 ELSE 0 END) AS contrast FROM {COUNTS} GROUP BY ALL", "cell", "contrast")
 def set_contrast(s, d):
     return X.set_contrast(X.peak_set_fraction(counts(s, d), s.range(50).selectExpr("id AS feature", "id % 5 AS set")), "0", "1")
@@ -257,6 +268,20 @@ def contrast_metrics(s, d):
     return X.contrast_metrics(p, ["g"])
 
 
+@query(
+    """WITH p AS (SELECT label AS g, vec_id % 3 = 0 AS pos, CAST(embedding[1] AS DOUBLE) AS c, CAST(embedding[2] AS DOUBLE) AS o, CAST(embedding[3] AS DOUBLE) AS oc, CAST(embedding[4] AS DOUBLE) AS oo FROM embeddings),
+ m AS (SELECT g, avg(c) FILTER (pos) - avg(c) FILTER (NOT pos) AS enrichment, avg(o) FILTER (pos) - avg(o) FILTER (NOT pos) AS opposite_enrichment, avg(oc) FILTER (pos) - avg(oc) FILTER (NOT pos) - avg(oo) FILTER (pos) + avg(oo) FILTER (NOT pos) AS observed_specificity FROM p GROUP BY ALL),
+ a AS (SELECT x.g, avg(CASE WHEN x.c > y.c THEN 1.0 WHEN x.c = y.c THEN 0.5 ELSE 0 END) AS auroc FROM p x JOIN p y ON x.g = y.g AND x.pos AND NOT y.pos GROUP BY ALL)
+ SELECT m.*, auroc, enrichment - opposite_enrichment AS specificity, abs(enrichment - opposite_enrichment - observed_specificity) AS specificity_error FROM m JOIN a ON a.g = m.g""",
+    "g",
+    "auroc enrichment opposite_enrichment observed_specificity specificity specificity_error",
+)
+def background_metrics(s, d):
+    names = ("correct", "opposite", "observed_correct", "observed_opposite")
+    e = [f"CAST(embedding[{i}] AS DOUBLE) AS {n}" for i, n in enumerate(names)]
+    return X.background_metrics(table(s, d, "embeddings").selectExpr("label AS g", *e, "vec_id % 3 = 0 AS positive"), ["g"])
+
+
 @query(f"WITH v AS (SELECT feature AS peak, cell % 3 AS rep, sum(value) AS v FROM {COUNTS} GROUP BY ALL), m AS (SELECT peak, min(r) AS support FROM (SELECT peak, (rank() OVER (PARTITION BY rep ORDER BY v) + (count(*) OVER (PARTITION BY rep, v) - 1) / 2.0) / count(*) OVER (PARTITION BY rep) AS r FROM v) GROUP BY ALL) SELECT peak, support, support >= (SELECT quantile_cont(support, 0.8) FROM m) AS in_set FROM m", "peak in_set", "support")
 def call_peak_sets(s, d):
     v = counts(s, d).groupBy(F.col("feature").alias("peak"), F.expr("cell % 3").alias("rep")).agg(F.sum("value").alias("v"))

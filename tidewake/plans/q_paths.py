@@ -210,13 +210,14 @@ def cross_modal_consistency(s, d):
 
 @query(
     """WITH d AS (SELECT method, stage, x[1] * 10 AS la, x[2] * 10 AS lb, 1 / (1 + exp(-x[1] * 10)) AS a, 1 / (1 + exp(-x[2] * 10)) AS b, weight AS w FROM weights),
- e AS (SELECT *, -(m * log2(m) + (1 - m) * log2(1 - m)) + (a * log2(a) + (1 - a) * log2(1 - a)) / 2 + (b * log2(b) + (1 - b) * log2(1 - b)) / 2 AS j, CASE WHEN a >= 0.5 THEN 1.0 ELSE 0 END AS fa, CASE WHEN b >= 0.5 THEN 1.0 ELSE 0 END AS fb FROM (SELECT *, (a + b) / 2 AS m FROM d)),
+ e AS (SELECT *, rank() OVER (PARTITION BY method, stage ORDER BY la) + (count(*) OVER (PARTITION BY method, stage, la) - 1) / 2.0e0 AS ra, rank() OVER (PARTITION BY method, stage ORDER BY lb) + (count(*) OVER (PARTITION BY method, stage, lb) - 1) / 2.0e0 AS rb, -(m * log2(m) + (1 - m) * log2(1 - m)) + (a * log2(a) + (1 - a) * log2(1 - a)) / 2 + (b * log2(b) + (1 - b) * log2(1 - b)) / 2 AS j, CASE WHEN a >= 0.5 THEN 1.0 ELSE 0 END AS fa, CASE WHEN b >= 0.5 THEN 1.0 ELSE 0 END AS fb FROM (SELECT *, (a + b) / 2 AS m FROM d)),
  o AS (SELECT method, stage, (sum(w*la*lb)/sum(w) - sum(w*la)/sum(w)*sum(w*lb)/sum(w)) / sqrt((sum(w*la*la)/sum(w) - power(sum(w*la)/sum(w), 2)) * (sum(w*lb*lb)/sum(w) - power(sum(w*lb)/sum(w), 2))) AS pearson,
+ (sum(w*ra*rb)/sum(w) - sum(w*ra)/sum(w)*sum(w*rb)/sum(w)) / sqrt((sum(w*ra*ra)/sum(w) - power(sum(w*ra)/sum(w), 2)) * (sum(w*rb*rb)/sum(w) - power(sum(w*rb)/sum(w), 2))) AS spearman,
  sum(w * j) / sum(w) AS jsd, sum(CASE WHEN fa = fb THEN w ELSE 0 END) / sum(w) AS agreement, sum(w * fa) / sum(w) AS ma, sum(w * fb) / sum(w) AS mb,
  sum(CASE WHEN fa <> fb AND greatest(a, 1 - a) >= 0.8 AND greatest(b, 1 - b) >= 0.8 THEN w ELSE 0 END) / sum(w) AS confident_discordance FROM e GROUP BY ALL)
  SELECT *, (agreement - chance) / (1 - chance) AS kappa FROM (SELECT *, ma * mb + (1 - ma) * (1 - mb) AS chance FROM o)""",
     "method stage",
-    "pearson jsd agreement chance kappa confident_discordance",
+    "pearson spearman jsd agreement chance kappa confident_discordance",
 )
 def fate_concordance(s, d):
     w = weighted(s, d).withColumn("a", F.col("x")[0] * 10).withColumn("b", F.col("x")[1] * 10)
@@ -279,15 +280,17 @@ def rand_index(s, d):
 
 @query(
     """WITH r AS (SELECT o_orderpriority AS g, o_orderstatus AS substate, (o_orderkey % 11) / 10.0 AS hit FROM orders), p AS (SELECT g, substate, count(*) AS n, avg(hit) AS soft, avg(CASE WHEN hit >= 0.5 THEN 1.0 ELSE 0 END) AS hard FROM r GROUP BY ALL),
- m AS (SELECT g, avg(soft) AS soft_recall, avg(hard) AS recall, arg_min(soft, (n, substate)) AS rarest_recall FROM p GROUP BY ALL), q AS (SELECT o_orderpriority AS g, sum(CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice ELSE 0 END) / sum(o_totalprice) AS precision FROM orders GROUP BY ALL)
- SELECT m.*, precision, 2 * precision * recall / (precision + recall) AS f1 FROM m JOIN q ON q.g = m.g""",
+ m AS (SELECT g, avg(soft) AS soft_recall, avg(hard) AS recall, arg_min(soft, (n, substate)) AS rarest_recall FROM p GROUP BY ALL), q AS (SELECT o_orderpriority AS g, sum(CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice ELSE 0 END) / sum(o_totalprice) AS precision FROM orders GROUP BY ALL),
+ h AS (SELECT o_orderpriority AS g, o_orderstatus AS substate, count(*) AS n, sum(o_totalprice) AS v FROM orders GROUP BY ALL), h2 AS (SELECT g, substate, n / sum(n) OVER k AS a, v / sum(v) OVER k AS b FROM h WINDOW k AS (PARTITION BY g)),
+ j AS (SELECT g, sum(a * log2(2 * a / (a + b)) + b * log2(2 * b / (a + b))) / 2 AS composition_jsd FROM h2 GROUP BY ALL)
+ SELECT m.*, precision, 2 * precision * recall / (precision + recall) AS f1, composition_jsd FROM m JOIN q ON q.g = m.g JOIN j ON j.g = m.g""",
     "g",
-    "soft_recall recall rarest_recall precision f1",
+    "soft_recall recall rarest_recall precision f1 composition_jsd",
 )
 def substate_metrics(s, d):
     o = table(s, d, "orders")
     r = o.selectExpr("o_orderpriority AS g", "o_orderstatus AS substate", "(o_orderkey % 11) / 10.0D AS hit")
-    p = o.selectExpr("o_orderpriority AS g", "o_totalprice AS weight", "o_orderkey % 4 = 0 AS supported")
+    p = o.selectExpr("o_orderpriority AS g", "o_orderstatus AS substate", "o_totalprice AS weight", "o_orderkey % 4 = 0 AS supported")
     return T.substate_metrics(r, p, ["g"])
 
 
@@ -309,17 +312,28 @@ def flow_share_table(s, d):
 
 
 @query(
-    f"""WITH m AS (SELECT pid % 5 AS g, pid, step, x - y AS m, 1.0 + pid % 3 AS w FROM {STEPS}), u AS (SELECT *, CASE WHEN lag(m) OVER k IS NOT NULL THEN CASE WHEN m > lag(m) OVER k THEN 1.0 ELSE 0 END END AS up FROM m WINDOW k AS (PARTITION BY pid ORDER BY step)),
- p AS (SELECT g, pid, arg_max(m, step) AS l, arg_min(m, step) AS f, avg(up) AS r, max(w) AS w FROM u GROUP BY ALL)
- SELECT g, sum(w * l) / sum(w) AS terminal_margin, sum(w * (l - f)) / sum(w) AS gain, avg(r) AS rising_steps, sum(CASE WHEN l > 0 THEN w ELSE 0 END) / sum(w) AS own_fate_share FROM p GROUP BY ALL""",
+    f"""WITH m AS (SELECT pid % 5 AS g, pid, step, x - y AS m, 1.0 + pid % 3 AS w FROM {STEPS}), u AS (SELECT *, CASE WHEN lag(m) OVER k IS NOT NULL THEN CASE WHEN m >= lag(m) OVER k THEN 1.0 ELSE 0 END END AS up FROM m WINDOW k AS (PARTITION BY pid ORDER BY step)),
+ p AS (SELECT g, pid, arg_max(m, step) AS l, arg_min(m, step) AS f, avg(up) AS r, max(w) AS w FROM u GROUP BY ALL),
+ c AS (SELECT a.g, sum(a.w * b.w * CASE WHEN a.f > b.f THEN 1.0 WHEN a.f = b.f THEN 0.5 ELSE 0 END) / sum(a.w * b.w) AS early_auroc FROM p a JOIN p b ON a.g = b.g AND a.l > 0 AND NOT b.l > 0 GROUP BY ALL)
+ SELECT p.g, sum(w * l) / sum(w) AS terminal_margin, sum(w * (l - f)) / sum(w) AS gain, sum(w * r) / sum(w) AS rising_steps, sum(CASE WHEN l > 0 THEN w ELSE 0 END) / sum(w) AS own_fate_share, any_value(early_auroc) AS early_auroc FROM p JOIN c ON c.g = p.g GROUP BY p.g""",
     "g",
-    "terminal_margin gain rising_steps own_fate_share",
+    "terminal_margin gain rising_steps own_fate_share early_auroc",
 )
 def fate_margin_dynamics(s, d):
     p = table(s, d, "embeddings").selectExpr("(vec_id div 4) % 5 AS g", "vec_id div 4 AS pid", "vec_id % 4 AS step", "CAST(embedding[0] AS DOUBLE) AS x", "CAST(embedding[1] AS DOUBLE) AS y", "1.0D + (vec_id div 4) % 3 AS w")
     return T.fate_margin_dynamics(p, ["g"], "pid", "step", "x", "y", "w")
 
 
+@query(
+    "SELECT g, count(*) AS n, sum(CASE WHEN a = b THEN w ELSE 0 END) / sum(w) AS agreement FROM (SELECT label AS g, 1.0 + vec_id % 3 AS w, embedding[1] > embedding[2] AS a, embedding[3] > embedding[4] AS b FROM embeddings) GROUP BY ALL",
+    "g n",
+    "agreement",
+)
+def fate_agreement(s, d):
+    e = table(s, d, "embeddings").selectExpr("label AS g", "vec_id", "1.0D + vec_id % 3 AS w", "embedding[0] > embedding[1] AS a", "embedding[2] > embedding[3] AS b")
+    return T.fate_agreement(e.withColumn("fate", F.col("a")), e.select("g", "vec_id", F.col("b").alias("fate")), ["g"], "vec_id", "fate", "w")
+
+
 SETS = "(SELECT CASE WHEN CAST(v AS INT) % 2 = 0 THEN 'even' ELSE 'odd' END AS set, v AS label FROM (SELECT CAST(i AS VARCHAR) AS v FROM range(9) r(i)))"
 
 
