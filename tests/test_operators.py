@@ -298,6 +298,20 @@ def test_ranked_and_standardized_match_pandas(spark):
     assert np.allclose(got["z"].dropna(), z.where(x["g"] != 2, 0.0)[x["v"].notna() | (x["g"] == 2)].dropna(), atol=1e-9)
 
 
+def test_quantiles_and_places_match_numpy(spark):
+    rng = np.random.default_rng(9)
+    v, g = np.round(rng.normal(size=2000), 2) * 10.0 ** rng.integers(-3, 4, 2000), rng.integers(0, 2, 2000)
+    df = spark.createDataFrame([*[(int(b), i, float(a)) for i, (a, b) in enumerate(zip(v, g))], (0, -1, None), (2, -2, None)], "g int, i int, v double")
+    got = {r["g"]: r for r in ordering.quantiles(df, ["g"], "v", {"a": 0.0, "b": 0.31, "c": 0.5, "d": 1.0}).collect()}
+    assert set(got) == {0, 1}
+    for b, r in got.items():
+        assert np.allclose([*r[1:]], np.quantile(v[g == b], [0, 0.31, 0.5, 1]), rtol=1e-12)
+    places = {r["i"]: r["k"] for r in ordering.numbered(df, ["g"], "v", ["i"], "k").collect()}
+    assert places.pop(-1) is None and places.pop(-2) is None
+    for b in (0, 1):
+        assert [places[i] for i in sorted(np.flatnonzero(g == b), key=lambda i: (v[i], i))] == list(range(1, (g == b).sum() + 1))
+
+
 def test_weighted_covariance_matches_numpy(spark):
     rng = np.random.default_rng(6)
     x, w, g = rng.normal(size=(200, 3)), rng.random(200) + 0.1, rng.integers(0, 2, 200)

@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from ..functions.columns import Keys, ratio, top_n
 from ..functions.tails import normal_two_sided
 from .features import average_precision, bh_fdr, odds_ratio_ci
-from .ordering import running_totals, standardized
+from .ordering import attach, numbered, running_totals, standardized
 
 
 @functools.cache
@@ -112,9 +112,9 @@ def calibrate_against_nulls(true: DataFrame, null: DataFrame, keys: Keys, g: Key
     )
     d = true.join(d, list(keys), "left").withColumn("null_n", F.coalesce("null_n", F.lit(0))).withColumn("p", (1 + F.coalesce("_ge", F.lit(0))) / (1 + F.col("null_n"))).withColumn("difference", F.col(value) - F.col("null_median")).drop("_ge")
     d = bh_fdr(d, g, "p")
-    w = Window.partitionBy(*g)
-    d = d.withColumn("rank", F.rank().over(w.orderBy(F.desc(value))))
-    return d.withColumn("top_decile", F.col("rank") <= F.ceil(0.1 * F.count(F.lit(1)).over(w)))
+    t = running_totals(true.filter(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_n")), g, value, ["_n"])
+    t = t.select(*g, value, (F.col("_n_all") - F.col("_n_upto") + 1).cast("int").alias("rank"), F.ceil(0.1 * F.col("_n_all")).alias("_best"))
+    return attach(d, t, [*g, value]).withColumn("top_decile", F.col("rank") <= F.col("_best")).drop("_best")
 
 
 def gene_level_winners(scores: DataFrame, null: DataFrame, gene: str, peak: str, rank: str, value: str = "score") -> DataFrame:
@@ -189,8 +189,8 @@ def curve_zscore(curves: DataFrame, g: Keys, value: str = "value") -> DataFrame:
 
 def rank_pairs(scores: DataFrame, model: str, cohort: str, keys: Keys, value: str = "score") -> DataFrame:
     """Adds model_rank and cohort_rank, greatest first, ties by keys."""
-    order = [F.desc(F.round(value, 9)), *[F.col(k) for k in keys]]
-    return scores.withColumn("model_rank", F.row_number().over(Window.partitionBy(model).orderBy(*order))).withColumn("cohort_rank", F.row_number().over(Window.partitionBy(model, cohort).orderBy(*order)))
+    d = numbered(scores.withColumn("_down", -F.round(value, 9)), [model], "_down", keys, "model_rank")
+    return numbered(d, [model, cohort], "_down", keys, "cohort_rank").drop("_down")
 
 
 def select_supported(ranked: DataFrame, gene: str, keys: Keys, models: int, n: int) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.columns import Keys, known, pearson, ratio
+from ..functions.columns import Keys, known, pearson, ratio, top_n
 from ..functions.tails import fisher_greater, normal_two_sided, t_tail, t_two_sided
-from .ordering import attach, least_from, ranked, running_totals, standardized
+from .ordering import attach, least_from, numbered, quantiles, ranked, running_totals, standardized
 
 
 def log_normalize(counts: DataFrame, size_factors: DataFrame) -> DataFrame:
@@ -87,7 +87,7 @@ def set_contrast(fractions: DataFrame, a: str, b: str) -> DataFrame:
 
 def zscore_and_high(df: DataFrame, g: Keys, value: str, q: float) -> DataFrame:
     """Adds z (0 if flat) and high: at or above the linear q-quantile of the group."""
-    cut = df.groupBy(*g).agg(F.expr(f"percentile({value}, {q})").alias("_c"))
+    cut = quantiles(df, g, value, {"_c": q})
     return attach(standardized(df, g, value, "z", 0.0), cut, g).withColumn("high", F.col(value) >= F.col("_c")).drop("_c")
 
 
@@ -137,20 +137,19 @@ def bh_fdr(df: DataFrame, g: Keys, p: str, name: str = "q") -> DataFrame:
 
 
 def tail_contrast(df: DataFrame, g: Keys, by: str, value: str, fraction: float, key: str) -> DataFrame:
-    """Mean value over the top fraction of `by` minus the bottom fraction (floor, one row at least)."""
-    w = Window.partitionBy(*g)
-    k = F.greatest(F.floor(F.count(F.lit(1)).over(w) * fraction), F.lit(1))
-    d = df.withColumn("_k", k).withColumn("_a", F.row_number().over(w.orderBy(by, key))).withColumn("_d", F.row_number().over(w.orderBy(F.desc(by), F.desc(key))))
-    top, low = F.avg(F.when(F.col("_d") <= F.col("_k"), F.col(value))), F.avg(F.when(F.col("_a") <= F.col("_k"), F.col(value)))
+    """Mean value over the top fraction of `by` minus the bottom fraction (floor, one row at least), ties by key.
+    Rows with a null `by` take no part."""
+    d = numbered(df.filter(F.col(by).isNotNull()), g, by, [key], "_a", "_all")
+    d = d.withColumn("_k", F.greatest(F.floor(F.col("_all") * fraction), F.lit(1)))
+    top, low = F.avg(F.when(F.col("_all") - F.col("_a") < F.col("_k"), F.col(value))), F.avg(F.when(F.col("_a") <= F.col("_k"), F.col(value)))
     return d.groupBy(*g).agg((top - low).alias("contrast"))
 
 
 def joint_high_enrichment(df: DataFrame, g: Keys, x: str, y: str, q: float) -> DataFrame:
     """Overlap of the rows at or above the q-quantile of both scores: counts, enrichment over independence
     and the one-sided Fisher p."""
-    cuts = df.groupBy(*g).agg(F.expr(f"percentile({x}, {q})").alias("_cx"), F.expr(f"percentile({y}, {q})").alias("_cy"))
     hx, hy = (F.col(x) >= F.col("_cx")).cast("long"), (F.col(y) >= F.col("_cy")).cast("long")
-    d = df.join(cuts, list(g)).groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.sum(hx).alias("high_x"), F.sum(hy).alias("high_y"), F.sum(hx * hy).alias("n_both"))
+    d = attach(attach(df, quantiles(df, g, x, {"_cx": q}), g), quantiles(df, g, y, {"_cy": q}), g).groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.sum(hx).alias("high_x"), F.sum(hy).alias("high_y"), F.sum(hx * hy).alias("n_both"))
     return d.withColumn("enrichment", ratio(F.col("n_both") * F.col("n"), (F.col("high_x") * F.col("high_y")).cast("double"))).withColumn("p", fisher_greater(F.col("n_both"), F.col("high_x"), F.col("high_y"), F.col("n")))
 
 
@@ -183,10 +182,9 @@ def pairwise_delta(a: DataFrame, b: DataFrame, keys: Keys, setting: Keys, value:
 def top_bottom_n(df: DataFrame, g: Keys, name: str, value: str, n: int, drop: str | None = None) -> DataFrame:
     """The n largest ('top') and n smallest ('bottom') of each group, names that match `drop` left out."""
     d = df if drop is None else df.filter(~F.col(name).rlike(drop))
-    w = Window.partitionBy(*g)
-    d = d.withColumn("_t", F.row_number().over(w.orderBy(F.desc(value), F.col(name)))).withColumn("_b", F.row_number().over(w.orderBy(value, name)))
-    top = d.filter(F.col("_t") <= n).select(*df.columns, F.lit("top").alias("side"), F.col("_t").alias("rank"))
-    return top.unionByName(d.filter(F.col("_b") <= n).select(*df.columns, F.lit("bottom").alias("side"), F.col("_b").alias("rank")))
+    # one order and its limit at a time: Spark then keeps n rows a group in every task before the shuffle
+    top, low = top_n(d, g, [F.desc(value), F.col(name)], n), top_n(d, g, [F.col(value), F.col(name)], n)
+    return top.withColumn("side", F.lit("top")).unionByName(low.withColumn("side", F.lit("bottom"))).select(*df.columns, "side", "rank")
 
 
 def early_late_contrast(df: DataFrame, g: Keys, phase: str, value: str, sign: str | None = None) -> DataFrame:
@@ -195,10 +193,11 @@ def early_late_contrast(df: DataFrame, g: Keys, phase: str, value: str, sign: st
     return d.withColumn("contrast", (F.col("late") - F.col("early")) * (F.col(sign) if sign else F.lit(1.0)))
 
 
-def growth_summary(df: DataFrame, g: Keys, value: str, quantiles=(0.01, 0.25, 0.5, 0.75, 0.99)) -> DataFrame:
+def growth_summary(df: DataFrame, g: Keys, value: str, shares=(0.01, 0.25, 0.5, 0.75, 0.99)) -> DataFrame:
     """n, mean, sd (population), negative and positive fraction, quantiles."""
-    q = [F.expr(f"percentile({value}, {x})").alias(f"p{round(100 * x):02d}") for x in quantiles]
-    return df.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.avg((F.col(value) < 0).cast("double")).alias("negative"), F.avg((F.col(value) > 0).cast("double")).alias("positive"), *q)
+    places = {f"p{round(100 * x):02d}": x for x in shares}
+    d = df.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.avg((F.col(value) < 0).cast("double")).alias("negative"), F.avg((F.col(value) > 0).cast("double")).alias("positive"))
+    return attach(d, quantiles(df, g, value, places), g)
 
 
 def relative_growth(df: DataFrame, g: Keys, value: str, weight: str) -> DataFrame:
@@ -356,7 +355,7 @@ def background_metrics(profiles: DataFrame, g: Keys) -> DataFrame:
 def call_peak_sets(df: DataFrame, peak: str, replicate: str, value: str, q: float) -> DataFrame:
     """peak, support (the least rank fraction over replicates), in_set (support at or above its q-quantile)."""
     d = ranked(df, [replicate], value, "_r", "_n").withColumn("_r", F.col("_r") / F.col("_n")).groupBy(peak).agg(F.min("_r").alias("support"))
-    cut = d.agg(F.expr(f"percentile(support, {q})").alias("_c"))
+    cut = quantiles(d, [], "support", {"_c": q})
     return d.crossJoin(F.broadcast(cut)).select(peak, "support", (F.col("support") >= F.col("_c")).alias("in_set"))  # one row
 
 

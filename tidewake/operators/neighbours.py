@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import Keys, ratio, top_n
 from .mass import weighted_median
-from .ordering import standardized
+from .ordering import quantiles, standardized
 
 #: Rows of either side that one task compares.
 BLOCK = 2048
@@ -92,7 +92,7 @@ def self_knn_radius(ref: DataFrame, k: int, on: Keys = (), vector: str = "x") ->
 
 def loo_1nn_median(ref: DataFrame, on: Keys = (), vector: str = "x") -> DataFrame:
     """Median distance to the nearest other row, by group."""
-    return self_knn_radius(ref, 1, on, vector).groupBy(*on).agg(F.expr("percentile(radius, 0.5)").alias("loo_median"))
+    return quantiles(self_knn_radius(ref, 1, on, vector), on, "radius", {"loo_median": 0.5})
 
 
 def radius_mass(ref: DataFrame, particles: DataFrame, on: Keys = (), vector: str = "x", block: int = BLOCK) -> DataFrame:
@@ -145,14 +145,14 @@ def neighbour_weights(knn: DataFrame, scheme: str) -> DataFrame:
         zero = F.max((d == 0).cast("int")).over(q)
         raw = F.when(zero == 1, (d == 0).cast("double")).otherwise(1.0 / d)
     elif scheme == "inverse_floor":
-        middle = knn.agg((F.expr("percentile(distance, 0.5)") * 1e-3).alias("_floor"))
+        middle = quantiles(knn, [], "distance", {"_m": 0.5}).select((F.col("_m") * 1e-3).alias("_floor"))
         knn = knn.crossJoin(F.broadcast(middle))  # one row
         raw = 1.0 / F.greatest(d, F.col("_floor"))
     elif scheme == "gaussian_own":
         h = F.max(d).over(q)
         raw = F.when(h > 0, F.exp(-0.5 * (d / h) ** 2)).otherwise(1.0)
     elif scheme == "gaussian_global":
-        middle = knn.groupBy("query_id").agg(F.max("distance").alias("_k")).agg(F.expr("percentile(_k, 0.5)").alias("_h"))
+        middle = quantiles(knn.groupBy("query_id").agg(F.max("distance").alias("_k")), [], "_k", {"_h": 0.5})
         knn = knn.crossJoin(F.broadcast(middle))  # one row
         raw = F.when(F.col("_h") > 0, F.exp(-0.5 * (d / F.col("_h")) ** 2)).otherwise(1.0)
     else:

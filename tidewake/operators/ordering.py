@@ -66,6 +66,29 @@ def ranked(df: DataFrame, g: Keys, value: str, name: str, size: str | None = Non
     return attach(df, d.select(*g, value, *found), [*g, value])
 
 
+def quantiles(df: DataFrame, g: Keys, value: str, wanted: dict[str, float]) -> DataFrame:
+    """g and, for each name of wanted, the linear quantile at that share of the values of the group; groups
+    without a value have no row (without g there is one row, of nulls). Only distinct values are ordered."""
+    d = df.filter(F.col(value).isNotNull()).groupBy(*g, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    d = running_totals(d, g, "_v", ["_n"])
+    found = []
+    for name, q in wanted.items():
+        at = (F.col("_n_all") - 1) * F.lit(float(q))
+        low, high = F.min(F.when(F.col("_n_upto") > F.floor(at), F.col("_v"))), F.min(F.when(F.col("_n_upto") > F.ceil(at), F.col("_v")))
+        at = F.max(at)
+        found.append(F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high).alias(name))
+    return d.groupBy(*g).agg(*found)
+
+
+def numbered(df: DataFrame, g: Keys, value: str, ties: Keys, name: str, size: str | None = None) -> DataFrame:
+    """Adds the place, from 1, of each row within g by value, equal values by `ties`; null for a null value. Rows
+    of one value meet in a task, groups do not. Adds under `size` the number of values of the group."""
+    d = df.filter(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_n"))
+    d = running_totals(d, g, value, ["_n"]).select(*g, value, (F.col("_n_upto") - F.col("_n")).alias("_less"), *([F.col("_n_all").alias(size)] if size else []))
+    inside = F.row_number().over(Window.partitionBy(*g, value).orderBy(*ties))
+    return attach(df, d, [*g, value]).withColumn(name, (F.col("_less") + inside).cast("long")).drop("_less")
+
+
 def standardized(df: DataFrame, by: Keys, value: str, name: str, flat: float | None = None, least: float = 0.0) -> DataFrame:
     """Adds (value - mean) / population deviation within `by`; `flat` where the deviation is `least` or less.
     Moments are aggregated and joined, so that no task holds a group."""

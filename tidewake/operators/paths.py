@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import Keys, pearson, ratio, top_n
 from .composition import composition
 from .features import auroc
-from .ordering import ranked, standardized
+from .ordering import quantiles, ranked, standardized
 from .composition import kmeans
 
 
@@ -183,8 +183,8 @@ def displacement_grid(steps: DataFrame, particle: str, time: str, x: str, y: str
     ones with 0."""
     w = Window.partitionBy(particle).orderBy(time)
     d = steps.withColumn("_u", F.lead(x).over(w) - F.col(x)).withColumn("_v", F.lead(y).over(w) - F.col(y)).filter("_u is not null")
-    q = d.agg(*[F.expr(f"percentile({c}, {p})").alias(f"_{n}{i}") for n, c in (("x", x), ("y", y)) for i, p in enumerate(limits)])
-    d = d.crossJoin(F.broadcast(q)).filter(f"{x} between _x0 and _x1 and {y} between _y0 and _y1")
+    edges = [quantiles(d, [], c, {f"_{n}{i}": p for i, p in enumerate(limits)}) for n, c in (("x", x), ("y", y))]
+    d = d.crossJoin(F.broadcast(edges[0])).crossJoin(F.broadcast(edges[1])).filter(f"{x} between _x0 and _x1 and {y} between _y0 and _y1")
     place = lambda c, n: F.least(F.floor((F.col(c) - F.col(f"_{n}0")) / (F.col(f"_{n}1") - F.col(f"_{n}0")) * bins), F.lit(bins - 1)).cast("int")
     cells = d.groupBy(place(x, "x").alias("bx"), place(y, "y").alias("by")).agg(F.count(F.lit(1)).alias("n"), F.avg("_u").alias("u"), F.avg("_v").alias("v"))
     axis = steps.sparkSession.range(bins)
