@@ -210,8 +210,8 @@ def model_pair_summary(ranked: DataFrame, model: str, score: str, support: str,
 
 def decisions(summary: DataFrame, model: str, value: str, reference: str, rules: list[tuple[float, str]], otherwise: str = "FAIL") -> DataFrame:
     """Adds delta to the best other model and a label by the first rule (least delta, label) that holds."""
-    best = summary.filter(F.col(model) != reference).agg(F.max(value).alias("_best"))
-    d = summary.crossJoin(F.broadcast(best)).withColumn("delta", F.col(value) - F.col("_best")).drop("_best")  # one row
+    best = F.max(F.when(F.col(model) != reference, F.col(value))).over(Window.partitionBy(F.lit(0)))  # a row a model
+    d = summary.withColumn("delta", F.col(value) - best)
     label = F.lit(otherwise)
     for least, name in sorted(rules):
         label = F.when(F.col("delta") >= least, name).otherwise(label)
