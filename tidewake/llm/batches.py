@@ -15,12 +15,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 ROWS, BYTES = 512, 1 << 25
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, ROWS):
-        open_ = [batch.slice(at, ROWS)]
+def parts(batch: pa.RecordBatch, rows: int = ROWS, most_bytes: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of so many rows and bytes at most; a larger row is alone."""
+    for at in range(0, batch.num_rows, rows):
+        open_ = [batch.slice(at, rows)]
         while open_:
             part = open_.pop()
-            if part.num_rows > 1 and part.nbytes > BYTES:
+            if part.num_rows > 1 and part.nbytes > most_bytes:
                 half = part.num_rows // 2
                 open_ += [part.slice(half), part.slice(0, half)]
             else:
@@ -43,7 +44,7 @@ def map_batches(df: DataFrame, function: Callable[..., list], schema: str | Stru
         gc.disable()  # lists of tokens hold no cycles, and are many
         try:
             for batch in batches:
-                for part in _parts(batch):
+                for part in parts(batch):
                     columns = function(*(c.to_pylist() for c in part.columns))
                     yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
         finally:

@@ -330,8 +330,9 @@ class Codec:
             tokens[i] = ids
         return tokens, len(failed)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [[(pre_tokens(piece), special) for piece, special in self.vocab.pieces(t)] for t in texts]
+    def encode(self, texts: list[str], special_strings: bool = True) -> list[list[int]]:
+        """Ids of each text. Special strings become their token, or without special_strings are ordinary text."""
+        split = [[(pre_tokens(piece), special) for piece, special in (self.vocab.pieces(t) if special_strings else [(t, None)])] for t in texts]
         if len(self.memo) >= MEMO_WORDS:
             self.memo.clear()
         memo = self.memo
