@@ -207,7 +207,7 @@ def _requests(salts: int):
                 order = np.argsort(bucket, kind="stable")
                 found, starts = np.unique(bucket[order], return_index=True)
                 rows = np.split(codes[order], starts[1:]) if len(found) else []
-                arrays = [pa.array(found), pa.array([chunk % salts] * len(found), pa.int64()), pa.array([chunk] * len(found), pa.int64()), pa.array(rows, pa.list_(pa.int32()))]
+                arrays = [pa.array(found), pa.array([((chunk >> 32) + chunk) % salts] * len(found), pa.int64()), pa.array([chunk] * len(found), pa.int64()), pa.array(rows, pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(arrays, ["bucket", "salt", "chunk", "codes"])
 
     return run
