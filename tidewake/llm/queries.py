@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, ann, bpe_codec, langid, linededup, minhash, mixing, quality, sharding, sql, token_count, urls
+from . import alignment, ann, bpe_codec, langid, linededup, minhash, mixing, quality, sharding, simhash, sql, token_count, urls
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -61,6 +61,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
