@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, ann, bpe_codec, langid, linededup, minhash, mixing, quality, sharding, simhash, sql, token_count, urls
+from . import alignment, ann, bpe_codec, langid, linededup, minhash, mixing, quality, sharding, simhash, sql, token_count, trie, urls
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -65,6 +65,10 @@ def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
