@@ -5,21 +5,23 @@ from __future__ import annotations
 import functools
 import gc
 import hashlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import bpe
-from .batches import parts, whole_texts
+from .batches import whole_texts
 from .components import shared_folder
 
 #: Documents, and bytes of them, that make a chunk; a larger text is alone.
-CHUNK_ROWS, CHUNK_BYTES = 4096, 1 << 22
+CHUNK_ROWS, CHUNK_BYTES = 4096, 1 << 21
 #: Id pairs are dealt to this many buckets, whose counts a task holds at once: at most 1 / BUCKETS of the
 #: pairs that two vocabularies can form.
 BUCKETS = 256
@@ -31,15 +33,31 @@ class ByteTokens:
     """A byte-level BPE file (.json). A space leads the text; special strings are ordinary text."""
 
     def __init__(self, path: str):
-        self.codec = bpe.codec(path)
-        self.bytes_of = self.codec.vocab.bytes_of
+        self.vocab = bpe.vocabulary(path)
+        self.pairs = bpe.PairTable(self.vocab.merges)
+        self.bytes_of = self.vocab.bytes_of
+        self.memo: dict[str, list[int]] = {}
+        #: Every byte has a token, and merging loses none.
+        self.lossless = all(self.bytes_of[i] == bytes([b]) for b, i in enumerate(self.vocab.id_of_byte))
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.codec.encode([" " + t for t in texts], special_strings=False)
+        split, memo = [bpe.pre_tokens(" " + t) for t in texts], self.memo
+        if len(memo) >= bpe.MEMO_WORDS:
+            memo.clear()
+        missing = list(set().union(*split) - memo.keys())
+        if missing:
+            memo.update(zip(missing, bpe.merge_many(self.vocab, self.pairs, [w.encode() for w in missing])))
+        out = [list(chain.from_iterable(map(memo.__getitem__, words))) for words in split]
+        for w in missing:
+            if len(w) > bpe.MEMO_CHARS:
+                del memo[w]
+        return out
 
 
 class PieceTokens:
-    """A sentence-piece file (.model), which leads the text with a space by itself."""
+    """A sentence-piece file (.model), which leads the text with a space by itself. It may normalise a text."""
+
+    lossless = False
 
     def __init__(self, path: str):
         import sentencepiece
@@ -57,38 +75,35 @@ def tokens(path: str) -> ByteTokens | PieceTokens:
     return ByteTokens(path) if path.endswith(".json") else PieceTokens(path)
 
 
-def stretches(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[bool]]:
-    """Cuts two rising lists of ends with the same last value into stretches: the places in a and in b at which
-    each begins, and whether all its ends are equal, so that its tokens go one to one.
+def irregular(a: list[int], b: list[int]) -> list[int]:
+    """The irregular groups of two rising lists of ends with the same last value, one behind the other: the first
+    place in a and in b, and those behind the last. Between them tokens go one to one.
 
     At the current shift between the two lists, slices that double in length are compared and, after the first
-    that differs, halved again; so a stretch of n equal ends takes about 2 log2(n) comparisons. Where not even one
-    end agrees, the list that is behind moves on until the two meet; their new places are the new shift."""
-    from_a: list[int] = []
-    from_b: list[int] = []
-    equal: list[bool] = []
+    that differs, halved again; so a stretch of n equal ends is jumped in about 2 log2(n) comparisons. At an end that
+    differs the list that is behind moves on until the two meet; their new places are the new shift."""
+    found: list[int] = []
     i, n, shift = 0, len(a), 0
     while i < n:
-        if a[i] == b[i + shift]:
-            from_a.append(i)
-            from_b.append(i + shift)
-            equal.append(True)
+        x, y = a[i], b[i + shift]
+        if x == y:
             i += 1
             step = 2
-            while i < n and a[i : i + step] == b[i + shift : i + shift + step]:
+            j = i + shift
+            while i < n and a[i : i + step] == b[j : j + step]:
                 i += step
+                j += step
                 step *= 2
-            while step > 1 and i < n:
+            while step > 1:
                 step //= 2
-                if a[i : i + step] == b[i + shift : i + shift + step]:
+                if a[i : i + step] == b[j : j + step]:
                     i += step
+                    j += step
             if i >= n:
                 break
-        j = i + shift
-        from_a.append(i)
-        from_b.append(j)
-        equal.append(False)
-        x, y = a[i], b[j]
+            x, y = a[i], b[j]
+        start, j = i, i + shift
+        first = j
         while x != y:
             if x < y:
                 i += 1
@@ -97,8 +112,10 @@ def stretches(a: list[int], b: list[int]) -> tuple[list[int], list[int], list[bo
                 j += 1
                 y = b[j]
         i += 1
-        shift = j + 1 - i
-    return from_a, from_b, equal
+        j += 1
+        found += (start, first, i, j)
+        shift = j - i
+    return found
 
 
 def aligned(ids_a: list[list[int]], ids_b: list[list[int]], sizes: tuple[np.ndarray, np.ndarray]):
@@ -106,30 +123,34 @@ def aligned(ids_a: list[list[int]], ids_b: list[list[int]], sizes: tuple[np.ndar
     them at which groups end, and the places of the two tokens of each link, in any order. sizes: bytes by id.
 
     Equal ends of texts close a group, so all texts are aligned in one go."""
-    flat = [np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=sum(map(len, ids))) for ids in (ids_a, ids_b)]
-    ends = [np.cumsum(s[f]) for s, f in zip(sizes, flat)]
-    from_a, from_b, equal = (np.array(x, dtype=t) for x, t in zip(stretches(*(e.tolist() for e in ends)), (np.int64, np.int64, bool)))
-    length = np.where(equal, np.diff(np.r_[from_a, len(flat[0])]), 1)  # groups of each stretch
-    inside = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    starts = [np.repeat(f, length) + inside for f in (from_a, from_b)]
-    until = [np.r_[s[1:], len(f)] if len(s) else s for s, f in zip(starts, flat)]
-    single = np.repeat(equal, length)
+    flat = [np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=sum(map(len, ids))) for ids in (ids_a, ids_b)]
+    ends = [np.cumsum(s[f], dtype=np.int64) for s, f in zip(sizes, flat)]
+    odd = np.array(irregular(*(e.tolist() for e in ends)), dtype=np.int64).reshape(-1, 4)
+    inner, links, until = [], [], []
+    for k, e in enumerate(ends):
+        step = np.zeros(len(e) + 1, dtype=np.int8)
+        step[odd[:, k]] += 1
+        step[odd[:, k + 2]] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+        last = ~inside
+        last[odd[:, k + 2] - 1] = True
+        until.append(np.flatnonzero(last) + 1)
+        links.append(np.flatnonzero(~inside))
+        inner.append(e[inside])
     # links: one of each pair of single tokens; inside a larger group one for each stretch between neighbouring ends
-    rest = [np.repeat(~single, u - s) for s, u in zip(starts, until)]
-    between = np.sort(np.r_[ends[0][rest[0]], ends[1][rest[1]]], kind="stable")
+    between = np.sort(np.r_[inner[0], inner[1]], kind="stable")
     between = between[np.r_[True, between[1:] != between[:-1]]] if len(between) else between
-    links = [np.r_[s[single], np.searchsorted(e, between)] for s, e in zip(starts, ends)]
-    return flat, until, links
+    return flat, until, [np.r_[x, np.searchsorted(e, between)] for x, e in zip(links, ends)]
 
 
 def groups_text(flat: list[np.ndarray], until: list[np.ndarray], shown: list[str], tops: tuple[int, int]) -> list[str]:
     """The tokens of all groups in order, as strings that joined give `a1,a2|b1;a3|b2,b3;`. tops: ids of a and b;
     shown: names of a followed by a comma, by a bar, names of b followed by a comma, by a semicolon."""
-    last = [np.zeros(len(f), dtype=np.int64) for f in flat]
+    last = [np.zeros(len(f), dtype=np.int32) for f in flat]
     for l, u in zip(last, until):
         l[u - 1] = 1
-    group = [np.cumsum(l) - l for l in last]
-    out = np.empty(len(flat[0]) + len(flat[1]), dtype=np.int64)
+    group = [np.cumsum(l, dtype=np.int32) - l for l in last]
+    out = np.empty(len(flat[0]) + len(flat[1]), dtype=np.int32)
     before = np.r_[0, until[1]]  # tokens of b in earlier groups
     out[np.arange(len(flat[0])) + before[group[0]]] = flat[0] + last[0] * tops[0]
     out[np.arange(len(flat[1])) + until[0][group[1]]] = flat[1] + last[1] * tops[1] + 2 * tops[0]
@@ -142,6 +163,21 @@ _CHUNK = (
 )
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of CHUNK_ROWS and about CHUNK_BYTES at most."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()) if batch.num_rows else []
+    at = 0
+    while at < batch.num_rows:
+        most = (upto[at - 1] if at else 0) + CHUNK_BYTES
+        end = min(max(at + 1, int(np.searchsorted(upto, most, side="right"))), at + CHUNK_ROWS)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _gives(tokenizer: ByteTokens | PieceTokens, ids: list[int], text: bytes) -> bool:
+    return tokenizer.lossless or b"".join(map(tokenizer.bytes_of.__getitem__, ids)) == text
+
+
 def _chunks(path_a: str, path_b: str, schema: pa.Schema):
     """One row a chunk of documents: their figures, the distinct id pairs (a * size of b + b) linked in it with their
     numbers of links, and the pairs of each document as places in that list."""
@@ -157,14 +193,14 @@ def _chunks(path_a: str, path_b: str, schema: pa.Schema):
         gc.disable()  # lists of tokens hold no cycles, and are many
         try:
             for batch in batches:
-                for part in parts(batch, CHUNK_ROWS, CHUNK_BYTES):
+                for part in _parts(batch):
                     ids, texts = (c.to_pylist() for c in part.columns)
                     full = [i for i, t in enumerate(texts) if t]
                     both = [[], []]
                     held = []
                     for i, x, y in zip(full, left.encode([texts[i] for i in full]), right.encode([texts[i] for i in full])):
                         want = (" " + texts[i]).encode()
-                        if b"".join(map(left.bytes_of.__getitem__, x)) == want and b"".join(map(right.bytes_of.__getitem__, y)) == want:
+                        if _gives(left, x, want) and _gives(right, y, want):
                             held.append(i)
                             both[0].append(x)
                             both[1].append(y)
