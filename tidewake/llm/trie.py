@@ -20,7 +20,7 @@ HEADS = 9
 #: ... and that conversation is the one at the multiple of this number.
 FAMILY = 5
 #: A container with more turns than this is burst.
-LIMIT = 1 << 16
+LIMIT = 1 << 13
 #: Turns of a conversation that a row holds; what follows is a suffix under the head at which it begins.
 STRATUM = 1 << 12
 #: Conversations of more turns than this are numbered in cells.
