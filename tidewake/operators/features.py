@@ -54,10 +54,12 @@ def module_score(cells: DataFrame, counts: DataFrame, modules: DataFrame, by: Ke
 
 def linked_peak_score(accessible: DataFrame, links: DataFrame, by: Keys) -> DataFrame:
     """cell, score: mean peak z of each gene, z again, equal mean over genes. accessible: cell, by, peak,
-    value with a row for every cell and linked peak."""
-    z = standardized(accessible, [*by, "peak"], "value", "_z", 0.0).join(links.select("gene", "peak"), "peak")
+    value with a row for every cell and linked peak. Flat peaks, and genes whose mean is flat, are left out; score is
+    null where none is left."""
+    z = standardized(accessible, [*by, "peak"], "value", "_z", None, 1e-12).filter("_z is not null").join(links.select("gene", "peak"), "peak")
     g = z.groupBy("cell", *by, "gene").agg(F.avg("_z").alias("_g"))
-    return standardized(g, [*by, "gene"], "_g", "_z", 0.0).groupBy("cell", *by).agg(F.avg("_z").alias("score"))
+    s = standardized(g, [*by, "gene"], "_g", "_z", None, 1e-12).groupBy("cell", *by).agg(F.avg("_z").alias("score"))
+    return accessible.select("cell", *by).distinct().join(s, ["cell", *by], "left")
 
 
 def peak_set_fraction(counts: DataFrame, sets: DataFrame) -> DataFrame:
@@ -145,12 +147,24 @@ def tail_contrast(df: DataFrame, g: Keys, by: str, value: str, fraction: float,
     return d.groupBy(*g).agg((top - low).alias("contrast"))
 
 
-def joint_high_enrichment(df: DataFrame, g: Keys, x: str, y: str, q: float) -> DataFrame:
-    """Overlap of the rows at or above the q-quantile of both scores: counts, enrichment over independence
-    and the one-sided Fisher p."""
-    hx, hy = (F.col(x) >= F.col("_cx")).cast("long"), (F.col(y) >= F.col("_cy")).cast("long")
-    d = attach(attach(df, quantiles(df, g, x, {"_cx": q}), g), quantiles(df, g, y, {"_cy": q}), g).groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.sum(hx).alias("high_x"), F.sum(hy).alias("high_y"), F.sum(hx * hy).alias("n_both"))
-    return d.withColumn("enrichment", ratio(F.col("n_both") * F.col("n"), (F.col("high_x") * F.col("high_y")).cast("double"))).withColumn("p", fisher_greater(F.col("n_both"), F.col("high_x"), F.col("high_y"), F.col("n")))
+def joint_high_enrichment(df: DataFrame, g: Keys, x: str, scores: Keys, fraction: float, key: str, least: int = 20) -> DataFrame:
+    """g, n, high_x, high_y, n_both, observed, baseline, enrichment, p: how often the top rows of x are in the top of
+    every one of `scores`. The top of a column is exactly floor(fraction n) rows of a group, one at least; of equal
+    values those of the greater key. Rows with a null or NaN take no part. observed = n_both / high_x, baseline =
+    high_y / n, p is Fisher's one-sided. Null below `least` rows."""
+    columns = [x, *scores]
+    d = df.select(*g, key, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns]).dropna(subset=columns)
+    for i, c in enumerate(columns):
+        d = numbered(d, g, c, [key], f"_p{i}", "_all" if i == 0 else None)
+    k = F.greatest(F.floor(F.col("_all") * fraction), F.lit(1))
+    top = [(F.col("_all") - F.col(f"_p{i}") < k).cast("long") for i in range(len(columns))]
+    every = top[1]
+    for t in top[2:]:
+        every = every * t
+    d = d.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.sum(top[0]).alias("high_x"), F.sum(every).alias("high_y"), F.sum(top[0] * every).alias("n_both"))
+    enough = F.col("n") >= least
+    d = d.withColumn("observed", F.when(enough, F.col("n_both") / F.col("high_x"))).withColumn("baseline", F.when(enough, F.col("high_y") / F.col("n")))
+    return d.withColumn("enrichment", ratio(F.col("observed"), F.col("baseline"))).withColumn("p", F.when(enough, fisher_greater(F.col("n_both"), F.col("high_x"), F.col("high_y"), F.col("n"))))
 
 
 def replicate_sign_agreement(rho: DataFrame, g: Keys, value: str, expected: float | None = None) -> DataFrame:
@@ -167,7 +181,7 @@ def consensus_over_settings(rho: DataFrame, g: Keys, value: str, least: int) ->
     pos = F.avg((F.col(value) > 0).cast("double"))
     d = rho.filter(F.col(value).isNotNull()).groupBy(*g).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.stddev(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"), pos.alias("positive"),
-        F.greatest(pos, F.avg((F.col(value) < 0).cast("double"))).alias("consistency"),
+        F.greatest(pos, 1 - pos).alias("consistency"),
     )
     return d.filter(F.col("n") >= least)
 
@@ -353,10 +367,26 @@ def background_metrics(profiles: DataFrame, g: Keys) -> DataFrame:
 
 
 def call_peak_sets(df: DataFrame, peak: str, replicate: str, value: str, q: float) -> DataFrame:
-    """peak, support (the least rank fraction over replicates), in_set (support at or above its q-quantile)."""
+    """peak, support (the least rank fraction over replicates), in_set (support at or above q)."""
     d = ranked(df, [replicate], value, "_r", "_n").withColumn("_r", F.col("_r") / F.col("_n")).groupBy(peak).agg(F.min("_r").alias("support"))
-    cut = quantiles(d, [], "support", {"_c": q})
-    return d.crossJoin(F.broadcast(cut)).select(peak, "support", (F.col("support") >= F.col("_c")).alias("in_set"))  # one row
+    return d.select(peak, "support", (F.col("support") >= q).alias("in_set"))
+
+
+def call_difference_sets(df: DataFrame, peak: str, a: str, b: str, q: float) -> DataFrame:
+    """peak, difference (a - b of two mean ranks), in_a (at or above the q-quantile of the difference, and a at least
+    0.5) and in_b (at or below its 1 - q quantile, and b at least 0.5)."""
+    d = df.select(peak, F.col(a).alias("_a"), F.col(b).alias("_b"), (F.col(a) - F.col(b)).alias("difference"))
+    d = d.crossJoin(F.broadcast(quantiles(d, [], "difference", {"_high": q, "_low": 1 - q})))  # one row
+    high, low = F.col("difference") >= F.col("_high"), F.col("difference") <= F.col("_low")
+    return d.select(peak, "difference", (high & (F.col("_a") >= 0.5)).alias("in_a"), (low & (F.col("_b") >= 0.5)).alias("in_b"))
+
+
+def active_and_neutral_sets(difference: DataFrame, bound_a: DataFrame, bound_b: DataFrame, peak: str) -> DataFrame:
+    """peak, active_a (bound by a and in the difference set of a), active_b, neutral (in none of the four sets). difference:
+    as call_difference_sets gives it; bound_a, bound_b: as call_peak_sets."""
+    side = lambda d, n: d.select(peak, F.col("in_set").alias(n))
+    d = difference.join(side(bound_a, "_a"), peak).join(side(bound_b, "_b"), peak)
+    return d.select(peak, (F.col("_a") & F.col("in_a")).alias("active_a"), (F.col("_b") & F.col("in_b")).alias("active_b"), (~(F.col("in_a") | F.col("in_b") | F.col("_a") | F.col("_b"))).alias("neutral"))
 
 
 @F.pandas_udf(DoubleType())
@@ -369,9 +399,11 @@ def _inner_products(a: pd.Series, b: pd.Series) -> pd.Series:
 BLOCK = 4096
 
 
-def link_correlation(a: DataFrame, b: DataFrame, pairs: DataFrame, permutations: int = 20, seed: int = 0) -> DataFrame:
-    """a_id, b_id, n, r, p, q, null_mean, null_sd, z, normal_p, exceed: Pearson r of pairs over aggregates
-    against permuted aggregates. a, b: id, unit, value, a row for every id and unit; null r for a flat side.
+def link_correlation(a: DataFrame, b: DataFrame, pairs: DataFrame, permutations: int = 20, seed: int = 0, least_r: float = 0.1, most_q: float = 0.1, most_null_q: float = 0.1) -> DataFrame:
+    """a_id, b_id, n, r, p, q, null_mean, null_sd, z, normal_p, null_q, exceed, selected: Pearson r of pairs over
+    aggregates against permuted aggregates. a, b: id, unit, value, a row for every id and unit; null r for a flat side.
+    null_sd has one degree less than permutations, 1e-12 at least; exceed is (1 + nulls of that size) / (1 +
+    permutations); q and null_q are BH of p and of normal_p. selected: r >= least_r, q <= most_q, null_q <= most_null_q.
 
     A permutation is the order of the units by a hash of unit, seed and its number, the same for every pair; its
     positions are numbered in cells. Values are standardised by id, laid in arrays of BLOCK positions, and the
@@ -398,12 +430,15 @@ def link_correlation(a: DataFrame, b: DataFrame, pairs: DataFrame, permutations:
     out = d.groupBy("a_id", "b_id").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "_r")))["_r"].alias("_v"))
     out = out.withColumn("r", F.col("_v")[0]).withColumn("_null", F.slice("_v", 2, max(permutations, 1)))
     mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c)
-    out = out.withColumn("null_mean", mean("_null")).withColumn("null_sd", F.sqrt(mean(F.transform("_null", lambda v: (v - F.col("null_mean")) ** 2))))
-    out = out.withColumn("exceed", F.size(F.filter("_null", lambda v: F.abs(v) >= F.abs(F.col("r")))).cast("long")).drop("_null", "_v")
+    out = out.withColumn("null_mean", mean("_null")).withColumn("null_sd", F.sqrt(F.greatest(mean(F.transform("_null", lambda v: (v - F.col("null_mean")) ** 2)) * (permutations / max(permutations - 1, 1)), F.lit(1e-24))))
+    over = F.size(F.filter("_null", lambda v: F.abs(v) >= F.abs(F.col("r"))))
+    out = out.withColumn("exceed", F.when(F.col("r").isNotNull(), (1 + over) / F.lit(permutations + 1.0))).drop("_null", "_v")
     t = F.col("r") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("r") ** 2, F.lit(1e-300)))
     out = out.withColumn("p", t_two_sided(t, (F.col("n") - 2).cast("double")))
     out = out.withColumn("z", ratio(F.col("r") - F.col("null_mean"), F.col("null_sd"))).withColumn("normal_p", normal_two_sided(F.col("z")))
-    return bh_fdr(out, [], "p")
+    out = bh_fdr(bh_fdr(out, [], "p"), [], "normal_p", "null_q")
+    chosen = (F.col("r") >= least_r) & (F.col("q") <= most_q) & (F.col("null_q") <= most_null_q)
+    return out.withColumn("selected", F.coalesce(chosen, F.lit(False)))
 
 
 def standardized_delta(values: DataFrame, stats: DataFrame, feature: str, group: str, a: str, b: str) -> DataFrame:
@@ -428,14 +463,32 @@ def active_links(links: DataFrame, da: str, db: str, effect: float, least: int)
     return d.crossJoin(F.broadcast(n)).filter(F.when(F.col("_n") >= least, F.col("_l")).otherwise(F.col("_s"))).drop("_l", "_s", "_n")  # one row
 
 
-def edge_recovery(d: DataFrame, g: Keys) -> DataFrame:
-    """From pred_a, pred_b, true_a, true_b of links: cosine by modality and jointly, sign accuracy, MAE."""
-    c = {k: F.col(k) for k in ("pred_a", "pred_b", "true_a", "true_b")}
-    cos = lambda *ps: ratio(sum(F.sum(c[p] * c[t]) for p, t in ps), F.sqrt(sum(F.sum(c[p] ** 2) for p, _ in ps) * sum(F.sum(c[t] ** 2) for _, t in ps)))
-    a, b = ("pred_a", "true_a"), ("pred_b", "true_b")
-    sign = ((F.signum(c["pred_a"]) == F.signum(c["true_a"])) & (F.signum(c["pred_b"]) == F.signum(c["true_b"]))).cast("double")
-    out = d.groupBy(*g).agg(cos(a).alias("cosine_a"), cos(b).alias("cosine_b"), cos(a, b).alias("cosine"), F.avg(sign).alias("sign_accuracy"), F.avg((F.abs(c["pred_a"] - c["true_a"]) + F.abs(c["pred_b"] - c["true_b"])) / 2).alias("mae"))
-    return out.withColumn("alignment_error", F.abs(F.col("cosine_a") - F.col("cosine_b"))).withColumn("recovery", (F.col("cosine") + F.col("sign_accuracy")) / 2)
+def edge_recovery(d: DataFrame, g: Keys, a: str = "gene", b: str = "peak") -> DataFrame:
+    """From links (a, b) with pred_a, true_a (changes of a, one for all its links) and pred_b, true_b: cosine_a over the
+    distinct a and cosine_b over the distinct b; over links the joint cosine, the share on which both changes have the
+    true sign (a product above 0), predicted_alignment and true_alignment (cosines of the changes of a with those of b),
+    their gap, and the mean absolute error; recovery is the mean of (cosine_a + 1) / 2, (cosine_b + 1) / 2 and the
+    sign accuracy, nulls left out. A cosine is null where the norms' product is 1e-12 or less."""
+    c = {k: F.col(k).cast("double") for k in ("pred_a", "pred_b", "true_a", "true_b")}
+
+    def cos(*pairs: tuple[Column, Column]) -> Column:
+        dot, p, t = (sum(F.sum(v) for v in vs) for vs in zip(*[(x * y, x * x, y * y) for x, y in pairs], strict=True))
+        return F.when(F.sqrt(p) * F.sqrt(t) > 1e-12, dot / (F.sqrt(p) * F.sqrt(t)))
+
+    def side(key: str, s: str) -> DataFrame:
+        one = d.groupBy(*g, key).agg(F.first(f"pred_{s}").cast("double").alias("_p"), F.first(f"true_{s}").cast("double").alias("_t"))
+        return one.groupBy(*g).agg(cos((F.col("_p"), F.col("_t"))).alias(f"cosine_{s}"))
+
+    sign = ((c["pred_a"] * c["true_a"] > 0) & (c["pred_b"] * c["true_b"] > 0)).cast("double")
+    links = d.groupBy(*g).agg(
+        cos((c["pred_a"], c["true_a"]), (c["pred_b"], c["true_b"])).alias("cosine"), F.avg(sign).alias("sign_accuracy"),
+        cos((c["pred_a"], c["pred_b"])).alias("predicted_alignment"), cos((c["true_a"], c["true_b"])).alias("true_alignment"),
+        F.avg((F.abs(c["pred_a"] - c["true_a"]) + F.abs(c["pred_b"] - c["true_b"])) / 2).alias("mae"),
+    )
+    out = attach(attach(links, side(a, "a"), g), side(b, "b"), g)
+    parts = F.filter(F.array((F.col("cosine_a") + 1) / 2, (F.col("cosine_b") + 1) / 2, F.col("sign_accuracy")), lambda v: v.isNotNull())
+    mean = F.aggregate(parts, F.lit(0.0), lambda s, v: s + v) / F.size(parts)
+    return out.withColumn("alignment_error", F.abs(F.col("predicted_alignment") - F.col("true_alignment"))).withColumn("recovery", F.when(F.size(parts) > 0, mean))
 
 
 def paired_mse(predicted: DataFrame, observed: DataFrame, key: Keys, time: str, g: Keys, vector: str = "x", sd: Column | None = None) -> DataFrame:

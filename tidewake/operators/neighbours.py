@@ -134,7 +134,9 @@ SCHEMES = ("hard", "vote", "majority", "inverse", "inverse_floor", "gaussian_own
 
 
 def neighbour_weights(knn: DataFrame, scheme: str) -> DataFrame:
-    """Adds w, weights of a query's neighbours that sum to 1, by a named scheme."""
+    """Adds w, weights of a query's neighbours that sum to 1, by a named scheme. Gaussian weights are
+    exp(-(d/h)^2), where h is the query's own distance to its k-th neighbour, or the median of these over all
+    queries (of positive distances where it is 0); the floor of inverse distances is 1e-3 of the median positive one."""
     q = Window.partitionBy("query_id")
     d = F.col("distance")
     if scheme == "hard":
@@ -145,16 +147,18 @@ def neighbour_weights(knn: DataFrame, scheme: str) -> DataFrame:
         zero = F.max((d == 0).cast("int")).over(q)
         raw = F.when(zero == 1, (d == 0).cast("double")).otherwise(1.0 / d)
     elif scheme == "inverse_floor":
-        middle = quantiles(knn, [], "distance", {"_m": 0.5}).select((F.col("_m") * 1e-3).alias("_floor"))
-        knn = knn.crossJoin(F.broadcast(middle))  # one row
-        raw = 1.0 / F.greatest(d, F.col("_floor"))
+        middle = quantiles(knn.filter("distance > 0"), [], "distance", {"_m": 0.5})
+        knn = knn.crossJoin(F.broadcast(middle.select((F.coalesce("_m", F.lit(0.0)) * 1e-3).alias("_floor"))))  # one row
+        raw = 1.0 / F.greatest(d, F.col("_floor"), F.lit(1e-8))
     elif scheme == "gaussian_own":
         h = F.max(d).over(q)
-        raw = F.when(h > 0, F.exp(-0.5 * (d / h) ** 2)).otherwise(1.0)
+        raw = F.exp(-((d / F.greatest(h, F.lit(1e-12))) ** 2))
     elif scheme == "gaussian_global":
-        middle = quantiles(knn.groupBy("query_id").agg(F.max("distance").alias("_k")), [], "_k", {"_h": 0.5})
-        knn = knn.crossJoin(F.broadcast(middle))  # one row
-        raw = F.when(F.col("_h") > 0, F.exp(-0.5 * (d / F.col("_h")) ** 2)).otherwise(1.0)
+        middle = quantiles(knn.groupBy("query_id").agg(F.max("distance").alias("_k")), [], "_k", {"_k": 0.5})
+        other = quantiles(knn.filter("distance > 0"), [], "distance", {"_m": 0.5})
+        h = F.when(F.col("_k") > 1e-12, F.col("_k")).otherwise(F.coalesce("_m", F.lit(1.0))).alias("_h")
+        knn = knn.crossJoin(F.broadcast(middle.crossJoin(other).select(h)))  # one row
+        raw = F.exp(-((d / F.col("_h")) ** 2))
     else:
         raise ValueError(f"scheme must be one of {SCHEMES}")
     return knn.withColumn("_raw", raw).withColumn("w", F.col("_raw") / F.sum("_raw").over(q)).drop("_raw", "_floor", "_h")

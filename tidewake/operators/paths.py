@@ -104,9 +104,11 @@ def threshold_routing(prob: DataFrame, g: Keys, particle: str, labels: Keys, p:
 
 def soft_mass_decomposition(d: DataFrame, g: Keys, w0="w0", w1="w1", p0="p0", p1="p1") -> DataFrame:
     """change = transport + reweighting + closure, one row a particle with weights and probabilities at
-    both stages; local_share is the reweighting's part of the absolute parts."""
+    both stages. Either part is taken at the midpoint of the other: transport is the change of probability at the
+    mean weight, reweighting the change of weight at the mean probability. local_share is the reweighting's part of
+    the absolute parts."""
     w0, w1, p0, p1 = map(F.col, (w0, w1, p0, p1))
-    change, transport, local = F.sum(w1 * p1 - w0 * p0), F.sum(w0 * (p1 - p0)), F.sum((w1 - w0) * p1)
+    change, transport, local = F.sum(w1 * p1 - w0 * p0), F.sum(0.5 * (w0 + w1) * (p1 - p0)), F.sum(0.5 * (p0 + p1) * (w1 - w0))
     out = d.groupBy(*g).agg(change.alias("change"), transport.alias("transport"), local.alias("reweighting"))
     out = out.withColumn("closure", F.col("change") - F.col("transport") - F.col("reweighting"))
     return out.withColumn("local_share", ratio(F.abs("reweighting"), F.abs("reweighting") + F.abs("transport")))
@@ -121,9 +123,9 @@ def hard_waterfall(d: DataFrame, g: Keys, target: str, l0="l0", l1="l1", w0="w0"
 
 
 def waterfall_routes(d: DataFrame, g: Keys, target: str, l0="l0", l1="l1", w0="w0", w1="w1") -> DataFrame:
-    """Source to destination rows that touch the target."""
+    """Source to destination rows that touch the target, with their mass before, after and halfway."""
     d = d.filter((F.col(l0) == target) | (F.col(l1) == target))
-    return d.groupBy(*g, l0, l1).agg(F.count(F.lit(1)).alias("n"), F.sum(w0).alias("initial"), F.sum(w1).alias("final"))
+    return d.groupBy(*g, l0, l1).agg(F.count(F.lit(1)).alias("n"), F.sum(w0).alias("initial"), F.sum(w1).alias("final"), F.sum(0.5 * (F.col(w0) + F.col(w1))).alias("midpoint"))
 
 
 def interval_mass_table(decomposed: DataFrame, rows: Keys, method: str, methods: list, parts: Keys) -> DataFrame:
@@ -163,19 +165,21 @@ def cross_modal_consistency(a: DataFrame, b: DataFrame, g: Keys, particle: str =
 
 def fate_concordance(df: DataFrame, g: Keys, a: str, b: str, w: str, confident: float = 0.8) -> DataFrame:
     """From two columns of logits: weighted Pearson, and Spearman as that of the average ranks, mean binary JSD,
-    agreement, chance, Cohen's kappa, and the share of confident disagreement."""
+    agreement, chance, Cohen's kappa, the mass that is confident on both sides, the mass confident of opposite
+    fates, and the second as a share of the first (null if there is none)."""
     d = ranked(ranked(df, g, a, "_ra"), g, b, "_rb").withColumn("_a", 1 / (1 + F.exp(-F.col(a)))).withColumn("_b", 1 / (1 + F.exp(-F.col(b))))
-    h = lambda p: -F.when(p > 0, p * F.log2(p)).otherwise(0.0) - F.when(p < 1, (1 - p) * F.log2(1 - p)).otherwise(0.0)
-    m = (F.col("_a") + F.col("_b")) / 2
-    d = d.withColumn("_j", h(m) - (h(F.col("_a")) + h(F.col("_b"))) / 2).withColumn("_fa", (F.col("_a") >= 0.5).cast("double")).withColumn("_fb", (F.col("_b") >= 0.5).cast("double"))
+    h = lambda p: -p * F.log2(p) - (1 - p) * F.log2(1 - p)
+    a_, b_ = (F.greatest(F.least(F.col(c), F.lit(1 - 1e-12)), F.lit(1e-12)) for c in ("_a", "_b"))
+    d = d.withColumn("_j", h((a_ + b_) / 2) - (h(a_) + h(b_)) / 2).withColumn("_fa", (F.col("_a") >= 0.5).cast("double")).withColumn("_fb", (F.col("_b") >= 0.5).cast("double"))
     mean = lambda c: F.sum(F.col(w) * c) / F.sum(w)
-    sure = (F.greatest("_a", 1 - F.col("_a")) >= confident) & (F.greatest("_b", 1 - F.col("_b")) >= confident)
+    sure = ((F.col("_a") >= confident) | (F.col("_a") <= 1 - confident)) & ((F.col("_b") >= confident) | (F.col("_b") <= 1 - confident))
     out = d.groupBy(*g).agg(
         pearson(F.col(a), F.col(b), F.col(w)).alias("pearson"), pearson(F.col("_ra"), F.col("_rb"), F.col(w)).alias("spearman"), mean(F.col("_j")).alias("jsd"), mean((F.col("_fa") == F.col("_fb")).cast("double")).alias("agreement"),
-        mean(F.col("_fa")).alias("_ma"), mean(F.col("_fb")).alias("_mb"), mean((sure & (F.col("_fa") != F.col("_fb"))).cast("double")).alias("confident_discordance"),
+        mean(F.col("_fa")).alias("_ma"), mean(F.col("_fb")).alias("_mb"), mean(sure.cast("double")).alias("confident_mass"), mean((sure & (F.col("_fa") != F.col("_fb"))).cast("double")).alias("opposite_mass"),
     )
     out = out.withColumn("chance", F.col("_ma") * F.col("_mb") + (1 - F.col("_ma")) * (1 - F.col("_mb")))
-    return out.withColumn("kappa", ratio(F.col("agreement") - F.col("chance"), 1 - F.col("chance"))).drop("_ma", "_mb")
+    out = out.withColumn("confident_discordance", F.when(F.col("confident_mass") > 1e-12, F.col("opposite_mass") / F.col("confident_mass")))
+    return out.withColumn("kappa", F.when(F.col("chance") < 1 - 1e-12, (F.col("agreement") - F.col("chance")) / (1 - F.col("chance")))).drop("_ma", "_mb")
 
 
 def displacement_grid(steps: DataFrame, particle: str, time: str, x: str, y: str, bins: int, limits: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
@@ -246,19 +250,33 @@ def rand_index(a: DataFrame, b: DataFrame, g: Keys, key: str = "id", label: str
     return d.select(*g, F.when(most == expected, 1.0).otherwise((F.col("_s") - expected) / (most - expected)).alias("ari"))
 
 
-def substate_metrics(reference: DataFrame, predicted: DataFrame, g: Keys, threshold: float = 0.5) -> DataFrame:
-    """Macro recall (soft and binary) over substates, supported precision, F1, rarest-substate recall, and the
-    JSD (base 2) between the substates' shares of reference rows and of predicted weight.
-    reference: g, substate, hit (0..1); predicted: g, substate, weight, supported (boolean)."""
-    per = reference.groupBy(*g, "substate").agg(F.count(F.lit(1)).alias("_n"), F.avg("hit").alias("_soft"), F.avg((F.col("hit") >= threshold).cast("double")).alias("_hard"))
-    r = per.groupBy(*g).agg(F.avg("_soft").alias("soft_recall"), F.avg("_hard").alias("recall"), F.min_by("_soft", F.struct("_n", "substate")).alias("rarest_recall"))
-    p = predicted.groupBy(*g).agg(ratio(F.sum(F.col("weight") * F.col("supported").cast("double")), F.sum("weight")).alias("precision"))
-    o = composition(reference, g, "substate", name="_p")
-    q = composition(predicted, g, "substate", "weight", name="_q")
-    d = o.join(q, [*g, "label"], "outer").fillna(0.0, ["_p", "_q"]).withColumn("_m", (F.col("_p") + F.col("_q")) / 2)
+def substate_support(reference: DataFrame, predicted: DataFrame, g: Keys, threshold: float = 0.5) -> DataFrame:
+    """g, substate, n, soft_recall (mean hit), recall (share of hits at or above the threshold), precision (supported
+    share of the predicted weight; null without any) and f1 (of recall and precision; null without either or at 0).
+    reference: g, substate, hit (0..1), a row for each observed row; predicted: g, substate, weight, supported (boolean)."""
+    per = reference.groupBy(*g, "substate").agg(F.count(F.lit(1)).alias("n"), F.avg("hit").alias("soft_recall"), F.avg((F.col("hit") >= threshold).cast("double")).alias("recall"))
+    p = predicted.groupBy(*g, "substate").agg(ratio(F.sum(F.col("weight") * F.col("supported").cast("double")), F.sum("weight")).alias("precision"))
+    d = per.join(p, [*g, "substate"], "left")
+    return d.withColumn("f1", ratio(2 * F.col("recall") * F.col("precision"), F.col("recall") + F.col("precision")))
+
+
+def substate_metrics(reference: DataFrame, predicted: DataFrame, g: Keys, threshold: float = 0.5, within: Keys = ()) -> DataFrame:
+    """Means over substates of soft recall, recall, precision and f1 (see substate_support; null ones left out), the
+    mean recall of the rarest substate (the first, of equals) and of the JSD (base 2) between the substates' shares of
+    observed rows and of predicted weight. `within` (a cell type) holds substates of its own: the rarest and the
+    shares are taken in each and then averaged. The JSD is null where nothing is predicted."""
+    inner = [*g, *within]
+    per = substate_support(reference, predicted, inner, threshold)
+    mean = [F.avg(c).alias(c) for c in ("soft_recall", "recall", "precision", "f1")]
+    rarest = per.groupBy(*inner).agg(F.min_by("recall", F.struct("n", "substate")).alias("_r")).groupBy(*g).agg(F.avg("_r").alias("rarest_recall"))
+    o = composition(reference, inner, "substate", name="_p")
+    q = composition(predicted.filter("weight > 0"), inner, "substate", "weight", name="_q")
+    any_ = q.select(*inner).distinct().withColumn("_any", F.lit(True))
+    d = o.join(q, [*inner, "label"], "left").fillna(0.0, ["_q"]).withColumn("_m", (F.col("_p") + F.col("_q")) / 2)
     term = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / F.col("_m"))).otherwise(0.0)
-    apart = d.groupBy(*g).agg((F.sum(term("_p") + term("_q")) / 2).alias("composition_jsd"))
-    return r.join(p, list(g)).join(apart, list(g)).withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    apart = d.groupBy(*inner).agg((F.sum(term("_p") + term("_q")) / 2).alias("_j")).join(any_, inner, "left").withColumn("_j", F.when(F.col("_any"), F.col("_j")))
+    apart = apart.groupBy(*g).agg(F.avg("_j").alias("composition_jsd"))
+    return per.groupBy(*g).agg(*mean).join(rarest, list(g)).join(apart, list(g))
 
 
 def top_programs_per_substate(scores: DataFrame, type_: Keys, substate: str, program: str, value: str, n: int = 5) -> DataFrame:

@@ -26,7 +26,7 @@ knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 self_pairs AS (SELECT a.stage, a.id AS query_id, b.id AS ref_id, list_distance(a.x, b.x) AS distance FROM cells a JOIN cells b ON a.stage = b.stage AND a.id <> b.id),
 self_knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS rank FROM self_pairs) WHERE rank <= 10),
 soft AS (SELECT query_id, ref_id, k.stage, g / sum(g) OVER (PARTITION BY query_id) AS w FROM
-  (SELECT *, exp(-0.5 * power(distance / max(distance) OVER (PARTITION BY query_id), 2)) AS g FROM knn) k),
+  (SELECT *, exp(-power(distance / max(distance) OVER (PARTITION BY query_id), 2)) AS g FROM knn) k),
 ref_mass AS (SELECT p.method, p.stage, s.ref_id, sum(p.weight * s.w) AS mass FROM soft s JOIN weights p ON p.id = s.query_id GROUP BY ALL),
 orders_y AS (SELECT *, year(o_orderdate) AS y FROM orders),
 scores AS (SELECT c_mktsegment AS method, year(o_orderdate) AS stage, o_orderpriority AS setting, avg(o_totalprice) AS score, count(*) AS n

@@ -1,8 +1,10 @@
 """Queries of F1-F33."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import features as X
+from ..operators.ordering import ranked
 from .base import cells, orders_by_year, query, scores, table, weighted
 
 COUNTS = "(SELECT l_suppkey AS cell, l_partkey % 50 AS feature, sum(l_quantity) AS value FROM lineitem GROUP BY ALL)"
@@ -39,7 +41,7 @@ def regress_out(s, d):
     return X.regress_out(c, design, beta, f.withColumn("scale", F.expr("1.0D + feature % 4")))
 
 
-DENSE = f"(SELECT c.cell, c.by3, f.feature, coalesce(k.value, 0) AS value FROM (SELECT DISTINCT cell, cell % 3 AS by3 FROM {COUNTS}) c CROSS JOIN (SELECT feature FROM range(12) r(feature)) f LEFT JOIN {COUNTS} k ON k.cell = c.cell AND k.feature = f.feature)"
+DENSE = f"(SELECT c.cell, c.by3, f.feature, coalesce(k.value, 0) AS value FROM (SELECT DISTINCT cell, cell % 3 AS by3 FROM {COUNTS}) c CROSS JOIN (SELECT feature FROM range(50) r(feature)) f LEFT JOIN {COUNTS} k ON k.cell = c.cell AND k.feature = f.feature)"
 
 
 def _cells3(s, d):
@@ -48,19 +50,19 @@ def _cells3(s, d):
 
 @query(f"SELECT cell, feature % 3 AS module, avg(z) AS score FROM (SELECT *, (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS z FROM {DENSE} WINDOW w AS (PARTITION BY by3, feature)) WHERE z IS NOT NULL GROUP BY ALL", "cell module", "score")
 def module_score(s, d):
-    m = s.range(12).selectExpr("id AS feature", "id % 3 AS module")
+    m = s.range(50).selectExpr("id AS feature", "id % 3 AS module")
     return X.module_score(_cells3(s, d), counts(s, d), m, ["by3"])
 
 
 @query(
-    f"""WITH z AS (SELECT *, coalesce((value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0), 0) AS z FROM {DENSE} WINDOW w AS (PARTITION BY by3, feature)), g AS (SELECT cell, by3, feature % 4 AS gene, avg(z) AS g FROM z GROUP BY ALL)
- SELECT cell, avg(z) AS score FROM (SELECT cell, coalesce((g - avg(g) OVER w) / nullif(stddev_pop(g) OVER w, 0), 0) AS z FROM g WINDOW w AS (PARTITION BY by3, gene)) GROUP BY ALL""",
+    f"""WITH z AS (SELECT *, (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) AS z FROM {DENSE} WINDOW w AS (PARTITION BY by3, feature)), g AS (SELECT cell, by3, feature % 4 AS gene, avg(z) AS g FROM z WHERE z IS NOT NULL GROUP BY ALL)
+ SELECT cell, avg(z) AS score FROM (SELECT cell, (g - avg(g) OVER w) / nullif(stddev_pop(g) OVER w, 0) AS z FROM g WINDOW w AS (PARTITION BY by3, gene)) GROUP BY ALL""",
     "cell",
     "score",
 )
 def linked_peak_score(s, d):
-    links = s.range(12).selectExpr("id AS peak", "id % 4 AS gene")
-    a = X._dense(_cells3(s, d), s.range(12).withColumnRenamed("id", "feature"), counts(s, d)).withColumnRenamed("feature", "peak")
+    links = s.range(50).selectExpr("id AS peak", "id % 4 AS gene")
+    a = X._dense(_cells3(s, d), s.range(50).withColumnRenamed("id", "feature"), counts(s, d)).withColumnRenamed("feature", "peak")
     return X.linked_peak_score(a, links, ["by3"])
 
 
@@ -109,17 +111,25 @@ def tail_contrast(s, d):
     return X.tail_contrast(table(s, d, "orders").withColumnRenamed("o_orderstatus", "g").withColumn("v", F.col("o_orderkey")), ["g"], "o_totalprice", "v", 0.2, "o_orderkey")
 
 
-HIGH = "SELECT l_returnflag, count(*) AS n, sum(hx) AS high_x, sum(hy) AS high_y, sum(hx * hy) AS n_both FROM (SELECT l_returnflag, CAST(l_quantity >= quantile_cont(l_quantity, 0.8) OVER w AS INT) AS hx, CAST(l_extendedprice >= quantile_cont(l_extendedprice, 0.8) OVER w AS INT) AS hy FROM lineitem WINDOW w AS (PARTITION BY l_returnflag)) GROUP BY ALL"
+HIGH = """WITH r AS (SELECT l_returnflag, l_orderkey * 8 + l_linenumber AS k, l_quantity AS x, l_extendedprice AS y, l_partkey AS z FROM lineitem),
+ t AS (SELECT l_returnflag, greatest(floor(count(*) OVER w * 0.2), 1) AS top, count(*) OVER w AS n, row_number() OVER (PARTITION BY l_returnflag ORDER BY x DESC, k DESC) AS px, row_number() OVER (PARTITION BY l_returnflag ORDER BY y DESC, k DESC) AS py, row_number() OVER (PARTITION BY l_returnflag ORDER BY z DESC, k DESC) AS pz FROM r WINDOW w AS (PARTITION BY l_returnflag)),
+ h AS (SELECT l_returnflag, count(*) AS n, sum(CAST(px <= top AS INT)) AS high_x, sum(CAST(py <= top AND pz <= top AS INT)) AS high_y, sum(CAST(px <= top AND py <= top AND pz <= top AS INT)) AS n_both FROM t GROUP BY ALL)
+ SELECT *, n_both / high_x AS observed, high_y / n AS baseline, (n_both / high_x) / (high_y / n) AS enrichment FROM h"""
 
 
-@query(f"SELECT *, n_both * n / (high_x * high_y) AS enrichment FROM ({HIGH})", "l_returnflag n high_x high_y n_both", "enrichment")
+def _joint_high(s, d):
+    li = table(s, d, "lineitem").selectExpr("l_returnflag", "l_orderkey * 8 + l_linenumber AS k", "l_quantity AS x", "l_extendedprice AS y", "l_partkey AS z")
+    return X.joint_high_enrichment(li, ["l_returnflag"], "x", ["y", "z"], 0.2, "k")
+
+
+@query(HIGH, "l_returnflag n high_x high_y n_both", "observed baseline enrichment")
 def joint_high_enrichment(s, d):
-    return X.joint_high_enrichment(table(s, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice", 0.8)
+    return _joint_high(s, d)
 
 
 @query(None, "l_returnflag n", "enrichment p")
 def joint_high_fisher(s, d):
-    return X.joint_high_enrichment(table(s, d, "lineitem"), ["l_returnflag"], "l_quantity", "l_discount", 0.8)
+    return _joint_high(s, d)
 
 
 RHO = "(SELECT method, stage, setting, score / 150000 - 1 AS rho FROM scores)"
@@ -134,7 +144,7 @@ def replicate_sign_agreement(s, d):
     return X.replicate_sign_agreement(rho(s, d), ["method", "stage"], "rho")
 
 
-@query(f"SELECT method, count(*) AS n, avg(rho) AS mean, quantile_cont(rho, 0.5) AS median, stddev(rho) AS sd, min(rho) AS low, max(rho) AS high, avg(CAST(rho > 0 AS INT)) AS positive, greatest(avg(CAST(rho > 0 AS INT)), avg(CAST(rho < 0 AS INT))) AS consistency FROM {RHO} GROUP BY ALL HAVING count(*) >= 3", "method n", "mean median sd low high positive consistency")
+@query(f"SELECT method, count(*) AS n, avg(rho) AS mean, quantile_cont(rho, 0.5) AS median, stddev(rho) AS sd, min(rho) AS low, max(rho) AS high, avg(CAST(rho > 0 AS INT)) AS positive, greatest(avg(CAST(rho > 0 AS INT)), 1 - avg(CAST(rho > 0 AS INT))) AS consistency FROM {RHO} GROUP BY ALL HAVING count(*) >= 3", "method n", "mean median sd low high positive consistency")
 def consensus_over_settings(s, d):
     return X.consensus_over_settings(rho(s, d), ["method"], "rho", 3)
 
@@ -282,10 +292,36 @@ def background_metrics(s, d):
     return X.background_metrics(table(s, d, "embeddings").selectExpr("label AS g", *e, "vec_id % 3 = 0 AS positive"), ["g"])
 
 
-@query(f"WITH v AS (SELECT feature AS peak, cell % 3 AS rep, sum(value) AS v FROM {COUNTS} GROUP BY ALL), m AS (SELECT peak, min(r) AS support FROM (SELECT peak, (rank() OVER (PARTITION BY rep ORDER BY v) + (count(*) OVER (PARTITION BY rep, v) - 1) / 2.0) / count(*) OVER (PARTITION BY rep) AS r FROM v) GROUP BY ALL) SELECT peak, support, support >= (SELECT quantile_cont(support, 0.8) FROM m) AS in_set FROM m", "peak in_set", "support")
+@query(f"WITH v AS (SELECT feature AS peak, cell % 3 AS rep, sum(value) AS v FROM {COUNTS} GROUP BY ALL), m AS (SELECT peak, min(r) AS support FROM (SELECT peak, (rank() OVER (PARTITION BY rep ORDER BY v) + (count(*) OVER (PARTITION BY rep, v) - 1) / 2.0) / count(*) OVER (PARTITION BY rep) AS r FROM v) GROUP BY ALL) SELECT peak, support, support >= 0.7 AS in_set FROM m", "peak in_set", "support")
 def call_peak_sets(s, d):
     v = counts(s, d).groupBy(F.col("feature").alias("peak"), F.expr("cell % 3").alias("rep")).agg(F.sum("value").alias("v"))
-    return X.call_peak_sets(v, "peak", "rep", "v", 0.8)
+    return X.call_peak_sets(v, "peak", "rep", "v", 0.7)
+
+
+SIGNAL = f"(SELECT feature AS peak, cell % 4 AS rep, sum(value) AS v FROM {COUNTS} GROUP BY ALL)"
+SUPPORT = f"(SELECT peak, rep % 2 AS side, min(r) AS support, avg(r) AS mean FROM (SELECT peak, rep, (rank() OVER (PARTITION BY rep ORDER BY v) + (count(*) OVER (PARTITION BY rep, v) - 1) / 2.0) / count(*) OVER (PARTITION BY rep) AS r FROM {SIGNAL}) GROUP BY ALL)"
+
+
+def _sides(s, d):
+    """Signals of two sides with two replicates each: the sets bound by either, and the mean ranks of both."""
+    v = counts(s, d).groupBy(F.col("feature").alias("peak"), F.expr("cell % 4").alias("rep")).agg(F.sum("value").alias("v"))
+    a, b = v.filter("rep % 2 = 0"), v.filter("rep % 2 = 1")
+    mean = lambda x, n: ranked(x, ["rep"], "v", "_r", "_n").groupBy("peak").agg(F.avg(F.col("_r") / F.col("_n")).alias(n))
+    return X.call_peak_sets(a, "peak", "rep", "v", 0.6), X.call_peak_sets(b, "peak", "rep", "v", 0.6), mean(a, "a").join(mean(b, "b"), "peak")
+
+
+DIFFERENCE = f"(SELECT peak, x - y AS difference, x - y >= quantile_cont(x - y, 0.75) OVER () AND x >= 0.5 AS in_a, x - y <= quantile_cont(x - y, 0.25) OVER () AND y >= 0.5 AS in_b, sx >= 0.6 AS bound_a, sy >= 0.6 AS bound_b FROM (SELECT a.peak, a.mean AS x, b.mean AS y, a.support AS sx, b.support AS sy FROM {SUPPORT} a JOIN {SUPPORT} b ON a.peak = b.peak AND a.side = 0 AND b.side = 1))"
+
+
+@query(f"SELECT * FROM {DIFFERENCE}", "peak in_a in_b", "difference")
+def call_difference_sets(s, d):
+    return X.call_difference_sets(_sides(s, d)[2], "peak", "a", "b", 0.75)
+
+
+@query(f"SELECT peak, bound_a AND in_a AS active_a, bound_b AND in_b AS active_b, NOT (in_a OR in_b OR bound_a OR bound_b) AS neutral FROM {DIFFERENCE}", "peak active_a active_b neutral")
+def active_and_neutral_sets(s, d):
+    a, b, means = _sides(s, d)
+    return X.active_and_neutral_sets(X.call_difference_sets(means, "peak", "a", "b", 0.75), a, b, "peak")
 
 
 def _long(s, d):
@@ -302,15 +338,15 @@ def _links(s, d):
     """WITH o AS (SELECT i, id, x, row_number() OVER (PARTITION BY i ORDER BY CAST('0x' || substr(md5(id || '/0/' || i), 1, 15) AS BIGINT), id) AS k FROM cells, range(21) r(i)),
  e AS (SELECT b.i, f.i AS a_id, g.i + 32 AS b_id, count(*) AS n, corr(a.x[f.i + 1], b.x[g.i + 33]) AS c FROM o a JOIN o b ON a.k = b.k AND a.i = 0, range(32) f(i), range(32) g(i) GROUP BY ALL),
  r AS (SELECT a_id, b_id, n, c AS r FROM e WHERE i = 0)
- SELECT r.a_id, r.b_id, r.n, r, avg(c) AS null_mean, stddev_pop(c) AS null_sd, (r - avg(c)) / stddev_pop(c) AS z, count(*) FILTER (abs(c) >= abs(r)) AS exceed FROM r JOIN e ON e.a_id = r.a_id AND e.b_id = r.b_id AND i > 0 GROUP BY r.a_id, r.b_id, r.n, r""",
-    "a_id b_id n exceed",
-    "r null_mean null_sd z",
+ SELECT r.a_id, r.b_id, r.n, r, avg(c) AS null_mean, stddev(c) AS null_sd, (r - avg(c)) / stddev(c) AS z, (1 + count(*) FILTER (abs(c) >= abs(r))) / 21.0e0 AS exceed FROM r JOIN e ON e.a_id = r.a_id AND e.b_id = r.b_id AND i > 0 GROUP BY r.a_id, r.b_id, r.n, r""",
+    "a_id b_id n",
+    "r null_mean null_sd z exceed",
 )
 def link_correlation(s, d):
     return _links(s, d)
 
 
-@query(None, "a_id b_id exceed", "r p q null_mean null_sd z normal_p")
+@query(None, "a_id b_id selected", "r p q null_mean null_sd z normal_p null_q exceed")
 def link_correlation_nulls(s, d):
     return _links(s, d)
 
@@ -327,7 +363,9 @@ def cohort_mean(s, d):
     return X.cohort_mean(li, ["g"], "m", "w")
 
 
-LINKS = "(SELECT vec_id AS link, CAST(embedding[1] AS DOUBLE) AS da, CAST(embedding[2] AS DOUBLE) AS db, vec_id % 3 <> 0 AS selected, CAST(embedding[3] AS DOUBLE) AS ta, CAST(embedding[4] AS DOUBLE) AS tb, label AS g FROM embeddings)"
+LINKS = """(SELECT link, g, gene, peak, selected, da, db, avg(da) OVER a AS pa, avg(ta) OVER a AS qa, avg(db) OVER b AS pb, avg(tb) OVER b AS qb FROM
+ (SELECT vec_id AS link, vec_id % 7 AS gene, vec_id % 11 AS peak, CAST(embedding[1] AS DOUBLE) AS da, CAST(embedding[2] AS DOUBLE) AS db, vec_id % 3 <> 0 AS selected, CAST(embedding[3] AS DOUBLE) AS ta, CAST(embedding[4] AS DOUBLE) AS tb, label AS g FROM embeddings)
+ WINDOW a AS (PARTITION BY g, gene), b AS (PARTITION BY g, peak))"""
 
 
 def links(s, d):
@@ -341,13 +379,18 @@ def active_links(s, d):
 
 
 @query(
-    f"""SELECT *, abs(cosine_a - cosine_b) AS alignment_error, (cosine + sign_accuracy) / 2 AS recovery FROM (SELECT g, sum(da * ta) / sqrt(sum(da * da) * sum(ta * ta)) AS cosine_a, sum(db * tb) / sqrt(sum(db * db) * sum(tb * tb)) AS cosine_b,
- (sum(da * ta) + sum(db * tb)) / sqrt((sum(da * da) + sum(db * db)) * (sum(ta * ta) + sum(tb * tb))) AS cosine, avg(CAST(sign(da) = sign(ta) AND sign(db) = sign(tb) AS INT)) AS sign_accuracy, avg((abs(da - ta) + abs(db - tb)) / 2) AS mae FROM {LINKS} GROUP BY ALL)""",
+    f"""WITH l AS {LINKS}, a AS (SELECT g, sum(pa * qa) / sqrt(sum(pa * pa) * sum(qa * qa)) AS cosine_a FROM (SELECT DISTINCT g, gene, pa, qa FROM l) GROUP BY ALL), b AS (SELECT g, sum(pb * qb) / sqrt(sum(pb * pb) * sum(qb * qb)) AS cosine_b FROM (SELECT DISTINCT g, peak, pb, qb FROM l) GROUP BY ALL),
+ e AS (SELECT g, (sum(pa * qa) + sum(pb * qb)) / sqrt((sum(pa * pa) + sum(pb * pb)) * (sum(qa * qa) + sum(qb * qb))) AS cosine, avg(CAST(pa * qa > 0 AND pb * qb > 0 AS INT)) AS sign_accuracy, avg((abs(pa - qa) + abs(pb - qb)) / 2) AS mae,
+ sum(pa * pb) / sqrt(sum(pa * pa) * sum(pb * pb)) AS predicted_alignment, sum(qa * qb) / sqrt(sum(qa * qa) * sum(qb * qb)) AS true_alignment FROM l GROUP BY ALL)
+ SELECT *, abs(predicted_alignment - true_alignment) AS alignment_error, ((cosine_a + 1) / 2 + (cosine_b + 1) / 2 + sign_accuracy) / 3 AS recovery FROM e JOIN a USING (g) JOIN b USING (g)""",
     "g",
-    "cosine_a cosine_b cosine sign_accuracy mae alignment_error recovery",
+    "cosine_a cosine_b cosine sign_accuracy predicted_alignment true_alignment alignment_error recovery mae",
 )
 def edge_recovery(s, d):
-    return X.edge_recovery(links(s, d).selectExpr("g", "da AS pred_a", "db AS pred_b", "ta AS true_a", "tb AS true_b"), ["g"])
+    """Genes and peaks stand for links' remainders; their changes are means over the links of a label."""
+    over = lambda c, k: F.avg(c).over(Window.partitionBy("g", k))
+    e = links(s, d).withColumn("gene", F.expr("link % 7")).withColumn("peak", F.expr("link % 11"))
+    return X.edge_recovery(e.select("g", "gene", "peak", over("da", "gene").alias("pred_a"), over("ta", "gene").alias("true_a"), over("db", "peak").alias("pred_b"), over("tb", "peak").alias("true_b")), ["g"])
 
 
 @query("SELECT g, avg(t) AS mse, count(*) AS times FROM (SELECT g, stage, avg(power(list_distance(a.x, b.x), 2) / 64) AS t FROM (SELECT id // 2 AS k, id % 3 AS g, stage, x FROM particles) a JOIN (SELECT id // 2 AS k2, stage AS st, x FROM cells) b ON k = k2 AND st = stage GROUP BY ALL) GROUP BY ALL", "g times", "mse")

@@ -68,9 +68,9 @@ for _name, _weight in (
     ("hard", "CASE WHEN rank = 1 THEN 1.0 ELSE 0 END"),
     ("vote", "1.0"),
     ("inverse", "1 / distance"),
-    ("inverse_floor", "1 / greatest(distance, (SELECT quantile_cont(distance, 0.5) * 1e-3 FROM knn))"),
-    ("gaussian_own", "exp(-0.5 * power(distance / max(distance) OVER (PARTITION BY query_id), 2))"),
-    ("gaussian_global", "exp(-0.5 * power(distance / (SELECT quantile_cont(m, 0.5) FROM (SELECT max(distance) AS m FROM knn GROUP BY query_id)), 2))"),
+    ("inverse_floor", "1 / greatest(distance, (SELECT quantile_cont(distance, 0.5) * 1e-3 FROM knn WHERE distance > 0))"),
+    ("gaussian_own", "exp(-power(distance / max(distance) OVER (PARTITION BY query_id), 2))"),
+    ("gaussian_global", "exp(-power(distance / (SELECT quantile_cont(m, 0.5) FROM (SELECT max(distance) AS m FROM knn GROUP BY query_id)), 2))"),
 ):
     _f = _labels(_name)
     _f.__name__ = f"transfer_labels_{_name}"
@@ -88,11 +88,11 @@ def soft_mass_transfer(s, d):
     return K.soft_mass_transfer(neighbours(s, d), w, ["method", "stage"])
 
 
-FEATURES = "(SELECT id AS ref_id, i AS feature, x[i + 1] AS value FROM cells, range(6) r(i))"
+FEATURES = "(SELECT id AS ref_id, i AS feature, x[i + 1] AS value FROM cells, range(64) r(i))"
 
 
 def _features(s, d):
-    return cells(s, d).select(F.col("id").alias("ref_id"), F.posexplode(F.slice("x", 1, 6)).alias("feature", "value")).withColumn("feature", F.col("feature").cast("long"))
+    return cells(s, d).select(F.col("id").alias("ref_id"), F.posexplode("x").alias("feature", "value")).withColumn("feature", F.col("feature").cast("long"))
 
 
 @query(f"SELECT query_id, feature, sum(w * value) AS value FROM soft JOIN {FEATURES} f USING (ref_id) GROUP BY ALL", "query_id feature", "value")

@@ -122,12 +122,12 @@ def threshold_routing(s, d):
     return T.threshold_routing(prob(s, d), G, "query_id", ["1", "2", "3"], 0.3)
 
 
-PAIRED = "(SELECT o_orderstatus AS g, o_custkey AS pid, o_orderpriority AS l0, lead(o_orderpriority) OVER w AS l1, o_totalprice / 1e4 AS w0, lead(o_totalprice) OVER w / 1e4 AS w1 FROM orders WINDOW w AS (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderdate, o_orderkey))"
+PAIRED = "(SELECT o_orderstatus AS g, o_custkey AS pid, o_orderpriority AS l0, lead(o_orderpriority) OVER w AS l1, o_totalprice / 1e3 AS w0, lead(o_totalprice) OVER w / 1e3 AS w1 FROM orders WINDOW w AS (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderdate, o_orderkey))"
 
 
 def _paired(s, d):
     w = "OVER (PARTITION BY o_orderstatus, o_custkey ORDER BY o_orderdate, o_orderkey)"
-    o = table(s, d, "orders").selectExpr("o_orderstatus AS g", "o_custkey AS pid", "o_orderpriority AS l0", f"lead(o_orderpriority) {w} AS l1", "o_totalprice / 1e4 AS w0", f"lead(o_totalprice) {w} / 1e4 AS w1")
+    o = table(s, d, "orders").selectExpr("o_orderstatus AS g", "o_custkey AS pid", "o_orderpriority AS l0", f"lead(o_orderpriority) {w} AS l1", "o_totalprice / 1e3 AS w0", f"lead(o_totalprice) {w} / 1e3 AS w1")
     return o.filter("l1 is not null")
 
 
@@ -135,7 +135,7 @@ HIGH0, HIGH1 = "CAST(substr(l0, 1, 1) AS INT) / 5.0", "CAST(substr(l1, 1, 1) AS
 
 
 @query(
-    f"SELECT *, change - transport - reweighting AS closure, abs(reweighting) / (abs(reweighting) + abs(transport)) AS local_share FROM (SELECT g, sum(w1 * p1 - w0 * p0) AS change, sum(w0 * (p1 - p0)) AS transport, sum((w1 - w0) * p1) AS reweighting FROM (SELECT *, {HIGH0} AS p0, {HIGH1} AS p1 FROM {PAIRED} WHERE l1 IS NOT NULL) GROUP BY ALL)",
+    f"SELECT *, change - transport - reweighting AS closure, abs(reweighting) / (abs(reweighting) + abs(transport)) AS local_share FROM (SELECT g, sum(w1 * p1 - w0 * p0) AS change, sum(0.5e0 * (w0 + w1) * (p1 - p0)) AS transport, sum(0.5e0 * (p0 + p1) * (w1 - w0)) AS reweighting FROM (SELECT *, {HIGH0} AS p0, {HIGH1} AS p1 FROM {PAIRED} WHERE l1 IS NOT NULL) GROUP BY ALL)",
     "g",
     "change transport reweighting closure local_share",
 )
@@ -152,7 +152,7 @@ def hard_waterfall(s, d):
     return T.hard_waterfall(_paired(s, d), ["g"], "1-URGENT")
 
 
-@query(f"SELECT g, l0, l1, count(*) AS n, sum(w0) AS initial, sum(w1) AS final FROM {PAIRED} WHERE l1 IS NOT NULL AND (l0 = '1-URGENT' OR l1 = '1-URGENT') GROUP BY ALL", "g l0 l1 n", "initial final")
+@query(f"SELECT g, l0, l1, count(*) AS n, sum(w0) AS initial, sum(w1) AS final, sum(0.5e0 * (w0 + w1)) AS midpoint FROM {PAIRED} WHERE l1 IS NOT NULL AND (l0 = '1-URGENT' OR l1 = '1-URGENT') GROUP BY ALL", "g l0 l1 n", "initial final midpoint")
 def waterfall_routes(s, d):
     return T.waterfall_routes(_paired(s, d), ["g"], "1-URGENT")
 
@@ -214,10 +214,10 @@ def cross_modal_consistency(s, d):
  o AS (SELECT method, stage, (sum(w*la*lb)/sum(w) - sum(w*la)/sum(w)*sum(w*lb)/sum(w)) / sqrt((sum(w*la*la)/sum(w) - power(sum(w*la)/sum(w), 2)) * (sum(w*lb*lb)/sum(w) - power(sum(w*lb)/sum(w), 2))) AS pearson,
  (sum(w*ra*rb)/sum(w) - sum(w*ra)/sum(w)*sum(w*rb)/sum(w)) / sqrt((sum(w*ra*ra)/sum(w) - power(sum(w*ra)/sum(w), 2)) * (sum(w*rb*rb)/sum(w) - power(sum(w*rb)/sum(w), 2))) AS spearman,
  sum(w * j) / sum(w) AS jsd, sum(CASE WHEN fa = fb THEN w ELSE 0 END) / sum(w) AS agreement, sum(w * fa) / sum(w) AS ma, sum(w * fb) / sum(w) AS mb,
- sum(CASE WHEN fa <> fb AND greatest(a, 1 - a) >= 0.8 AND greatest(b, 1 - b) >= 0.8 THEN w ELSE 0 END) / sum(w) AS confident_discordance FROM e GROUP BY ALL)
- SELECT *, (agreement - chance) / (1 - chance) AS kappa FROM (SELECT *, ma * mb + (1 - ma) * (1 - mb) AS chance FROM o)""",
+ sum(CASE WHEN sure AND fa <> fb THEN w ELSE 0 END) / sum(w) AS opposite_mass, sum(CASE WHEN sure THEN w ELSE 0 END) / sum(w) AS confident_mass FROM (SELECT *, (a >= 0.8 OR a <= 0.2) AND (b >= 0.8 OR b <= 0.2) AS sure FROM e) GROUP BY ALL)
+ SELECT *, CASE WHEN confident_mass > 1e-12 THEN opposite_mass / confident_mass END AS confident_discordance, (agreement - chance) / (1 - chance) AS kappa FROM (SELECT *, ma * mb + (1 - ma) * (1 - mb) AS chance FROM o)""",
     "method stage",
-    "pearson spearman jsd agreement chance kappa confident_discordance",
+    "pearson spearman jsd agreement chance kappa confident_mass opposite_mass confident_discordance",
 )
 def fate_concordance(s, d):
     w = weighted(s, d).withColumn("a", F.col("x")[0] * 10).withColumn("b", F.col("x")[1] * 10)
@@ -279,11 +279,12 @@ def rand_index(s, d):
 
 
 @query(
-    """WITH r AS (SELECT o_orderpriority AS g, o_orderstatus AS substate, (o_orderkey % 11) / 10.0 AS hit FROM orders), p AS (SELECT g, substate, count(*) AS n, avg(hit) AS soft, avg(CASE WHEN hit >= 0.5 THEN 1.0 ELSE 0 END) AS hard FROM r GROUP BY ALL),
- m AS (SELECT g, avg(soft) AS soft_recall, avg(hard) AS recall, arg_min(soft, (n, substate)) AS rarest_recall FROM p GROUP BY ALL), q AS (SELECT o_orderpriority AS g, sum(CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice ELSE 0 END) / sum(o_totalprice) AS precision FROM orders GROUP BY ALL),
+    """WITH r AS (SELECT o_orderpriority AS g, o_orderstatus AS substate, (o_orderkey % 11) / 10.0 AS hit FROM orders), q AS (SELECT o_orderpriority AS g, o_orderstatus AS substate, sum(CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice ELSE 0 END) / sum(o_totalprice) AS precision FROM orders GROUP BY ALL),
+ p AS (SELECT g, substate, n, soft, hard, precision, 2 * precision * hard / (precision + hard) AS f1 FROM (SELECT g, substate, count(*) AS n, avg(hit) AS soft, avg(CASE WHEN hit >= 0.5 THEN 1.0 ELSE 0 END) AS hard FROM r GROUP BY ALL) LEFT JOIN q USING (g, substate)),
+ m AS (SELECT g, avg(soft) AS soft_recall, avg(hard) AS recall, avg(precision) AS precision, avg(f1) AS f1, arg_min(hard, (n, substate)) AS rarest_recall FROM p GROUP BY ALL),
  h AS (SELECT o_orderpriority AS g, o_orderstatus AS substate, count(*) AS n, sum(o_totalprice) AS v FROM orders GROUP BY ALL), h2 AS (SELECT g, substate, n / sum(n) OVER k AS a, v / sum(v) OVER k AS b FROM h WINDOW k AS (PARTITION BY g)),
  j AS (SELECT g, sum(a * log2(2 * a / (a + b)) + b * log2(2 * b / (a + b))) / 2 AS composition_jsd FROM h2 GROUP BY ALL)
- SELECT m.*, precision, 2 * precision * recall / (precision + recall) AS f1, composition_jsd FROM m JOIN q ON q.g = m.g JOIN j ON j.g = m.g""",
+ SELECT m.*, composition_jsd FROM m JOIN j ON j.g = m.g""",
     "g",
     "soft_recall recall rarest_recall precision f1 composition_jsd",
 )
