@@ -47,7 +47,21 @@ def hypergeometric_tail(k: int, drawn: int, marked: int, total: int) -> float:
     """P(X >= k) for X marked items among `drawn` of `total`."""
     choose = lambda n, r: math.lgamma(n + 1) - math.lgamma(r + 1) - math.lgamma(n - r + 1)
     low, high = max(k, drawn + marked - total, 0), min(drawn, marked)
-    return min(1.0, sum(math.exp(choose(marked, i) + choose(total - marked, drawn - i) - choose(total, drawn)) for i in range(low, high + 1)))
+    if low > high:
+        return 0.0
+    # from the greatest term both ways by ratios of neighbours, in blocks, until terms no longer count
+    top = min(max(low, (drawn + 1) * (marked + 1) // (total + 2)), high)
+    first = choose(marked, top) + choose(total - marked, drawn - top) - choose(total, drawn)
+    out = 1.0
+    for step, end in ((1, high), (-1, low)):
+        at, term = top, 1.0
+        while at != end and term > 1e-17:
+            i = at + step * np.arange(min(abs(end - at), 1 << 12))
+            up = (marked - i) * (drawn - i) / ((i + 1.0) * (total - marked - drawn + i + 1.0)) if step > 0 else i * (total - marked - drawn + i) / ((marked - i + 1.0) * (drawn - i + 1.0))
+            terms = term * np.cumprod(up)
+            out += float(terms.sum())
+            at, term = at + step * len(i), float(terms[-1])
+    return min(1.0, math.exp(first) * out)
 
 
 @F.pandas_udf(DoubleType())
@@ -65,6 +79,11 @@ def _fisher_greater(both: pd.Series, a: pd.Series, b: pd.Series, n: pd.Series) -
     return pd.Series([hypergeometric_tail(int(k), int(x), int(y), int(t)) for k, x, y, t in zip(both, a, b, n)])
 
 
+@F.pandas_udf(DoubleType())
+def _normal_above(z: pd.Series) -> pd.Series:
+    return pd.Series([None if np.isnan(v) else math.erfc(v / math.sqrt(2)) / 2 for v in z.astype(float)])
+
+
 def t_two_sided(t: Column, df: Column) -> Column:
     return _t_two_sided(t, df)
 
@@ -73,6 +92,11 @@ def normal_two_sided(z: Column) -> Column:
     return _normal_two_sided(z)
 
 
+def normal_above(z: Column) -> Column:
+    """P(Z >= z)."""
+    return _normal_above(z)
+
+
 def fisher_greater(both: Column, a: Column, b: Column, n: Column) -> Column:
     """One-sided Fisher p of seeing `both` or more in the overlap of sets of a and b among n."""
     return _fisher_greater(both, a, b, n)

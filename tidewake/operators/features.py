@@ -311,7 +311,7 @@ def odds_ratio_ci(df: DataFrame, g: Keys, a: str, b: str) -> DataFrame:
     n = lambda c: F.sum(c.cast("long")) + 0.5
     d = df.groupBy(*g).agg(n(x & y).alias("_a"), n(x & ~y).alias("_b"), n(~x & y).alias("_c"), n(~x & ~y).alias("_d"))
     log = F.ln(F.col("_a") * F.col("_d") / (F.col("_b") * F.col("_c")))
-    half = 1.959963984540054 * F.sqrt(1 / F.col("_a") + 1 / F.col("_b") + 1 / F.col("_c") + 1 / F.col("_d"))
+    half = 1.96 * F.sqrt(1 / F.col("_a") + 1 / F.col("_b") + 1 / F.col("_c") + 1 / F.col("_d"))
     return d.select(*g, F.exp(log).alias("odds_ratio"), F.exp(log - half).alias("low"), F.exp(log + half).alias("high"))
 
 

@@ -239,7 +239,7 @@ def bootstrap_ci(s, d):
     return X.bootstrap_ci(table(s, d, "lineitem"), ["l_returnflag"], "l_quantity", 200)
 
 
-@query("SELECT g, exp(l) AS odds_ratio, exp(l - 1.959963984540054 * h) AS low, exp(l + 1.959963984540054 * h) AS high FROM (SELECT g, ln(a * d / (b * c)) AS l, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS h FROM (SELECT l_returnflag AS g, sum(CAST(x AND y AS INT)) + 0.5e0 AS a, sum(CAST(x AND NOT y AS INT)) + 0.5e0 AS b, sum(CAST(NOT x AND y AS INT)) + 0.5e0 AS c, sum(CAST(NOT x AND NOT y AS INT)) + 0.5e0 AS d FROM (SELECT l_returnflag, l_quantity > 25 AS x, l_linenumber > 3 AS y FROM lineitem) GROUP BY ALL))", "g", "odds_ratio low high")
+@query("SELECT g, exp(l) AS odds_ratio, exp(l - 1.96e0 * h) AS low, exp(l + 1.96e0 * h) AS high FROM (SELECT g, ln(a * d / (b * c)) AS l, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS h FROM (SELECT l_returnflag AS g, sum(CAST(x AND y AS INT)) + 0.5e0 AS a, sum(CAST(x AND NOT y AS INT)) + 0.5e0 AS b, sum(CAST(NOT x AND y AS INT)) + 0.5e0 AS c, sum(CAST(NOT x AND NOT y AS INT)) + 0.5e0 AS d FROM (SELECT l_returnflag, l_quantity > 25 AS x, l_linenumber > 3 AS y FROM lineitem) GROUP BY ALL))", "g", "odds_ratio low high")
 def odds_ratio_ci(s, d):
     return X.odds_ratio_ci(table(s, d, "lineitem").selectExpr("l_returnflag AS g", "l_quantity > 25 AS x", "l_linenumber > 3 AS y"), ["g"], "x", "y")
 
