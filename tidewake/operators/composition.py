@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import Keys, ratio, top_n
+from ..functions.lineage import settled
+from . import clusters
 from .ordering import attach
 
 
@@ -73,57 +75,17 @@ def within_lineage_percent(df: DataFrame, g: Keys, label: str, keep: Keys) -> Da
 # --- clouds of points -------------------------------------------------------------------------------
 
 
-def kmeans(x: np.ndarray, w: np.ndarray, k: int, seed: int, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted k-means (greedy spread start): centres and the cluster of each row."""
-    rng = np.random.default_rng(seed)
-    centres = x[[int(rng.choice(len(x), p=w / w.sum()))]]
-    gap = ((x - centres[0]) ** 2).sum(1)
-    while len(centres) < k:
-        p = gap * w
-        i = int(rng.choice(len(x), p=p / p.sum())) if p.sum() > 0 else int(rng.integers(len(x)))
-        centres = np.vstack([centres, x[i]])
-        gap = np.minimum(gap, ((x - x[i]) ** 2).sum(1))
-    own = np.zeros(len(x), dtype=int)
-    for _ in range(rounds):
-        d = (x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)[None, :]
-        own = d.argmin(1)
-        mass = np.bincount(own, weights=w, minlength=k)
-        sums = np.stack([np.bincount(own, weights=w * x[:, j], minlength=k) for j in range(x.shape[1])], 1)
-        moved = np.where(mass[:, None] > 0, sums / np.maximum(mass, 1e-300)[:, None], centres)
-        if np.allclose(moved, centres):
-            break
-        centres = moved
-    return centres, own
-
-
 def _kinds(df: DataFrame, g: Keys) -> str:
     return ", ".join(f"`{c}` {t}" for c, t in df.select(*g).dtypes)
 
 
-def microclusters(points: DataFrame, g: Keys, k: int, vector: str = "x", weight: str = "weight", seed: int = 0, part: int = 20000) -> DataFrame:
-    """g, cluster, x, weight: at most k weighted centres for each unit; the points themselves if there
-    are no more than k. A unit larger than `part` rows is summarised in parts by hash first, and the
-    parts' centres are summarised again, so no task holds a whole large cloud."""
-    columns = [*g, F.col(vector).alias("x"), F.col(weight).cast("double").alias("weight")]
-    sizes = points.groupBy(*g).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("_parts"))
-    d = points.select(*columns).join(sizes, list(g)).withColumn("_part", F.pmod(F.xxhash64("x"), F.col("_parts")).cast("int"))
-    schema = f"{_kinds(points, g)}, cluster int, x array<double>, weight double"
-
-    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_o=pdf["x"].map(lambda v: tuple(v))).sort_values(["_o", "weight"])
-        x, w = np.stack(pdf["x"]), pdf["weight"].to_numpy()
-        if len(x) > k:
-            centres, own = kmeans(x, w, k, seed)
-            w = np.bincount(own, weights=w, minlength=k)
-            x, w = centres[w > 0], w[w > 0]
-        out = pd.DataFrame({"cluster": range(len(x)), "x": list(x), "weight": w})
-        for i, c in enumerate(g):
-            out.insert(i, c, pdf[c].iloc[0])
-        return out
-
-    first = d.groupBy(*g, "_part").applyInPandas(summary, schema)
-    both = first.groupBy(*g).applyInPandas(summary, schema)
-    return both.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy(*g)))
+def microclusters(points: DataFrame, g: Keys, k: int, vector: str = "x", weight: str = "weight", seed: int = 0) -> DataFrame:
+    """g, cluster, x, weight: at most k weighted centres for each unit, by one scheme at every size (see clusters.fit),
+    with weights that sum to 1; the points themselves if there are no more than k."""
+    blocks = clusters.packed(points.filter(F.col(weight) > 0), g, vector, weight)
+    d = clusters.fit(settled(blocks), g, k, seed)
+    d = d.select(*g, F.posexplode(F.arrays_zip("centres", "mass")).alias("cluster", "c"), F.aggregate("mass", F.lit(0.0), lambda s, v: s + v).alias("_t"))
+    return d.filter("c.mass > 0").select(*g, "cluster", F.col("c.centres").alias("x"), (F.col("c.mass") / F.col("_t")).alias("weight"))
 
 
 def _ot(x, a, y, b, blur: float, rounds: int = 500) -> float:

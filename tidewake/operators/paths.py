@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import Keys, pearson, ratio, top_n
+from ..functions.lineage import settled
+from . import clusters
 from .composition import composition
 from .features import auroc
-from .ordering import quantiles, ranked, standardized
-from .composition import kmeans
+from .ordering import attach, quantiles, ranked, standardized
 
 
 def transition_matrix(prob: DataFrame, source: str = "source", target: str = "label", value: str = "prob", particle: str = "query_id") -> DataFrame:
@@ -221,23 +222,27 @@ def common_and_extra_support(hits: DataFrame, unit: Keys, g: Keys, method: str)
     return d.groupBy(*g, method).agg(n(F.col("hit")).alias("hits"), n(F.col("_c")).alias("common"), n(F.col("hit") & ~F.col("_c")).alias("extra"))
 
 
-def substates(cells: DataFrame, g: Keys, ks: list[int], seed: int = 0, vector: str = "x") -> DataFrame:
-    """g, k, id, substate: k-means inside each group over z-scored coordinates, for each k that the group
-    can hold. A task works on one group and k; groups are cell types of a stage."""
-    d = cells.select(*g, "id", F.col(vector).alias("x")).withColumn("k", F.explode(F.array(*map(F.lit, ks))))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in cells.select(*g).dtypes)
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x, k = np.stack(pdf["x"]), int(pdf["k"].iloc[0])
-        if len(x) <= k:
-            own = np.arange(len(x))
-        else:
-            sd = x.std(0)
-            own = kmeans((x - x.mean(0)) / np.where(sd > 0, sd, 1), np.ones(len(x)), k, seed)[1]
-        return pdf[[*g, "k", "id"]].assign(substate=own.astype("int32"))
-
-    return d.groupBy(*g, "k").applyInPandas(cluster, f"{kinds}, k int, id long, substate int")
+def substates(cells: DataFrame, g: Keys, ks: list[int], seed: int = 0, vector: str = "x", starts: int = 10) -> DataFrame:
+    """g, k, id, substate: k-means inside each group over z-scored coordinates (flat ones 0), for each k; the best of
+    `starts` by inertia. Rows of a group are packed in blocks, and no task holds a group (see clusters.fit)."""
+    long = cells.select(*g, F.posexplode(vector).alias("i", "v")).groupBy(*g, "i").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    stats = long.groupBy(*g).agg(F.sort_array(F.collect_list(F.struct("i", "m", "s"))).alias("_st"))  # a pair for each coordinate
+    z = F.zip_with(F.col(vector), F.col("_st"), lambda v, s: F.when(s["s"] > 0, (v - s["m"]) / s["s"]).otherwise(0.0))
+    blocks = settled(clusters.packed(attach(cells.select(*g, "id", vector), stats, g).select(*g, "id", z.alias("x")), g, key="id"))
+    out = [clusters.assigned(blocks, clusters.fit(blocks, g, k, seed, starts), g).select(*g, F.lit(k).alias("k"), "id", F.col("cluster").alias("substate")) for k in ks]
+    return reduce(DataFrame.unionByName, out)
+
+
+def substate_audit(cells: DataFrame, g: Keys, ks: list[int], repeats: int = 5, seed: int = 0, vector: str = "x", starts: int = 10) -> DataFrame:
+    """g, k, n, least, greatest (sizes of substates), least_fraction, and the mean and least adjusted Rand index of the
+    substates against those of `repeats` other seeds. A substate without rows counts as 0."""
+    base = settled(substates(cells, g, ks, seed, vector, starts))
+    other = [substates(cells, g, ks, seed + 1 + r, vector, starts).withColumn("repeat", F.lit(r)) for r in range(repeats)]
+    ari = rand_index(base.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))), reduce(DataFrame.unionByName, other), [*g, "k", "repeat"])
+    ari = ari.groupBy(*g, "k").agg(F.avg("ari").alias("mean_ari"), F.min("ari").alias("least_ari"))
+    s = base.groupBy(*g, "k", "substate").agg(F.count(F.lit(1)).alias("_n")).groupBy(*g, "k").agg(F.sum("_n").alias("n"), F.min("_n").alias("_l"), F.max("_n").alias("greatest"), F.count(F.lit(1)).alias("_c"))
+    s = s.withColumn("least", F.when(F.col("_c") < F.least("k", "n"), 0).otherwise(F.col("_l")))
+    return attach(s.select(*g, "k", "n", "least", "greatest", (F.col("least") / F.col("n")).alias("least_fraction")), ari, [*g, "k"])
 
 
 def rand_index(a: DataFrame, b: DataFrame, g: Keys, key: str = "id", label: str = "substate") -> DataFrame:

@@ -108,7 +108,7 @@ def total_time_distance(s, d):
 
 @query(None, "stage", "mean sd median q025 q975")
 def repeated_distance(s, d):
-    return D.repeated_distance(cells(s, d), particles(s, d), ["stage"], 128, 5)
+    return D.repeated_distance(cells(s, d), particles(s, d), ["stage"], 32, 5)
 
 
 AXES = "(SELECT i AS direction, CASE WHEN i < 8 THEN 1.0 ELSE -1.0 END AS sign, i % 8 AS axis FROM range(8) r(i))"

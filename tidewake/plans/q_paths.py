@@ -272,6 +272,11 @@ def substates(s, d):
     return T.substates(cells(s, d), ["stage", "celltype"], [2, 3])
 
 
+@query(None, "stage celltype k n least greatest", "least_fraction mean_ari least_ari")
+def substate_audit(s, d):
+    return T.substate_audit(cells(s, d), ["stage", "celltype"], [2, 3], 2, starts=5)
+
+
 @query(None, "stage celltype k", "ari")
 def rand_index(s, d):
     g = ["stage", "celltype"]
