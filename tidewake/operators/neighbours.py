@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import Keys, ratio, top_n
+from ..functions.lineage import settled
+from . import pivots
 from .mass import weighted_median
-from .ordering import quantiles, standardized
+from .ordering import attach, quantiles, standardized
 
 #: Rows of either side that one task compares.
 BLOCK = 2048
@@ -53,13 +55,9 @@ def _nearest(q_ids, q, r_ids, r, k: int):
                 yield q_ids[at + row], r_ids[near[i]], exact[i]
 
 
-def knn_join(query: DataFrame, ref: DataFrame, k: int, on: Keys = (), vector: str = "x", block: int = BLOCK) -> DataFrame:
-    """on, query_id, ref_id, rank, distance: the exact Euclidean k nearest reference rows (id, vector) of
-    each query row in the same `on` group; all of them if there are fewer; ties to the lower ref id.
-
-    Block pairs are compared by numpy and give k rows a query; the blocks' answers are merged by rank."""
-    q = query.select(*on, F.col("id").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
-    r = ref.select(*on, F.col("id").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+def _compared(q: DataFrame, r: DataFrame, k: int, on: Keys, block: int) -> DataFrame:
+    """on, query_id, ref_id, distance: for each query row and block of reference rows its k nearest. Block pairs are
+    compared by numpy."""
     left, right = _blocks(q, r, on, block)
     kinds = ", ".join(f"`{c}` {t}" for c, t in q.select(*on).dtypes)
 
@@ -74,8 +72,32 @@ def knn_join(query: DataFrame, ref: DataFrame, k: int, on: Keys = (), vector: st
         return out
 
     schema = f"{kinds + ', ' if kinds else ''}query_id long, ref_id long, distance double"
-    found = left.cogroup(right).applyInPandas(search, schema)
-    return top_n(found, [*on, "query_id"], [F.col("distance"), F.col("ref_id")], k)
+    return left.cogroup(right).applyInPandas(search, schema)
+
+
+def knn_join(query: DataFrame, ref: DataFrame, k: int, on: Keys = (), vector: str = "x", block: int = BLOCK, cell: int | None = None) -> DataFrame:
+    """on, query_id, ref_id, rank, distance: the exact Euclidean k nearest reference rows (id, vector) of
+    each query row in the same `on` group; all of them if there are fewer; ties to the lower ref id.
+
+    If a group has over `cell` reference rows, these are dealt to cells around pivots. A query meets its own cell
+    first, whose k-th distance bounds what it looks for, and then only cells that the triangle inequality does not
+    refute (see pivots.asked); it is not sent to the others. Smaller groups are compared at once. Within cells, blocks
+    are the unit of work, and give k rows a query, merged by rank."""
+    q = query.select(*on, F.col("id").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    r = ref.select(*on, F.col("id").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
+    order = [F.col("distance"), F.col("ref_id")]
+    if pivots.few(r, on, cell):
+        return top_n(_compared(q, r, k, on, block), [*on, "query_id"], order, k)
+    held, r, extents = pivots.cells_of(r, on, cell)
+    own = settled(pivots.placed(q, held, on).drop("_gap"))
+    inside = [*on, "_cell"]
+    near = settled(_compared(own, r.drop("_gap"), k, inside, block).drop("_cell"))
+    bound = near.groupBy(*on, "query_id").agg(F.count(F.lit(1)).alias("_n"), F.max("distance").alias("_d"))
+    bound = bound.select(*on, F.col("query_id").alias("id"), F.when(F.col("_n") >= k, F.col("_d")).alias("_bound"))
+    more = pivots.asked(attach(own, bound, [*on, "id"]), extents, on, k, skip_own=True)
+    more = more.select(*on, F.col("_ask").alias("_cell"), "id", "x")
+    rest = _compared(more, r.drop("_gap"), k, inside, block).drop("_cell")
+    return top_n(near.unionByName(rest), [*on, "query_id"], order, k)
 
 
 def knn_join_excluding(query: DataFrame, ref: DataFrame, k: int, on: Keys = (), vector: str = "x") -> DataFrame:
@@ -95,13 +117,20 @@ def loo_1nn_median(ref: DataFrame, on: Keys = (), vector: str = "x") -> DataFram
     return quantiles(self_knn_radius(ref, 1, on, vector), on, "radius", {"loo_median": 0.5})
 
 
-def radius_mass(ref: DataFrame, particles: DataFrame, on: Keys = (), vector: str = "x", block: int = BLOCK) -> DataFrame:
+def radius_mass(ref: DataFrame, particles: DataFrame, on: Keys = (), vector: str = "x", block: int = BLOCK, cell: int | None = None) -> DataFrame:
     """on, id, mass: the weight of particles (id, vector, weight) with d^2 <= radius^2 + 1e-7 of each
-    reference row (id, vector, radius). Block pairs give one partial sum for each reference row."""
+    reference row (id, vector, radius). Particles of a group of over `cell` rows are dealt to cells around pivots, and
+    a reference row meets those cells alone that may lie within its radius. Block pairs give one partial sum for each
+    reference row."""
     q = particles.select(*on, F.col("id").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.col("weight").cast("double").alias("weight"))
     r = ref.select(*on, F.col("id").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.col("radius").cast("double").alias("radius"))
-    left, right = _blocks(q, r, on, block)
-    kinds = ", ".join(f"`{c}` {t}" for c, t in q.select(*on).dtypes)
+    keys = list(on)
+    if not pivots.few(q, on, cell):
+        _, q, extents = pivots.cells_of(q, on, cell)
+        r = pivots.asked(r.withColumn("_bound", F.sqrt(F.col("radius") ** 2 + 1e-7)), extents, on, None, skip_own=False)
+        r, q, keys = r.drop("_bound").withColumnRenamed("_ask", "_cell"), q.drop("_gap"), [*on, "_cell"]
+    left, right = _blocks(q, r, keys, block)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in q.select(*keys).dtypes)
 
     def sums(group, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if b.empty:
@@ -114,7 +143,7 @@ def radius_mass(ref: DataFrame, particles: DataFrame, on: Keys = (), vector: str
                 inside = _squared(x[at : at + 256], np.stack(a["x"])) <= limit[at : at + 256, None] if len(a) else np.zeros((len(x[at : at + 256]), 0))
                 mass[at : at + 256] = inside @ w
             out = pd.DataFrame({"id": b["id"].to_numpy(), "mass": mass})
-        for i, c in enumerate(on):
+        for i, c in enumerate(keys):
             out.insert(i, c, group[i])
         return out
 
