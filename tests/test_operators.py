@@ -170,7 +170,7 @@ def test_calibrate_logit_meets_its_own_optimum(spark):
 
 def test_bootstrap_brackets_the_mean(spark):
     v = np.random.default_rng(6).normal(3, 2, 400)
-    got = X.bootstrap_ci(spark.createDataFrame([("g", float(t)) for t in v], "g string, v double"), ["g"], "v").first()
+    got = X.bootstrap_ci(spark.createDataFrame([("g", i, float(t)) for i, t in enumerate(v)], "g string, i int, v double"), ["g"], "v", "i").first()
     half = 1.96 * v.std() / 20
     assert got.estimate == pytest.approx(v.mean()) and got.low == pytest.approx(v.mean() - half, abs=0.08) and got.high == pytest.approx(v.mean() + half, abs=0.08)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.columns import Keys, known, pearson, ratio, top_n
+from ..functions.lineage import settled
 from ..functions.tails import fisher_greater, normal_two_sided, t_tail, t_two_sided
 from .ordering import attach, least_from, numbered, quantiles, ranked, running_totals, standardized
 
@@ -275,34 +276,87 @@ def deseq_effects(counts: DataFrame, groups: DataFrame) -> DataFrame:
     return bh_fdr(t, [], "p")
 
 
-def bootstrap_ci(df: DataFrame, g: Keys, value: str, repeats: int = 500, seed: int = 0, other: str | None = None, statistic: str = "mean") -> DataFrame:
-    """g, estimate, low, high (2.5 and 97.5 percent) of the mean of `value`, the mean difference to `other`,
-    or the ratio of sums (+0.5). A replicate weighs each row by Poisson(1) draws seeded by (group, part,
-    replicate), so partial sums of parts add up and no task holds a whole group."""
-    y = F.col(other).cast("double") if other else F.lit(0.0)
-    d = df.select(*g, F.col(value).cast("double").alias("_x"), y.alias("_y")).filter("_x is not null and _y is not null")
-    d = d.withColumn("_part", F.pmod(F.xxhash64("_x", "_y"), F.lit(16)).cast("int"))
+#: Rows of a part of a bootstrap, and replicates that are drawn together.
+PART, REPLICATES = 4096, 64
+
+
+def bootstrap_ci(df: DataFrame, g: Keys, value: str, key: str, repeats: int = 500, seed: int = 0, other: str | None = None, statistic: str = "mean", weight: str | None = None, label: str | None = None) -> DataFrame:
+    """g, estimate, low, high (2.5 and 97.5 percent over replicates) of a statistic of `value`: "mean" (with other: of the
+    difference), "ratio" of the sums of value and other (+0.5), or "auroc" of value for the boolean label. A replicate
+    draws as many rows as the group has, with replacement and chances by weight (equal without); rows with a null, NaN
+    or negative weight take no part. A replicate without both labels has no auroc.
+
+    Rows are dealt by key to parts of some PART rows. How many of a replicate's draws fall into each part is one draw
+    over the parts' weights; inside a part they are drawn again over its rows, which together are draws over the whole
+    group. Parts send sums, or for auroc counts by distinct value, so no task holds a group."""
+    if statistic not in ("mean", "ratio", "auroc") or (statistic == "auroc") != (label is not None):
+        raise ValueError("statistic must be mean, ratio or auroc (with a label)")
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    y = number(other) if other else F.lit(0.0)
+    if label is not None:
+        y = F.col(label).cast("boolean").cast("double")
+    d = df.select(*g, number(value).alias("_x"), y.alias("_y"), (number(weight) if weight else F.lit(1.0)).alias("_w"), F.xxhash64(F.col(key), F.lit(seed)).alias("_h"))
+    d = d.dropna(subset=["_x", "_y", "_w"]).filter("_w >= 0")
+    parts = d.groupBy(*g).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts"))
+    d = settled(attach(d, parts, g).withColumn("_part", F.pmod("_h", F.col("_parts")).cast("int")).drop("_parts"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.select(*g).dtypes)
-
-    def draws(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_x", "_y"])
-        key = repr([str(pdf[c].iloc[0]) for c in g] + [int(pdf["_part"].iloc[0]), seed])
-        rng = np.random.default_rng(zlib.crc32(key.encode()))
-        x, y = pdf["_x"].to_numpy(), pdf["_y"].to_numpy()
-        rows = [(-1, float(len(x)), x.sum(), y.sum())]
-        for r in range(repeats):
-            w = rng.poisson(1.0, len(x))
-            rows.append((r, float(w.sum()), float(w @ x), float(w @ y)))
-        out = pd.DataFrame(rows, columns=["r", "n", "sx", "sy"])
+    kinds = f"{kinds}, " if kinds else ""
+    sizes = d.groupBy(*g, "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("_w").alias("_w"))
+    sizes = sizes.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((repeats - 1) // REPLICATES))))
+
+    def generator(*what):
+        return np.random.default_rng(zlib.crc32(repr([str(v) for v in what]).encode()))
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_part")
+        block, w = int(pdf["_block"].iloc[0]), pdf["_w"].to_numpy(float)
+        r = min(REPLICATES, repeats - block * REPLICATES)
+        if w.sum() <= 0:
+            return pdf.iloc[:0][[*g, "_part", "_block"]].assign(_counts=[])
+        counts = generator("split", *(pdf[c].iloc[0] for c in g), block, seed).multinomial(int(pdf["_n"].sum()), w / w.sum(), size=r)
+        return pdf[[*g, "_part", "_block"]].assign(_counts=list(counts.T.astype(np.int64)))
+
+    counts = sizes.groupBy(*g, "_block").applyInPandas(split, f"{kinds}_part int, _block int, _counts array<long>")
+
+    def draws(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        columns = [*g, "r", "v", "n", "sx", "sy"]
+        if rows.empty or asked.empty:
+            return pd.DataFrame({c: [] for c in columns})
+        rows = rows.sort_values(["_h", "_x", "_y", "_w"])
+        x, y, w = (rows[c].to_numpy(float) for c in ("_x", "_y", "_w"))
+        of, value_of = np.unique(x, return_inverse=True)
+        out = []
+        for block, each in zip(asked["_block"], asked["_counts"], strict=True):
+            rng = generator("draw", *(rows[c].iloc[0] for c in g), int(rows["_part"].iloc[0]), block, seed)
+            for i, n in enumerate(each):
+                if not n:
+                    continue
+                m = rng.multinomial(int(n), w / w.sum())
+                r = int(block) * REPLICATES + i
+                if label is None:
+                    out.append((r, 0.0, float(n), float(m @ x), float(m @ y)))
+                else:
+                    pos, neg = (np.bincount(value_of, weights=m * k, minlength=len(of)) for k in (y, 1 - y))
+                    out += [(r, float(of[j]), float(pos[j] + neg[j]), float(pos[j]), float(neg[j])) for j in np.flatnonzero(pos + neg)]
+        pdf = pd.DataFrame(out, columns=columns[len(g) :])
         for i, c in enumerate(g):
-            out.insert(i, c, pdf[c].iloc[0])
-        return out
-
-    s = d.groupBy(*g, "_part").applyInPandas(draws, f"{kinds + ', ' if kinds else ''}r int, n double, sx double, sy double")
-    s = s.groupBy(*g, "r").agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"))
-    stat = (F.col("sx") + 0.5) / (F.col("sy") + 0.5) if statistic == "ratio" else ratio(F.col("sx") - F.col("sy"), F.col("n"))
-    s = s.withColumn("_s", stat).withColumn("_b", F.when(F.col("r") >= 0, F.col("_s")))
-    return s.groupBy(*g).agg(F.max(F.when(F.col("r") == -1, F.col("_s"))).alias("estimate"), F.expr("percentile(_b, 0.025)").alias("low"), F.expr("percentile(_b, 0.975)").alias("high"))
+            pdf.insert(i, c, rows[c].iloc[0])
+        return pdf
+
+    key_ = [*g, "_part"]
+    left = d.select(*[F.col(c).alias(f"_l{i}") for i, c in enumerate(key_)], *d.columns).groupBy(*[f"_l{i}" for i in range(len(key_))])
+    s = left.cogroup(counts.groupBy(*key_)).applyInPandas(draws, f"{kinds}r int, v double, n double, sx double, sy double")
+    sums = [F.sum(c).alias(c) for c in ("n", "sx", "sy")]
+    if label is None:
+        stat = (F.col("sx") + 0.5) / (F.col("sy") + 0.5) if statistic == "ratio" else ratio(F.col("sx") - F.col("sy"), F.col("n"))
+        s = s.groupBy(*g, "r").agg(*sums).withColumn("_b", stat)
+        point = d.groupBy(*g).agg(F.sum("_w").alias("n"), F.sum(F.col("_w") * F.col("_x")).alias("sx"), F.sum(F.col("_w") * F.col("_y")).alias("sy")).select(*g, stat.alias("estimate"))
+    else:
+        s = running_totals(settled(s.groupBy(*g, "r", "v").agg(*sums)), [*g, "r"], "v", ["sy"]).withColumn("_u", F.col("sx") * (F.col("sy_upto") - F.col("sy") / 2))
+        s = s.groupBy(*g, "r").agg(ratio(F.sum("_u"), F.sum("sx") * F.sum("sy")).alias("_b"))
+        point = auroc(d.withColumn("_y", F.col("_y") > 0), g, "_x", "_y", "_w").select(*g, F.col("auroc").alias("estimate"))
+    spread = s.groupBy(*g).agg(F.expr("percentile(_b, 0.025)").alias("low"), F.expr("percentile(_b, 0.975)").alias("high"))  # a value a replicate
+    return attach(point, spread, g)
 
 
 def odds_ratio_ci(df: DataFrame, g: Keys, a: str, b: str) -> DataFrame:

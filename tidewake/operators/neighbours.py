@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +13,7 @@ from ..functions.columns import Keys, ratio, top_n
 from ..functions.lineage import settled
 from . import pivots
 from .mass import weighted_median
-from .ordering import attach, quantiles, standardized
+from .ordering import attach, numbered, quantiles, standardized
 
 #: Rows of either side that one task compares.
 BLOCK = 2048
@@ -162,11 +164,12 @@ def projection_ratio(nearest: DataFrame, weights: DataFrame, loo_median: DataFra
 SCHEMES = ("hard", "vote", "majority", "inverse", "inverse_floor", "gaussian_own", "gaussian_global")
 
 
-def neighbour_weights(knn: DataFrame, scheme: str) -> DataFrame:
+def neighbour_weights(knn: DataFrame, scheme: str, by: Keys = ()) -> DataFrame:
     """Adds w, weights of a query's neighbours that sum to 1, by a named scheme. Gaussian weights are
     exp(-(d/h)^2), where h is the query's own distance to its k-th neighbour, or the median of these over all
-    queries (of positive distances where it is 0); the floor of inverse distances is 1e-3 of the median positive one."""
-    q = Window.partitionBy("query_id")
+    queries (of positive distances where it is 0); the floor of inverse distances is 1e-3 of the median positive one.
+    A query is searched once in each group of `by` (a time, a stage), whose medians are its own."""
+    q = Window.partitionBy(*by, "query_id")
     d = F.col("distance")
     if scheme == "hard":
         raw = (F.col("rank") == 1).cast("double")
@@ -176,17 +179,17 @@ def neighbour_weights(knn: DataFrame, scheme: str) -> DataFrame:
         zero = F.max((d == 0).cast("int")).over(q)
         raw = F.when(zero == 1, (d == 0).cast("double")).otherwise(1.0 / d)
     elif scheme == "inverse_floor":
-        middle = quantiles(knn.filter("distance > 0"), [], "distance", {"_m": 0.5})
-        knn = knn.crossJoin(F.broadcast(middle.select((F.coalesce("_m", F.lit(0.0)) * 1e-3).alias("_floor"))))  # one row
-        raw = 1.0 / F.greatest(d, F.col("_floor"), F.lit(1e-8))
+        middle = quantiles(knn.filter("distance > 0"), by, "distance", {"_m": 0.5})
+        knn = attach(knn, middle.select(*by, (F.col("_m") * 1e-3).alias("_floor")), by)
+        raw = 1.0 / F.greatest(d, F.coalesce("_floor", F.lit(0.0)), F.lit(1e-8))
     elif scheme == "gaussian_own":
         h = F.max(d).over(q)
         raw = F.exp(-((d / F.greatest(h, F.lit(1e-12))) ** 2))
     elif scheme == "gaussian_global":
-        middle = quantiles(knn.groupBy("query_id").agg(F.max("distance").alias("_k")), [], "_k", {"_k": 0.5})
-        other = quantiles(knn.filter("distance > 0"), [], "distance", {"_m": 0.5})
+        middle = quantiles(knn.groupBy(*by, "query_id").agg(F.max("distance").alias("_far")), by, "_far", {"_k": 0.5})
+        other = quantiles(knn.filter("distance > 0"), by, "distance", {"_m": 0.5})
         h = F.when(F.col("_k") > 1e-12, F.col("_k")).otherwise(F.coalesce("_m", F.lit(1.0))).alias("_h")
-        knn = knn.crossJoin(F.broadcast(middle.crossJoin(other).select(h)))  # one row
+        knn = attach(knn, attach(middle, other, by).select(*by, h), by)
         raw = F.exp(-((d / F.col("_h")) ** 2))
     else:
         raise ValueError(f"scheme must be one of {SCHEMES}")
@@ -231,6 +234,55 @@ def group_curves(members: DataFrame, knn: DataFrame, counts: DataFrame, g: Keys,
     return coefficients.join(counts, "ref_id").groupBy(*g, "feature").agg((F.sum(F.col("c") * F.col("value")) * scale).alias("value"))
 
 
+def stage_bracket(df: DataFrame, time: str, stages: list[float]) -> DataFrame:
+    """df with low, high (places in the list of rising stage times) and alpha: a time between two stages lies alpha of
+    the way from low to high; at or beyond an end both are that end and alpha is 0."""
+    last, t = len(stages) - 1, F.col(time).cast("double")
+    at = F.array(*[F.lit(float(v)) for v in stages])
+    low = F.size(F.filter(at, lambda v: v <= t)) - 1
+    low = F.when(t <= stages[0], 0).when(t >= stages[-1], last).otherwise(low)
+    high = F.when((t <= stages[0]) | (t >= stages[-1]), low).otherwise(low + 1)
+    d = df.withColumn("low", low.cast("int")).withColumn("high", high.cast("int"))
+    a, b = F.get(at, F.col("low")), F.get(at, F.col("high"))
+    return d.withColumn("alpha", F.when(b > a, (t - a) / (b - a)).otherwise(0.0))
+
+
+def bracket_shares(df: DataFrame) -> DataFrame:
+    """Rows of stage_bracket, once for each stage that they are decoded in, with stage and part (1 - alpha, or alpha)."""
+    both = F.array(F.struct(F.col("low").alias("stage"), (1 - F.col("alpha")).alias("part")), F.struct(F.col("high").alias("stage"), F.col("alpha").alias("part")))
+    kept = F.filter(both, lambda v: v["part"] > 0)
+    return df.withColumn("_s", F.explode(kept)).select(*df.columns, "_s.stage", "_s.part")
+
+
+def repaired(df: DataFrame, within: Keys, seed: int = 0, key: str = "query_id") -> DataFrame:
+    """key, other: a seeded permutation of the keys inside each group of `within`."""
+    d = df.select(*within, key).distinct().withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    a = numbered(d, within, key, ["_h"], "_n")
+    b = numbered(d, within, "_h", [key], "_n").select(*within, F.col(key).alias("other"), "_n")
+    return attach(a.select(*within, key, "_n"), b, [*within, "_n"]).select(key, "other")
+
+
+def decoded_curves(members: DataFrame, knn: DataFrame, counts: DataFrame, g: Keys, time: str, scheme: str = "gaussian_global", scale: float = 100.0, depth: DataFrame | None = None) -> DataFrame:
+    """g, time, feature, value: pseudo-bulk curves of groups of queries, decoded between stages.
+
+    members: g, time, query_id, weight, stage, part (see bracket_shares); weights are shared inside a group and time.
+    knn: time, stage, query_id, ref_id, rank, distance, each query's neighbours in each of its stages; bandwidths are
+    those of a time and stage. counts: ref_id, feature, value, absent ones 0. value is scale times the mean; with depth
+    (ref_id, depth) it is the mean of counts over the mean of depth, taken apart between the stages and divided at the
+    end (least depth 1e-30). Coefficients of reference rows are summed before they meet the sparse counts."""
+    total = members.groupBy(*g, time, "stage").agg(F.sum("weight").alias("_t"))
+    share = attach(members, total, [*g, time, "stage"]).withColumn("_share", F.col("weight") / F.greatest("_t", F.lit(1e-30)) * F.col("part"))
+    w = neighbour_weights(knn.select(time, "stage", "query_id", "ref_id", "rank", "distance"), scheme, [time, "stage"])
+    d = w.join(share.select(*g, time, "stage", "query_id", "_share"), [time, "stage", "query_id"])
+    c = d.groupBy(*g, time, "ref_id").agg(F.sum(F.col("w") * F.col("_share")).alias("c"))
+    if depth is None:
+        return c.join(counts, "ref_id").groupBy(*g, time, "feature").agg((F.sum(F.col("c") * F.col("value")) * scale).alias("value"))
+    c = settled(c)
+    deep = c.join(depth, "ref_id").groupBy(*g, time).agg(F.sum(F.col("c") * F.col("depth")).alias("_depth"))
+    sums = c.join(counts, "ref_id").groupBy(*g, time, "feature").agg(F.sum(F.col("c") * F.col("value")).alias("_s"))
+    return attach(sums, deep, [*g, time]).select(*g, time, "feature", (F.col("_s") / F.greatest("_depth", F.lit(1e-30)) * scale).alias("value"))
+
+
 def knn_smooth(df: DataFrame, value: str, k: int, on: Keys = (), vector: str = "x") -> DataFrame:
     """id, smoothed: the median of the value over a row's k nearest others."""
     near = knn_join_excluding(df, df, k, on, vector)
@@ -253,56 +305,109 @@ def match_controls(df: DataFrame, treated: str, covariates: Keys, by: Keys) -> D
     return knn_join(d.filter(treated), d.filter(~F.expr(treated)), 1, by).drop("rank")
 
 
-def balance(df: DataFrame, matches: DataFrame, treated: str, covariates: Keys) -> DataFrame:
-    """covariate, smd_before, smd_after: standardized mean differences before and after matching."""
-    t, c = F.expr(treated), ~F.expr(treated)
+def balance(df: DataFrame, matches: DataFrame, treated: str, covariates: Keys, by: Keys = ()) -> DataFrame:
+    """by, covariate, n_treated, n_controls, n_matched (distinct controls used), smd_before, smd_after (standardized mean
+    differences of the treated to all controls and to their matches, a match counted as often as it is used; 0 where
+    the pooled deviation is below 1e-12), median_distance, greatest_distance (of matches). matches: as match_controls
+    gives them. Groups without a treated or a control row have no row."""
+    matches = settled(matches)
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("covariate"), F.col(v).cast("double").alias("v")) for v in covariates])).alias("_c")
+    t = F.expr(treated)
+    long = lambda d, flag: d.select(*by, flag.alias("_t"), each).select(*by, "_t", "_c.covariate", "_c.v")
     used = df.join(matches.select(F.col("ref_id").alias("id")), "id")
-    named = lambda frame: frame.select(*df.columns, F.explode(F.array(*[F.struct(F.lit(v).alias("covariate"), F.col(v).cast("double").alias("v")) for v in covariates])).alias("c")).select(*df.columns, "c.*")
-    before = named(df).groupBy("covariate").agg(F.avg(F.when(t, F.col("v"))).alias("mt"), F.avg(F.when(c, F.col("v"))).alias("mc"), F.sqrt((F.var_pop(F.when(t, F.col("v"))) + F.var_pop(F.when(c, F.col("v")))) / 2).alias("sd"))
-    after = named(used).groupBy("covariate").agg(F.avg("v").alias("mm"))
-    return before.join(after, "covariate").select("covariate", ratio(F.col("mt") - F.col("mc"), F.col("sd")).alias("smd_before"), ratio(F.col("mt") - F.col("mm"), F.col("sd")).alias("smd_after"))
+    side = lambda c: [F.count(F.when(c, F.lit(1))), F.avg(F.when(c, F.col("v"))), F.var_pop(F.when(c, F.col("v")))]
+    names = lambda n: [f"n_{n}", f"_m{n}", f"_v{n}"]
+    before = long(df, t).groupBy(*by, "covariate").agg(*[a.alias(n) for c, s in ((F.col("_t"), "treated"), (~F.col("_t"), "controls")) for a, n in zip(side(c), names(s), strict=True)])
+    after = long(used, F.lit(False)).groupBy(*by, "covariate").agg(F.avg("v").alias("_ma"), F.var_pop("v").alias("_va"))
+    m = matches.groupBy(*by).agg(F.count_distinct("ref_id").alias("n_matched"), F.max("distance").alias("greatest_distance"))
+    m = attach(m, quantiles(matches, by, "distance", {"median_distance": 0.5}), by)
+    d = attach(attach(before.filter("n_treated > 0 and n_controls > 0"), after, [*by, "covariate"]), m, by)
+
+    def smd(mean: str, var: str) -> Column:
+        pooled = F.sqrt((F.col("_vtreated") + F.col(var)) / 2)
+        return F.when(pooled < 1e-12, 0.0).otherwise((F.col("_mtreated") - F.col(mean)) / pooled)
+
+    return d.select(*by, "covariate", "n_treated", "n_controls", "n_matched", smd("_mcontrols", "_vcontrols").alias("smd_before"), smd("_ma", "_va").alias("smd_after"), "median_distance", "greatest_distance")
+
 
+def match_negatives(positives: DataFrame, candidates: DataFrame, covariates: Keys, n: int, by: Keys, most_rounds: int = 10_000) -> DataFrame:
+    """by, query_id, ref_id: n candidates for each positive without reuse, nearest first over z-scored log covariates,
+    positives served in order of their id. A positive looks among its max(8 n, 24) nearest.
 
-def match_negatives(positives: DataFrame, candidates: DataFrame, covariates: Keys, n: int, by: Keys) -> DataFrame:
-    """by, query_id, ref_id: n candidates for each positive without reuse, nearest first over z-scored log
-    covariates. The distributed search proposes max(8 n, 24) neighbours; the greedy choice runs over the
-    proposals of one `by` group at a time, in order of the positives."""
+    Deferred acceptance: in a round every positive with less than n candidates asks its next ones, and a candidate keeps
+    the earliest that asked. As all candidates prefer in one order, this ends in the choice that serving positives one
+    after another makes. A round is a join and an aggregate over proposals, so no group meets in one task."""
     logged = positives.withColumn("_p", F.lit(1)).unionByName(candidates.withColumn("_p", F.lit(0)))
     for c in covariates:
         logged = logged.withColumn(c, F.log1p(F.col(c).cast("double")))
-    d = _standard(logged, covariates, by)
-    proposals = knn_join(d.filter("_p = 1"), d.filter("_p = 0"), max(8 * n, 24), by)
-    kinds = ", ".join(f"`{c}` {t}" for c, t in proposals.select(*by).dtypes)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for _, own in pdf.sort_values(["query_id", "rank"]).groupby("query_id", sort=True):
-            free = own[~own["ref_id"].isin(used)].head(n)
-            used.update(free["ref_id"])
-            rows.append(free)
-        return pd.concat(rows)[[*by, "query_id", "ref_id"]]
-
-    return proposals.groupBy(*by).applyInPandas(choose, f"{kinds}, query_id long, ref_id long")
-
-
-def low_overlap_aggregates(cells: DataFrame, k: int, cutoff: float, centres: int, seed: int = 0, on: Keys = ()) -> DataFrame:
-    """centre, ref_id: neighbourhoods of seeded centres, accepted one after another if they share at most
-    `cutoff` of their members with each accepted one. Only the centres' neighbour lists (centres * k rows
-    in a group) meet in one task."""
-    chosen = top_n(cells.withColumn("_o", F.xxhash64("id", F.lit(seed))), on, [F.col("_o"), F.col("id")], centres, "_n").drop("_o", "_n")
-    near = knn_join(chosen, cells, k, on)
-    kinds = ", ".join(f"`{c}` {t}" for c, t in near.select(*on).dtypes)
-
-    def accept(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = [], []
-        for centre, own in pdf.groupby("query_id", sort=True):
-            members = set(own["ref_id"])
-            if all(len(members & t) <= cutoff * len(members) for t in taken):
-                taken.append(members)
-                out.append(own.assign(centre=centre))
-        return pd.concat(out)[[*on, "centre", "ref_id"]]
-
-    return near.groupBy(*on).applyInPandas(accept, f"{kinds + ', ' if kinds else ''}centre long, ref_id long")
+    d = settled(_standard(logged, covariates, by))
+    wanted = settled(knn_join(d.filter("_p = 1"), d.filter("_p = 0"), max(8 * n, 24), by).select(*by, "query_id", "ref_id", F.col("rank").cast("int").alias("rank")))
+    asking = wanted.groupBy(*by, "query_id").agg(F.max("rank").alias("_last")).withColumns({"_from": F.lit(1), "_n": F.lit(n)})
+    held = wanted.limit(0).select(*by, "ref_id", "query_id")
+    for _ in range(most_rounds):
+        asks = attach(asking, wanted, [*by, "query_id"]).filter("rank >= _from and rank < _from + _n").select(*by, "ref_id", "query_id")
+        held = settled(held.unionByName(asks).groupBy(*by, "ref_id").agg(F.min("query_id").alias("query_id")))
+        asking = asking.withColumn("_from", F.col("_from") + F.col("_n")).drop("_n")
+        asking = attach(asking, held.groupBy(*by, "query_id").agg(F.count(F.lit(1)).alias("_h")), [*by, "query_id"])
+        # a positive that has lost a candidate asks again from where it stopped
+        asking = settled(asking.withColumn("_n", F.lit(n) - F.coalesce("_h", F.lit(0)).cast("int")).drop("_h"))
+        if asking.filter("_n > 0 and _from <= _last").isEmpty():
+            return held.select(*by, "query_id", "ref_id")
+    raise RuntimeError("matching did not settle")
+
+
+def low_overlap_aggregates(cells: DataFrame, k: int, cutoff: float, centres: int, seed: int = 0, on: Keys = (), most_rounds: int = 1000) -> DataFrame:
+    """on, centre, ref_id: neighbourhoods of up to `centres` seeded centres of a group, accepted in the seeded order if
+    they share at most `cutoff` of their members with each one accepted before.
+
+    Centres that share more are joined on their members. In a round those are accepted that precede all undecided
+    centres they conflict with, and those in conflict with them fall out; that gives what the sequential choice gives,
+    in about as many rounds as the logarithm of the centres."""
+    order = F.struct(F.xxhash64("id", F.lit(seed)).alias("h"), F.col("id").cast("long").alias("id"))
+    chosen = top_n(cells.withColumn("_o", order), on, [F.col("_o")], centres, "_n").drop("_n")
+    near = settled(attach(knn_join(chosen.drop("_o"), cells, k, on), chosen.select(*on, F.col("id").cast("long").alias("query_id"), "_o"), [*on, "query_id"]).select(*on, "query_id", "ref_id", "_o"))
+    size = near.groupBy(*on, "query_id").agg(F.count(F.lit(1)).alias("_size"))
+    a = near.select(*on, "ref_id", F.col("query_id").alias("a"), F.col("_o").alias("_oa"))
+    b = near.select(*[F.col(c).alias(f"_k_{c}") for c in on], F.col("ref_id").alias("_r"), F.col("query_id").alias("b"), F.col("_o").alias("_ob"))
+    same = (F.col("ref_id") == F.col("_r")) & (F.col("_oa") < F.col("_ob"))
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    shared = a.join(b, same).groupBy(*on, "a", "b").agg(F.count(F.lit(1)).alias("_s"))
+    conflict = settled(attach(shared, size.withColumnRenamed("query_id", "b"), [*on, "b"]).filter(F.col("_s") > cutoff * F.col("_size")).select(*on, "a", "b"))
+    named = lambda d, c: d.select(*on, F.col("query_id").alias(c))
+    open_, accepted = settled(near.select(*on, "query_id").distinct()), []
+    for _ in range(most_rounds):
+        live = attach_inner(attach_inner(conflict, named(open_, "a"), [*on, "a"]), named(open_, "b"), [*on, "b"])
+        blocked = live.select(*on, F.col("b").alias("query_id")).distinct().withColumn("_x", F.lit(1))
+        new = settled(attach(open_, blocked, [*on, "query_id"]).filter("_x is null").drop("_x"))
+        accepted.append(new)
+        out = attach_inner(conflict, named(new, "a"), [*on, "a"]).select(*on, F.col("b").alias("query_id")).unionByName(new).distinct().withColumn("_x", F.lit(1))
+        open_ = settled(attach(open_, out, [*on, "query_id"]).filter("_x is null").drop("_x"))
+        if open_.isEmpty():
+            every = reduce(DataFrame.unionByName, accepted)
+            return attach_inner(near.select(*on, "query_id", "ref_id"), every, [*on, "query_id"]).withColumnRenamed("query_id", "centre").select(*on, "centre", "ref_id")
+    raise RuntimeError("acceptance did not settle")
+
+
+def attach_inner(left: DataFrame, right: DataFrame, keys: Keys) -> DataFrame:
+    """Rows of left whose keys, null meeting null, occur in right (a table of keys)."""
+    return attach(left, right.select(*keys).distinct().withColumn("_in", F.lit(1)), keys).filter("_in = 1").drop("_in")
+
+
+def aggregate_profiles(aggregates: DataFrame, counts: DataFrame, on: Keys = ()) -> DataFrame:
+    """on, centre, feature, value: the mean over an aggregate's members of counts (ref_id, feature, value; absent ones 0)."""
+    size = aggregates.groupBy(*on, "centre").agg(F.count(F.lit(1)).alias("_n"))
+    s = aggregates.join(counts, "ref_id").groupBy(*on, "centre", "feature").agg(F.sum("value").alias("_s"))
+    return attach(s, size, [*on, "centre"]).select(*on, "centre", "feature", (F.col("_s") / F.col("_n")).alias("value"))
+
+
+def aggregate_labels(aggregates: DataFrame, labels: DataFrame, on: Keys = ()) -> DataFrame:
+    """on, centre, n, dominant (the most frequent label of the members, the first of equals), fraction of members with
+    it, n_labels. labels: ref_id, label."""
+    per = aggregates.join(labels, "ref_id").groupBy(*on, "centre", "label").agg(F.count(F.lit(1)).alias("_n"))
+    best = F.min(F.struct((-F.col("_n")).alias("c"), "label"))
+    d = per.groupBy(*on, "centre").agg(F.sum("_n").alias("n"), best.alias("_b"), F.count(F.lit(1)).alias("n_labels"))
+    return d.select(*on, "centre", "n", F.col("_b.label").alias("dominant"), (-F.col("_b.c") / F.col("n")).alias("fraction"), "n_labels")
 
 
 def joint_embedding(df: DataFrame, a: str, b: str, name: str = "joint") -> DataFrame:

@@ -234,9 +234,23 @@ def deseq_effects(s, d):
     return X.deseq_effects(c, g)
 
 
-@query(None, "l_returnflag", "estimate low high")
+def _rows_with_key(s, d):
+    return table(s, d, "lineitem").selectExpr("l_returnflag", "l_orderkey * 8 + l_linenumber AS k", "l_quantity", "1 - l_discount AS w", "l_extendedprice", "l_linenumber > 3 AS late")
+
+
+@query("SELECT l_returnflag, avg(l_quantity) AS estimate FROM lineitem GROUP BY ALL", "l_returnflag", "estimate")
 def bootstrap_ci(s, d):
-    return X.bootstrap_ci(table(s, d, "lineitem"), ["l_returnflag"], "l_quantity", 200)
+    return X.bootstrap_ci(_rows_with_key(s, d), ["l_returnflag"], "l_quantity", "k", 200)
+
+
+@query(None, "l_returnflag", "estimate low high")
+def bootstrap_weighted_mean(s, d):
+    return X.bootstrap_ci(_rows_with_key(s, d), ["l_returnflag"], "l_quantity", "k", 200, weight="w")
+
+
+@query(None, "l_returnflag", "estimate low high")
+def bootstrap_auroc(s, d):
+    return X.bootstrap_ci(_rows_with_key(s, d), ["l_returnflag"], "l_quantity", "k", 50, statistic="auroc", weight="w", label="late")
 
 
 @query("SELECT g, exp(l) AS odds_ratio, exp(l - 1.96e0 * h) AS low, exp(l + 1.96e0 * h) AS high FROM (SELECT g, ln(a * d / (b * c)) AS l, sqrt(1 / a + 1 / b + 1 / c + 1 / d) AS h FROM (SELECT l_returnflag AS g, sum(CAST(x AND y AS INT)) + 0.5e0 AS a, sum(CAST(x AND NOT y AS INT)) + 0.5e0 AS b, sum(CAST(NOT x AND y AS INT)) + 0.5e0 AS c, sum(CAST(NOT x AND NOT y AS INT)) + 0.5e0 AS d FROM (SELECT l_returnflag, l_quantity > 25 AS x, l_linenumber > 3 AS y FROM lineitem) GROUP BY ALL))", "g", "odds_ratio low high")

@@ -129,17 +129,17 @@ def match_controls(s, d):
 
 
 @query(
-    f"""SELECT * FROM (WITH {ZED}, m AS (SELECT a.id AS query_id, arg_min(b.id, (list_distance(a.v, b.v), b.id)) AS ref_id FROM z a JOIN z b ON a.seg = b.seg WHERE a.treated AND NOT b.treated GROUP BY a.id),
- c AS (SELECT c_custkey AS id, c_custkey % 4 = 0 AS treated, 'bal' AS covariate, CAST(c_acctbal AS DOUBLE) AS v FROM customer UNION ALL SELECT c_custkey, c_custkey % 4 = 0, 'nat', CAST(c_nationkey AS DOUBLE) FROM customer),
- b AS (SELECT covariate, avg(v) FILTER (treated) AS mt, avg(v) FILTER (NOT treated) AS mc, sqrt((var_pop(v) FILTER (treated) + var_pop(v) FILTER (NOT treated)) / 2) AS sd FROM c GROUP BY covariate),
- a AS (SELECT covariate, avg(v) AS mm FROM m JOIN c ON c.id = ref_id GROUP BY covariate)
- SELECT b.covariate, (mt - mc) / sd AS smd_before, (mt - mm) / sd AS smd_after FROM b JOIN a ON a.covariate = b.covariate)""",
-    "covariate",
-    "smd_before smd_after",
+    f"""SELECT * FROM (WITH {ZED}, m AS (SELECT a.seg, a.id AS query_id, arg_min(b.id, (list_distance(a.v, b.v), b.id)) AS ref_id, min(list_distance(a.v, b.v)) AS distance FROM z a JOIN z b ON a.seg = b.seg WHERE a.treated AND NOT b.treated GROUP BY a.seg, a.id),
+ c AS (SELECT c_custkey AS id, c_mktsegment AS seg, c_custkey % 4 = 0 AS treated, 'bal' AS covariate, CAST(c_acctbal AS DOUBLE) AS v FROM customer UNION ALL SELECT c_custkey, c_mktsegment, c_custkey % 4 = 0, 'nat', CAST(c_nationkey AS DOUBLE) FROM customer),
+ b AS (SELECT seg, covariate, count(*) FILTER (treated) AS n_treated, count(*) FILTER (NOT treated) AS n_controls, avg(v) FILTER (treated) AS mt, avg(v) FILTER (NOT treated) AS mc, var_pop(v) FILTER (treated) AS vt, var_pop(v) FILTER (NOT treated) AS vc FROM c GROUP BY ALL),
+ a AS (SELECT m.seg, covariate, avg(v) AS mm, var_pop(v) AS vm FROM m JOIN c ON c.id = ref_id GROUP BY ALL), d AS (SELECT seg, count(DISTINCT ref_id) AS n_matched, quantile_cont(distance, 0.5) AS median_distance, max(distance) AS greatest_distance FROM m GROUP BY ALL)
+ SELECT b.seg, b.covariate, n_treated, n_controls, n_matched, (mt - mc) / sqrt((vt + vc) / 2) AS smd_before, (mt - mm) / sqrt((vt + vm) / 2) AS smd_after, median_distance, greatest_distance FROM b JOIN a ON a.seg = b.seg AND a.covariate = b.covariate JOIN d ON d.seg = b.seg)""",
+    "seg covariate n_treated n_controls n_matched",
+    "smd_before smd_after median_distance greatest_distance",
 )
 def match_balance(s, d):
     df = _suppliers(s, d)
-    return K.balance(df, K.match_controls(df, "treated", ["bal", "nat"], ["seg"]), "treated", ["bal", "nat"])
+    return K.balance(df, K.match_controls(df, "treated", ["bal", "nat"], ["seg"]), "treated", ["bal", "nat"], ["seg"])
 
 
 @query(None, "seg query_id ref_id")
@@ -153,6 +153,52 @@ def low_overlap_aggregates(s, d):
     return K.low_overlap_aggregates(cells(s, d), 8, 0.5, 20, on=["stage"])
 
 
+def _aggregates(s, d):
+    return K.low_overlap_aggregates(cells(s, d), 8, 0.5, 20, on=["stage"])
+
+
+@query(None, "stage centre feature", "value")
+def aggregate_profiles(s, d):
+    return K.aggregate_profiles(_aggregates(s, d), _features(s, d), ["stage"])
+
+
+@query(None, "stage centre n dominant n_labels", "fraction")
+def aggregate_labels(s, d):
+    return K.aggregate_labels(_aggregates(s, d), cell_labels(s, d), ["stage"])
+
+
+TIMES = "(SELECT method, query_id, weight, time, CASE WHEN time >= 3 THEN 3 ELSE CAST(floor(time) AS INT) END AS low, time - floor(time) AS alpha, x FROM (SELECT method, id AS query_id, exp(coalesce(log_mass, 0)) AS weight, id % 13 / 4.0e0 AS time, x FROM particles))"
+BETWEEN = f"""(WITH m AS (SELECT method, query_id, weight, time, x, low AS stage, 1 - alpha AS part FROM {TIMES} WHERE alpha < 1 UNION ALL SELECT method, query_id, weight, time, x, low + 1, alpha FROM {TIMES} WHERE alpha > 0),
+ k AS (SELECT * FROM (SELECT m.*, c.id AS ref_id, list_distance(m.x, c.x) AS distance, row_number() OVER (PARTITION BY query_id, m.stage ORDER BY list_distance(m.x, c.x), c.id) AS rank FROM m JOIN cells c ON c.stage = m.stage) WHERE rank <= 5),
+ h AS (SELECT time, stage, quantile_cont(far, 0.5) AS h FROM (SELECT time, stage, query_id, max(distance) AS far FROM k GROUP BY ALL) GROUP BY ALL),
+ w AS (SELECT k.*, exp(-power(distance / h, 2)) AS g FROM k JOIN h ON h.time = k.time AND h.stage = k.stage), t AS (SELECT method, time, stage, sum(weight) AS total FROM m GROUP BY ALL)
+ SELECT w.method, w.time, ref_id, sum(g / sg * weight / total * part) AS c FROM (SELECT *, sum(g) OVER (PARTITION BY query_id, stage) AS sg FROM w) w JOIN t ON t.method = w.method AND t.time = w.time AND t.stage = w.stage GROUP BY ALL)"""
+
+
+def _between(s, d):
+    p = particles(s, d).select("method", "id", F.exp(F.coalesce("log_mass", F.lit(0.0))).alias("weight"), F.expr("id % 13 / 4.0D").alias("time"), "x")
+    m = K.bracket_shares(K.stage_bracket(p, "time", [0.0, 1.0, 2.0, 3.0]))
+    near = K.knn_join(m, cells(s, d), 5, ["stage"]).join(p.select(F.col("id").alias("query_id"), "time"), "query_id")
+    return m.select("method", "time", F.col("id").alias("query_id"), "weight", "stage", "part"), near
+
+
+@query(f"SELECT method, time, feature, 100 * sum(c * value) AS value FROM {BETWEEN} JOIN {FEATURES} f USING (ref_id) GROUP BY ALL", "method time feature", "value")
+def decoded_curves(s, d):
+    """All 64 coordinates as features, at times between the stages."""
+    return K.decoded_curves(*_between(s, d), _features(s, d), ["method"], "time")
+
+
+@query(f"SELECT method, time, feature, 1e4 * any_value(s) / any_value(depth) AS value FROM (SELECT method, time, feature, sum(c * abs(value)) AS s FROM {BETWEEN} JOIN {FEATURES} f USING (ref_id) GROUP BY ALL) JOIN (SELECT method AS m, time AS t, sum(c * (1 + ref_id % 7)) AS depth FROM {BETWEEN} GROUP BY ALL) ON m = method AND t = time GROUP BY ALL", "method time feature", "value")
+def decoded_curves_by_depth(s, d):
+    depth = cells(s, d).select(F.col("id").alias("ref_id"), F.expr("1.0D + id % 7").alias("depth"))
+    return K.decoded_curves(*_between(s, d), _features(s, d).withColumn("value", F.abs("value")), ["method"], "time", scale=1e4, depth=depth)
+
+
+@query(None, "query_id other")
+def repaired(s, d):
+    return K.repaired(particles(s, d).withColumnRenamed("id", "query_id"), ["source_label"], 3)
+
+
 @query(
     """SELECT id, list_sum(list_transform(joint, lambda v: v * v)) AS norm2, joint[1] AS first FROM (SELECT id, list(z ORDER BY i) AS joint FROM
  (SELECT id, i, (x[i + 1] - avg(x[i + 1]) OVER (PARTITION BY i)) / stddev_pop(x[i + 1]) OVER (PARTITION BY i) / CASE WHEN i < 4 THEN 2.0 ELSE 3.0 END AS z FROM cells, range(13) r(i)) GROUP BY id)""",

@@ -31,24 +31,32 @@ def require_columns(df: DataFrame, required) -> DataFrame:
 TSS_MODES = {"zero_both": (-1, -1), "zero_start": (-1, 0), "one": (0, 0)}
 
 
-def parse_gtf(lines: DataFrame, tss_mode: str = "one", feature: str = "gene", column: str = "value") -> DataFrame:
-    """gene, gene_id, gene_type, chrom (with chr), start, end, strand, tss from annotation lines."""
+def parse_gtf(lines: DataFrame, tss_mode: str = "one", feature: str = "gene", column: str = "value", gene_types=()) -> DataFrame:
+    """gene, gene_id, gene_type, chrom (with chr), start, end, strand, tss of the lines of one feature ("gene" or
+    "transcript", which adds transcript_id and transcript_type). Lines without a gene_name, or not of nine fields, are
+    dropped; so are genes of other types, if gene_types are given. Of genes of one id and place, and of transcripts of
+    one id, the first in order of all columns stays."""
     first, last = TSS_MODES[tss_mode]
     part = F.split(column, "\t")
-    attribute = lambda name: F.nullif(F.regexp_extract(F.element_at("_p", 9), f'{name} "([^"]*)"', 1), F.lit(""))
-    d = lines.filter(~F.col(column).startswith("#")).select(part.alias("_p")).filter(F.size("_p") >= 9).filter(F.element_at("_p", 3) == feature)
+    attribute = lambda name: F.nullif(F.regexp_extract(F.element_at("_p", 9), f'\\b{name} "([^"]*)"', 1), F.lit(""))
+    d = lines.filter(~F.col(column).startswith("#")).select(part.alias("_p")).filter(F.size("_p") == 9).filter(F.element_at("_p", 3) == feature)
     chrom = F.element_at("_p", 1)
     start, end = F.element_at("_p", 4).cast("long"), F.element_at("_p", 5).cast("long")
-    d = d.select(
-        F.coalesce(attribute("gene_name"), attribute("gene_id")).alias("gene"), attribute("gene_id").alias("gene_id"), F.coalesce(attribute("gene_type"), attribute("gene_biotype")).alias("gene_type"),
-        F.when(chrom.startswith("chr"), chrom).otherwise(F.concat(F.lit("chr"), chrom)).alias("chrom"), start.alias("_s"), end.alias("_e"), F.element_at("_p", 7).alias("strand"),
-    )
+    named = [attribute("gene_name").alias("gene"), F.coalesce(attribute("gene_id"), F.lit("")).alias("gene_id"), F.coalesce(attribute("gene_type"), attribute("gene_biotype"), F.lit("")).alias("gene_type")]
+    if feature == "transcript":
+        named += [F.coalesce(attribute("transcript_id"), F.lit("")).alias("transcript_id"), F.coalesce(attribute("transcript_type"), attribute("transcript_biotype"), F.lit("")).alias("transcript_type")]
+    d = d.select(*named, F.when(chrom.startswith("chr"), chrom).otherwise(F.concat(F.lit("chr"), chrom)).alias("chrom"), start.alias("_s"), end.alias("_e"), F.element_at("_p", 7).alias("strand")).filter("gene is not null")
+    if gene_types:
+        d = d.filter(F.col("gene_type").isin(*gene_types))
     tss = F.when(F.col("strand") == "-", F.col("_e") + last).otherwise(F.col("_s") + first)
-    return d.select("gene", "gene_id", "gene_type", "chrom", (F.col("_s") + first).alias("start"), F.col("_e").alias("end"), "strand", tss.alias("tss")).dropDuplicates()
+    names = [c for c in d.columns if c not in ("_s", "_e", "strand")]
+    d = d.select(*names, (F.col("_s") + first).alias("start"), F.col("_e").alias("end"), "strand", tss.alias("tss"))
+    same = ["transcript_id"] if feature == "transcript" else ["gene_id", "chrom", "start", "end"]
+    return d.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(same)]).agg(F.min(F.struct(*d.columns)).alias("_r")).select("_r.*")
 
 
-def read_gtf(spark: SparkSession, path: str, tss_mode: str = "one", feature: str = "gene") -> DataFrame:
-    return parse_gtf(spark.read.text(path), tss_mode, feature)
+def read_gtf(spark: SparkSession, path: str, tss_mode: str = "one", feature: str = "gene", gene_types=()) -> DataFrame:
+    return parse_gtf(spark.read.text(path), tss_mode, feature, gene_types=gene_types)
 
 
 #: Peak names, split from the right: separator before start, separator before end.
@@ -66,15 +74,16 @@ def parse_peak(df: DataFrame, column: str, style: str = "colon") -> DataFrame:
 
 
 def parse_training_log(lines: DataFrame, file: str = "file", number: str = "line_no", line: str = "line") -> DataFrame:
-    """file, line_no, stage, iteration, loss from lines such as 'iter 10 loss 1.5e-3'; 'stage NAME' headers
-    are carried forward within a file, null before the first."""
+    """file, line_no, stage, iteration, loss, avg from lines such as 'iter 10 loss 1.5e-3 avg 2.0e-3' (avg is null
+    where a line has none); 'stage NAME' headers are carried forward within a file, null before the first."""
     stage = F.nullif(F.regexp_extract(line, r"(?i)^\s*stage[ :=]+(\S+)", 1), F.lit(""))
     it = F.nullif(F.regexp_extract(line, r"(?i)\b(?:iter|epoch)[ :=]+(\d+)", 1), F.lit(""))
     loss = F.nullif(F.regexp_extract(line, r"(?i)\bloss[ :=]+([-+0-9.eE]+)", 1), F.lit(""))
+    mean = F.nullif(F.regexp_extract(line, r"(?i)\b(?:avg|average|mean)(?:[ _]loss)?[ :=]+([-+0-9.eE]+)", 1), F.lit(""))
     best = F.lower(line).contains("best")
     d = lines.withColumn("stage", F.last(stage, ignorenulls=True).over(Window.partitionBy(file).orderBy(number)))
-    d = d.withColumn("iteration", it.cast("long") + F.when(best, 1).otherwise(0)).withColumn("loss", loss.cast("double"))
-    return d.filter("iteration is not null and loss is not null").select(file, number, "stage", "iteration", "loss")
+    d = d.withColumn("iteration", it.cast("long") + F.when(best, 1).otherwise(0)).withColumn("loss", loss.cast("double")).withColumn("avg", mean.cast("double"))
+    return d.filter("iteration is not null and loss is not null").select(file, number, "stage", "iteration", "loss", "avg")
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet", overwrite: bool = False, **options) -> None:
