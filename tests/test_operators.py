@@ -243,8 +243,8 @@ def test_interpolation(spark):
 
 
 def test_log_before_any_stage(spark):
-    lines = spark.createDataFrame([("f", 1, "iter 1 loss 2e-3"), ("f", 2, "Stage: a"), ("f", 3, "iter 2 loss 1.5 best")], "file string, line_no long, line string")
-    assert rows(S.parse_training_log(lines)) == [("f", 1, None, 1, 0.002), ("f", 3, "a", 3, 1.5)]
+    lines = spark.createDataFrame([("f", 1, "iter 1 loss 2e-3"), ("f", 2, "Stage: a"), ("f", 3, "iter 2 loss 1.5 best avg 0.25")], "file string, line_no long, line string")
+    assert rows(S.parse_training_log(lines)) == [("f", 1, None, 1, 0.002, None), ("f", 3, "a", 3, 1.5, 0.25)]
 
 
 def test_peak_names(spark):
@@ -258,11 +258,14 @@ def test_read_gtf_of_a_packed_file(spark, tmp_path):
     path = str(tmp_path / "a.gtf.gz")
     with gzip.open(path, "wt") as out:
         out.write("#!genome\n")
-        for chrom, kind, lo, hi, strand, extra in (("chr1", "gene", 101, 200, "+", 'gene_name "A"; '), ("2", "gene", 301, 450, "-", ""), ("chr1", "exon", 101, 120, "+", 'gene_name "A"; ')):
-            out.write(f'{chrom}\tx\t{kind}\t{lo}\t{hi}\t.\t{strand}\t.\tgene_id "g{lo}"; {extra}gene_type "t";\n')
+        for chrom, kind, lo, hi, strand, extra in (("chr1", "gene", 101, 200, "+", 'gene_name "A"; '), ("2", "gene", 301, 450, "-", 'gene_name "B"; '), ("2", "gene", 501, 550, "-", ""), ("chr1", "transcript", 101, 190, "+", 'gene_name "A"; transcript_id "T1"; transcript_type "coding"; '), ("chr1", "transcript", 105, 190, "+", 'gene_name "A"; transcript_id "T1"; transcript_type "coding"; '), ("chr1", "exon", 101, 120, "+", 'gene_name "A"; ')):
+            out.write(f'{chrom}\tx\t{kind}\t{lo}\t{hi}\t.\t{strand}\t.\tgene_id "g{lo}"; {extra}gene_type "{'u' if lo == 301 else 't'}";\n')
     found = {r.gene_id: r for r in S.read_gtf(spark, path).collect()}
     assert set(found) == {"g101", "g301"} and (found["g101"].gene, found["g101"].chrom, found["g101"].tss) == ("A", "chr1", 101)
     assert (found["g301"].chrom, found["g301"].tss) == ("chr2", 450)
+    assert {r.gene_id for r in S.read_gtf(spark, path, gene_types=["u"]).collect()} == {"g301"}
+    tx = S.read_gtf(spark, path, "zero_both", "transcript").collect()
+    assert [(r.gene, r.transcript_id, r.transcript_type, r.start, r.tss) for r in tx] == [("A", "T1", "coding", 100, 100)]
 
 
 def test_savgol_keeps_polynomials():

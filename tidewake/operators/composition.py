@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import Keys, ratio, top_n
 from ..functions.lineage import settled
 from . import clusters
-from .ordering import attach
+from .ordering import attach, running_totals
 
 
 def composition(df: DataFrame, g: Keys, label: str, weight: str | None = None, name: str = "share") -> DataFrame:
@@ -185,24 +185,42 @@ def directions(spark, dim: int, n: int, seed: int = 0) -> DataFrame:
     return spark.createDataFrame([(i, [float(t) for t in row]) for i, row in enumerate(v)], "direction int, u array<double>")
 
 
-def sliced_w2(query: DataFrame, target: DataFrame, u: DataFrame, g: Keys, vector: str = "x", weight: str = "weight") -> DataFrame:
-    """g, w2: both clouds projected on each direction (a bounded table, broadcast), one-dimensional W2^2 by
-    the sorted quantile coupling, mean over directions, root. Running masses are windows by (g, direction)."""
+#: Places of a running mass that are coupled together.
+STEPS = 256
+
+
+def sliced_w2(query: DataFrame, target: DataFrame, u: DataFrame, g: Keys, vector: str = "x", weight: str = "weight", most: int = 4096) -> DataFrame:
+    """g, w2: both clouds projected on each direction (direction, u: a table of `most` rows at most, which is checked, and
+    broadcast), one-dimensional W2^2 by the sorted quantile coupling, mean over directions, root.
+
+    Running masses are totalled in cells of the projected values (see ordering), and both sides' breaks are coupled in
+    cells of the mass range; what a cell needs of the next ones is one value a cell. No task holds the values of a
+    group and direction."""
+    if u.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} directions")
 
     def projected(df: DataFrame, side: int) -> DataFrame:
         d = df.select(*g, F.col(vector).alias("_x"), F.col(weight).cast("double").alias("_w")).filter("_w > 0").crossJoin(F.broadcast(u))
         v = F.aggregate(F.zip_with("_x", "u", lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
         d = d.select(*g, "direction", v.alias("v"), "_w").groupBy(*g, "direction", "v").agg(F.sum("_w").alias("_w"))
-        w = Window.partitionBy(*g, "direction")
-        upto = F.sum("_w").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_w").over(w)
-        return d.select(*g, "direction", F.round(upto, 12).alias("q"), F.when(F.lit(side == 0), F.col("v")).alias("a"), F.when(F.lit(side == 1), F.col("v")).alias("b"))
-
-    w = Window.partitionBy(*g, "direction").orderBy("q")
-    steps = projected(query, 0).unionByName(projected(target, 1)).groupBy(*g, "direction", "q").agg(F.min("a").alias("a"), F.min("b").alias("b"))
+        d = running_totals(d, [*g, "direction"], "v", ["_w"])
+        q = F.round(F.col("_w_upto") / F.col("_w_all"), 12)
+        return d.select(*g, "direction", q.alias("q"), F.when(F.lit(side == 0), F.col("v")).alias("a"), F.when(F.lit(side == 1), F.col("v")).alias("b"))
+
+    by = [*g, "direction"]
+    steps = projected(query, 0).unionByName(projected(target, 1)).groupBy(*by, "q").agg(F.min("a").alias("a"), F.min("b").alias("b"))
+    steps = settled(steps.withColumn("cell", F.ceil(F.col("q") * STEPS).cast("int")))
+    first = lambda c: F.min_by(F.when(F.col(c).isNotNull(), F.col(c)), F.when(F.col(c).isNotNull(), F.col("q"))).alias(f"_{c}")
+    cells = steps.groupBy(*by, "cell").agg(first("a"), first("b"), F.max("q").alias("_q"))
+    later = Window.partitionBy(*by).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # STEPS rows
+    cells = cells.select(*by, "cell", *[F.last(f"_{c}", ignorenulls=True).over(later).alias(f"_next_{c}") for c in "ab"], F.lag("_q", 1, 0.0).over(Window.partitionBy(*by).orderBy("cell")).alias("_before"))
+    steps = attach(steps, cells, [*by, "cell"])
+    inside = Window.partitionBy(*by, "cell")
     # backwards, so that the frame grows and is not read again for each row
-    ahead = Window.partitionBy(*g, "direction").orderBy(F.desc("q")).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("a", F.last("a", ignorenulls=True).over(ahead)).withColumn("b", F.last("b", ignorenulls=True).over(ahead)).withColumn("m", F.col("q") - F.lag("q", 1, 0.0).over(w))
-    per = steps.groupBy(*g, "direction").agg(F.sum(F.col("m") * (F.col("a") - F.col("b")) ** 2).alias("w2sq"))
+    ahead = inside.orderBy(F.desc("q")).rowsBetween(Window.unboundedPreceding, 0)
+    at = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(ahead), F.col(f"_next_{c}"))
+    m = F.col("q") - F.coalesce(F.lag("q").over(inside.orderBy("q")), F.col("_before"))
+    per = steps.select(*by, m.alias("m"), at("a").alias("a"), at("b").alias("b")).groupBy(*by).agg(F.sum(F.col("m") * (F.col("a") - F.col("b")) ** 2).alias("w2sq"))
     return per.groupBy(*g).agg(F.sqrt(F.avg("w2sq")).alias("w2"))
 
 

@@ -215,6 +215,16 @@ def growth_summary(df: DataFrame, g: Keys, value: str, shares=(0.01, 0.25, 0.5,
     return attach(d, quantiles(df, g, value, places), g)
 
 
+def growth_by_stage(df: DataFrame, stage: Keys, celltype: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with centred (value less its stage's mean) and z (over the stage's population deviation; 0 if flat), and
+    by stage and cell type: n, mean, mean_centred, mean_z, negative (share of values below 0)."""
+    moments = df.groupBy(*stage).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_sd"))
+    d = attach(df, moments, stage).withColumn("centred", F.col(value) - F.col("_m"))
+    d = d.withColumn("z", F.when(F.col("_sd") > 0, F.col("centred") / F.col("_sd")).when(F.col("_sd").isNotNull(), F.lit(0.0) * F.col("centred"))).drop("_m", "_sd")
+    per = d.groupBy(*stage, celltype).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.avg("centred").alias("mean_centred"), F.avg("z").alias("mean_z"), F.avg((F.col(value) < 0).cast("double")).alias("negative"))
+    return d, per
+
+
 def relative_growth(df: DataFrame, g: Keys, value: str, weight: str) -> DataFrame:
     """Adds relative (growth - weighted mean, over the weighted 0.95 quantile of its size, within +-1) and
     percentile ((average rank - 0.5) / n)."""

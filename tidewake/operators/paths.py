@@ -144,10 +144,22 @@ def consensus_paths(rna: DataFrame, atac: DataFrame, g: Keys, particle: str) ->
     return d.join(n, list(g)).select(*g, "first", "last", "n", (F.col("n") / F.col("_n")).alias("share"))
 
 
-def first_last_change(df: DataFrame, g: Keys, time: str, value: str, expected: Column | None = None) -> DataFrame:
-    """last - first value of each group, and whether its sign is the expected one."""
-    d = df.groupBy(*g).agg((F.max_by(value, time) - F.min_by(value, time)).alias("change"))
-    return d.withColumn("agrees", F.signum("change") == F.signum(F.lit(1.0) if expected is None else expected))
+def first_last_change(df: DataFrame, g: Keys, time: str, value: str, expected: str | None = None) -> DataFrame:
+    """g (which includes a column modality, if there are several), first, last, change = last - first value of each
+    group, and agrees: its sign is that of the column `expected` (1, without one; a change of 0 never agrees)."""
+    sign = F.lit(1.0) if expected is None else F.first(expected).cast("double")
+    d = df.groupBy(*g).agg(F.min_by(value, time).alias("first"), F.max_by(value, time).alias("last"), F.signum(sign).alias("_e")).withColumn("change", F.col("last") - F.col("first"))
+    return d.withColumn("agrees", F.coalesce((F.signum("change") == F.col("_e")) & (F.col("change") != 0), F.lit(False))).drop("_e")
+
+
+def change_agreement(changes: DataFrame, keys: Keys, modality: str, g: Keys) -> DataFrame:
+    """g, n, accuracy (share of changes with the expected sign), paired (items, by `keys`, that have two modalities or
+    more), same_sign (share of these whose changes all have one sign), both_agree (share whose changes all agree).
+    changes: as first_last_change gives them, a row for each of keys and modality; g is part of keys."""
+    per = changes.groupBy(*keys).agg(F.count_distinct(modality).alias("_m"), F.count(F.lit(1)).alias("_n"), F.sum(F.col("agrees").cast("int")).alias("_a"), (F.min(F.signum("change")) == F.max(F.signum("change"))).alias("_s"), F.min("agrees").alias("_b"))
+    two = F.col("_m") >= 2
+    share = lambda c: F.avg(F.when(two, F.col(c).cast("double")))
+    return per.groupBy(*g).agg(F.sum("_n").alias("n"), ratio(F.sum("_a").cast("double"), F.sum("_n")).alias("accuracy"), F.count_if(two).alias("paired"), share("_s").alias("same_sign"), share("_b").alias("both_agree"))
 
 
 def cross_modal_consistency(a: DataFrame, b: DataFrame, g: Keys, particle: str = "query_id", unknown: str = "Unknown") -> DataFrame:
@@ -296,15 +308,32 @@ def flow_share_table(scores: DataFrame, columns: Keys, tolerance: float = 1e-8)
     return scores.filter(F.assert_true(F.abs(total - 1) <= tolerance, "shares of a row do not sum to 1").isNull())
 
 
-def fate_margin_dynamics(scores: DataFrame, g: Keys, particle: str, step: str, own: str, other: str, weight: str) -> DataFrame:
-    """Weighted means over particles: terminal margin (own - other program), gain over the path, share of
-    steps on which the margin does not fall, and the share of particles whose terminal margin is positive; and
-    the weighted AUROC of the margin at the first step for that fate."""
-    d = scores.withColumn("_m", F.col(own) - F.col(other))
-    d = d.withColumn("_up", (F.col("_m") >= F.lag("_m").over(Window.partitionBy(*g, particle).orderBy(step))).cast("double"))
-    per = d.groupBy(*g, particle).agg(F.max_by("_m", step).alias("_last"), F.min_by("_m", step).alias("_first"), F.avg("_up").alias("_rise"), F.max_by(weight, step).alias("_w")).withColumn("_fate", F.col("_last") > 0)
+def fate_by_vote(knn: DataFrame, labels: DataFrame, positive: str) -> DataFrame:
+    """query_id, fate (whether half or more of the neighbours bear the label `positive`), confidence (the share of the
+    larger side). knn: neighbours of terminal points among reference rows of the two fates; labels: ref_id, label."""
+    share = knn.join(labels, "ref_id").groupBy("query_id").agg(F.avg((F.col("label") == positive).cast("double")).alias("_p"))
+    return share.select("query_id", (F.col("_p") >= 0.5).alias("fate"), F.greatest("_p", 1 - F.col("_p")).alias("confidence"))
+
+
+def fate_margin_dynamics(scores: DataFrame, fates: DataFrame, g: Keys, particle: str, step: str, a: str, b: str) -> DataFrame:
+    """Weighted means over particles: terminal_margin, gain over the path, rising_steps (share of steps on which the
+    margin does not fall), fate_share, confidence; and the weighted AUROC of the score at the first and at the second
+    step for the fate. scores: g, particle, step, programs a and b; fates: g, particle, fate, confidence, weight (see
+    fate_by_vote). The score is a - b, the margin its value for particles of that fate and its negative for others."""
+    d = scores.join(fates.select(*g, particle, "fate", "confidence", F.col("weight").cast("double").alias("_w")), [*g, particle]).withColumn("_s", F.col(a) - F.col(b))
+    path = Window.partitionBy(*g, particle).orderBy(step)
+    d = d.withColumn("_m", F.when(F.col("fate"), F.col("_s")).otherwise(-F.col("_s"))).withColumn("_i", F.row_number().over(path))
+    d = d.withColumn("_up", (F.col("_m") >= F.lag("_m").over(path)).cast("double"))
+    at = lambda i: F.max(F.when(F.col("_i") == i, F.col("_s")))
+    per = d.groupBy(*g, particle).agg(
+        F.max_by("_m", step).alias("_last"), F.min_by("_m", step).alias("_first"), F.avg("_up").alias("_rise"), F.first("_w").alias("_w"), F.first("fate").alias("_fate"), F.first("confidence").alias("_c"), at(1).alias("_s1"), at(2).alias("_s2")
+    )
+    per = settled(per)
     mean = lambda c: ratio(F.sum(F.col("_w") * c), F.sum("_w"))
-    return per.groupBy(*g).agg(mean(F.col("_last")).alias("terminal_margin"), mean(F.col("_last") - F.col("_first")).alias("gain"), mean(F.col("_rise")).alias("rising_steps"), mean(F.col("_fate").cast("double")).alias("own_fate_share")).join(auroc(per, g, "_first", "_fate", "_w").select(*g, F.col("auroc").alias("early_auroc")), list(g))
+    out = per.groupBy(*g).agg(mean(F.col("_last")).alias("terminal_margin"), mean(F.col("_last") - F.col("_first")).alias("gain"), mean(F.col("_rise")).alias("rising_steps"), mean(F.col("_fate").cast("double")).alias("fate_share"), mean(F.col("_c")).alias("confidence"))
+    for s, name in (("_s1", "initial_auroc"), ("_s2", "early_auroc")):
+        out = attach(out, auroc(per, g, s, "_fate", "_w").select(*g, F.col("auroc").alias(name)), g)
+    return out
 
 
 def fate_agreement(a: DataFrame, b: DataFrame, g: Keys, particle: str, label: str, weight: str) -> DataFrame:

@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import Keys, top_n
+from .ordering import attach, numbered, running_totals
 
 
 def stack_time_blocks(blocks: list[DataFrame], stages: list[str], order: str, prefix: str = "cell") -> DataFrame:
     """The stages' blocks stacked, with time_index, stage, row_in_time (from 0, by `order`) and a generated
-    id prefix_00001 that counts through all blocks. Rows of a stage are numbered inside their stage."""
+    id prefix_00001 that counts through all blocks. Rows of a stage are numbered inside their stage, in cells of the
+    order, which is a number."""
     parts = [b.withColumn("time_index", F.lit(i)).withColumn("stage", F.lit(s)) for i, (b, s) in enumerate(zip(blocks, stages))]
-    d = reduce(DataFrame.unionByName, parts).withColumn("row_in_time", F.row_number().over(Window.partitionBy("time_index").orderBy(order)) - 1)
+    d = numbered(reduce(DataFrame.unionByName, parts), ["time_index"], order, [order], "row_in_time").withColumn("row_in_time", F.col("row_in_time") - 1)
     sizes = d.groupBy("time_index").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("time_index").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a stage
     d = d.join(F.broadcast(before.select("time_index", "_b")), "time_index")
@@ -73,17 +75,16 @@ def leave_one_time_out(cells: DataFrame, held_out: float, time: str = "time", re
 def replicate_to_counts(cells: DataFrame, targets: DataFrame, stage: str = "stage", key: str = "id", seed: int = 0) -> DataFrame:
     """Every stage's rows repeated, in a seeded order, to exactly its target (stage, target); adds copy.
     Fails if a target is less than the stage's rows."""
-    w = Window.partitionBy(stage)
-    d = cells.withColumn("_o", F.row_number().over(w.orderBy(F.xxhash64(key, F.lit(seed)), key)) - 1).withColumn("_n", F.count(F.lit(1)).over(w)).join(targets, stage)
+    d = numbered(cells.withColumn("_h", F.xxhash64(key, F.lit(seed))), [stage], "_h", [key], "_o", "_n").withColumn("_o", F.col("_o") - 1).drop("_h").join(targets, stage)
     d = d.filter(F.assert_true(F.col("target") >= F.col("_n"), "a target is below its stage's rows").isNull())
     copies = F.floor(F.col("target") / F.col("_n")) + F.when(F.col("_o") < F.col("target") % F.col("_n"), 1).otherwise(0)
     return d.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1))).drop("_o", "_n", "target")
 
 
 def linspace_subsample(df: DataFrame, g: Keys, order: Keys, k: int) -> DataFrame:
-    """The rows at round(linspace(0, n - 1, k)) of each group in order; all if there are no more than k."""
-    w = Window.partitionBy(*g)
-    d = df.withColumn("_r", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+    """The rows at round(linspace(0, n - 1, k)) of each group in order (its first key a number); all if there are no more
+    than k. Rows are numbered in cells."""
+    d = numbered(df, g, order[0], order[1:] or order, "_r", "_n").withColumn("_r", F.col("_r") - 1)
     if k == 1:
         return d.filter("_r = 0").drop("_r", "_n")
     near = F.bround(F.col("_r") * (k - 1) / (F.col("_n") - 1))
@@ -93,17 +94,16 @@ def linspace_subsample(df: DataFrame, g: Keys, order: Keys, k: int) -> DataFrame
 
 def stratified_sample(df: DataFrame, g: Keys, n: int, key: str, seed: int = 0) -> DataFrame:
     """Exactly n rows of each group, by a seeded hash of the key; fails if a group is short."""
-    size = F.count(F.lit(1)).over(Window.partitionBy(*g))
-    d = df.withColumn("_n", size).filter(F.assert_true(F.col("_n") >= n, "a group is short").isNull()).withColumn("_o", F.xxhash64(key, F.lit(seed)))
+    d = attach(df, df.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")), g).filter(F.assert_true(F.col("_n") >= n, "a group is short").isNull()).withColumn("_o", F.xxhash64(key, F.lit(seed)))
     return top_n(d, g, [F.col("_o"), F.col(key)], n, "_r").drop("_n", "_o", "_r")
 
 
 def systematic_resample(particles: DataFrame, g: Keys, n: int, key: str, weight: str = "weight") -> DataFrame:
-    """n draws of each group at the cumulative masses (i + 0.5) / n; adds draw. A row is expanded to the
-    draws between its cumulative bounds, so no range join is needed."""
-    w = Window.partitionBy(*g)
-    upto = F.sum(weight).over(w.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) / F.sum(weight).over(w)
-    d = particles.withColumn("_u", F.round(upto, 12)).withColumn("_l", F.lag("_u", 1, 0.0).over(w.orderBy(key)))
+    """n draws of each group at the cumulative masses (i + 0.5) / n in order of a numeric key, one a row; adds draw. A row
+    is expanded to the draws between its cumulative bounds, so no range join is needed; masses are totalled in cells."""
+    mass = running_totals(particles.groupBy(*g, key).agg(F.sum(weight).cast("double").alias("_m")), g, key, ["_m"])
+    bound = lambda c: F.round(c / F.col("_m_all"), 12)
+    d = attach(particles, mass.select(*g, key, bound(F.col("_m_upto")).alias("_u"), bound(F.col("_m_upto") - F.col("_m")).alias("_l")), [*g, key])
     first, last = F.ceil(F.col("_l") * n - 0.5), F.ceil(F.col("_u") * n - 0.5) - 1
     d = d.withColumn("_f", first).withColumn("_t", last).filter("_t >= _f")
     return d.withColumn("draw", F.explode(F.sequence("_f", "_t"))).drop("_u", "_l", "_f", "_t")

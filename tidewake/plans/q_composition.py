@@ -111,7 +111,7 @@ def repeated_distance(s, d):
     return D.repeated_distance(cells(s, d), particles(s, d), ["stage"], 32, 5)
 
 
-AXES = "(SELECT i AS direction, CASE WHEN i < 8 THEN 1.0 ELSE -1.0 END AS sign, i % 8 AS axis FROM range(8) r(i))"
+AXES = "(SELECT i AS direction, i AS axis FROM range(64) r(i))"
 
 
 def _projected(source, weight, keys):
@@ -129,8 +129,8 @@ def _projected(source, weight, keys):
     "w2",
 )
 def sliced_w2(s, d):
-    """The eight axes as directions, so that SQL can follow."""
-    u = s.range(8).select(F.col("id").cast("int").alias("direction"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i == F.col("id")).cast("double")).alias("u"))
+    """All axes as directions, so that SQL can follow."""
+    u = s.range(64).select(F.col("id").cast("int").alias("direction"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i == F.col("id")).cast("double")).alias("u"))
     t = cells(s, d).withColumn("weight", F.lit(1.0)).join(particles(s, d).select(*G).distinct(), "stage")
     return D.sliced_w2(weighted(s, d), t, u, G)
 

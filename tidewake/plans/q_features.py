@@ -182,6 +182,11 @@ def growth_summary(s, d):
     return X.growth_summary(growth(s, d), ["method", "stage"], "a")
 
 
+@query(f"SELECT method, stage, id % 6 AS kind, count(*) AS n, avg(a) AS mean, avg(a - m) AS mean_centred, avg((a - m) / sd) AS mean_z, avg(CAST(a < 0 AS INT)) AS negative FROM (SELECT *, avg(a) OVER k AS m, stddev_pop(a) OVER k AS sd FROM {GROWTH} WINDOW k AS (PARTITION BY method, stage)) GROUP BY ALL", "method stage kind n", "mean mean_centred mean_z negative")
+def growth_by_stage(s, d):
+    return X.growth_by_stage(growth(s, d).withColumn("kind", F.expr("id % 6")), ["method", "stage"], "kind", "a")[1]
+
+
 @query(
     f"""WITH c AS (SELECT *, a - sum(a * w) OVER k / sum(w) OVER k AS c, (rank() OVER (PARTITION BY method, stage ORDER BY a) + (count(*) OVER (PARTITION BY method, stage, a) - 1) / 2.0 - 0.5) / count(*) OVER k AS percentile FROM {GROWTH} WINDOW k AS (PARTITION BY method, stage)),
  q AS (SELECT method, stage, min(z) AS q FROM (SELECT method, stage, abs(c) AS z, sum(w) OVER (PARTITION BY method, stage ORDER BY abs(c)) AS u, sum(w) OVER (PARTITION BY method, stage) AS t FROM c) WHERE u >= 0.95 * t - 1e-12 GROUP BY ALL)

@@ -179,11 +179,24 @@ def consensus_paths(s, d):
     return T.consensus_paths(ends(F.col("o_orderstatus")), ends(F.expr("CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE 'O' END")), ["g"], "pid")
 
 
-@query("SELECT feature, grp, change, sign(change) = 1 AS agrees FROM (SELECT feature, grp, arg_max(value, t) - arg_min(value, t) AS change FROM curves GROUP BY ALL)", "feature grp agrees", "change")
-def first_last_change(s, d):
+CHANGES = "(SELECT feature, grp, first, last, change, coalesce(sign(change) = CASE WHEN grp % 2 = 0 THEN 1 ELSE -1 END AND change <> 0, false) AS agrees FROM (SELECT feature, grp, arg_min(value, t) AS first, arg_max(value, t) AS last, arg_max(value, t) - arg_min(value, t) AS change FROM curves GROUP BY ALL))"
+
+
+def _changes(s, d):
     from .base import curves
 
-    return T.first_last_change(curves(s, d), ["feature", "grp"], "t", "value")
+    return T.first_last_change(curves(s, d).withColumn("expected", F.expr("CASE WHEN grp % 2 = 0 THEN 1 ELSE -1 END")), ["feature", "grp"], "t", "value", "expected")
+
+
+@query(f"SELECT * FROM {CHANGES}", "feature grp agrees", "first last change")
+def first_last_change(s, d):
+    return _changes(s, d)
+
+
+@query(f"SELECT 1 AS k, sum(n) AS n, sum(a) / sum(n) AS accuracy, count(*) FILTER (m >= 2) AS paired, avg(same) FILTER (m >= 2) AS same_sign, avg(every) FILTER (m >= 2) AS both_agree FROM (SELECT feature, count(DISTINCT grp) AS m, count(*) AS n, sum(CAST(agrees AS INT)) AS a, CAST(min(sign(change)) = max(sign(change)) AS INT) AS same, CAST(bool_and(agrees) AS INT) AS every FROM {CHANGES} WHERE grp < 2 GROUP BY ALL)", "k n paired", "accuracy same_sign both_agree")
+def change_agreement(s, d):
+    """Two user groups stand for the modalities of a feature."""
+    return T.change_agreement(_changes(s, d).filter("grp < 2").withColumn("k", F.lit(1)), ["k", "feature"], "grp", ["k"])
 
 
 FAR = "(SELECT p.method, p.stage, k.query_id, c.celltype AS label, count(*) / 5.0 AS prob FROM (SELECT * FROM knn WHERE rank > 5) k JOIN weights p ON p.id = k.query_id JOIN cells c ON c.id = k.ref_id GROUP BY ALL)"
@@ -317,17 +330,37 @@ def flow_share_table(s, d):
     return T.flow_share_table(orders_by_year(s, d).groupBy("y").agg(share("F").alias("f"), share("O").alias("o"), share("P").alias("p")), ["f", "o", "p"])
 
 
+ENDS = "(SELECT vec_id // 4 AS pid, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE vec_id % 4 = 3)"
+VOTED = f"(SELECT pid, avg(CAST(celltype = '1' AS INT)) >= 0.5 AS fate, greatest(avg(CAST(celltype = '1' AS INT)), 1 - avg(CAST(celltype = '1' AS INT))) AS confidence FROM (SELECT pid, celltype, row_number() OVER (PARTITION BY pid ORDER BY list_distance(e.x, c.x), c.id) AS r FROM {ENDS} e, cells c WHERE celltype IN ('1', '2')) WHERE r <= 7 GROUP BY pid)"
+
+
+def _voted(s, d):
+    """The fate of a path by the vote of seven neighbours of its last point among the cells of two types."""
+    ends = table(s, d, "embeddings").filter("vec_id % 4 = 3").selectExpr("vec_id div 4 AS id", "CAST(embedding AS array<double>) AS x")
+    two = cells(s, d).filter("celltype IN ('1', '2')")
+    return T.fate_by_vote(K.knn_join(ends, two, 7), two.select(F.col("id").alias("ref_id"), F.col("celltype").alias("label")), "1")
+
+
+@query(f"SELECT pid AS query_id, fate, confidence FROM {VOTED}", "query_id fate", "confidence")
+def fate_by_vote(s, d):
+    return _voted(s, d)
+
+
+def _early(step):
+    return f"(SELECT a.g, sum(a.w * b.w * CASE WHEN a.m > b.m THEN 1.0 WHEN a.m = b.m THEN 0.5 ELSE 0 END) / sum(a.w * b.w) AS auroc FROM s a JOIN s b ON a.g = b.g AND a.step = {step} AND b.step = {step} AND a.fate AND NOT b.fate GROUP BY ALL)"
+
+
 @query(
-    f"""WITH m AS (SELECT pid % 5 AS g, pid, step, x - y AS m, 1.0 + pid % 3 AS w FROM {STEPS}), u AS (SELECT *, CASE WHEN lag(m) OVER k IS NOT NULL THEN CASE WHEN m >= lag(m) OVER k THEN 1.0 ELSE 0 END END AS up FROM m WINDOW k AS (PARTITION BY pid ORDER BY step)),
- p AS (SELECT g, pid, arg_max(m, step) AS l, arg_min(m, step) AS f, avg(up) AS r, max(w) AS w FROM u GROUP BY ALL),
- c AS (SELECT a.g, sum(a.w * b.w * CASE WHEN a.f > b.f THEN 1.0 WHEN a.f = b.f THEN 0.5 ELSE 0 END) / sum(a.w * b.w) AS early_auroc FROM p a JOIN p b ON a.g = b.g AND a.l > 0 AND NOT b.l > 0 GROUP BY ALL)
- SELECT p.g, sum(w * l) / sum(w) AS terminal_margin, sum(w * (l - f)) / sum(w) AS gain, sum(w * r) / sum(w) AS rising_steps, sum(CASE WHEN l > 0 THEN w ELSE 0 END) / sum(w) AS own_fate_share, any_value(early_auroc) AS early_auroc FROM p JOIN c ON c.g = p.g GROUP BY p.g""",
+    f"""WITH s AS (SELECT pid % 5 AS g, pid, step, x - y AS m, 1.0 + pid % 3 AS w, fate, confidence FROM {STEPS} JOIN {VOTED} USING (pid)), u AS (SELECT *, CASE WHEN fate THEN m ELSE -m END AS v FROM s), r AS (SELECT *, CASE WHEN lag(v) OVER k IS NOT NULL THEN CASE WHEN v >= lag(v) OVER k THEN 1.0 ELSE 0 END END AS up FROM u WINDOW k AS (PARTITION BY pid ORDER BY step)),
+ p AS (SELECT g, pid, arg_max(v, step) AS l, arg_min(v, step) AS f, avg(up) AS r, max(w) AS w, bool_or(fate) AS fate, max(confidence) AS c FROM r GROUP BY ALL)
+ SELECT p.g, sum(w * l) / sum(w) AS terminal_margin, sum(w * (l - f)) / sum(w) AS gain, sum(w * r) / sum(w) AS rising_steps, sum(CASE WHEN fate THEN w ELSE 0 END) / sum(w) AS fate_share, sum(w * c) / sum(w) AS confidence, any_value(i.auroc) AS initial_auroc, any_value(e.auroc) AS early_auroc FROM p LEFT JOIN {_early(0)} i ON i.g = p.g LEFT JOIN {_early(1)} e ON e.g = p.g GROUP BY p.g""",
     "g",
-    "terminal_margin gain rising_steps own_fate_share early_auroc",
+    "terminal_margin gain rising_steps fate_share confidence initial_auroc early_auroc",
 )
 def fate_margin_dynamics(s, d):
-    p = table(s, d, "embeddings").selectExpr("(vec_id div 4) % 5 AS g", "vec_id div 4 AS pid", "vec_id % 4 AS step", "CAST(embedding[0] AS DOUBLE) AS x", "CAST(embedding[1] AS DOUBLE) AS y", "1.0D + (vec_id div 4) % 3 AS w")
-    return T.fate_margin_dynamics(p, ["g"], "pid", "step", "x", "y", "w")
+    p = table(s, d, "embeddings").selectExpr("(vec_id div 4) % 5 AS g", "vec_id div 4 AS pid", "vec_id % 4 AS step", "CAST(embedding[0] AS DOUBLE) AS x", "CAST(embedding[1] AS DOUBLE) AS y")
+    fates = _voted(s, d).selectExpr("query_id % 5 AS g", "query_id AS pid", "fate", "confidence", "1.0D + query_id % 3 AS weight")
+    return T.fate_margin_dynamics(p, fates, ["g"], "pid", "step", "x", "y")
 
 
 @query(

@@ -27,13 +27,24 @@ def parse_peak(s, d):
     return S.parse_peak(table(s, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", name), "name", "underscore").withColumnsRenamed({"start": "s", "end": "e"})
 
 
-LOG = "CASE WHEN o_orderkey % 10 = 3 THEN {0}'Stage: s'{1}CAST(o_orderkey % 4 AS {2}){3} ELSE {0}'iter '{1}CAST(o_orderkey AS {2}){1}' loss '{1}CAST(o_orderkey % 17 AS {2}){1}'e-2'{1}CASE WHEN o_orderkey % 8 = 0 THEN ' best' ELSE '' END{3} END"
+@query(
+    "SELECT gene, gene_id, transcript_id, transcript_type, chrom, s, e FROM (SELECT *, row_number() OVER (PARTITION BY transcript_id ORDER BY gene, gene_id, transcript_type, chrom) AS r FROM (SELECT 'N' || p_partkey AS gene, 'g' || p_partkey AS gene_id, 't' || (p_partkey // 2) AS transcript_id, CASE WHEN p_partkey % 3 = 0 THEN 'coding' ELSE 'other' END AS transcript_type, 'chr' || (p_partkey % 5) AS chrom, p_partkey * 10 - 1 AS s, p_partkey * 10 + p_size AS e FROM part)) WHERE r = 1",
+    "gene gene_id transcript_id transcript_type chrom s e",
+)
+def parse_transcripts(s, d):
+    """A transcript line for each part; two parts share an id, of which the first in order of all columns stays."""
+    kind = """, '"; transcript_type "', CASE WHEN p_partkey % 3 = 0 THEN 'coding' ELSE 'other' END, '";'))"""
+    line = GTF.replace("'gene', CAST", "'transcript', CAST").removesuffix(""", '";'))""") + """, '"; transcript_id "t', p_partkey div 2""" + kind
+    return S.parse_gtf(table(s, d, "part").selectExpr(f"{line} AS value"), "zero_start", "transcript").withColumnsRenamed({"start": "s", "end": "e"})
+
+
+LOG = "CASE WHEN o_orderkey % 10 = 3 THEN {0}'Stage: s'{1}CAST(o_orderkey % 4 AS {2}){3} ELSE {0}'iter '{1}CAST(o_orderkey AS {2}){1}' loss '{1}CAST(o_orderkey % 17 AS {2}){1}'e-2'{1}CASE WHEN o_orderkey % 8 = 0 THEN ' best' ELSE '' END{1}CASE WHEN o_orderkey % 3 = 0 THEN ' avg 0.5' ELSE '' END{3} END"
 
 
 @query(
-    "SELECT o_custkey % 7 AS file, o_orderkey AS line_no, stage, o_orderkey + CASE WHEN o_orderkey % 8 = 0 THEN 1 ELSE 0 END AS iteration, (o_orderkey % 17) / 100.0 AS loss FROM (SELECT *, last_value(CASE WHEN o_orderkey % 10 = 3 THEN 's' || (o_orderkey % 4) END IGNORE NULLS) OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey) AS stage FROM orders) WHERE o_orderkey % 10 <> 3",
+    "SELECT o_custkey % 7 AS file, o_orderkey AS line_no, stage, o_orderkey + CASE WHEN o_orderkey % 8 = 0 THEN 1 ELSE 0 END AS iteration, (o_orderkey % 17) / 100.0 AS loss, CASE WHEN o_orderkey % 3 = 0 THEN 0.5 END AS avg FROM (SELECT *, last_value(CASE WHEN o_orderkey % 10 = 3 THEN 's' || (o_orderkey % 4) END IGNORE NULLS) OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey) AS stage FROM orders) WHERE o_orderkey % 10 <> 3",
     "file line_no stage iteration",
-    "loss",
+    "loss avg",
 )
 def parse_training_log(s, d):
     line = LOG.format("concat(", ", ", "STRING", ")")
