@@ -113,13 +113,16 @@ def _laid(rows: DataFrame, words: str) -> tuple[DataFrame, DataFrame]:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row: the words that the mix takes from it.
+    """doc_id, size, source_size, target, taken, n_parts, first_slot of every row: the words that the mix takes from it, in
+    how many pieces (one for each block of a slot that meets one of its repeats), and the first slot of the schedule in
+    which words of it stand (null if none does).
 
     Sources come in the order of their code points, null last; WEIGHTS repeat over them. A source's
     documents are shuffled by a digest of doc_id and text, laid end to end and repeated; the slots of the
     schedule are joined to the blocks of this line. taken is the overlap of the document, in each of its
     repeats, with the blocks: a source gives its target, to half a word, and a document at most REPEATS
-    times its size.
+    times its size. How much is taken follows from the blocks; where it stands in the mix from the schedule: the
+    points deal the slots to sources, and the slots of a source its blocks.
 
     A document is expanded to the blocks that it touches, in all at most the number of slots plus REPEATS
     times that of documents. Sources themselves (one row each) are summed over windows without a key.
@@ -133,7 +136,8 @@ def mix(docs: DataFrame) -> DataFrame:
     laid = laid.withColumn("again", F.explode_outer(again)).withColumn("from", F.expr("start + again * source_size")).withColumn("to", F.expr("least(from + size, words)"))
     touched = laid.withColumn("rank", F.explode_outer(F.sequence(F.expr(_RANK % "from"), F.expr(_RANK % "to - 1"))))
     taken = touched.join(schedule(plan), ["key", "rank"], "left").withColumn("part", F.expr("least(to, high) - greatest(from, low)"))
-    return taken.groupBy("key", "cell", "nth", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum("part"), F.lit(0)).cast("long").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+    found = [F.coalesce(F.sum("part"), F.lit(0)).cast("long").alias("taken"), F.count("slot").alias("n_parts"), F.min("slot").alias("first_slot")]
+    return taken.groupBy("key", "cell", "nth", "doc_id", "size", "source_size", "target").agg(*found).select("doc_id", "size", "source_size", "target", "taken", "n_parts", "first_slot")
 
 
 #: What tells rows apart in copies(); rows that agree in it differ in nothing that mixing reads.
