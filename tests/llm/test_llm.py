@@ -551,3 +551,32 @@ def test_pipeline_edges(spark):
                 assert docs.columns == p.COLUMNS
         rows = docs.collect()
     assert rows == []
+
+
+def test_the_schedule_decides_where_a_document_stands(spark, monkeypatch):
+    """With another sequence other slots hold a document; how much is taken stays, as every source meets its target."""
+    rng = random.Random(12)
+    texts = [f"t{i}" + " w" * rng.randrange(0, 900) for i in range(120)]
+    d = frame(spark, texts, source=[rng.choice("aab") for _ in texts])
+    got = {r.doc_id: r for r in mixing.mix(d).collect()}
+    monkeypatch.setattr(mixing, "reversed_bits", lambda x, bits=0: x)
+    other = {r.doc_id: r for r in mixing.mix(d).collect()}
+    assert all(got[i].taken == other[i].taken and got[i].n_parts == other[i].n_parts for i in got)
+    assert sum(got[i].first_slot != other[i].first_slot for i in got) > 100
+    assert all((r.first_slot is None) == (r.taken == 0) and r.n_parts <= max(3 * r["size"], 1) for r in got.values())
+
+
+def test_pipeline_mix_stands_in_the_order_of_its_slots(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(13)
+    texts = [f"t{i}" + " w" * rng.randrange(1, 60) for i in range(80)]
+    d = frame(spark, texts, source=[rng.choice("aab") for _ in texts]).select(*p.COLUMNS)
+    slots = {}
+    keyed = d.select("doc_id", *mixing.row_key(d))
+    for r in keyed.join(mixing.copies(d), mixing.ROW).collect():
+        slots[r.doc_id] = set(r.slots)
+    order = [r.doc_id for r in p.source_mixing(spark, d, SF).collect()]  # partitions in order
+    at = -1
+    for i in order:
+        at = min(s for s in slots[i] if s >= at)

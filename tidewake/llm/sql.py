@@ -16,8 +16,15 @@ l AS (SELECT *, row_number() OVER (ORDER BY CAST(cap AS DOUBLE) / weight, source
 f AS (SELECT arg_min(level, place) AS free FROM l WHERE NOT cap <= level * weight),
 p AS (SELECT l.*, CASE WHEN cap <= level * weight THEN CAST(cap AS DOUBLE) ELSE (SELECT free FROM f) * weight END AS target FROM l),
 q AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) // greatest(source_size, 1) AS rounds, CAST(floor(target + 0.5) AS BIGINT) % greatest(source_size, 1) AS rest FROM p),
-laid AS (SELECT r.doc_id, r.size, q.*, sum(r.size) OVER (PARTITION BY r.key ORDER BY r.o, r.size ROWS UNBOUNDED PRECEDING) - r.size AS start FROM r JOIN q ON q.key = r.key)
-SELECT doc_id, size, source_size, target, CAST(rounds * size + greatest(least(rest - start, size), 0) AS BIGINT) AS taken FROM laid
+h AS (SELECT *, CAST(rounds * source_size + rest AS BIGINT) AS words, CAST(greatest(least(round(sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) * {float(1 << mixing.SLOT_BITS)} / total), {1 << mixing.SLOT_BITS}), 0) AS BIGINT) AS high FROM q WHERE total > 0),
+e AS (SELECT key, words, first, greatest(high - first, 1) AS slots FROM (SELECT *, least(lag(high, 1, 0) OVER (ORDER BY source NULLS LAST), {(1 << mixing.SLOT_BITS) - 1}) AS first FROM h) WHERE words > 0),
+points AS (SELECT key, words, slots, slot, row_number() OVER (PARTITION BY key ORDER BY slot) - 1 AS rank FROM (SELECT e.*, list_sum([((p.point >> i) & 1) << ({mixing.SLOT_BITS - 1} - i) FOR i IN range({mixing.SLOT_BITS})]) AS slot FROM e JOIN range({1 << mixing.SLOT_BITS}) p(point) ON p.point >= e.first AND p.point < e.first + e.slots)),
+blocks AS (SELECT key, rank, slot, rank * (words // slots) + rank * (words % slots) // slots AS low, (rank + 1) * (words // slots) + (rank + 1) * (words % slots) // slots AS high FROM points),
+laid AS (SELECT row_number() OVER () AS id, r.doc_id, r.size, q.key, q.source_size, q.target, e.words, e.slots, CAST(sum(r.size) OVER (PARTITION BY r.key ORDER BY r.o, r.size ROWS UNBOUNDED PRECEDING) - r.size AS BIGINT) AS start FROM r JOIN q ON q.key = r.key LEFT JOIN e ON e.key = q.key),
+again AS (SELECT *, a AS low, least(a + size, words) AS high FROM (SELECT *, start + unnest(range(0, (words - 1 - start) // source_size + 1)) * source_size AS a FROM laid WHERE size > 0 AND start < words)),
+touched AS (SELECT *, unnest(range(((low + 1) * slots - 1) // words, (high * slots - 1) // words + 1)) AS rank FROM again),
+taken AS (SELECT t.id, sum(least(t.high, b.high) - greatest(t.low, b.low)) AS taken, count(*) AS n_parts, min(slot) AS first_slot FROM touched t JOIN blocks b ON b.key = t.key AND b.rank = t.rank GROUP BY t.id)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, coalesce(n_parts, 0) AS n_parts, CAST(first_slot AS BIGINT) AS first_slot FROM laid LEFT JOIN taken USING (id)
 """
 
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(quality.STOP_WORDS))
