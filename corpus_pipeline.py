@@ -49,13 +49,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document once for every slot of the mix's schedule that takes it, up to three times; one that no
-    slot takes goes, as does a text without words.
+    slot takes goes, as does a text without words. The mix is written in the order of its slots: they are dealt to
+    files by range, and sorted in each.
 
     Rows are joined to their slots by a digest of doc_id and text, either of which may be null, and by
     source; rows that agree in all are numbered, as one of them may come once more than another."""
     joined = docs.select(*COLUMNS, *mixing.row_key(docs))
     joined = joined.withColumn("number", F.row_number().over(Window.partitionBy(*mixing.ROW).orderBy("lang", "n_chars")).cast("long"))
-    return joined.join(mixing.copies(docs), [*mixing.ROW, "number"]).withColumn("slot", F.explode("slots")).select(*COLUMNS)
+    slots = joined.join(mixing.copies(docs), [*mixing.ROW, "number"]).withColumn("slot", F.explode("slots"))
+    in_order = ["slot", *mixing.ROW]  # a slot may take several documents
+    return slots.repartitionByRange(*in_order).sortWithinPartitions(*in_order).select(*COLUMNS)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
