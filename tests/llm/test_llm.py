@@ -563,7 +563,7 @@ def test_the_schedule_decides_where_a_document_stands(spark, monkeypatch):
     other = {r.doc_id: r for r in mixing.mix(d).collect()}
     assert all(got[i].taken == other[i].taken and got[i].n_parts == other[i].n_parts for i in got)
     assert sum(got[i].first_slot != other[i].first_slot for i in got) > 100
-    assert all((r.first_slot is None) == (r.taken == 0) and r.n_parts <= max(3 * r["size"], 1) for r in got.values())
+    assert all((r.first_slot == -1) == (r.taken == 0) and r.n_parts <= max(3 * r["size"], 1) for r in got.values())
 
 
 def test_pipeline_mix_stands_in_the_order_of_its_slots(spark):

@@ -115,7 +115,7 @@ def _laid(rows: DataFrame, words: str) -> tuple[DataFrame, DataFrame]:
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken, n_parts, first_slot of every row: the words that the mix takes from it, in
     how many pieces (one for each block of a slot that meets one of its repeats), and the first slot of the schedule in
-    which words of it stand (null if none does).
+    which words of it stand (-1 if none does).
 
     Sources come in the order of their code points, null last; WEIGHTS repeat over them. A source's
     documents are shuffled by a digest of doc_id and text, laid end to end and repeated; the slots of the
@@ -136,7 +136,7 @@ def mix(docs: DataFrame) -> DataFrame:
     laid = laid.withColumn("again", F.explode_outer(again)).withColumn("from", F.expr("start + again * source_size")).withColumn("to", F.expr("least(from + size, words)"))
     touched = laid.withColumn("rank", F.explode_outer(F.sequence(F.expr(_RANK % "from"), F.expr(_RANK % "to - 1"))))
     taken = touched.join(schedule(plan), ["key", "rank"], "left").withColumn("part", F.expr("least(to, high) - greatest(from, low)"))
-    found = [F.coalesce(F.sum("part"), F.lit(0)).cast("long").alias("taken"), F.count("slot").alias("n_parts"), F.min("slot").alias("first_slot")]
+    found = [F.coalesce(F.sum("part"), F.lit(0)).cast("long").alias("taken"), F.count("slot").alias("n_parts"), F.coalesce(F.min("slot"), F.lit(-1).cast("long")).alias("first_slot")]
     return taken.groupBy("key", "cell", "nth", "doc_id", "size", "source_size", "target").agg(*found).select("doc_id", "size", "source_size", "target", "taken", "n_parts", "first_slot")
 
 
