@@ -72,7 +72,7 @@ def _calibrated(true_sql, null_sql, keys, g):
  SELECT *, CASE WHEN p IS NOT NULL THEN least(min(raw) OVER ({known} ORDER BY p DESC), 1) END AS q, coalesce(rank <= greatest(ceil(0.1 * total), 1), false) AS top_decile FROM r"""
 
 
-@query(_calibrated(TRUE, NULLS, ["m", "gene", "peak"], ["m"]), "m gene peak null_n rank top_decile", "score null_median null_max p percentile difference q")
+@query(_calibrated(TRUE, NULLS, ["m", "gene", "peak"], ["m"]), "m gene peak null_n top_decile", "rank score null_median null_max p percentile difference q")
 def calibrate_against_nulls(s, d):
     """A third of the scores of one year is null, and a segment lacks its nulls there."""
     return C.calibrate_against_nulls(true(s, d), nulls(s, d), ["m", "gene", "peak"], ["m"])
@@ -88,7 +88,7 @@ def winners(s, d):
     return C.gene_level_winners(t, nulls(s, d), "gene", "peak", "k", model=["m"], circular=["c1", "c2", "c3"])
 
 
-@query(WON, "m gene peak null_n rank", "score null_median null_max p percentile q circular_median circular_max")
+@query(WON, "m gene peak null_n", "rank score null_median null_max p percentile q circular_median circular_max")
 def gene_level_winners(s, d):
     return winners(s, d)
 
@@ -97,8 +97,8 @@ def gene_level_winners(s, d):
     f"""WITH r AS (SELECT m, gene, peak, score, rank() OVER (PARTITION BY m ORDER BY score DESC NULLS LAST) AS rank FROM {TRUE}), a AS (SELECT m, gene, peak, rank() OVER (PARTITION BY m ORDER BY score DESC) AS alternate_rank FROM {NULLS} WHERE k = 'F'),
  l AS (SELECT m, gene, peak, count(*) AS lines, quantile_cont(score, 0.5) AS line_median, avg(CASE WHEN k = 'F' THEN 1.0 ELSE 0 END) AS share FROM {NULLS} GROUP BY ALL)
  SELECT r.m, r.gene, r.peak, r.rank, alternate_rank, lines, line_median, share AS positive_lag_share FROM r LEFT JOIN a ON a.m = r.m AND a.gene = r.gene AND a.peak = r.peak LEFT JOIN l ON l.m = r.m AND l.gene = r.gene AND l.peak = r.peak""",
-    "m gene peak rank alternate_rank lines",
-    "line_median positive_lag_share",
+    "m gene peak",
+    "rank alternate_rank lines line_median positive_lag_share",
 )
 def stability_summary(s, d):
     from ..operators.results import equal_rank
