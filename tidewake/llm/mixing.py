@@ -136,7 +136,7 @@ def mix(docs: DataFrame) -> DataFrame:
     laid = laid.withColumn("again", F.explode_outer(again)).withColumn("from", F.expr("start + again * source_size")).withColumn("to", F.expr("least(from + size, words)"))
     touched = laid.withColumn("rank", F.explode_outer(F.sequence(F.expr(_RANK % "from"), F.expr(_RANK % "to - 1"))))
     taken = touched.join(schedule(plan), ["key", "rank"], "left").withColumn("part", F.expr("least(to, high) - greatest(from, low)"))
-    found = [F.coalesce(F.sum("part"), F.lit(0)).cast("long").alias("taken"), F.count("slot").alias("n_parts"), F.coalesce(F.min("slot"), F.lit(-1).cast("long")).alias("first_slot")]
+    found = [F.coalesce(F.sum("part"), F.lit(0)).cast("long").alias("taken"), F.count_if(F.col("part") > 0).alias("n_parts"), F.coalesce(F.min(F.when(F.col("part") > 0, F.col("slot"))), F.lit(-1).cast("long")).alias("first_slot")]  # a block may be empty
     return taken.groupBy("key", "cell", "nth", "doc_id", "size", "source_size", "target").agg(*found).select("doc_id", "size", "source_size", "target", "taken", "n_parts", "first_slot")
 
 
