@@ -23,7 +23,7 @@ blocks AS (SELECT key, rank, slot, rank * (words // slots) + rank * (words % slo
 laid AS (SELECT row_number() OVER () AS id, r.doc_id, r.size, q.key, q.source_size, q.target, e.words, e.slots, CAST(sum(r.size) OVER (PARTITION BY r.key ORDER BY r.o, r.size ROWS UNBOUNDED PRECEDING) - r.size AS BIGINT) AS start FROM r JOIN q ON q.key = r.key LEFT JOIN e ON e.key = q.key),
 again AS (SELECT *, a AS low, least(a + size, words) AS high FROM (SELECT *, start + unnest(range(0, (words - 1 - start) // source_size + 1)) * source_size AS a FROM laid WHERE size > 0 AND start < words)),
 touched AS (SELECT *, unnest(range(((low + 1) * slots - 1) // words, (high * slots - 1) // words + 1)) AS rank FROM again),
-taken AS (SELECT t.id, sum(least(t.high, b.high) - greatest(t.low, b.low)) AS taken, count(*) AS n_parts, min(slot) AS first_slot FROM touched t JOIN blocks b ON b.key = t.key AND b.rank = t.rank GROUP BY t.id)
+taken AS (SELECT t.id, sum(least(t.high, b.high) - greatest(t.low, b.low)) AS taken, count(*) AS n_parts, min(slot) AS first_slot FROM touched t JOIN blocks b ON b.key = t.key AND b.rank = t.rank WHERE least(t.high, b.high) > greatest(t.low, b.low) GROUP BY t.id)
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, coalesce(n_parts, 0) AS n_parts, CAST(coalesce(first_slot, -1) AS BIGINT) AS first_slot FROM laid LEFT JOIN taken USING (id)
 """
 
