@@ -100,14 +100,24 @@ def partial_spearman(df: DataFrame, g: Keys, y: str, features: Keys, covariates:
     with n - rank - extra_df degrees, one at least. Null with too few rows or a flat side.
 
     Ranks are found in cells and only sums of products of centred columns leave the tasks: a group and feature
-    is one row when its residuals are taken, by the products of residuals that least squares leaves."""
-    named = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))
-    d = df.select(*g, F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in covariates], named.alias("_f"))
-    d = d.select(*g, "_y", *covariates, "_f.feature", "_f.v").dropna()
+    is one row when its residuals are taken, by the products of residuals that least squares leaves. Where no feature
+    lacks a value, y is ranked and the covariates are standardised once for all features."""
     by = [*g, "feature"]
-    d = ranked(ranked(d, by, "_y", "_ry", "_n"), by, "v", "_rv").withColumn("_ry", F.col("_ry") / F.col("_n") - (F.col("_n") + 1) / (2 * F.col("_n"))).withColumn("_rv", F.col("_rv") / F.col("_n") - (F.col("_n") + 1) / (2 * F.col("_n")))
+    base = df.select(*g, F.col(y).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in covariates], *[F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)])
+    base = base.dropna(subset=["_y", *covariates, *g] if g else ["_y", *covariates])
+    named = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"_f{i}").alias("v")) for i, f in enumerate(features)])).alias("_f")
+    lacks = [F.count_if(F.col(f"_f{i}").isNull() | F.isnan(f"_f{i}")) for i in range(len(features))]
+    whole = sum(v or 0 for v in base.agg(*lacks).first()) == 0
+    keys = g if whole else by
+    if not whole:
+        base = base.select(*g, "_y", *covariates, named).select(*g, "_y", *covariates, "_f.feature", "_f.v").dropna()
+    d = ranked(base, keys, "_y", "_ry", "_n")
     for i, c in enumerate(covariates):
-        d = standardized(d, by, c, f"_c{i}", 0.0)
+        d = standardized(d, keys, c, f"_c{i}", 0.0)
+    if whole:
+        d = settled(d.select(*g, "_ry", "_n", *[f"_c{i}" for i in range(len(covariates))], named)).select("*", "_f.feature", "_f.v").drop("_f")
+    centred = lambda c: F.col(c) / F.col("_n") - (F.col("_n") + 1) / (2 * F.col("_n"))
+    d = ranked(d, by, "v", "_rv").withColumn("_ry", centred("_ry")).withColumn("_rv", centred("_rv"))
     names = [*[f"_c{i}" for i in range(len(covariates))], "_ry", "_rv"]
     sums = d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col(a) * F.col(b)) for a in names for b in names]).alias("s"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in df.select(*g).dtypes)
