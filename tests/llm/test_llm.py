@@ -422,6 +422,17 @@ def test_line_dedup_repeats_of_any_earlier_text(spark):
     assert {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, texts)).collect()} == want
 
 
+@pytest.mark.parametrize("least", [1, 4, 9])
+def test_line_dedup_extends_matches_both_ways(spark, least):
+    """Fingerprints at several places of a text, matches cut short at either side, and windows that only a later
+    text than the earliest of their fingerprint shares."""
+    rng = random.Random(least)
+    pool = [" ".join(f"q{i}{j}" for j in range(n)) for i, n in enumerate((1, 1, 2, 2, 3, 5))]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 14))) for _ in range(60)]
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(frame(spark, texts), least).collect()}
+    assert got == brute_repeats(dict(enumerate(texts)), least)
+
+
 def test_line_dedup_of_long_and_hot_texts(spark):
     """Texts of very many equal lines, and a passage that very many texts share, end in linear time."""
     passage = "\n".join(" ".join(f"p{i}{j}" for j in range(9)) for i in range(8))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
@@ -85,9 +85,17 @@ def merged(part: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
     return part[starts], low[starts], np.maximum.reduceat(reach, starts) - part[starts] * far if len(starts) else low[:0]
 
 
+def _stretches(begin: np.ndarray, size: np.ndarray, step: int) -> np.ndarray:
+    """begin, begin + step, ... of each given size, one stretch after the other."""
+    inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return np.repeat(begin, size) + step * inside
+
+
 def _fingerprint_rows(min_words: int):
-    """A row for each selected minimum of a text: its hash and the windows whose minimum it is. A window that
-    stands in its text before is not there; such windows, merged, are a row without a hash."""
+    """A row for each selected minimum of a text: its hash and place, the windows whose minimum it is, and the
+    lines as far as these windows reach, outwards from it: `right` from the place on, `left` before it, two
+    numbers a line. A window that stands in its text before is not there; such windows, merged, are a row
+    without a hash."""
 
     def rows(doc_ids, texts):
         known = [(d, t) for d, t in zip(doc_ids, texts) if d is not None and t]
@@ -101,7 +109,7 @@ def _fingerprint_rows(min_words: int):
         low, high = windows(np.array([w for p in parts for w in p[2]], dtype=np.int64), first, end, min_words)
         if not len(low):
             none = pa.array([], pa.list_(pa.int32())), pa.array([], pa.list_(pa.int64()))
-            return [], [], [], none[0], none[0], none[1], none[1]
+            return [], [], [], [], none[0], none[0], none[1], none[1], none[1], none[1]
         h = _line_hashes([x for p in parts for x in p[1]])
         k1, k2 = (_run_hash(h[i], _ODD[i], low, high).view(np.int64) for i in (0, 1))
         text, place = text_of[low], _least_places(h[0], low, high)
@@ -120,45 +128,80 @@ def _fingerprint_rows(min_words: int):
             offsets = np.r_[heads, len(new) + r_heads, len(new) + len(repeats)].astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.r_[a, b], type=kind))
 
+        selected = place[new[heads]]
+
+        def lines_along(begin, size, step):
+            offsets = np.r_[0, np.cumsum(2 * size), np.full(len(r_heads), 2 * size.sum())].astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(h.view(np.int64)[:, _stretches(begin, size, step)].T.ravel()))
+
+        def least(ufunc, bounds):
+            return ufunc.reduceat(bounds[new], heads) if len(heads) else selected
+
         begin = first[low[new]]
         r_begin = (ends - count)[repeats]
         none = np.zeros(len(repeats), dtype=np.int64)
-        prints = pa.array([*h[0].view(np.int64)[place[new[heads]]].tolist(), *[None] * len(r_heads)], pa.int64())
+        unset = [None] * len(r_heads)
+        prints = pa.array([*h[0].view(np.int64)[selected].tolist(), *unset], pa.int64())
+        places = pa.array([*(selected - first[selected]).tolist(), *unset], pa.int32())
         return (
-            pa.array(ids[at]), pa.array(own[at]), prints, lists(low[new] - begin, r_low - r_begin, pa.int32()), lists(high[new] - begin, r_high - r_begin, pa.int32()),
+            pa.array(ids[at]), pa.array(own[at]), prints, places, lists(low[new] - begin, r_low - r_begin, pa.int32()), lists(high[new] - begin, r_high - r_begin, pa.int32()),
             lists(k1[new], none, pa.int64()), lists(k2[new], none, pa.int64()),
+            lines_along(selected - 1, selected - least(np.minimum, low), -1), lines_along(selected, least(np.maximum, high) - selected, 1),
         )
 
     return rows
 
 
+#: What a task writes for each selected position (see _fingerprint_rows).
+_POSITION = "doc_id long, text_hash long, print long, at int, lows array<int>, highs array<int>, k1s array<long>, k2s array<long>, left array<long>, right array<long>"
+
+
+def _equal_lines(a: str, b: str) -> Column:
+    """The number of lines over which two lists of lines agree from their start on."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    differs = F.array_position(same, F.lit(False))
+    return F.floor(F.when(differs > 0, differs - 1).otherwise(F.size(same)) / 2).cast("int")
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, low, high: runs of lines (places among the lines that have a word) that stand
     earlier too, in the order of doc_id and place. Runs that overlap or touch belong together (see merged).
 
     1. Winnowing: the windows of a text are its shortest runs of lines with min_words words (see windows); the
        least line hash of a window is selected, with its position, once for all windows that it is least in.
-    2. Positions of different texts are joined on these fingerprints. Two texts that share a run of min_words
-       words share a window and with it a fingerprint; those that occur in one text only are done with.
-    3. Windows around joined positions are verified by 128 bits of all their lines. Every window is matched with
-       its earliest text, so a run is found whatever texts its parts stand in first, and no pair of texts is
-       compared twice; a match extends both ways over the windows that overlap it and stand earlier too.
-
-    Within one text windows are compared in the task that reads it. Hot fingerprints and windows are combined
-    before the shuffle and salted in the joins."""
+       Two texts that share a run of min_words words share a window and with it a fingerprint; those that occur
+       in one text only are done with.
+    2. Positions are joined with the earliest position of their fingerprint, and the match is extended both ways:
+       line by line, left and right, over 128 bits of each line, as far as the windows of the position reach. What
+       then holds a window repeats. Runs longer than that go on in the matches of the positions beside.
+    3. A window that goes beyond its match may stand in some other text before. What is left of them meets by
+       fingerprint and 128 bits of all its lines, each with its earliest text; no pair of texts is compared twice.
+
+    So a run is found whatever texts its parts stand in first. Within one text windows are compared in the
+    task that reads it. Hot fingerprints and windows are combined before the shuffle and salted in the joins."""
     texts = whole_texts(docs).filter("doc_id is not null")
-    found = checkpoint(map_batches(texts, _fingerprint_rows(min_words), "doc_id long, text_hash long, print long, lows array<int>, highs array<int>, k1s array<long>, k2s array<long>"))
+    found = checkpoint(map_batches(texts, _fingerprint_rows(min_words), _POSITION))
     text = F.xxhash64(*ROW)  # a repeated row is the same text
-    prints = found.filter("print is not null")
-    often = checkpoint(prints.groupBy("print").agg(F.min(text).alias("a"), F.max(text).alias("z"), F.count("*").alias("n")).filter("a <> z").select("print", "n"))
-    shared = join_hot(prints, often, ["print"], [*ROW, "lows"])
-    opened = shared.select(*ROW, F.explode(F.arrays_zip("lows", "highs", "k1s", "k2s")).alias("w")).select(*ROW, "w.lows", "w.highs", "w.k1s", "w.k2s")
-    opened = checkpoint(opened.toDF(*ROW, "low", "high", "k1", "k2"))
+    positions = found.filter("print is not null")
+    often = checkpoint(positions.groupBy("print").agg(F.min(text).alias("a"), F.max(text).alias("z"), F.count("*").alias("n")).filter("a <> z").select("print", "n"))
+    shared = checkpoint(join_hot(positions, often, ["print"], [*ROW, "at"]))
     place = F.struct(*ROW)
-    firsts = checkpoint(opened.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter("first <> last").select("k1", "k2", "first", "n"))
-    later = join_hot(opened, firsts, ["k1", "k2"], ROW).filter(place != F.col("first")).select(*ROW, "low", "high")
+    earliest = shared.groupBy("print").agg(F.min(F.struct(*ROW, "at", "left", "right")).alias("e"), F.count("*").alias("n"))
+    earliest = checkpoint(earliest.select("print", F.struct("e.doc_id", "e.text_hash").alias("first"), F.col("e.left").alias("first_left"), F.col("e.right").alias("first_right"), "n"))
+    met = join_hot(shared, earliest, ["print"], [*ROW, "at"])
+    met = met.withColumn("from", F.col("at") - _equal_lines("left", "first_left")).withColumn("to", F.col("at") + _equal_lines("right", "first_right"))
+    window = F.arrays_zip("lows", "highs", "k1s", "k2s")
+    within = lambda w: (w["lows"] >= F.col("from")) & (w["highs"] <= F.col("to"))
+    met = met.withColumn("whole", F.filter(window, lambda w: within(w) & (place != F.col("first"))))
+    met = met.select("print", *ROW, F.array_min("whole.lows").alias("low"), F.array_max("whole.highs").alias("high"), F.filter(window, lambda w: ~within(w)).alias("beyond"))
+    met = checkpoint(met.filter("low is not null or size(beyond) > 0"))
+    matched = met.filter("low is not null").select(*ROW, "low", "high")
+    key = ["print", "k1", "k2"]
+    left = met.select("print", *ROW, F.explode("beyond").alias("w")).select("print", *ROW, F.col("w.lows").alias("low"), F.col("w.highs").alias("high"), F.col("w.k1s").alias("k1"), F.col("w.k2s").alias("k2"))
+    firsts = checkpoint(left.groupBy(*key).agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter("first <> last").select(*key, "first", "n"))
+    later = join_hot(left, firsts, key, ROW).filter(place != F.col("first")).select(*ROW, "low", "high")
     inside = found.filter("print is null").select(*ROW, F.explode(F.arrays_zip("lows", "highs")).alias("w")).select(*ROW, F.col("w.lows").alias("low"), F.col("w.highs").alias("high"))
-    return later.unionByName(inside)
+    return matched.unionByName(later).unionByName(inside)
 
 
 def _signed(x: list[int]) -> list[int]:
@@ -223,7 +266,8 @@ def dedup_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, min_words: int) -> DataFrame:
-    """docs with the text packed, text_hash, and spans, the runs to delete (null: none)."""
+    """docs with the text packed, text_hash, and spans, the runs to delete (null: none). Rows of one text meet its
+    one row of spans; adaptive execution splits them where they are many."""
     runs = repeated_runs(docs, min_words)
     # at most a pair for each line of one text
     spans = runs.groupBy(*ROW).agg(F.sort_array(F.collect_set(F.struct("low", "high"))).alias("spans"))
