@@ -38,6 +38,17 @@ def pearson(x: Column, y: Column, w: Column | None = None) -> Column:
     return F.when((vx > 1e-15) & (vy > 1e-15), cov / F.sqrt(vx * vy))
 
 
+#: Tables of query times, knots and directions are broadcast up to this many rows.
+MOST_BROADCAST = 100_000
+
+
+def short_table(df: DataFrame, what: str, most: int = MOST_BROADCAST) -> DataFrame:
+    """df, marked for broadcast; fails where it has more than `most` rows, of which no more than one over is counted."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} {what}: pass them in several tables")
+    return F.broadcast(df)
+
+
 def top_n(df: DataFrame, by: Keys, order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:
     """The first n rows of each group, numbered from 1."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= n)

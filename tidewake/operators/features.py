@@ -285,7 +285,8 @@ def deseq_effects(counts: DataFrame, groups: DataFrame) -> DataFrame:
     n = groups.agg(F.count(F.lit(1)).alias("_n"))
     logs = counts.filter("value > 0").groupBy("gene").agg(F.count(F.lit(1)).alias("_c"), F.avg(F.ln("value")).alias("_l"))
     usable = logs.crossJoin(F.broadcast(n)).filter("_c = _n").select("gene", "_l")  # one row
-    sf = counts.join(usable, "gene").groupBy("sample").agg(F.exp(F.expr("percentile(ln(value) - _l, 0.5)")).alias("_sf"))
+    apart = counts.join(usable, "gene").withColumn("_r", F.ln("value") - F.col("_l"))
+    sf = quantiles(apart, ["sample"], "_r", {"_m": 0.5}).select("sample", F.exp("_m").alias("_sf"))
     d = counts.join(sf, "sample").join(groups, "sample").withColumn("_v", F.log2(F.col("value") / F.col("_sf") + 0.5))
     side = lambda s: F.when(F.col("group") == s, F.col("_v"))
     raw = lambda s: F.avg(F.when(F.col("group") == s, F.col("value") / F.col("_sf")))

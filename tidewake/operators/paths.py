@@ -173,7 +173,9 @@ def cross_modal_consistency(a: DataFrame, b: DataFrame, g: Keys, particle: str =
     k = d.filter(known).withColumn("_p", ratio(F.col("_a"), F.sum("_a").over(w))).withColumn("_q", ratio(F.col("_b"), F.sum("_b").over(w))).withColumn("_m", (F.col("_p") + F.col("_q")) / 2)
     term = lambda c: F.when(F.col(c) > 0, F.col(c) * F.log2(F.col(c) / F.col("_m"))).when(F.col(c) == 0, 0.0)
     per = k.groupBy(*g, particle).agg((1 - F.sum(term("_p") + term("_q")) / 2).alias("_c")).join(u, [*g, particle], "right")
-    return per.groupBy(*g).agg(F.avg("_c").alias("mean"), F.expr("percentile(_c, 0.5)").alias("median"), F.avg("_ua").alias("unknown_a"), F.avg("_ub").alias("unknown_b"))
+    per = settled(per)
+    means = per.groupBy(*g).agg(F.avg("_c").alias("mean"), F.avg("_ua").alias("unknown_a"), F.avg("_ub").alias("unknown_b"))
+    return attach(means, quantiles(per, g, "_c", {"median": 0.5}), g).select(*g, "mean", "median", "unknown_a", "unknown_b")
 
 
 def fate_concordance(df: DataFrame, g: Keys, a: str, b: str, w: str, confident: float = 0.8) -> DataFrame:

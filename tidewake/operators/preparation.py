@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import Keys, top_n
+from ..functions.columns import Keys, short_table, top_n
 from .ordering import attach, numbered, running_totals
 
 
@@ -110,15 +110,15 @@ def systematic_resample(particles: DataFrame, g: Keys, n: int, key: str, weight:
 
 
 def interpolate_at(trajectory: DataFrame, queries: DataFrame, particle: Keys, time: str = "t", vector: str = "x", outside: str = "clamp") -> DataFrame:
-    """particle, q, x: linear interpolation of arrays between the knots around each query time (column q, a
-    short table for all particles); exact at knots; outside 'clamp' or 'reject' (fails)."""
+    """particle, q, x: linear interpolation of arrays between the knots around each query time (column q, for all
+    particles; no more than MOST_BROADCAST of them); exact at knots; outside 'clamp' or 'reject' (fails)."""
     d = trajectory.select(*particle, F.col(time).cast("double").alias("_t"), F.col(vector).alias("_x"))
     wt = Window.partitionBy(*particle).orderBy("_t")
     d = d.withColumn("_t2", F.lead("_t").over(wt)).withColumn("_x2", F.lead("_x").over(wt)).withColumn("_first", F.row_number().over(wt) == 1)
     q = F.col("q")
     inside = (F.col("_t") <= q) & ((q < F.col("_t2")) | (F.col("_t2").isNull() & (F.lit(outside == "clamp") | (q == F.col("_t")))))
     early = F.col("_first") & (q < F.col("_t"))
-    j = d.join(F.broadcast(queries.select(F.col("q").cast("double").alias("q"))), inside | early)  # query times are few
+    j = d.join(short_table(queries.select(F.col("q").cast("double").alias("q")), "query times"), inside | early)
     if outside == "reject":
         j = j.filter(F.assert_true(~early, "a query time lies outside").isNull())
     f = F.when(early | F.col("_t2").isNull(), 0.0).otherwise((q - F.col("_t")) / (F.col("_t2") - F.col("_t")))
@@ -127,10 +127,11 @@ def interpolate_at(trajectory: DataFrame, queries: DataFrame, particle: Keys, ti
 
 
 def remap_time_axis(times: DataFrame, knots: DataFrame, column: str = "rank", source: str = "rank", target: str = "time") -> DataFrame:
-    """Adds the other clock by piecewise-linear interpolation between (rank, time) knots, clamped."""
+    """Adds the other clock by piecewise-linear interpolation between (rank, time) knots, clamped; there
+    are no more than MOST_BROADCAST knots."""
     k = knots.select(F.col(source).cast("double").alias("_a"), F.col(target).cast("double").alias("_b"))
     wk = Window.orderBy("_a")
-    k = k.withColumn("_a2", F.lead("_a").over(wk)).withColumn("_b2", F.lead("_b").over(wk)).withColumn("_first", F.row_number().over(wk) == 1)
+    k = short_table(k, "knots").withColumn("_a2", F.lead("_a").over(wk)).withColumn("_b2", F.lead("_b").over(wk)).withColumn("_first", F.row_number().over(wk) == 1)
     v = F.col(column)
     on = ((F.col("_a") <= v) & (F.col("_a2").isNull() | (v < F.col("_a2")))) | (F.col("_first") & (v < F.col("_a")))
     f = F.when((v < F.col("_a")) | F.col("_a2").isNull(), F.col("_b")).otherwise(F.col("_b") + (v - F.col("_a")) / (F.col("_a2") - F.col("_a")) * (F.col("_b2") - F.col("_b")))

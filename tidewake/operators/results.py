@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import Keys, ratio
+from .ordering import attach, running_totals
 
 
 def union_scores(tables: list[DataFrame], renames: list[dict[str, str]], value: str, label: str | None = None, pattern: str = r"=([0-9.]+)") -> DataFrame:
@@ -101,5 +102,10 @@ def sum_over_times(scores: DataFrame, g: Keys, time: str, value: str, n_times: i
 
 
 def equal_rank(df: DataFrame, g: Keys, value: str) -> DataFrame:
-    """Adds rank (the least of equals), greatest value first."""
-    return df.withColumn("rank", F.rank().over(Window.partitionBy(*g).orderBy(F.desc(value))))
+    """Adds rank (the least of equals), greatest value first; rows without a value share the rank after the last. Only
+    distinct values are ordered, in cells."""
+    d = df.filter(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_n"))
+    d = running_totals(d, g, value, ["_n"]).select(*g, value, (F.col("_n_all") - F.col("_n_upto") + 1).alias("_rank"))
+    sizes = df.groupBy(*g).agg((F.count(value) + 1).alias("_last"))
+    found = attach(attach(df, d, [*g, value]), sizes, g)
+    return found.withColumn("rank", F.coalesce("_rank", "_last").cast("int")).drop("_rank", "_last")
