@@ -286,7 +286,7 @@ def deseq_effects(counts: DataFrame, groups: DataFrame) -> DataFrame:
     logs = counts.filter("value > 0").groupBy("gene").agg(F.count(F.lit(1)).alias("_c"), F.avg(F.ln("value")).alias("_l"))
     usable = logs.crossJoin(F.broadcast(n)).filter("_c = _n").select("gene", "_l")  # one row
     apart = counts.join(usable, "gene").withColumn("_r", F.ln("value") - F.col("_l"))
-    sf = quantiles(apart, ["sample"], "_r", {"_m": 0.5}).select("sample", F.exp("_m").alias("_sf"))
+    sf = settled(quantiles(settled(apart.select("sample", "_r")), ["sample"], "_r", {"_m": 0.5}).select("sample", F.exp("_m").alias("_sf")))
     d = counts.join(sf, "sample").join(groups, "sample").withColumn("_v", F.log2(F.col("value") / F.col("_sf") + 0.5))
     side = lambda s: F.when(F.col("group") == s, F.col("_v"))
     raw = lambda s: F.avg(F.when(F.col("group") == s, F.col("value") / F.col("_sf")))
@@ -294,7 +294,7 @@ def deseq_effects(counts: DataFrame, groups: DataFrame) -> DataFrame:
     ea, eb = F.col("_va") / F.col("_na"), F.col("_vb") / F.col("_nb")
     df_ = ratio((ea + eb) ** 2, ea**2 / (F.col("_na") - 1) + eb**2 / (F.col("_nb") - 1))
     t = t.withColumn("p", t_two_sided(ratio(F.col("_mb") - F.col("_ma"), F.sqrt(ea + eb)), df_)).select("gene", "log2fc", "p")
-    return bh_fdr(t, [], "p")
+    return bh_fdr(settled(t), [], "p")
 
 
 #: Rows of a part of a bootstrap, and replicates that are drawn together.
