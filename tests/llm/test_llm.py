@@ -145,6 +145,16 @@ def test_shards(spark, docs):
     assert max(loads.values()) <= sum(loads.values()) / 24 + group
 
 
+def test_repeated_rows_are_numbered_without_gaps(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 7)
+    texts = ["twice", None, "hot text"] * 2 + ["hot text"] * 100 + [None] * 50
+    ids = [1, None, 2] * 2 + [2] * 60 + [None] * 40 + [None] * 50
+    got = sharding.shard_documents(frame(spark, texts, doc_id=ids), 3).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len(t or "") + 8) for i, t in zip(ids, texts))
+    for shard in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
 def test_language_held_out_accuracy(spark, docs):
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)

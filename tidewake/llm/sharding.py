@@ -16,6 +16,8 @@ from .components import checkpoint
 UNIT_BITS, SPLIT_BITS = 16, 8
 #: A shard's rows are numbered in this many cells.
 CELLS = 1 << 12
+#: Rows of one kind that are written together.
+PIECE = 1 << 16
 
 
 def fits(sizes: Sequence[int], shards: int, capacity: int) -> bool:
@@ -178,7 +180,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, unit_bits: int = UNIT_BIT
 
     size is the UTF-8 bytes of the text (null: none) plus 8. Rows of equal text (null texts too are
     equal to each other) are an atomic group; groups are ordered by hash. The smallest capacity with
-    which greedy filling needs no more than `shards` shards is binary-searched, and the cuts made there.
+    which greedy filling needs no more than `shards` shards is binary-searched; the cuts are evened out below it.
     The driver sees sizes of units of groups, at most 2**unit_bits; those in which a cut may fall (a few for
     every shard) are split until the search is decided over single groups, whatever their number. A group
     that alone is larger than a shard should be gets a shard of its own where it can, and the runs before and
@@ -186,7 +188,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, unit_bits: int = UNIT_BIT
 
     slot numbers a shard's rows from 0 without gaps: rows fall in CELLS cells by a hash of doc_id and text
     and are numbered inside a cell; counts of cells before it (at most shards * CELLS rows, broadcast) are
-    added. No task holds a whole shard. text_crc32 is null for a null text; a null doc_id, ties and
+    added. Rows that agree in all that is returned are counted before the shuffle, numbered as one, and written
+    again in pieces of PIECE rows. No task holds a whole shard, nor all copies of a row. text_crc32 is null for a null text; a null doc_id, ties and
     repeated rows are numbered like any others; an empty table gives an empty result; other columns are
     ignored. Only digests of texts leave the scan; they are written once and read by every step.
     """
@@ -206,8 +209,11 @@ def shard_documents(docs: DataFrame, shards: int = 24, unit_bits: int = UNIT_BIT
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     offsets = counts.select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("shard", "cell").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
-    numbered = rows.withColumn("inside", F.row_number().over(inside) - 1)
-    return numbered.join(F.broadcast(offsets), ["shard", "cell"]).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("before") + F.col("inside")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
-    )
+    alike = ["doc_id", "size", "text_crc32", "shard", "cell"]
+    inside = Window.partitionBy("shard", "cell").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0)
+    kinds = rows.groupBy(*alike).agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(inside))
+    kinds = kinds.join(F.broadcast(offsets), ["shard", "cell"]).withColumn("start", F.col("before") + F.col("upto") - F.col("n"))
+    pieces = kinds.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long"))))
+    pieces = pieces.repartition("shard", "cell", "piece")  # the rows of one kind, however many, are written by many tasks
+    slot = F.explode(F.sequence(F.col("start") + F.col("piece"), F.col("start") + F.least(F.col("n"), F.col("piece") + PIECE) - 1))
+    return pieces.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
