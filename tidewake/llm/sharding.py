@@ -216,4 +216,4 @@ def shard_documents(docs: DataFrame, shards: int = 24, unit_bits: int = UNIT_BIT
     pieces = kinds.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(PIECE).cast("long"))))
     pieces = pieces.repartition("shard", "cell", "piece")  # the rows of one kind, however many, are written by many tasks
     slot = F.explode(F.sequence(F.col("start") + F.col("piece"), F.col("start") + F.least(F.col("n"), F.col("piece") + PIECE) - 1))
-    return pieces.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return pieces.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
