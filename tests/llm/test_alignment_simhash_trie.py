@@ -1,12 +1,15 @@
 """Cross-tokenizer alignment, SimHash near-duplicates and the prefix trie against brute force and edge cases."""
 
+import copy
 import hashlib
 import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidewake.llm import alignment, simhash, trie
@@ -101,6 +104,55 @@ def test_runs_are_jumped_and_irregular_groups_found():
         assert a[i:] == b[j:]
 
 
+def chunks_here(monkeypatch, texts):
+    """Figures of texts without Spark, each batch a chunk of three documents."""
+    import pyspark
+
+    monkeypatch.setattr(pyspark, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(alignment, "CHUNK_ROWS", 3)
+    monkeypatch.setattr(alignment, "stretches", alignment.Stretches)  # none held from before
+    kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, alignment._CHUNK.split(", "))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    rows = []
+    for chunk in alignment._chunks(tokenizer_path(), tokenizer_path(PIECES), schema)(iter([batch])):
+        c = chunk.to_pylist()[0]
+        rows += zip(*(c[x] for x in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")))
+    return rows
+
+
+def test_a_word_that_comes_again_is_not_encoded_again(monkeypatch):
+    done, encode = [], alignment.PieceTokens.encode
+    monkeypatch.setattr(alignment.PieceTokens, "encode", lambda self, texts: done.extend(texts) or encode(self, texts))
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["alpha", "naïve", "beta,", "x1"]) for _ in range(500)) for _ in range(20)]
+    got = chunks_here(monkeypatch, texts)
+    assert sum(map(len, done)) < 100
+    assert got == [(*w[:4], w[6]) for w in linked_by_hand(texts)]
+
+
+@pytest.mark.parametrize("held", [300_000, 2])
+@pytest.mark.parametrize("splits", [True, False])
+def test_stretches_are_independent_of_what_is_around_them(monkeypatch, held, splits):
+    monkeypatch.setattr(alignment, "HELD_ROWS", held)
+    monkeypatch.setattr(alignment.ByteTokens, "splits", splits)
+    rng = random.Random(9)
+    gaps = [" "] * 12 + ["  ", "   ", "\n", " \n", "\n ", "\n\n ", "\t", "\u00a0", " \u00a0", "\u2028 ", "\u3000", "\x1c", " \x1c ", "\x85 ", ""]
+    words = ["the", "The", "word.", "naïve", "don't", "'s", "12", "你好", "e\u0301", "\u0301", "…", "\x00", "<s>", "<0x41>", "<|endoftext|>", "🙂", "\u200b", "ab▁", "▁ab"]
+    texts = ["".join(rng.choice(gaps) + rng.choice(words[: 17 + 2 * (k % 5 == 0)]) for _ in range(rng.randrange(1, 25))) + rng.choice(gaps) for k in range(150)]
+    assert chunks_here(monkeypatch, texts) == [(*w[:4], w[6]) for w in linked_by_hand(texts)]
+
+
+def test_a_tokenizer_that_loses_a_byte_loses_only_its_texts(monkeypatch):
+    left = copy.copy(alignment.tokens(tokenizer_path()))
+    left.lossless, left.bytes_of = False, [b.replace(b"q", b"") for b in left.bytes_of]
+    true = alignment.tokens
+    monkeypatch.setattr(alignment, "tokens", lambda path: left if path == tokenizer_path() else true(path))
+    got = chunks_here(monkeypatch, ["a queue", "a word", "word queue", "▁ word", "more words"])
+    assert [r[0] > 0 for r in got] == [False, True, False, False, True]
+    assert [got[1], got[4]] == [(*w[:4], w[6]) for w in linked_by_hand(["a word", "more words"])]
+
+
 # --- SimHash
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 import gc
 import hashlib
-from collections.abc import Iterator
-from itertools import chain
+import re
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,8 @@ from .components import shared_folder
 
 #: Documents, and bytes of them, that make a chunk; a larger text is alone.
 CHUNK_ROWS, CHUNK_BYTES = 4096, 1 << 21
+#: Stretches, and links of them, that a task holds at most before the next chunk; so many are encoded as one text.
+HELD_ROWS, HELD_LINKS, BUNCH = 300_000, 3_000_000, 256
 #: Id pairs are dealt to this many buckets, whose counts a task holds at once: at most 1 / BUCKETS of the
 #: pairs that two vocabularies can form.
 BUCKETS = 256
@@ -29,29 +33,32 @@ BUCKETS = 256
 ASKED = 512
 
 
+#: Splits at a single space between two characters that are no white space.
+_between_words = re.compile(r" (?=\S)(?<=\S )").split
+
+
 class ByteTokens:
     """A byte-level BPE file (.json). A space leads the text; special strings are ordinary text."""
 
+    #: No token reaches over a single space between two words from the left, and none is chosen by what is beyond it:
+    #: pre-tokens end there.
+    splits = True
+
     def __init__(self, path: str):
         self.vocab = bpe.vocabulary(path)
         self.pairs = bpe.PairTable(self.vocab.merges)
         self.bytes_of = self.vocab.bytes_of
-        self.memo: dict[str, list[int]] = {}
         #: Every byte has a token, and merging loses none.
         self.lossless = all(self.bytes_of[i] == bytes([b]) for b, i in enumerate(self.vocab.id_of_byte))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split, memo = [bpe.pre_tokens(" " + t) for t in texts], self.memo
-        if len(memo) >= bpe.MEMO_WORDS:
-            memo.clear()
-        missing = list(set().union(*split) - memo.keys())
-        if missing:
-            memo.update(zip(missing, bpe.merge_many(self.vocab, self.pairs, [w.encode() for w in missing])))
-        out = [list(chain.from_iterable(map(memo.__getitem__, words))) for words in split]
-        for w in missing:
-            if len(w) > bpe.MEMO_CHARS:
-                del memo[w]
-        return out
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split, place = [bpe.pre_tokens(" " + t) for t in texts], defaultdict(count().__next__)
+        words = np.cumsum(_array(map(len, split), len(split)))
+        word = _array(map(place.__getitem__, chain.from_iterable(split)), sum(map(len, split)))
+        merged = bpe.merge_many(self.vocab, self.pairs, [w.encode() for w in place])
+        n = _array(map(len, merged), len(merged))
+        flat = _array(chain.from_iterable(merged), int(n.sum()))[_places(np.cumsum(n) - n, n, word)]
+        return np.split(flat, np.r_[0, np.cumsum(n[word])][words][:-1])
 
 
 class PieceTokens:
@@ -65,9 +72,33 @@ class PieceTokens:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.vocab_size())]
         self.bytes_of = [b"" if self.model.is_control(i) else bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.splits = self._splits()
+
+    def _splits(self) -> bool:
+        """Whether merging is the plain one over the text as it is, and no piece has a space behind another character:
+        then nothing is merged over a single space between two words."""
+        try:
+            from sentencepiece import sentencepiece_model_pb2
+        except ImportError:
+            return False
+        proto = sentencepiece_model_pb2.ModelProto.FromString(self.model.serialized_model_proto())
+        norm, trainer = proto.normalizer_spec, proto.trainer_spec
+        as_it_is = not norm.precompiled_charsmap and not norm.normalization_rule_tsv and not norm.remove_extra_whitespaces and norm.add_dummy_prefix and norm.escape_whitespaces
+        plain = trainer.model_type == trainer.BPE and not trainer.treat_whitespace_as_suffix and not any(p.type == p.USER_DEFINED for p in proto.pieces)
+        return bool(as_it_is and plain and not any("▁" in p.piece.lstrip("▁") for p in proto.pieces))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(ids, dtype=np.int64) for ids in self.model.encode(texts, num_threads=1)]
+
+
+def _array(values: Iterable[int], n: int) -> np.ndarray:
+    return np.fromiter(values, dtype=np.int64, count=n)
+
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+def _places(starts: np.ndarray, n: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The places starts[i] to starts[i] + n[i] - 1 of each i in of, one behind the other."""
+    m = n[of]
+    return np.repeat(starts[of] - np.cumsum(m) + m, m) + np.arange(m.sum())
 
 
 @functools.cache
@@ -118,13 +149,11 @@ def irregular(a: list[int], b: list[int]) -> list[int]:
     return found
 
 
-def aligned(ids_a: list[list[int]], ids_b: list[list[int]], sizes: tuple[np.ndarray, np.ndarray]):
-    """For texts whose tokens cover the same bytes: the tokens of a and of b one behind the other, the places in
-    them at which groups end, and the places of the two tokens of each link, in any order. sizes: bytes by id.
+def aligned(ends: tuple[np.ndarray, np.ndarray]):
+    """For tokens of a and of b with these ends over the same bytes: the places in them at which groups end, and the
+    places of the two tokens of each link, in any order.
 
-    Equal ends of texts close a group, so all texts are aligned in one go."""
-    flat = [np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=sum(map(len, ids))) for ids in (ids_a, ids_b)]
-    ends = [np.cumsum(s[f], dtype=np.int64) for s, f in zip(sizes, flat)]
+    Equal ends of texts close a group, so texts that lie one behind the other are aligned in one go."""
     odd = np.array(irregular(*(e.tolist() for e in ends)), dtype=np.int64).reshape(-1, 4)
     inner, links, until = [], [], []
     for k, e in enumerate(ends):
@@ -140,7 +169,7 @@ def aligned(ids_a: list[list[int]], ids_b: list[list[int]], sizes: tuple[np.ndar
     # links: one of each pair of single tokens; inside a larger group one for each stretch between neighbouring ends
     between = np.sort(np.r_[inner[0], inner[1]], kind="stable")
     between = between[np.r_[True, between[1:] != between[:-1]]] if len(between) else between
-    return flat, until, [np.r_[x, np.searchsorted(e, between)] for x, e in zip(links, ends)]
+    return until, [np.r_[x, np.searchsorted(e, between)] for x, e in zip(links, ends)]
 
 
 def groups_text(flat: list[np.ndarray], until: list[np.ndarray], shown: list[str], tops: tuple[int, int]) -> list[str]:
@@ -157,6 +186,99 @@ def groups_text(flat: list[np.ndarray], until: list[np.ndarray], shown: list[str
     return list(map(shown.__getitem__, out.tolist()))
 
 
+class Stretches:
+    """The stretches of texts between the single spaces over which neither tokenizer reaches (whole texts, if one may
+    reach over them), each encoded and aligned once while it is held: a row each."""
+
+    def __init__(self, path_a: str, path_b: str):
+        self.both = tokens(path_a), tokens(path_b)
+        self.sizes = [_array(map(len, t.bytes_of), len(t.bytes_of)) for t in self.both]
+        self.tops = tops = [len(s) for s in self.sizes]
+        self.shown = [f"{i}{mark}" for n, marks in zip(tops, (",|", ",;")) for mark in marks for i in range(n)]
+        self.splits = all(t.splits for t in self.both)
+        self.clear()
+
+    def clear(self) -> None:
+        self.row: dict[str, int] = defaultdict(count().__next__)
+        #: Of each row: tokens of a, tokens of b, groups, links; whether both tokenizers give its bytes back.
+        self.n, self.sound = np.zeros((4, 0), dtype=np.int64), np.zeros(0, dtype=bool)
+        #: Id pairs of the links of all rows, and where those of a row start; the groups of a row as a string.
+        self.codes, self.starts, self.text = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64), []
+
+    def rows(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of the stretches of all texts in order, and how many each text has."""
+        if len(self.row) > HELD_ROWS or len(self.codes) > HELD_LINKS:
+            self.clear()
+        split = [(_between_words(t) if self.splits else [t]) if t else [] for t in texts]
+        n = _array(map(len, split), len(split))
+        known = len(self.row)
+        rows = _array(map(self.row.__getitem__, chain.from_iterable(split)), int(n.sum()))
+        if len(self.row) > known:
+            self._learn(list(islice(self.row, known, None)))
+        return rows, n
+
+    def _bunches(self, new: list[str]) -> list[list[int]]:
+        """Stretches that are encoded as one text. One that ends in white space stays alone, as that could go on."""
+        if not self.splits:
+            return [[i] for i in range(len(new))]
+        out: list[list[int]] = []
+        kinds: dict[bool, list[int]] = {True: [], False: []}
+        for i, s in enumerate(new):
+            if s[-1].isspace():
+                out.append([i])
+            else:
+                kinds[s.isascii()].append(i)
+        for some in kinds.values():
+            out += [some[i : i + BUNCH] for i in range(0, len(some), BUNCH)]
+        return out
+
+    def _encoded(self, t: ByteTokens | PieceTokens, new: list[str], bunches: list[list[int]]) -> dict[int, tuple[list[int], np.ndarray]]:
+        """By their first stretch the bunches that t gives back, with their tokens; a bunch that it does not is tried
+        stretch by stretch."""
+        out, again, texts = {}, [], [" ".join([new[i] for i in b]) for b in bunches]
+        for b, text, ids in zip(bunches, texts, t.encode(texts)):
+            if t.lossless or b"".join(map(t.bytes_of.__getitem__, ids.tolist())) == b" " + text.encode():
+                out[b[0]] = b, ids
+            elif len(b) > 1:
+                again += [[i] for i in b]
+        return out | self._encoded(t, new, again) if again else out
+
+    def _learn(self, new: list[str]) -> None:
+        first = self._encoded(self.both[1], new, self._bunches(new))
+        second = self._encoded(self.both[0], new, [b for b, _ in first.values()])
+        if (held := [b for b, _ in second.values()]) != [b for b, _ in first.values()]:
+            first = self._encoded(self.both[1], new, held)  # b follows a into smaller bunches
+        keys = list(first)
+        order = _array(chain.from_iterable(first[k][0] for k in keys), sum(len(first[k][0]) for k in keys))
+        flat = [np.concatenate([np.zeros(0, dtype=np.int64), *(of[k][1] for k in keys)]) for of in (second, first)]
+        ends = [np.cumsum(s[f]) for s, f in zip(self.sizes, flat)]
+        upto_bytes = np.cumsum(_array((len(new[i].encode()) + 1 for i in order.tolist()), len(order)))
+        upto = [np.searchsorted(e, upto_bytes) + 1 for e in ends]  # tokens up to and with each stretch
+        until, links = aligned(ends)
+        of = np.searchsorted(upto[0], links[0], side="right")
+        by = np.argsort(of, kind="stable")
+        codes = (flat[0][links[0]] * self.tops[1] + flat[1][links[1]])[by]
+        n_links = np.bincount(of, minlength=len(order))
+        n = np.zeros((4, len(new)), dtype=np.int64)
+        for k, x in enumerate((*upto, np.searchsorted(until[0], upto[0], side="right"))):
+            n[k, order] = np.diff(np.r_[0, x])
+        n[3, order] = n_links
+        sound, starts = np.zeros(len(new), dtype=bool), np.zeros(len(new), dtype=np.int64)
+        sound[order], starts[order] = True, len(self.codes) + np.cumsum(n_links) - n_links
+        text, shown = [""] * len(new), groups_text(flat, until, self.shown, self.tops)
+        cut = np.r_[0, upto[0] + upto[1]].tolist() if len(order) else [0]
+        for i, low, high in zip(order.tolist(), cut, cut[1:]):
+            text[i] = "".join(shown[low:high])
+        self.n, self.sound, self.starts = np.c_[self.n, n], np.r_[self.sound, sound], np.r_[self.starts, starts]
+        self.codes = np.r_[self.codes, codes.astype(np.int32)]
+        self.text += text
+
+
+@functools.cache
+def stretches(path_a: str, path_b: str) -> Stretches:
+    return Stretches(path_a, path_b)
+
+
 _CHUNK = (
     "chunk long, doc_id array<long>, n_a array<int>, n_b array<int>, n_groups array<int>, n_links array<int>, groups_sha256 array<string>, "
     "codes array<int>, times array<int>, n_pairs array<int>, at array<int>, n array<int>"
@@ -174,10 +296,6 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = end
 
 
-def _gives(tokenizer: ByteTokens | PieceTokens, ids: list[int], text: bytes) -> bool:
-    return tokenizer.lossless or b"".join(map(tokenizer.bytes_of.__getitem__, ids)) == text
-
-
 def _chunks(path_a: str, path_b: str, schema: pa.Schema):
     """One row a chunk of documents: their figures, the distinct id pairs (a * size of b + b) linked in it with their
     numbers of links, and the pairs of each document as places in that list."""
@@ -186,42 +304,27 @@ def _chunks(path_a: str, path_b: str, schema: pa.Schema):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        left, right = tokens(path_a), tokens(path_b)
-        sizes = tuple(np.array(list(map(len, t.bytes_of)), dtype=np.int64) for t in (left, right))
-        tops = len(sizes[0]), len(sizes[1])
-        shown = [f"{i}{mark}" for n, marks in zip(tops, (",|", ",;")) for mark in marks for i in range(n)]
+        held = stretches(path_a, path_b)
+        size = held.tops[0] * held.tops[1]
         gc.disable()  # lists of tokens hold no cycles, and are many
         try:
             for batch in batches:
                 for part in _parts(batch):
                     ids, texts = (c.to_pylist() for c in part.columns)
-                    full = [i for i, t in enumerate(texts) if t]
-                    both = [[], []]
-                    held = []
-                    for i, x, y in zip(full, left.encode([texts[i] for i in full]), right.encode([texts[i] for i in full])):
-                        want = (" " + texts[i]).encode()
-                        if _gives(left, x, want) and _gives(right, y, want):
-                            held.append(i)
-                            both[0].append(x)
-                            both[1].append(y)
-                    flat, until, links = aligned(*both, sizes)
-                    upto = [np.cumsum([len(x) for x in ids_]) for ids_ in both]  # tokens up to and with each text
-                    doc = np.searchsorted(upto[0], links[0], side="right")
-                    pairs, n = np.unique((doc * tops[0] + flat[0][links[0]]) * tops[1] + flat[1][links[1]], return_counts=True)
-                    of, code = pairs // (tops[0] * tops[1]), pairs % (tops[0] * tops[1])
-                    codes, at = np.unique(code, return_inverse=True)
+                    row, n = held.rows(texts)
+                    doc = np.repeat(np.arange(len(ids)), n)
+                    lost = np.bincount(doc[~held.sound[row]], minlength=len(ids)) > 0
+                    row, doc, n = row[~lost[doc]], doc[~lost[doc]], np.where(lost, 0, n)
+                    figures = [np.diff(np.r_[0, np.cumsum(x[row])][np.r_[0, np.cumsum(n)]]) for x in held.n]
+                    codes = held.codes[_places(held.starts, held.n[3], row)]
+                    pairs, n_pair = np.unique(np.repeat(np.arange(len(ids)), figures[3]) * size + codes, return_counts=True)
+                    codes, at = np.unique(pairs % size, return_inverse=True)
+                    times = np.bincount(at, weights=n_pair, minlength=len(codes)).astype(np.int64)
+                    text, cut = list(map(held.text.__getitem__, row.tolist())), np.r_[0, np.cumsum(n)].tolist()
+                    sha = [hashlib.sha256("".join(text[low:high])[:-1].encode()).hexdigest() if low < high else "" for low, high in zip(cut, cut[1:])]
                     number += 1
-                    out = {name: [0] * len(ids) for name in ("n_a", "n_b", "n_groups", "n_links", "n_pairs")}
-                    sha = [""] * len(ids)
-                    text, cut = groups_text(flat, until, shown, tops), np.r_[0, upto[0] + upto[1]].tolist() if held else [0]
-                    groups = np.diff(np.r_[0, np.searchsorted(until[0], upto[0], side="right")]).tolist() if held else []
-                    per, n_links = (np.bincount(x, minlength=len(held)).tolist() for x in (of, doc))
-                    for k, i in enumerate(held):
-                        out["n_a"][i], out["n_b"][i], out["n_groups"][i], out["n_pairs"][i], out["n_links"][i] = len(both[0][k]), len(both[1][k]), groups[k], per[k], n_links[k]
-                        sha[i] = hashlib.sha256("".join(text[cut[k] : cut[k + 1]])[:-1].encode()).hexdigest()
-                    times = np.bincount(at, weights=n, minlength=len(codes)).astype(np.int64)
-                    row = [number, ids, out["n_a"], out["n_b"], out["n_groups"], out["n_links"], sha, codes.astype(np.int32), times.astype(np.int32), out["n_pairs"], at.astype(np.int32), n.astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, schema)], schema=schema)
+                    out = [number, ids, *figures, sha, codes, times, np.bincount(pairs // size, minlength=len(ids)), at, n_pair]
+                    yield pa.RecordBatch.from_arrays([pa.array([x.astype(f.type.value_type.to_pandas_dtype()) if isinstance(x, np.ndarray) else x], type=f.type) for x, f in zip(out, schema)], schema=schema)
         finally:
             gc.enable()
 
@@ -288,7 +391,9 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     documents hold it. n_best: links whose count is the highest of their b id; count_sum: over all links.
 
     1. Chunks of documents are encoded and aligned in one pass, without a shuffle, and written to the shared
-       folder with their distinct pairs (so nothing is encoded twice, and a lost executor costs a chunk).
+       folder with their distinct pairs (so nothing is encoded twice, and a lost executor costs a chunk). Where neither
+       tokenizer reaches over a single space between words, a stretch between such spaces that comes again is not encoded
+       again while its task holds it.
     2. Counts are summed over the distinct pairs of chunks, combined before the shuffle.
     3. Chunks ask 256 buckets of pairs for their counts, in packed arrays, and sum the answers by document. A
        bucket's counts are repeated for every 512 chunks, so no pair is hot.
