@@ -275,6 +275,50 @@ def test_components_of_a_long_path(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def least_reached(edges):
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = top(a), top(b)
+        up[max(a, b)] = min(a, b)
+    return sorted((x, top(x)) for x in up)
+
+
+def tasks_of(spark, name, work):
+    """What work() gives, and the tasks that it ran."""
+    spark.sparkContext.setJobGroup(name, name)
+    got, tracker = work(), spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return got, sum(s.numCompletedTasks for s in stages if s)
+
+
+def test_components_of_stars_and_joined_components_take_few_tasks(spark):
+    random.seed(8)
+    stars = [(x, x % 20) for x in range(20, 400)]
+    loose = [(random.randrange(500), random.randrange(500)) for _ in range(60)]
+    loose = [(a, b) for a, b in loose if a != b]
+    make = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts, few = tasks_of(spark, "stars", lambda: rows(components.components(make(stars))))
+        assert parts == least_reached(stars)
+        assert few < 60  # 118 before, when a round had to give what the round before gave
+        named = spark.createDataFrame(parts, "node long, component long")
+        assert rows(components.joined_components(named, make(loose))) == least_reached(stars + loose)
+        assert rows(components.joined_components(named, make(loose).limit(0))) == parts
+        path = [(i, i + 1) for i in range(200)]
+        assert rows(components.components(make(path + loose))) == least_reached(path + loose)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_mix(spark):
     rng = random.Random(3)
     texts = [" ".join(["w"] * rng.randrange(0, 60)) for _ in range(300)] + [None, ""]

@@ -41,14 +41,16 @@ def has_letter(text: str | None) -> bool:
 
 
 class Model:
-    """Linear weights over n-gram shares: softmax over families, hinge-loss margins for pairs of languages."""
+    """Linear weights over n-gram shares: softmax over families, hinge-loss margins for pairs of languages.
+
+    x (a row a text, a column a slot) is overwritten."""
 
     def __init__(self, langs: list[str], x: np.ndarray, y: np.ndarray):
         self.langs = langs
         self.families = sorted({family_of(v) for v in langs})
         self.members = {f: [i for i, v in enumerate(langs) if family_of(v) == f] for f in self.families}
         scale = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + np.float32(1e-5)
-        z = x / scale
+        z = np.divide(x, scale, out=x)
         in_family = np.array([self.families.index(family_of(v)) for v in langs])[y]
         columns, biases = [], []
         w, b = _softmax_fit(z, in_family, len(self.families))
@@ -142,15 +144,16 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model | None:
         out = [np.unique(_slots(t), return_counts=True) if has_letter(t) else (np.empty(0, int), np.empty(0, int)) for t in texts]
         return lang, [s.tolist() for s, _ in out], [n.tolist() for _, n in out]
 
-    found = [r for r in map_batches(picked.select("lang", "text"), features, "lang string, slots array<int>, n array<int>").collect() if r["slots"]]
-    langs = sorted({r["lang"] for r in found})
+    table = map_batches(picked.select("lang", "text"), features, "lang string, slots array<int>, n array<int>").toArrow()
+    found = [(v, s.values.to_numpy(), n.values.to_numpy()) for v, s, n in zip(table["lang"].to_pylist(), table["slots"], table["n"]) if len(s)]
+    langs = sorted({v for v, _, _ in found})
     if not langs:
         return None
-    found.sort(key=lambda r: (r["lang"], r["slots"], r["n"]))
+    found.sort(key=lambda r: (r[0], r[1].astype(">u4").tobytes(), r[2].astype(">u4").tobytes()))  # as lists of numbers
     x, y = np.zeros((len(found), 1 << BITS), dtype=np.float32), np.empty(len(found), dtype=int)
-    for i, r in enumerate(found):
-        x[i, r["slots"]] = np.array(r["n"]) / sum(r["n"])
-        y[i] = langs.index(r["lang"])
+    for i, (lang, slots, n) in enumerate(found):
+        x[i, slots] = n / n.sum()
+        y[i] = langs.index(lang)
     return Model(langs, x, y)
 
 

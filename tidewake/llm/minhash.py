@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .batches import map_batches, whole_texts
-from .components import checkpoint, components, join_hot
+from .components import checkpoint, components, join_hot, joined_components
 
 #: A center's pairs are verified in parts of about this many shingles.
 PART = 1 << 15
@@ -153,7 +153,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     nodes = checkpoint(_open_nodes(members, parts))
     if not nodes.isEmpty():
         more = checkpoint(verify(_rest(nodes, needed, percent), needed, percent))
-        parts = parts if more.isEmpty() else components(links.unionByName(more))
+        parts = parts if more.isEmpty() else joined_components(parts, more)
     parts = parts.withColumnRenamed("component", "component_id")
     named = classes.select(*key, "node").join(parts, "node", "left").select(*key, F.coalesce("component_id", "node").alias("component_id"))
     out = sketches.select("doc_id", *key).join(named, key, "left")
