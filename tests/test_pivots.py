@@ -63,3 +63,22 @@ def test_refuted_cells_are_not_asked(spark):
     assert compared <= 0.25 * 600 * 100
     loose = pivots.asked(own.withColumn("_bound", F.lit(None).cast("double")), extents, ["g"], 5, skip_own=False)
     assert loose.count() < 0.5 * 100 * n.count()  # the extents alone refute many
+
+
+def _dealt_apart(spark, run):
+    """Rows of run() with as many partitions as the session has, however small they are."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        return run().collect()
+    finally:
+        spark.conf.unset(name)
+
+
+def test_groups_of_an_int_and_a_long_meet(spark):
+    q = spark.range(40).selectExpr("id", "CAST(id % 8 AS INT) AS g", "array(CAST(id AS DOUBLE)) AS x")
+    r = spark.range(40).selectExpr("id", "id % 8 AS g", "array(CAST(id AS DOUBLE)) AS x")
+    found = _dealt_apart(spark, lambda: K.knn_join(q, r, 1, ["g"]))
+    assert sorted((x.g, x.query_id, x.ref_id) for x in found) == [(i % 8, i, i) for i in sorted(range(40), key=lambda i: (i % 8, i))]
+    near = _dealt_apart(spark, lambda: K.radius_mass(r.withColumn("radius", F.lit(0.5)), q.withColumn("weight", F.lit(1.0)), ["g"]))
+    assert sorted((x.id, x.mass) for x in near) == [(i, 1.0) for i in range(40)]

@@ -21,8 +21,10 @@ BLOCK = 2048
 
 def _blocks(query: DataFrame, ref: DataFrame, on: Keys, block: int) -> tuple:
     """Both sides dealt to block pairs. Blocks, not stages, are the unit of work, so a large stage is
-    spread over as many tasks as its size asks for."""
+    spread over as many tasks as its size asks for. Keys are dealt under one type a pair of columns, since an int and
+    an equal long hash apart."""
     on = list(on)
+    kinds = dict(query.select(*on).limit(0).union(ref.select(*on).limit(0)).dtypes)
     n_q = query.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nq"))
     n_r = ref.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nr"))
     sizes = n_q.join(n_r, on) if on else n_q.crossJoin(n_r)  # without keys: one row a side
@@ -32,7 +34,7 @@ def _blocks(query: DataFrame, ref: DataFrame, on: Keys, block: int) -> tuple:
         d = d.withColumn(own, F.pmod(F.xxhash64("id"), F.col(mine)).cast("int"))
         d = d.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)))
         # names of their own, so that a table can be joined with itself
-        keys = [F.col(c).alias(f"{side}{i}") for i, c in enumerate([*on, "_qb", "_rb"])]
+        keys = [(F.col(c).cast(kinds[c]) if c in kinds else F.col(c)).alias(f"{side}{i}") for i, c in enumerate([*on, "_qb", "_rb"])]
         return d.select(*keys, *[c for c in df.columns if c not in on]).groupBy(*[f"{side}{i}" for i in range(len(keys))])
 
     return dealt(query, "_qb", "_rb", "_nq", "_nr", "_left"), dealt(ref, "_rb", "_qb", "_nr", "_nq", "_right")
