@@ -82,3 +82,18 @@ def test_groups_of_an_int_and_a_long_meet(spark):
     assert sorted((x.g, x.query_id, x.ref_id) for x in found) == [(i % 8, i, i) for i in sorted(range(40), key=lambda i: (i % 8, i))]
     near = _dealt_apart(spark, lambda: K.radius_mass(r.withColumn("radius", F.lit(0.5)), q.withColumn("weight", F.lit(1.0)), ["g"]))
     assert sorted((x.id, x.mass) for x in near) == [(i, 1.0) for i in range(40)]
+
+
+def test_curves_by_depth_hold_every_time(spark):
+    p = spark.range(24).selectExpr("id", "'m' AS method", "1.0D AS weight", "id % 13 / 4.0D AS time", "array(CAST(id AS DOUBLE)) AS x")
+    cells = spark.range(16).selectExpr("id AS id", "id % 4 AS stage", "array(CAST(id AS DOUBLE)) AS x")
+    m = K.bracket_shares(K.stage_bracket(p, "time", [0.0, 1.0, 2.0, 3.0]))
+    members = m.select("method", "time", F.col("id").alias("query_id"), "weight", "stage", "part")
+    counts, depth = cells.selectExpr("id AS ref_id", "1 AS feature", "2.0D AS value"), cells.selectExpr("id AS ref_id", "4.0D AS depth")
+
+    def curves():
+        near = K.knn_join(m, cells, 2, ["stage"]).join(p.select(F.col("id").alias("query_id"), "time"), "query_id")
+        return K.decoded_curves(members, near, counts, ["method"], "time", scale=10.0, depth=depth)
+
+    got = {x.time: x.value for x in _dealt_apart(spark, curves)}
+    assert got == {i / 4: pytest.approx(5.0) for i in range(13)}
