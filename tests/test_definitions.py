@@ -140,3 +140,15 @@ def test_long_tables_are_not_broadcast(spark, monkeypatch):
     path = spark.createDataFrame([(1, 0.0, [0.0]), (1, 1.0, [1.0])], "p int, t double, x array<double>")
     with pytest.raises(ValueError, match="more than 5 query times"):
         P.interpolate_at(path, times, ["p"])
+
+
+def test_replicates_below_a_stage_take_so_many_rows(spark):
+    c = spark.createDataFrame([("a", i) for i in range(7)] + [("b", i) for i in range(3)], "stage string, id long")
+    t = spark.createDataFrame([("a", 4), ("b", 7)], "stage string, target long")
+    got = {}
+    for r in P.replicate_to_counts(c, t, below="take").collect():
+        got.setdefault(r.stage, []).append(r.id)
+    assert len(got["a"]) == len(set(got["a"])) == 4
+    assert sorted(got["b"].count(i) for i in range(3)) == [2, 2, 3]
+    with pytest.raises(Exception, match="below"):
+        P.replicate_to_counts(c, t).collect()
