@@ -1,10 +1,12 @@
 """Operators without SQL against plain loops over their definitions; bounds of what is broadcast."""
 
 import math
+import random
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewake.functions import columns
 from tidewake.operators import composition as D
@@ -152,3 +154,9 @@ def test_replicates_below_a_stage_take_so_many_rows(spark):
     assert sorted(got["b"].count(i) for i in range(3)) == [2, 2, 3]
     with pytest.raises(Exception, match="below"):
         P.replicate_to_counts(c, t).collect()
+
+
+def test_equal_rank_of_a_value_that_is_not_the_same_twice(spark):
+    shaken = F.udf(lambda v: v + random.SystemRandom().random() * 1e-9, "double")
+    d = spark.createDataFrame([("a", float(i)) for i in range(6)], "g string, v double").withColumn("s", shaken("v"))
+    assert {r.v: r["rank"] for r in R.equal_rank(d, ["g"], "s").collect()} == {float(i): 6 - i for i in range(6)}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import Keys, ratio
+from ..functions.lineage import settled
 from .ordering import attach, running_totals
 
 
@@ -103,7 +104,9 @@ def sum_over_times(scores: DataFrame, g: Keys, time: str, value: str, n_times: i
 
 def equal_rank(df: DataFrame, g: Keys, value: str) -> DataFrame:
     """Adds rank (the least of equals), greatest value first; rows without a value share the rank after the last. Only
-    distinct values are ordered, in cells."""
+    distinct values are ordered, in cells. df is settled, as a computed score that is computed again may differ in its
+    last bits and then does not meet its own rank."""
+    df = settled(df)
     d = df.filter(F.col(value).isNotNull()).groupBy(*g, value).agg(F.count(F.lit(1)).alias("_n"))
     d = running_totals(d, g, value, ["_n"]).select(*g, value, (F.col("_n_all") - F.col("_n_upto") + 1).alias("_rank"))
     sizes = df.groupBy(*g).agg((F.count(value) + 1).alias("_last"))
