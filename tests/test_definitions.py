@@ -160,3 +160,11 @@ def test_equal_rank_of_a_value_that_is_not_the_same_twice(spark):
     shaken = F.udf(lambda v: v + random.SystemRandom().random() * 1e-9, "double")
     d = spark.createDataFrame([("a", float(i)) for i in range(6)], "g string, v double").withColumn("s", shaken("v"))
     assert {r.v: r["rank"] for r in R.equal_rank(d, ["g"], "s").collect()} == {float(i): 6 - i for i in range(6)}
+
+
+def test_stability_summary_ranks_scores_that_are_not_the_same_twice(spark):
+    shaken = F.udf(lambda v: v + random.SystemRandom().random() * 1e-9, "double")
+    d = spark.createDataFrame([("a", i, float(i % 4)) for i in range(4)], "m string, k int, v double").withColumn("score", shaken("v"))
+    lines = d.select("m", "k", "score", F.lit(1).alias("lag"))
+    got = C.stability_summary(R.equal_rank(d, ["m"], "score"), R.equal_rank(d, ["m"], "score"), lines, ["m", "k"]).collect()
+    assert {r.k: (r["rank"], r.alternate_rank, r.lines) for r in got} == {i: (4 - i, 4 - i, 1) for i in range(4)}
