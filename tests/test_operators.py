@@ -389,3 +389,30 @@ def test_entry_imports_and_lists():
 
     names = e.queries()
     assert "composition_jsd" in names and set(e.oracle_sql()) <= set(names)
+
+
+def _shuffled_pairs(df):
+    """Exchanges of the plan above its join."""
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    return text.split("Join")[0].count("Aggregate")
+
+
+def test_cis_links_deal_out_no_pairs(spark):
+    g = spark.createDataFrame([(1, 0, 5000), (2, 0, 5200), (2, 0, 5200)], "gene long, chrom long, tss long")
+    p = spark.createDataFrame([(7, 0, 5000, 5101), (8, 0, 6990, 7011), (8, 0, 6990, 7011), (9, 1, 5000, 5101)], "peak long, chrom long, start long, end long")
+    want = [(1, 7, 50, "promoter"), (1, 8, 2000, "distal"), (2, 7, -150, "distal"), (2, 8, 1800, "distal")]
+    d = G.cis_links(g, p, 2000, 100)
+    assert rows(d) == want and _shuffled_pairs(d) == 0
+    # a gene and a peak with two places each, at one distance, are one link
+    g = g.unionByName(spark.createDataFrame([(1, 1, 5000)], "gene long, chrom long, tss long"))
+    p = p.unionByName(spark.createDataFrame([(7, 1, 5000, 5101)], "peak long, chrom long, start long, end long"))
+    assert rows(G.cis_links(g, p, 2000, 100)) == sorted([*want, (1, 9, 50, "promoter")])
+
+
+def test_classified_links_may_carry_their_bounds(spark):
+    g = spark.createDataFrame([(1, 0, 5000, 5090, 5000), (2, 0, 5200, 5300, 5200)], "gene long, chrom long, start long, end long, tss long")
+    p = spark.createDataFrame([(7, 0, 5000, 5101), (8, 0, 6990, 7011)], "peak long, chrom long, start long, end long")
+    carried = G.cis_links(g.selectExpr("*", "start AS gene_start", "end AS gene_end"), p.selectExpr("*", "start AS peak_start", "end AS peak_end"), 2000, 100, ["gene_start", "gene_end", "peak_start", "peak_end"])
+    got = G.classify_links(carried, distal=150).select("gene", "peak", "distance", "class", "in_body", "strict_distal")
+    assert rows(got) == rows(G.classify_links(G.cis_links(g, p, 2000, 100), g, p, 150).select(*got.columns)) and len(rows(got)) == 4
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
