@@ -416,3 +416,26 @@ def test_classified_links_may_carry_their_bounds(spark):
     got = G.classify_links(carried, distal=150).select("gene", "peak", "distance", "class", "in_body", "strict_distal")
     assert rows(got) == rows(G.classify_links(G.cis_links(g, p, 2000, 100), g, p, 150).select(*got.columns)) and len(rows(got)) == 4
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_nearest_genes_come_with_the_links(spark):
+    rng = np.random.default_rng(4)
+    g = spark.createDataFrame([(i, int(rng.integers(2)), int(rng.integers(60_000) // 7 * 7)) for i in range(90)], "gene long, chrom long, tss long").cache()
+    p = spark.createDataFrame([(i, int(rng.integers(3)), int(s), int(s + rng.integers(1, 300))) for i, s in enumerate(rng.integers(0, 60_000, 120))], "peak long, chrom long, start long, end long").cache()
+    d = G.nearest_genes_of_links(g, p, 2000)
+    assert rows(d) == rows(G.nearest_genes(G.cis_links(g, p, 2000), g, p)) and len(rows(d)) > 100
+    at, places = {r.peak: (r.chrom, round((r.start + r.end) / 2)) for r in p.collect()}, g.collect()
+    for gene, peak, first, other in rows(d):
+        near = [x.gene for x in sorted(places, key=lambda x: (abs(x.tss - at[peak][1]), x.gene)) if x.chrom == at[peak][0]]
+        assert (first, other) == (near[0], next((x for x in near if x != gene), None))
+
+
+def test_top_links_are_cut_before_they_are_dealt_out(spark):
+    links = spark.range(6000).selectExpr("id div 2000 AS gene", "id AS peak", "CAST(id * 37 % 1999 AS DOUBLE) AS score", "true AS significant")
+    got = G._first_of_batches(links.select("gene", "peak", "score"), "gene", {"score": False, "peak": True}, 2)
+    assert got.count() < 200
+    g = spark.createDataFrame([(i, 0, 10) for i in range(3)], "gene long, chrom long, tss long")
+    p = spark.createDataFrame([(1, 0, 1, 2)], "peak long, chrom long, start long, end long")
+    best = {(r.gene, r["rank"]): r.peak for r in G.top_links_per_gene(links, g, p, 2, 2).collect()}
+    every = {k: sorted(range(2000 * k, 2000 * k + 2000), key=lambda i: (-(i * 37 % 1999), i)) for k in range(3)}
+    assert best == {(k, i + 1): every[k][i] for k in range(3) for i in range(2)}
