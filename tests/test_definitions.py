@@ -168,3 +168,12 @@ def test_stability_summary_ranks_scores_that_are_not_the_same_twice(spark):
     lines = d.select("m", "k", "score", F.lit(1).alias("lag"))
     got = C.stability_summary(R.equal_rank(d, ["m"], "score"), R.equal_rank(d, ["m"], "score"), lines, ["m", "k"]).collect()
     assert {r.k: (r["rank"], r.alternate_rank, r.lines) for r in got} == {i: (4 - i, 4 - i, 1) for i in range(4)}
+
+
+def test_interpolated_paths_end_where_a_knot_is_missing(spark, tmp_path):
+    from tidewake.plans import registry
+
+    rows = [(v, [float(10 * v)]) for v in (0, 1, 3, 4, 5)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.pid, r.q): r.a for r in registry.queries()["interpolate_at"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 0.0): 0, (0, 0.5): 5, (0, 1.0): 10, (0, 1.5): 10, (0, 3.0): 30, (1, 0.0): 40, (1, 0.5): 45, (1, 1.0): 50, (1, 1.5): 50}
