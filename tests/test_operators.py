@@ -439,3 +439,18 @@ def test_top_links_are_cut_before_they_are_dealt_out(spark):
     best = {(r.gene, r["rank"]): r.peak for r in G.top_links_per_gene(links, g, p, 2, 2).collect()}
     every = {k: sorted(range(2000 * k, 2000 * k + 2000), key=lambda i: (-(i * 37 % 1999), i)) for k in range(3)}
     assert best == {(k, i + 1): every[k][i] for k in range(3) for i in range(2)}
+
+
+def test_evidence_of_a_gene_is_not_dealt_out(spark):
+    rng = np.random.default_rng(9)
+    g = [(i, int(rng.integers(2)), int(rng.integers(0, 20_000))) for i in range(30)]
+    p = [(i, int(rng.integers(2)), int(s), int(s + 101), None if i % 9 == 0 else float(i % 7)) for i, s in enumerate(rng.integers(0, 20_000, 90))]
+    genes, da = spark.createDataFrame(g, "gene long, chrom long, tss long"), spark.createDataFrame(p, "peak long, chrom long, start long, end long, effect double")
+    got = {r.gene: (r.n, r.peaks, r.median_effect) for r in G.locus_evidence(genes, da, 700).collect()}
+    for gene, chrom, tss in g:
+        mine = [x for x in p if x[1] == chrom and abs((x[2] + x[3]) / 2 - tss) <= 700]
+        known = [x[4] for x in mine if x[4] is not None]
+        assert got[gene] == (len(mine), ";".join(str(x[0]) for x in mine), pytest.approx(float(np.median(known))) if known else None)
+    at = da.selectExpr("peak", "effect", "chrom", "(start + end) * 0.5D AS _c")
+    by_link = rows(G._evidence_by_link(genes, at, 700).select("gene", "n", "peaks", "median_effect"))
+    assert rows(G._evidence_by_place(genes, at, 700).filter("n > 0").select("gene", "n", "peaks", "median_effect")) == by_link
